@@ -210,3 +210,120 @@ def unique_partner_samples(spark, sf):
 def samples_by_source(spark, sf):
     return Q.samples_by_source(_combined_samples(spark, sf), ["station_id"], "source",
                                ["WAV", "Partner"])
+
+
+# --- spatial stand-ins ------------------------------------------------------------
+
+from limnos.operators.ordering import pick_keys  # noqa: E402
+from limnos.operators.spatial import tm_forward  # noqa: E402
+from limnos.plans import landcover as LC  # noqa: E402
+from limnos.plans import watersheds as W  # noqa: E402
+
+# grid for the largest-overlap chain and for land cover (degrees)
+HIER_GRID = (-93.0, 41.0, 0.02)
+LC_GRID = (-92.5, 42.0, 0.02)
+LC_SUBCELLS = 2
+
+
+def _layer(spark, sf, vertices_sql, attrs_sql):
+    polys = spark_sql(spark, sf, vertices_sql.polys_sql)
+    return spark_sql(spark, sf, attrs_sql).join(polys, "pid", "left")
+
+
+def _layers(spark, sf):
+    return {
+        "huc6": _layer(spark, sf, S.HUC6_VERTICES, S.HUC6_ATTRS),
+        "huc8": _layer(spark, sf, S.REGION_VERTICES, S.HUC8_ATTRS),
+        "huc10": _layer(spark, sf, S.COUNTY_VERTICES, S.HUC10_ATTRS),
+        "huc12": _layer(spark, sf, S.HUC12_VERTICES, S.HUC12_ATTRS),
+        "counties": _layer(spark, sf, S.COUNTY_VERTICES, S.COUNTY_ATTRS),
+        "dnr_watersheds": _layer(spark, sf, S.REGION_VERTICES, S.DNR_ATTRS),
+    }
+
+
+def _hierarchy(spark, sf, layers=None):
+    lyr = layers or _layers(spark, sf)
+    return W.watershed_hierarchy(lyr["huc6"], lyr["huc8"], lyr["huc10"], lyr["huc12"], *HIER_GRID)
+
+
+def watershed_hierarchy(spark, sf):
+    return _hierarchy(spark, sf)["huc12"].drop("polys")
+
+
+def station_watersheds(spark, sf):
+    """Final station list with county / watershed attributes."""
+    master = _stations(spark, sf)
+    data = _baseline_data(spark, sf)
+    bfinal = B.baseline_final(data)
+    tp = N.tp_final(_tp_data(spark, sf))
+    inv = _inventory(spark, sf)
+    therm = ST.station_attributes(inv).na.drop()
+    stn = ST.station_list(master, ST.station_attributes(bfinal), ST.station_attributes(tp), therm)
+    keep = ST.stations_in_use(stn, data, tp, _hobo_data(spark, sf))
+    lyr = _layers(spark, sf)
+    huc12 = _hierarchy(spark, sf, lyr)["huc12"]
+    return W.attribute_stations(keep, lyr["counties"], huc12, lyr["dnr_watersheds"])
+
+
+def layer_stats(spark, sf):
+    return W.layer_summary(_layers(spark, sf))
+
+
+def display_layer_stats(spark, sf):
+    lyr = _layers(spark, sf)
+    return W.layer_summary({k: W.display_layer(v, k) for k, v in lyr.items()})
+
+
+def stations_wtm(spark, sf):
+    """Station coordinates in Wisconsin Transverse Mercator (metres)."""
+    st = _stations(spark, sf)
+    x, y = tm_forward(F.col("longitude"), F.col("latitude"))
+    return st.select("station_id", F.round(x, 3).alias("x_wtm"), F.round(y, 3).alias("y_wtm"))
+
+
+def _landscape(spark, sf):
+    lyr = _layers(spark, sf)
+    cells = spark_sql(spark, sf, S.LANDCOVER_CELLS)
+    levels = []
+    for level, name, code, cname in ((8, "huc8", "Huc8Code", "Huc8Name"),
+                                     (10, "huc10", "Huc10Code", "Huc10Name"),
+                                     (12, "huc12", "Huc12Code", "Huc12Name")):
+        layer = lyr[name]
+        attrs = layer.select("pid", F.col(code).alias("huc"), F.col(cname).alias("huc_name"))
+        shares = LC.class_shares(cells, layer.select("pid", "polys"), "pid", *LC_GRID,
+                                 k=LC_SUBCELLS)
+        levels.append((level, attrs, shares))
+    return LC.landscape(levels)
+
+
+def landcover_shares(spark, sf):
+    return portable(_landscape(spark, sf), round_cols=("area", "total_area", "pct_area"))
+
+
+def landcover_area_summary(spark, sf):
+    return portable(LC.area_summary(_landscape(spark, sf)),
+                    round_cols=("mean_area", "sq_km", "sq_mi"))
+
+
+def landcover_state_means(spark, sf):
+    return portable(LC.state_means(_landscape(spark, sf), LC.class_table(spark)),
+                    round_cols=("pct_area",))
+
+
+def landcover_vs_state(spark, sf):
+    out = LC.watershed_vs_state(_landscape(spark, sf), LC.class_table(spark))
+    return portable(out, round_cols=("pct_area", "pct_area2", "diff", "label_pos"))
+
+
+def landcover_sample_watershed(spark, sf):
+    """The class table of one repeatably sampled level-12 watershed."""
+    ls = _landscape(spark, sf)
+    pick = pick_keys(ls.where(F.col("huc_level") == 12), "huc", 1, seed=42)
+    return portable(LC.lookup(ls, LC.class_table(spark), ["class"]).join(pick, "huc"),
+                    round_cols=("area", "total_area", "pct_area"))
+
+
+def plan_attributes(spark, sf):
+    """T14 on whole document texts."""
+    plans = spark_sql(spark, sf, S.PLAN_TEXT)
+    return W.plan_attributes(plans, ["plan_name", "purpose", "objective"])

@@ -240,3 +240,128 @@ SELECT CAST(user_id AS DOUBLE) AS logger_sn,
 FROM {events}
 GROUP BY user_id, CAST(ts AS DATE)
 """
+
+# --- polygon layers as vertex rows (id, part, ring, i, x, y), rings closed ------
+# Coordinates are exact decimals cast to double, identical in both engines.
+
+_NCX = "(-91.4 + (n_nationkey % 5) * 1.25)"
+_NCY = "(42.7 + CAST((n_nationkey - n_nationkey % 5) / 5 AS INT) * 1.0)"
+_RXL = "(-92.5 + r_regionkey * 1.3)"
+
+
+class Layer(str):
+    """Vertex-row SQL (for the oracle) that also carries a one-scan form
+    building the nested ``polys`` array directly (for Spark)."""
+
+    polys_sql: str
+
+
+def _polys_sql(table: str, id_expr: str, rings, where: dict | None) -> str:
+    parts = sorted({p for p, _, _ in rings})
+    part_sql = []
+    for part in parts:
+        ring_sql = []
+        for p, ring, pts in rings:
+            if p != part:
+                continue
+            verts = ", ".join(f"array(CAST({x} AS DOUBLE), CAST({y} AS DOUBLE))"
+                              for x, y in pts + pts[:1])
+            cond = (where or {}).get((p, ring))
+            r = f"array({verts})"
+            ring_sql.append(f"CASE WHEN {cond} THEN {r} END" if cond else r)
+        part_sql.append(f"filter(array({', '.join(ring_sql)}), r -> r IS NOT NULL)")
+    polys = f"filter(array({', '.join(part_sql)}), p -> size(p) > 0)"
+    return f"SELECT {id_expr} AS pid, {polys} AS polys FROM {table}"
+
+
+def _vertex_rows(table: str, id_expr: str, rings: list[tuple[int, int, list[tuple[str, str]]]],
+                 where: dict | None = None) -> str:
+    out = Layer(_vertex_rows_sql(table, id_expr, rings, where))
+    out.polys_sql = _polys_sql(table, id_expr, rings, where)
+    return out
+
+
+def _vertex_rows_sql(table: str, id_expr: str, rings, where: dict | None = None) -> str:
+    """UNION ALL of one SELECT per vertex; ``rings`` = [(part, ring, [(x, y), ...])]."""
+    sel = []
+    for part, ring, pts in rings:
+        cond = (where or {}).get((part, ring))
+        for i, (x, y) in enumerate(pts + pts[:1]):
+            sel.append(f"SELECT {id_expr} AS pid, {part} AS part, {ring} AS ring, {i} AS i, "
+                       f"CAST({x} AS DOUBLE) AS x, CAST({y} AS DOUBLE) AS y FROM {table}"
+                       + (f" WHERE {cond}" if cond else ""))
+    return "\nUNION ALL\n".join(sel)
+
+
+# counties: a diamond per nation
+COUNTY_VERTICES = _vertex_rows("{nation}", "n_nationkey", [(0, 0, [
+    (f"{_NCX} - 0.7", _NCY), (_NCX, f"{_NCY} + 0.55"), (f"{_NCX} + 0.7", _NCY),
+    (_NCX, f"{_NCY} - 0.55")])])
+COUNTY_ATTRS = """
+SELECT n_nationkey AS pid, n_name AS CountyName, r_name AS DnrRegion
+FROM {nation} JOIN {region} ON n_regionkey = r_regionkey
+"""
+
+# sub-watersheds (HUC12 stand-in): a triangle per nation
+HUC12_VERTICES = _vertex_rows("{nation}", "n_nationkey", [(0, 0, [
+    (f"{_NCX} - 0.6", f"{_NCY} - 0.45"), (f"{_NCX} + 0.6", f"{_NCY} - 0.45"),
+    (_NCX, f"{_NCY} + 0.5")])])
+HUC12_ATTRS = """
+SELECT n_nationkey AS pid, lpad(CAST(n_nationkey AS STRING), 12, '0') AS Huc12Code,
+       'Sub ' || n_name AS Huc12Name
+FROM {nation}
+"""
+
+# watersheds (HUC10 stand-in): the county diamonds
+HUC10_ATTRS = """
+SELECT n_nationkey AS pid, lpad(CAST(n_nationkey AS STRING), 10, '0') AS Huc10Code,
+       'Watershed ' || n_name AS Huc10Name
+FROM {nation}
+"""
+
+# DNR watersheds and sub-basins (HUC8 stand-in): a band per region, with a
+# hole in even regions and a second part in region 4
+REGION_VERTICES = _vertex_rows("{region}", "r_regionkey", [
+    (0, 0, [(_RXL, "42.0"), (f"{_RXL} + 1.3", "42.0"), (f"{_RXL} + 1.3", "47.5"), (_RXL, "47.5")]),
+    (0, 1, [(f"{_RXL} + 0.4", "44.0"), (f"{_RXL} + 0.9", "44.0"), (f"{_RXL} + 0.9", "44.6"),
+            (f"{_RXL} + 0.4", "44.6")]),
+    (1, 0, [("-86.0", "41.6"), ("-85.5", "41.6"), ("-85.5", "41.9"), ("-86.0", "41.9")]),
+], where={(0, 1): "r_regionkey % 2 = 0", (1, 0): "r_regionkey = 4"})
+DNR_ATTRS = """
+SELECT r_regionkey AS pid, 'W' || CAST(r_regionkey AS STRING) AS DnrWatershedCode,
+       r_name || ' watershed' AS DnrWatershedName
+FROM {region}
+"""
+HUC8_ATTRS = """
+SELECT r_regionkey AS pid, lpad(CAST(r_regionkey AS STRING), 8, '0') AS Huc8Code,
+       r_name || ' basin' AS Huc8Name
+FROM {region}
+"""
+
+# major basins (HUC6 stand-in): the region bands widened by 0.3 on each side
+HUC6_VERTICES = _vertex_rows("{region}", "r_regionkey", [(0, 0, [
+    (f"{_RXL} - 0.3", "41.5"), (f"{_RXL} + 1.6", "41.5"), (f"{_RXL} + 1.6", "48.0"),
+    (f"{_RXL} - 0.3", "48.0")])])
+HUC6_ATTRS = """
+SELECT r_regionkey AS pid, 'Basin ' || r_name AS MajorBasin FROM {region}
+"""
+
+# land-cover cells: one record per lineitem on a 0.02 degree grid
+LANDCOVER_CELLS = """
+SELECT CAST(-92.5 + ((l_orderkey % 331) + 0.5) * 0.02 AS DOUBLE) AS x,
+       CAST(42.0 + ((l_partkey % 277) + 0.5) * 0.02 AS DOUBLE) AS y,
+       CASE WHEN l_returnflag = 'A' AND l_linestatus = 'F' THEN 0
+            WHEN l_returnflag = 'N' AND l_linestatus = 'F' THEN 11
+            WHEN l_returnflag = 'N' THEN 21
+            WHEN l_returnflag = 'R' AND l_suppkey % 2 = 0 THEN 41
+            WHEN l_returnflag = 'R' THEN 90
+            ELSE 82 END AS class,
+       l_quantity * 900.0 AS cell_area
+FROM {lineitem}
+"""
+
+# plan attributes: documents as free-text plan descriptions
+PLAN_TEXT = """
+SELECT doc_id AS plan_id, source AS plan_name, lang AS purpose, text AS objective
+FROM {documents}
+"""
