@@ -31,4 +31,15 @@ REGISTRY = {
     "duplicate_samples": (Q.duplicate_samples, O.DUPLICATE_SAMPLES),
     "unique_partner_samples": (Q.unique_partner_samples, O.UNIQUE_PARTNER_SAMPLES),
     "samples_by_source": (Q.samples_by_source, O.SAMPLES_BY_SOURCE),
+    "watershed_hierarchy": (Q.watershed_hierarchy, O.WATERSHED_HIERARCHY),
+    "station_watersheds": (Q.station_watersheds, O.STATION_WATERSHEDS),
+    "layer_stats": (Q.layer_stats, O.LAYER_STATS),
+    "display_layer_stats": (Q.display_layer_stats, None),
+    "stations_wtm": (Q.stations_wtm, O.STATIONS_WTM),
+    "landcover_shares": (Q.landcover_shares, O.LANDCOVER_SHARES),
+    "landcover_area_summary": (Q.landcover_area_summary, O.LANDCOVER_AREA_SUMMARY),
+    "landcover_state_means": (Q.landcover_state_means, O.LANDCOVER_STATE_MEANS),
+    "landcover_vs_state": (Q.landcover_vs_state, O.LANDCOVER_VS_STATE),
+    "landcover_sample_watershed": (Q.landcover_sample_watershed, None),
+    "plan_attributes": (Q.plan_attributes, O.PLAN_ATTRIBUTES),
 }

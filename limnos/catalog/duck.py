@@ -31,9 +31,10 @@ def clean_station_name(x: str) -> str:
 
 
 def _cap_first(p: str) -> str:
-    return (f"(regexp_extract({p}, {q(r'^([^\p{L}\p{N}]*)')}, 1) || "
+    return (f"(CASE WHEN NOT regexp_matches({p}, {q(r'[\p{L}\p{N}]')}) THEN {p} ELSE "
+            f"regexp_extract({p}, {q(r'^([^\p{L}\p{N}]*)')}, 1) || "
             f"upper(regexp_extract({p}, {q(r'(?s)^[^\p{L}\p{N}]*(.)')}, 1)) || "
-            f"regexp_extract({p}, {q(r'(?s)^[^\p{L}\p{N}]*.(.*)$')}, 1))")
+            f"regexp_extract({p}, {q(r'(?s)^[^\p{L}\p{N}]*.(.*)$')}, 1) END)")
 
 
 def sentence_case(x: str) -> str:
@@ -53,9 +54,8 @@ def title_case(x: str) -> str:
 
 def as_numeric(x: str) -> str:
     t = f"trim(CAST({x} AS VARCHAR))"
-    v = f"TRY_CAST(regexp_replace({t}, 'Inf$', 'Infinity') AS DOUBLE)"
-    return (f"(CASE WHEN regexp_matches({t}, {q(NUMERIC_PATTERN)}) AND NOT isnan({v}) "
-            f"THEN {v} END)")
+    v = f"TRY_CAST({t} AS DOUBLE)"
+    return f"(CASE WHEN regexp_matches({t}, {q(NUMERIC_PATTERN)}) THEN {v} END)"
 
 
 def as_integer(x: str) -> str:

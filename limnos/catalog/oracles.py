@@ -451,3 +451,265 @@ SELECT station_id,
        CASE WHEN count_if(source = 'Partner') > 0 THEN count_if(source = 'Partner') END
          AS "Partner"
 FROM samples GROUP BY station_id"""
+
+
+# --- spatial (T9-T12): brute force over cell centres and points --------------------
+
+def _dbl(v: float) -> str:
+    return f"CAST({v!r} AS DOUBLE)"
+
+
+def _edges(v: str) -> str:
+    return (f"SELECT a.pid, a.x AS x1, a.y AS y1, b.x AS x2, b.y AS y2 FROM {v} a JOIN {v} b "
+            "ON a.pid = b.pid AND a.part = b.part AND a.ring = b.ring AND b.i = a.i + 1")
+
+
+def _inside(px: str, py: str) -> str:
+    """Ray-crossing test of point (px, py) against edge alias e."""
+    return (f"(e.y1 > {py}) <> (e.y2 > {py}) AND "
+            f"{px} < (e.x2 - e.x1) * ({py} - e.y1) / (e.y2 - e.y1) + e.x1")
+
+
+def _raster(p: str, v: str, x0: float, y0: float, cell: float) -> dict[str, str]:
+    """CTEs {p}_e (edges) and {p}_r (pid, i, j): cells whose centre is inside,
+    by testing every cell of the polygon's bounding box against every edge."""
+    X0, Y0, C = _dbl(x0), _dbl(y0), _dbl(cell)
+    return {
+        f"{p}_e": _edges(v),
+        f"{p}_bb": f"SELECT pid, min(x) AS minx, max(x) AS maxx, min(y) AS miny, max(y) AS maxy "
+                   f"FROM {v} GROUP BY pid",
+        f"{p}_ci": f"SELECT pid, miny, maxy, unnest(range("
+                   f"CAST(floor((minx - {X0}) / {C}) AS BIGINT) - 1, "
+                   f"CAST(ceil((maxx - {X0}) / {C}) AS BIGINT) + 2)) AS i FROM {p}_bb",
+        f"{p}_cc": f"SELECT pid, i, unnest(range(CAST(floor((miny - {Y0}) / {C}) AS BIGINT) - 1, "
+                   f"CAST(ceil((maxy - {Y0}) / {C}) AS BIGINT) + 2)) AS j FROM {p}_ci",
+        f"{p}_r": f"SELECT c.pid, c.i, c.j FROM (SELECT pid, i, j, {X0} + (i + {_dbl(0.5)}) * {C} AS xc, "
+                  f"{Y0} + (j + {_dbl(0.5)}) * {C} AS yc FROM {p}_cc) c JOIN {p}_e e "
+                  f"ON c.pid = e.pid AND {_inside('c.xc', 'c.yc')} "
+                  f"GROUP BY c.pid, c.i, c.j HAVING count(*) % 2 = 1",
+    }
+
+
+def _best_parent(name: str, child: str, parent: str) -> dict[str, str]:
+    return {name: f"SELECT c.pid, p.pid AS parent, count(*) AS n FROM {child} c "
+                  f"JOIN {parent} p ON c.i = p.i AND c.j = p.j GROUP BY c.pid, p.pid "
+                  "QUALIFY row_number() OVER (PARTITION BY c.pid ORDER BY count(*) DESC, "
+                  "p.pid) = 1"}
+
+
+_HX0, _HY0, _HC = -93.0, 41.0, 0.02
+HIER_CTES = {
+    "v6": S.HUC6_VERTICES, "v8": S.REGION_VERTICES, "v10": S.COUNTY_VERTICES,
+    "v12": S.HUC12_VERTICES,
+    "a6": S.HUC6_ATTRS, "a8": S.HUC8_ATTRS, "a10": S.HUC10_ATTRS, "a12": S.HUC12_ATTRS,
+    **_raster("h6", "v6", _HX0, _HY0, _HC), **_raster("h8", "v8", _HX0, _HY0, _HC),
+    **_raster("h10", "v10", _HX0, _HY0, _HC), **_raster("h12", "v12", _HX0, _HY0, _HC),
+    **_best_parent("l8", "h8_r", "h6_r"), **_best_parent("l10", "h10_r", "h8_r"),
+    **_best_parent("l12", "h12_r", "h10_r"),
+    "w8": "SELECT a.*, p.MajorBasin FROM a8 a LEFT JOIN l8 l ON a.pid = l.pid "
+          "LEFT JOIN a6 p ON l.parent = p.pid",
+    "w10": "SELECT a.*, p.Huc8Code, p.Huc8Name, p.MajorBasin FROM a10 a "
+           "LEFT JOIN l10 l ON a.pid = l.pid LEFT JOIN w8 p ON l.parent = p.pid",
+    "w12": "SELECT a.*, p.Huc10Code, p.Huc10Name, p.Huc8Code, p.Huc8Name, p.MajorBasin "
+           "FROM a12 a LEFT JOIN l12 l ON a.pid = l.pid LEFT JOIN w10 p ON l.parent = p.pid",
+}
+
+
+def _cte2(parts: dict[str, str]) -> str:
+    return "WITH " + ",\n".join(f"{k} AS ({duck_sql(v)})" for k, v in parts.items())
+
+
+WATERSHED_HIERARCHY = _cte2(HIER_CTES) + "\nSELECT * FROM w12"
+
+_SL_TIES = ["src", "station_name", "latitude", "longitude", "wbic", "waterbody",
+            "station_type_code", "src"]
+
+
+def _first_poly(name: str, pts: str, v: str) -> dict[str, str]:
+    return {
+        f"{name}_e": _edges(v),
+        name: f"SELECT station_id, min(pid) AS pid FROM (SELECT k.station_id, e.pid "
+              f"FROM {pts} k JOIN {name}_e e ON {_inside('k.longitude', 'k.latitude')} "
+              "GROUP BY k.station_id, e.pid HAVING count(*) % 2 = 1) GROUP BY station_id",
+    }
+
+
+STATION_WATERSHEDS = _cte2({
+    **BASELINE_CTES, **TP_CTES, **TRIM_CTES, **HIER_CTES,
+    "bfinal": f"SELECT * FROM data d WHERE EXISTS (SELECT 1 FROM valid_fsn v WHERE v.fsn{NL}d.fsn)",
+    "tpf": "SELECT * FROM tp_data WHERE tp < 5",
+    "sl_src": """
+      SELECT station_id, station_name, latitude, longitude, CAST(wbic AS BIGINT) AS wbic,
+             waterbody, station_type_code, 0 AS src FROM stations
+      UNION ALL
+      SELECT DISTINCT station_id, station_name, latitude, longitude, CAST(wbic AS BIGINT),
+             waterbody, station_type_code, 1 FROM bfinal
+      UNION ALL
+      SELECT DISTINCT station_id, station_name, latitude, longitude, CAST(wbic AS BIGINT),
+             waterbody, station_type_code, 2 FROM tpf
+      UNION ALL
+      SELECT DISTINCT station_id, station_name, latitude, longitude, NULL, NULL, NULL, 3
+      FROM inv WHERE station_id IS NOT NULL AND station_name IS NOT NULL
+                 AND latitude IS NOT NULL AND longitude IS NOT NULL""",
+    "sl_first": f"""
+      SELECT * FROM sl_src
+      WHERE station_id IS NOT NULL AND latitude IS NOT NULL AND longitude IS NOT NULL
+      QUALIFY row_number() OVER (PARTITION BY station_id ORDER BY {D.order_by(_SL_TIES)}) = 1""",
+    "sl": f"""SELECT * EXCLUDE (src) REPLACE ({D.clean_station_name('station_name')} AS station_name)
+              FROM sl_first""",
+    "kept_ids": """
+      SELECT station_id FROM data UNION SELECT station_id FROM tpf
+      UNION SELECT station_id FROM hobo""",
+    "kept": f"SELECT * FROM sl s WHERE EXISTS (SELECT 1 FROM kept_ids k WHERE k.station_id{NL}s.station_id)",
+    "vc": S.COUNTY_VERTICES, "ac": S.COUNTY_ATTRS, "vd": S.REGION_VERTICES, "ad": S.DNR_ATTRS,
+    **_first_poly("pc", "kept", "vc"), **_first_poly("ph", "kept", "v12"),
+    **_first_poly("pd", "kept", "vd"),
+}) + """
+SELECT k.station_id, k.station_name, k.latitude, k.longitude, c.CountyName AS county_name,
+       c.DnrRegion AS dnr_region, k.wbic, k.waterbody, h.Huc12Code AS huc12,
+       h.Huc12Name AS sub_watershed, h.Huc10Code AS huc10, h.Huc10Name AS watershed,
+       d.DnrWatershedName AS dnr_watershed_name, d.DnrWatershedCode AS dnr_watershed_code,
+       h.Huc8Code AS huc8, h.Huc8Name AS sub_basin, h.MajorBasin AS major_basin
+FROM kept k
+LEFT JOIN pc ON pc.station_id = k.station_id LEFT JOIN ac c ON c.pid = pc.pid
+LEFT JOIN ph ON ph.station_id = k.station_id LEFT JOIN w12 h ON h.pid = ph.pid
+LEFT JOIN pd ON pd.station_id = k.station_id LEFT JOIN ad d ON d.pid = pd.pid"""
+
+LAYER_STATS = _cte2({"v6": S.HUC6_VERTICES, "v8": S.REGION_VERTICES, "v10": S.COUNTY_VERTICES,
+                     "v12": S.HUC12_VERTICES}) + """
+SELECT layer, count(DISTINCT pid) AS features, count(*) AS vertices,
+       count(DISTINCT (pid, part, ring)) AS rings
+FROM (SELECT 'huc6' AS layer, * FROM v6 UNION ALL SELECT 'huc8', * FROM v8
+      UNION ALL SELECT 'huc10', * FROM v10 UNION ALL SELECT 'huc12', * FROM v12
+      UNION ALL SELECT 'counties', * FROM v10 UNION ALL SELECT 'dnr_watersheds', * FROM v8)
+GROUP BY layer"""
+
+# land cover: sub-cells of half the grid size, covered share per cell
+_LX0, _LY0, _LC, _K = -92.5, 42.0, 0.02, 2
+
+
+def _shares(p: str, v: str) -> dict[str, str]:
+    out = _raster(p, v, _LX0, _LY0, _LC / _K)
+    out[f"{p}_f"] = (f"SELECT pid, CAST(floor(i / {_K}) AS BIGINT) AS i, "
+                     f"CAST(floor(j / {_K}) AS BIGINT) AS j, count(*) / {_dbl(float(_K * _K))} AS frac "
+                     f"FROM {p}_r GROUP BY ALL")
+    out[f"{p}_a"] = (f"SELECT f.pid, c.class, sum(c.cell_area * f.frac) AS area FROM lc_cells c "
+                     f"JOIN {p}_f f ON c.i = f.i AND c.j = f.j GROUP BY f.pid, c.class")
+    out[f"{p}_s"] = (f"SELECT a.*, t.total_area, a.area / t.total_area AS pct_area FROM {p}_a a "
+                     f"JOIN (SELECT pid, sum(area) AS total_area FROM {p}_a GROUP BY pid) t "
+                     "ON a.pid = t.pid")
+    return out
+
+
+LANDSCAPE_CTES = {
+    "lc_raw": S.LANDCOVER_CELLS,
+    "lc_cells": f"SELECT *, CAST(floor((x - {_dbl(_LX0)}) / {_dbl(_LC)}) AS BIGINT) AS i, "
+                f"CAST(floor((y - {_dbl(_LY0)}) / {_dbl(_LC)}) AS BIGINT) AS j FROM lc_raw",
+    "v8": S.REGION_VERTICES, "v10": S.COUNTY_VERTICES, "v12": S.HUC12_VERTICES,
+    "a8": S.HUC8_ATTRS, "a10": S.HUC10_ATTRS, "a12": S.HUC12_ATTRS,
+    **_shares("s8", "v8"), **_shares("s10", "v10"), **_shares("s12", "v12"),
+    "landscape0": """
+      SELECT 8 AS huc_level, a.Huc8Code AS huc, a.Huc8Name AS huc_name, s.class, s.area,
+             s.total_area, s.pct_area FROM a8 a LEFT JOIN s8_s s ON a.pid = s.pid
+      UNION ALL
+      SELECT 10, a.Huc10Code, a.Huc10Name, s.class, s.area, s.total_area, s.pct_area
+      FROM a10 a LEFT JOIN s10_s s ON a.pid = s.pid
+      UNION ALL
+      SELECT 12, a.Huc12Code, a.Huc12Name, s.class, s.area, s.total_area, s.pct_area
+      FROM a12 a LEFT JOIN s12_s s ON a.pid = s.pid""",
+    "landscape": "SELECT * REPLACE (CASE WHEN class = 0 THEN 11 ELSE class END AS class) "
+                 "FROM landscape0",
+}
+
+LANDCOVER_SHARES = _cte2(LANDSCAPE_CTES) + """
+SELECT huc_level, huc, huc_name, class, round(area, 6) AS area,
+       round(total_area, 6) AS total_area, round(pct_area, 6) AS pct_area FROM landscape"""
+
+LANDCOVER_AREA_SUMMARY = _cte2(LANDSCAPE_CTES) + """,
+per AS (SELECT huc_level, huc, CASE WHEN count(total_area) = count(*) THEN avg(total_area) END
+               AS mean_area FROM landscape GROUP BY huc_level, huc),
+lvl AS (SELECT huc_level, CASE WHEN count(mean_area) = count(*) THEN avg(mean_area) END
+               AS mean_area, count(*) AS n FROM per GROUP BY huc_level)
+SELECT huc_level, round(mean_area, 6) AS mean_area, n, round(mean_area / 1e6, 6) AS sq_km,
+       round(mean_area / 1e6 * 0.3861, 6) AS sq_mi FROM lvl"""
+
+
+def _legend() -> str:
+    from limnos.plans.landcover import CLASSES
+    rows = " UNION ALL ".join(f"SELECT {c} AS class, {D.q(n)} AS class_name, {D.q(h)} AS hex, "
+                              f"{i} AS class_order" for i, (c, n, h) in enumerate(CLASSES))
+    return rows
+
+
+STATE_CTES = {
+    **LANDSCAPE_CTES,
+    "legend": _legend(),
+    "l12": "SELECT l.*, g.class_name, g.hex, g.class_order FROM landscape l "
+           "LEFT JOIN legend g ON l.class = g.class WHERE l.huc_level = 12",
+    "state": "SELECT class_name, hex, class_order, CASE WHEN count(pct_area) = count(*) "
+             "THEN avg(pct_area) END AS pct_area FROM l12 GROUP BY class_name, hex, class_order",
+}
+
+LANDCOVER_STATE_MEANS = _cte2(STATE_CTES) + """
+SELECT class_name, hex, class_order, round(pct_area, 6) AS pct_area FROM state"""
+
+
+def _pct(x: str) -> str:
+    v = D.r_round(f"({x}) * 100", 1)
+    return f"printf('%.1f%%', CASE WHEN {v} = 0 THEN 0.0 ELSE {v} END)"
+
+
+LANDCOVER_VS_STATE = _cte2(STATE_CTES) + f""",
+ws AS (SELECT huc, class_name, pct_area AS pct_area2 FROM l12 WHERE class_name IS NOT NULL),
+st AS (SELECT class_name, hex, pct_area FROM state WHERE class_name IS NOT NULL),
+pairs AS (
+  SELECT w.huc, w.class_name, s.hex, s.pct_area, w.pct_area2 FROM ws w JOIN st s USING (class_name)
+  UNION ALL
+  SELECT h.huc, s.class_name, s.hex, s.pct_area, 0.0 FROM (SELECT DISTINCT huc FROM ws) h, st s
+  WHERE NOT EXISTS (SELECT 1 FROM ws w WHERE w.huc = h.huc AND w.class_name = s.class_name)),
+d AS (SELECT *, pct_area2 - pct_area AS diff FROM pairs),
+lab AS (SELECT *, CASE WHEN left({_pct('diff')}, 1) = '-' THEN {_pct('diff')}
+                       ELSE '+' || {_pct('diff')} END AS label FROM d)
+SELECT huc, class_name, hex, round(pct_area, 6) AS pct_area, round(pct_area2, 6) AS pct_area2,
+       round(diff, 6) AS diff, label,
+       round(CASE WHEN diff = 0 THEN 0.0 ELSE -1 * sign(diff) * {_dbl(0.00001)} END, 6) AS label_pos,
+       'Current watershed: ' || {_pct('pct_area2')} || '<br>State average: ' || {_pct('pct_area')}
+         || '<br>Difference: ' || label AS hovertext
+FROM lab"""
+
+PLAN_ATTRIBUTES = _cte2({"plans": S.PLAN_TEXT}) + f"""
+SELECT plan_id,
+       {D.sentence_case("trim(regexp_replace(plan_name, '[\\r\\n]', '', 'g'))")} AS plan_name,
+       {D.sentence_case("trim(regexp_replace(purpose, '[\\r\\n]', '', 'g'))")} AS purpose,
+       {D.sentence_case("trim(regexp_replace(objective, '[\\r\\n]', '', 'g'))")} AS objective
+FROM plans"""
+
+
+def _tm_sql(lon: str, lat: str) -> tuple[str, str]:
+    """Transverse Mercator forward (same published series) in DuckDB SQL."""
+    import math
+    a, f = 6378137.0, 1 / 298.257222101
+    e2 = f * (2 - f)
+    ep2 = e2 / (1 - e2)
+    k0, lon0, fe, fn = 0.9996, -90.0, 520000.0, -4480000.0
+    phi = f"radians({lat})"
+    n = f"({a!r} / sqrt(1 - {e2!r} * pow(sin({phi}), 2)))"
+    t = f"pow(tan({phi}), 2)"
+    c = f"({ep2!r} * pow(cos({phi}), 2))"
+    A = f"(radians({lon} - ({lon0!r})) * cos({phi}))"
+    m = (f"({a!r} * (({1 - e2 / 4 - 3 * e2**2 / 64 - 5 * e2**3 / 256!r}) * {phi} "
+         f"- ({3 * e2 / 8 + 3 * e2**2 / 32 + 45 * e2**3 / 1024!r}) * sin(2 * {phi}) "
+         f"+ ({15 * e2**2 / 256 + 45 * e2**3 / 1024!r}) * sin(4 * {phi}) "
+         f"- ({35 * e2**3 / 3072!r}) * sin(6 * {phi})))")
+    x = (f"({k0!r} * {n} * ({A} + (1 - {t} + {c}) * pow({A}, 3) / 6 + "
+         f"(5 - 18 * {t} + pow({t}, 2) + 72 * {c} - 58 * {ep2!r}) * pow({A}, 5) / 120) + {fe!r})")
+    y = (f"({k0!r} * ({m} + {n} * tan({phi}) * (pow({A}, 2) / 2 + "
+         f"(5 - {t} + 9 * {c} + 4 * pow({c}, 2)) * pow({A}, 4) / 24 + "
+         f"(61 - 58 * {t} + pow({t}, 2) + 600 * {c} - 330 * {ep2!r}) * pow({A}, 6) / 720)) + {fn!r})")
+    del math
+    return x, y
+
+
+_X, _Y = _tm_sql("longitude", "latitude")
+STATIONS_WTM = _cte(**STATION_CTES) + f"""
+SELECT station_id, round({_X}, 3) AS x_wtm, round({_Y}, 3) AS y_wtm FROM stations"""

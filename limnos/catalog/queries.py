@@ -21,6 +21,8 @@ from limnos.plans import loggers as L
 from limnos.plans import nutrient as N
 from limnos.plans import qc as Q
 from limnos.plans import stations as ST
+from limnos.operators.joins import join_ns
+from limnos.session import materialize
 
 LOGGER_YEAR = 2024
 
@@ -43,32 +45,36 @@ def portable(df: DataFrame, round_cols: tuple = ()) -> DataFrame:
 
 # --- inputs ----------------------------------------------------------------------
 
+# Job outputs that later steps read more than once are materialised (a
+# reliable checkpoint in the shared checkpoint folder), as the reference
+# writes each section's table before the next section uses it.
+
 def _stations(spark, sf):
-    return ST.station_master(spark_sql(spark, sf, S.STATIONS), spark_sql(spark, sf, S.EXTRA_STATIONS))
+    return materialize(ST.station_master(spark_sql(spark, sf, S.STATIONS),
+                                         spark_sql(spark, sf, S.EXTRA_STATIONS)))
 
 
 def _baseline_data(spark, sf):
     obs = B.baseline_obs(spark_sql(spark, sf, S.BASELINE_OBS))
     flow = B.flow_obs(spark_sql(spark, sf, S.BASELINE_FLOW))
-    return B.baseline_data(obs, flow)
+    return materialize(B.baseline_data(obs, flow))
 
 
 def _tp_data(spark, sf):
     stations = _stations(spark, sf)
-    return N.tp_data(N.tp_program(spark_sql(spark, sf, S.TP_PROGRAM)),
-                     N.tp_partner(spark_sql(spark, sf, S.TP_PARTNER), stations),
-                     N.tp_agency(spark_sql(spark, sf, S.TP_AGENCY), stations))
+    return materialize(N.tp_data(N.tp_program(spark_sql(spark, sf, S.TP_PROGRAM)),
+                                 N.tp_partner(spark_sql(spark, sf, S.TP_PARTNER), stations),
+                                 N.tp_agency(spark_sql(spark, sf, S.TP_AGENCY), stations)))
 
 
 def _inventory(spark, sf):
     inv = spark_sql(spark, sf, S.INVENTORY)
     st = _stations(spark, sf).select("station_id", "station_name", "latitude", "longitude")
-    from limnos.operators.joins import join_ns
-    return join_ns(inv, st, ["station_id"], "left")
+    return materialize(join_ns(inv, st, ["station_id"], "left"))
 
 
 def _readings(spark, sf):
-    return L.parse_readings(spark_sql(spark, sf, S.LOGGER_RAW), LOGGER_YEAR)
+    return materialize(L.parse_readings(spark_sql(spark, sf, S.LOGGER_RAW), LOGGER_YEAR))
 
 
 def _trimmed(spark, sf, keep=False):
@@ -261,7 +267,7 @@ def station_watersheds(spark, sf):
     stn = ST.station_list(master, ST.station_attributes(bfinal), ST.station_attributes(tp), therm)
     keep = ST.stations_in_use(stn, data, tp, _hobo_data(spark, sf))
     lyr = _layers(spark, sf)
-    huc12 = _hierarchy(spark, sf, lyr)["huc12"]
+    huc12 = _hierarchy(spark, sf, lyr)["huc12"].join(lyr["huc12"].select("pid", "polys"), "pid")
     return W.attribute_stations(keep, lyr["counties"], huc12, lyr["dnr_watersheds"])
 
 

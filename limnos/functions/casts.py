@@ -9,7 +9,7 @@ from limnos.functions.util import as_col
 
 # A decimal number as R's as.numeric() reads it: optional sign, digits with an
 # optional fraction, optional exponent, surrounding blanks allowed, or Inf.
-NUMERIC_PATTERN = r"^\s*[+-]?((\d+\.?\d*|\.\d+)([eE][+-]?\d+)?|Inf)\s*$"
+NUMERIC_PATTERN = r"^\s*[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?\s*$|^\s*[+-]?Inf\s*$"
 
 
 def as_numeric(c) -> Column:
@@ -21,8 +21,9 @@ def as_numeric(c) -> Column:
     """
     c = as_col(c)
     s = F.trim(c.cast("string"))
-    d = F.when(s.rlike(NUMERIC_PATTERN), F.regexp_replace(s, "Inf$", "Infinity").try_cast("double"))
-    return F.when(~F.isnan(d), d)
+    # Spark's own cast already reads "Inf"; the pattern only rejects what R
+    # would not accept (e.g. '1d', hex, 'NaN')
+    return F.when(s.rlike(NUMERIC_PATTERN), s.try_cast("double"))
 
 
 def as_integer(c) -> Column:

@@ -19,6 +19,24 @@ LOGGER_FORMATS = [
     ("%m/%d/%Y %H:%M:%S", "M/d/yyyy H:mm:ss"),
 ]
 
+# The text shape each Spark pattern can accept.  A pattern is only tried on
+# text of its shape: a failed parse costs a thrown exception, and with seven
+# formats most rows would otherwise fail several times.
+_D12, _D2, _D4 = r"\d{1,2}", r"\d{2}", r"\d{4}"
+_SHAPES = {
+    "yyyy-M-d H:mm:ss": rf"^{_D4}-{_D12}-{_D12} {_D12}:{_D2}:{_D2}$",
+    "M-d-yyyy H:mm:ss": rf"^{_D12}-{_D12}-{_D4} {_D12}:{_D2}:{_D2}$",
+    "M-d-yy H:mm:ss": rf"^{_D12}-{_D12}-{_D2} {_D12}:{_D2}:{_D2}$",
+    "M/d/yy h:mm:ss a": rf"^{_D12}/{_D12}/{_D2} {_D12}:{_D2}:{_D2} [AaPp][Mm]$",
+    "M/d/yy H:mm:ss": rf"^{_D12}/{_D12}/{_D2} {_D12}:{_D2}:{_D2}$",
+    "M/d/yyyy H:mm": rf"^{_D12}/{_D12}/{_D4} {_D12}:{_D2}$",
+    "M/d/yyyy H:mm:ss": rf"^{_D12}/{_D12}/{_D4} {_D12}:{_D2}:{_D2}$",
+    "y M d h m a": r"^\d+ \d{1,2} \d{1,2} \d{1,2} \d{1,2} [AaPp][Mm]$",
+    "y M d H m": r"^\d+ \d{1,2} \d{1,2} \d{1,2} \d{1,2}$",
+    "M d y h m s a": r"^\d{1,2} \d{1,2} \d+ \d{1,2} \d{1,2} \d{1,2} [AaPp][Mm]$",
+    "M d y H m s": r"^\d{1,2} \d{1,2} \d+ \d{1,2} \d{1,2} \d{1,2}$",
+}
+
 # Orders accepted by the flexible parser, after separators are normalised to
 # single spaces.  "ymdHMp": year month day hour minute AM/PM (24-hour clock
 # when no marker); "mdyHMSp": month day year hour minute second AM/PM.
@@ -28,20 +46,43 @@ FLEX_ORDERS = {
 }
 
 
-def _ts(s: Column, fmt: str) -> Column:
-    return F.try_to_timestamp(s, F.lit(fmt)).cast("timestamp_ntz")
+def _try_shapes(s: Column, fmts: list[str]) -> Column:
+    """First pattern whose shape matches and which parses (``s`` should be a
+    cheap expression: it is referenced once per pattern)."""
+    return F.coalesce(*[F.when(s.rlike(_SHAPES[f]),
+                               F.try_to_timestamp(s, F.lit(f)).cast("timestamp_ntz"))
+                        for f in fmts])
 
 
 def parse_exact(c, formats=LOGGER_FORMATS) -> Column:
     """First of the exact formats that parses; NULL when none does."""
-    s = F.trim(as_col(c).cast("string"))
-    return F.coalesce(*[_ts(s, spark_fmt) for _, spark_fmt in formats])
+    return _try_shapes(F.trim(as_col(c).cast("string")), [f for _, f in formats])
+
+
+def normalize_datetime_text(c) -> Column:
+    """Runs of non-alphanumerics -> one space (the flexible parser's input)."""
+    return F.trim(F.regexp_replace(as_col(c).cast("string"), r"[^0-9A-Za-z]+", " "))
+
+
+def parse_normalized(c, order: str = "ymdHMp") -> Column:
+    """``parse_flexible`` on text already passed through
+    ``normalize_datetime_text`` (stage it as its own column so the regex
+    runs once per row)."""
+    return _try_shapes(as_col(c), FLEX_ORDERS[order])
 
 
 def parse_flexible(c, order: str = "ymdHMp") -> Column:
     """``parse_date_time(x, order)``: any run of non-alphanumerics separates."""
-    s = F.trim(F.regexp_replace(as_col(c).cast("string"), r"[^0-9A-Za-z]+", " "))
-    return F.coalesce(*[_ts(s, f) for f in FLEX_ORDERS[order]])
+    return parse_normalized(normalize_datetime_text(c), order)
+
+
+def with_flexible_datetime(df, src: str, dst: str, order: str = "ymdHMp"):
+    """DataFrame form of ``parse_flexible``: normalises in one projection and
+    parses in the next.  Catalyst does not merge the two (the normalised
+    text is used several times and is not cheap), so the regex runs once."""
+    tmp = f"__{dst}_text"
+    out = df.withColumn(tmp, normalize_datetime_text(src))
+    return out.withColumn(dst, parse_normalized(tmp, order)).drop(tmp)
 
 
 def noon(date_col) -> Column:

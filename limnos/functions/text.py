@@ -43,17 +43,21 @@ def strip_line_breaks(c) -> Column:
 
 def _cap_first(piece: Column) -> Column:
     # upper-case the first letter or digit after any leading blanks/punctuation
-    lead = F.regexp_extract(piece, r"^([^\p{L}\p{N}]*)", 1)
-    first = F.regexp_extract(piece, r"(?s)^[^\p{L}\p{N}]*(.)", 1)
-    rest = F.regexp_extract(piece, r"(?s)^[^\p{L}\p{N}]*.(.*)$", 1)
-    return F.concat(lead, F.upper(first), rest)
+    pos = F.regexp_instr(piece, F.lit(r"[\p{L}\p{N}]"))
+    return F.when(pos == 0, piece).otherwise(F.concat(
+        F.substr(piece, F.lit(1), pos - 1), F.upper(F.substr(piece, pos, F.lit(1))),
+        F.substr(piece, pos + 1)))
 
 
 def sentence_case(c) -> Column:
     """``str_to_sentence``: lower case, first letter of each sentence upper."""
     c = as_col(c)
+    # most values are one sentence: skip the split when no terminator is
+    # followed by a blank
+    one = _cap_first(F.lower(c))
     pieces = F.split(c, SENTENCE_SPLIT)
-    return F.array_join(F.transform(pieces, lambda p: _cap_first(F.lower(p))), "")
+    many = F.array_join(F.transform(pieces, lambda p: _cap_first(F.lower(p))), "")
+    return F.when(c.rlike(r"[.!?]" + WS), many).otherwise(one)
 
 
 def title_case(c) -> Column:

@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from limnos.functions import (as_integer, as_numeric, calendar_columns, parse_flexible,
+from limnos.functions import (as_integer, as_numeric, calendar_columns,
                               sentence_case, squish, unit_label)
+from limnos.functions.datetimes import with_flexible_datetime
 from limnos.operators.aggregates import any_present
 from limnos.operators.groups import keep_first
 from limnos.operators.joins import anti_join_ns, natural_left_join, semi_join_ns
@@ -65,11 +66,13 @@ def baseline_obs(raw: DataFrame) -> DataFrame:
     df = raw.select(*[F.col(src).alias(dst) for src, dst in OBS_COLUMNS.items()])
     df = df.withColumns({
         **{c: as_numeric(c) for c in OBS_MEASURES},
-        **{c: sentence_case(squish(c)) for c in TEXT_FIELDS},
-        "weather_conditions": sentence_case(F.regexp_replace("weather_conditions", "_", " ")),
+        **{c: squish(c) for c in TEXT_FIELDS},
+        "weather_conditions": F.regexp_replace("weather_conditions", "_", " "),
         **{c: as_integer(c) for c in ID_FIELDS},
-        "datetime": parse_flexible("datetime", "ymdHMp"),
     })
+    # sentence case reads its input several times: give it a staged column
+    df = df.withColumns({c: sentence_case(c) for c in [*TEXT_FIELDS, "weather_conditions"]})
+    df = with_flexible_datetime(df, "datetime", "datetime", "ymdHMp")
     df = _with_date(_coords(df))
     df = df.where(F.col("datetime") >= F.lit(START).cast("timestamp_ntz"))
     return keep_first(df, ["fsn", "station_id", "date"], order=["datetime"])
@@ -78,8 +81,8 @@ def baseline_obs(raw: DataFrame) -> DataFrame:
 def flow_obs(raw: DataFrame) -> DataFrame:
     """Typed flow visits; streamflow = entered, else corrected, else calculated."""
     df = raw.select(*[F.col(src).alias(dst) for src, dst in FLOW_COLUMNS.items()])
+    df = with_flexible_datetime(df, "datetime", "datetime", "ymdHMp")
     df = df.withColumns({
-        "datetime": parse_flexible("datetime", "ymdHMp"),
         **{c: as_integer(c) for c in ID_FIELDS},
         **{c: as_numeric(c) for c in FLOW_MEASURES},
     })

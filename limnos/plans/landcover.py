@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from limnos.functions import percent, signed_percent
-from limnos.operators.joins import join_ns, left_join_fill, lookup
+from limnos.operators.aggregates import strict_mean
+from limnos.operators.joins import join_ns, lookup
 from limnos.operators.sets import bind_rows
 from limnos.operators.spatial import cell_index, coverage_fractions
 
@@ -73,9 +74,9 @@ def landscape(levels: list[tuple[int, DataFrame, DataFrame]]) -> DataFrame:
 
 def area_summary(landscape_df: DataFrame) -> DataFrame:
     """Mean watershed area per level (mean over watersheds of their
-    total), count, in km² and mi²."""
-    per = landscape_df.groupBy("huc_level", "huc").agg(F.avg("total_area").alias("mean_area"))
-    out = per.groupBy("huc_level").agg(F.avg("mean_area").alias("mean_area"),
+    total), count, in km² and mi².  Means are NA-strict, as R's ``mean``."""
+    per = landscape_df.groupBy("huc_level", "huc").agg(strict_mean("total_area").alias("mean_area"))
+    out = per.groupBy("huc_level").agg(strict_mean("mean_area").alias("mean_area"),
                                        F.count(F.lit(1)).alias("n"))
     return out.withColumns({"sq_km": F.col("mean_area") / 1e6}).withColumn(
         "sq_mi", F.col("sq_km") * SQ_MI_PER_SQ_KM)
@@ -86,31 +87,38 @@ def state_means(landscape_df: DataFrame, classes: DataFrame, level: int = 12) ->
     the class (no zero fill)."""
     df = lookup(landscape_df.where(F.col("huc_level") == level), classes, ["class"])
     return (df.groupBy("class_name", "hex", "class_order")
-              .agg(F.avg("pct_area").alias("pct_area")))
+              .agg(strict_mean("pct_area").alias("pct_area")))
 
 
 def watershed_vs_state(landscape_df: DataFrame, classes: DataFrame, level: int = 12) -> DataFrame:
     """A11 for every watershed of a level: its share of each state class
-    (0 when absent) minus the state mean, with labels.
-
-    The state table has one row per legend class (bounded by the legend), so
-    it is attached as a scalar array rather than joined; each watershed's
-    classes are collected per watershed (also bounded by the legend)."""
-    state = state_means(landscape_df, classes, level)
-    state_arr = state.select(F.array_sort(F.collect_list(F.struct(
-        "class_order", "class_name", "hex", "pct_area"))).alias("s")).scalar()
-    ws = lookup(landscape_df.where(F.col("huc_level") == level), classes, ["class"])
-    per = ws.groupBy("huc").agg(F.map_from_entries(F.collect_list(F.struct(
-        "class_name", "pct_area"))).alias("m"))
-    rows = per.select("huc", F.explode(state_arr).alias("s"))
-    own = F.coalesce(F.element_at(F.col("m"), F.col("s.class_name")), F.lit(0.0))
-    out = rows.select("huc", F.col("s.class_name").alias("class_name"),
-                      F.col("s.hex").alias("hex"), F.col("s.pct_area").alias("pct_area"),
-                      own.alias("pct_area2"))
+    minus the state mean, with labels.
+
+    As in the reference's left join, a class present twice in a watershed
+    (class 0 remapped to 11) gives two rows, and a state class absent from
+    the watershed gives one row with share 0.  The state table has at most
+    one row per legend class, so it is broadcast; the absent classes come
+    from each watershed's class set (also bounded by the legend), never
+    from pairing every watershed with every class by a cross join."""
+    state = (state_means(landscape_df, classes, level).where(F.col("class_name").isNotNull())
+             .drop("class_order"))
+    ws = (lookup(landscape_df.where(F.col("huc_level") == level), classes, ["class"])
+          .where(F.col("class_name").isNotNull())
+          .select("huc", "class_name", F.col("pct_area").alias("pct_area2")))
+    present = ws.join(F.broadcast(state), "class_name")
+    state_arr = state.select(F.collect_list(F.struct("class_name", "hex", "pct_area"))).scalar()
+    seen = ws.groupBy("huc").agg(F.collect_set("class_name").alias("seen"))
+    absent = (seen.select("huc", "seen", F.explode(state_arr).alias("s"))
+                  .where(~F.array_contains("seen", F.col("s.class_name")))
+                  .select("huc", F.col("s.class_name").alias("class_name"),
+                          F.lit(0.0).alias("pct_area2"), F.col("s.hex").alias("hex"),
+                          F.col("s.pct_area").alias("pct_area")))
+    out = present.unionByName(absent)
     out = out.withColumn("diff", F.col("pct_area2") - F.col("pct_area"))
     out = out.withColumns({
         "label": signed_percent("diff"),
-        "label_pos": -1 * F.signum("diff") * 0.00001,
+        "label_pos": F.when(F.col("diff") == 0, F.lit(0.0))
+                      .otherwise(-1 * F.signum("diff") * 0.00001),
     })
     return out.withColumn("hovertext", F.concat(
         F.lit("Current watershed: "), percent("pct_area2"), F.lit("<br>State average: "),
@@ -118,7 +126,5 @@ def watershed_vs_state(landscape_df: DataFrame, classes: DataFrame, level: int =
 
 
 def one_watershed(landscape_df: DataFrame, classes: DataFrame, huc: str) -> DataFrame:
-    """The class table of one named watershed, largest share first (J8-style
-    left join of the legend)."""
-    df = landscape_df.where(F.col("huc") == huc)
-    return left_join_fill(df, classes, ["class"], {})
+    """The class table of one named watershed (legend joined)."""
+    return lookup(landscape_df.where(F.col("huc") == huc), classes, ["class"])

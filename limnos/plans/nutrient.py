@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from limnos.functions import as_long, as_numeric, month_name, parse_flexible, title_case
+from limnos.functions import as_long, as_numeric, month_name, parse_flexible, title_case  # noqa: F401
+from limnos.functions.datetimes import with_flexible_datetime
 from limnos.operators.groups import count_in_group, keep_first, top_n_with_ties
 from limnos.operators.joins import natural_left_join
 from limnos.operators.sets import bind_rows
@@ -56,8 +57,8 @@ def tp_partner(raw: DataFrame, stations: DataFrame) -> DataFrame:
     station attributes from the station list."""
     df = _select(raw, PARTNER_COLUMNS).na.drop(subset=["tp"])
     df = df.withColumns({"tp": tp_value("tp"), "fsn": as_long("fsn"),
-                         "station_id": as_long("station_id"),
-                         "datetime": parse_flexible("datetime", "mdyHMSp")})
+                         "station_id": as_long("station_id")})
+    df = with_flexible_datetime(df, "datetime", "datetime", "mdyHMSp")
     return natural_left_join(df, stations)
 
 
@@ -66,8 +67,8 @@ def tp_agency(raw: DataFrame, stations: DataFrame) -> DataFrame:
     df = raw.where(F.col("sample_dnr_parameter") == TP_PARAMETER)
     df = _select(df, AGENCY_COLUMNS).na.drop(subset=["tp"])
     df = df.withColumns({"tp": tp_value("tp"), "fsn": as_long("fsn"),
-                         "station_id": as_long("station_id"),
-                         "datetime": parse_flexible("datetime", "mdyHMSp")})
+                         "station_id": as_long("station_id")})
+    df = with_flexible_datetime(df, "datetime", "datetime", "mdyHMSp")
     return natural_left_join(df, stations)
 
 

@@ -61,3 +61,11 @@ def checkpoint_dir(spark: SparkSession) -> str:
         conf_dir = tempfile.mkdtemp(prefix="limnos-ckpt-")
     sc.setCheckpointDir(conf_dir)
     return sc.getCheckpointDir() or conf_dir
+
+
+def materialize(df):
+    """Write ``df`` once to the shared checkpoint folder and continue from
+    there (reliable checkpoint: survives executor loss, cuts the lineage).
+    For tables a job reads more than once."""
+    checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
