@@ -42,4 +42,6 @@ REGISTRY = {
     "landcover_vs_state": (Q.landcover_vs_state, O.LANDCOVER_VS_STATE),
     "landcover_sample_watershed": (Q.landcover_sample_watershed, None),
     "plan_attributes": (Q.plan_attributes, O.PLAN_ATTRIBUTES),
+    "stations_csv_roundtrip": (Q.stations_csv_roundtrip, O.STATION_MASTER),
+    "logger_files_roundtrip": (Q.logger_files_roundtrip, O.LOGGER_READINGS),
 }

@@ -333,3 +333,51 @@ def plan_attributes(spark, sf):
     """T14 on whole document texts."""
     plans = spark_sql(spark, sf, S.PLAN_TEXT)
     return W.plan_attributes(plans, ["plan_name", "purpose", "objective"])
+
+
+# --- sources and sinks, written and read back -------------------------------------
+
+from limnos.functions import as_integer, as_long, as_numeric  # noqa: E402
+from limnos.sources import files as FI  # noqa: E402
+from limnos.sources import loggers as LF  # noqa: E402
+from limnos.sources import sinks as SK  # noqa: E402
+
+
+def stations_csv_roundtrip(spark, sf):
+    """The station list written as gzip CSV ("NA" for NULL) and
+    read back as text, then typed by name."""
+    out = SK.write_csv(_stations(spark, sf), SK.scratch_path(spark, "stations"),
+                       compression="gzip")
+    back = FI.read_delimited(spark, out)
+    back = FI.typed(back, {"station_id": as_long, "latitude": as_numeric,
+                           "longitude": as_numeric, "wbic": as_integer})
+    return back.select(*ST.STATION_COLS)
+
+
+def logger_files(spark, sf) -> str:
+    """Logger CSV files made from the readings: an optional banner line, a
+    header naming the unit, numbered data rows; one folder per serial."""
+    raw = spark_sql(spark, sf, S.LOGGER_RAW)
+    sn = F.col("logger_sn").cast("bigint").cast("string")
+    head = raw.groupBy("logger_sn", "unit").agg(F.lit(1).alias("k"))
+    banner = head.where(F.col("logger_sn") % 2 == 0).select(
+        "logger_sn", F.concat(F.lit("Plot Title: "), sn).alias("value"))
+    header = head.select("logger_sn", F.format_string(
+        '"#","Date Time, GMT-05:00","Temp, \u00b0%s (LGR S/N: %s, SEN S/N: %s)"',
+        F.col("unit"), sn, sn).alias("value"))
+    rows = raw.select("logger_sn", F.concat_ws(
+        ",", F.monotonically_increasing_id().cast("string"), F.col("raw_datetime"),
+        F.coalesce(F.col("raw_temp"), F.lit(""))).alias("value"))
+    lines = banner.unionByName(header).unionByName(rows)
+    out = SK.scratch_path(spark, "loggers")
+    lines.repartition("logger_sn").write.partitionBy("logger_sn").text(out)
+    return out
+
+
+def logger_files_roundtrip(spark, sf):
+    """S3 + T4 end to end: readings parsed from logger files on disk."""
+    folder = logger_files(spark, sf)
+    raw = LF.read_logger_folder(spark, folder, pattern="*/*.txt",
+                                serial_pattern=r"logger_sn=([^/]+)/")
+    LF.assert_units(raw)
+    return portable(L.parse_readings(raw, LOGGER_YEAR))

@@ -23,7 +23,8 @@ SERIAL_PATTERN = r"([^/]+)\.csv$"
 FIELDS = "c1 string, c2 string, c3 string"
 
 
-def classify_lines(lines: DataFrame, value: str = "value", file: str = "file") -> DataFrame:
+def classify_lines(lines: DataFrame, value: str = "value", file: str = "file",
+                   serial_pattern: str = SERIAL_PATTERN) -> DataFrame:
     """(file, line) -> (file, logger_sn, raw_datetime, raw_temp, unit).
 
     Data lines have a row number in the first field; the header is a
@@ -40,20 +41,23 @@ def classify_lines(lines: DataFrame, value: str = "value", file: str = "file") -
                     .alias("unit")))
     data = df.where(is_data).select(
         "file",
-        as_numeric(F.regexp_extract("file", SERIAL_PATTERN, 1)).alias("logger_sn"),
+        as_numeric(F.regexp_extract("file", serial_pattern, 1)).alias("logger_sn"),
         na_tokens("f.c2").alias("raw_datetime"),
         na_tokens("f.c3").alias("raw_temp"))
     return data.join(units, "file", "left")
 
 
-def read_logger_folder(spark: SparkSession, path: str, pattern: str = "*.csv") -> DataFrame:
-    """Read every logger CSV in ``path``; error if there is none."""
+def read_logger_folder(spark: SparkSession, path: str, pattern: str = "*.csv",
+                       serial_pattern: str = SERIAL_PATTERN) -> DataFrame:
+    """Read every logger CSV in ``path``; error if there is none.  The serial
+    comes from the file name (``<serial>.csv``) unless ``serial_pattern``
+    says otherwise (e.g. a ``logger_sn=<serial>/`` folder)."""
     try:
         lines = spark.read.text(f"{path.rstrip('/')}/{pattern}")
     except AnalysisException as e:  # no match for the glob
         raise FileNotFoundError(f"No csv files found in directory '{path}'") from e
     lines = lines.select("value", F.col("_metadata.file_path").alias("file"))
-    return classify_lines(lines)
+    return classify_lines(lines, serial_pattern=serial_pattern)
 
 
 def assert_units(raw: DataFrame, sample: int = 20) -> None:
