@@ -44,4 +44,5 @@ REGISTRY = {
     "plan_attributes": (Q.plan_attributes, O.PLAN_ATTRIBUTES),
     "stations_csv_roundtrip": (Q.stations_csv_roundtrip, O.STATION_MASTER),
     "logger_files_roundtrip": (Q.logger_files_roundtrip, O.LOGGER_READINGS),
+    "event_props": (Q.event_props, O.EVENT_PROPS),
 }

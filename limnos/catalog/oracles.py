@@ -713,3 +713,7 @@ def _tm_sql(lon: str, lat: str) -> tuple[str, str]:
 _X, _Y = _tm_sql("longitude", "latitude")
 STATIONS_WTM = _cte(**STATION_CTES) + f"""
 SELECT station_id, round({_X}, 3) AS x_wtm, round({_Y}, 3) AS y_wtm FROM stations"""
+
+
+EVENT_PROPS = """
+SELECT event_id, user_id, TRY_CAST(json_extract(props, '$.k') AS INTEGER) AS k FROM events"""

@@ -381,3 +381,9 @@ def logger_files_roundtrip(spark, sf):
                                 serial_pattern=r"logger_sn=([^/]+)/")
     LF.assert_units(raw)
     return portable(L.parse_readings(raw, LOGGER_YEAR))
+
+
+def event_props(spark, sf):
+    """The JSON payload of each event as columns."""
+    ev = spark_sql(spark, sf, "SELECT event_id, user_id, props FROM {events}")
+    return FI.json_columns(ev, "props", "k int")

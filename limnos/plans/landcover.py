@@ -128,3 +128,8 @@ def watershed_vs_state(landscape_df: DataFrame, classes: DataFrame, level: int =
 def one_watershed(landscape_df: DataFrame, classes: DataFrame, huc: str) -> DataFrame:
     """The class table of one named watershed (legend joined)."""
     return lookup(landscape_df.where(F.col("huc") == huc), classes, ["class"])
+
+
+def diff_axis_range(diffs: DataFrame) -> DataFrame:
+    """Chart axis range, 1.25 x the smallest and largest difference."""
+    return diffs.agg((F.min("diff") * 1.25).alias("lo"), (F.max("diff") * 1.25).alias("hi"))

@@ -94,3 +94,8 @@ def tp_final(data: DataFrame) -> DataFrame:
 def tp_top(data: DataFrame, n: int = 5) -> DataFrame:
     """``slice_max(tp, n = 5)``: the n largest values with ties."""
     return top_n_with_ties(data, "tp", n)
+
+
+def tp_map_colour_value(data: DataFrame) -> DataFrame:
+    """The map colour scale value ``log1p(tp * 1000 + 1)``."""
+    return data.withColumn("tp_scale", F.log1p(F.col("tp") * 1000 + 1))

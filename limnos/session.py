@@ -69,3 +69,10 @@ def materialize(df):
     For tables a job reads more than once."""
     checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def assert_utc(spark: SparkSession) -> None:
+    """Timestamps are wall-clock UTC; fail fast on another session zone."""
+    tz = spark.conf.get("spark.sql.session.timeZone")
+    if tz not in ("UTC", "Etc/UTC", "GMT", "Z"):
+        raise ValueError(f"session time zone must be UTC, found {tz}")

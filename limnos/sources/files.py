@@ -53,3 +53,13 @@ def parse_json_records(df: DataFrame, col: str, record: T.StructType) -> DataFra
     """A JSON text column holding an array of records -> one row each."""
     rest = [c for c in df.columns if c != col]
     return df.select(*rest, F.inline(F.from_json(col, T.ArrayType(record))))
+
+
+def json_columns(df: DataFrame, col: str, schema: T.StructType | str) -> DataFrame:
+    """R3 for one JSON object per row: its fields become columns."""
+    parsed = F.from_json(F.col(col), schema)
+    fields = schema.fieldNames() if isinstance(schema, T.StructType) else None
+    out = df.withColumn("__json", parsed)
+    names = fields or [f.name for f in out.schema["__json"].dataType.fields]
+    return out.select(*[c for c in df.columns if c != col],
+                      *[F.col(f"__json.{n}").alias(n) for n in names])

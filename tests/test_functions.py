@@ -108,3 +108,21 @@ def test_na_tokens(spark):
     # N17
     assert one(spark, L.na_tokens("x"), " NA ") is None
     assert one(spark, L.na_tokens("x"), " x ") == "x"
+
+
+def test_station_label_and_utc(spark):
+    # P9, X16
+    from limnos.session import assert_utc
+    assert one(spark, L.station_label(F.lit(12), "x"), "Lake") == "[12] Lake"
+    assert_utc(spark)
+
+
+def test_json_columns(spark):
+    # R3
+    from limnos.sources.files import json_columns, parse_json_records
+    from pyspark.sql import types as T
+    df = spark.createDataFrame([(1, '{"k": 69}'), (2, "not json")], "id int, props string")
+    assert sorted(json_columns(df, "props", "k int").collect()) == [(1, 69), (2, None)]
+    arr = spark.createDataFrame([(1, '[{"d": "a"}, {"d": "b"}]')], "id int, j string")
+    rec = T.StructType([T.StructField("d", T.StringType())])
+    assert sorted(parse_json_records(arr, "j", rec).collect()) == [(1, "a"), (1, "b")]
