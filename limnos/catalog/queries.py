@@ -60,16 +60,17 @@ def _baseline_data(spark, sf):
     return materialize(B.baseline_data(obs, flow))
 
 
-def _tp_data(spark, sf):
-    stations = _stations(spark, sf)
+def _tp_data(spark, sf, stations=None):
+    stations = stations if stations is not None else _stations(spark, sf)
     return materialize(N.tp_data(N.tp_program(spark_sql(spark, sf, S.TP_PROGRAM)),
                                  N.tp_partner(spark_sql(spark, sf, S.TP_PARTNER), stations),
                                  N.tp_agency(spark_sql(spark, sf, S.TP_AGENCY), stations)))
 
 
-def _inventory(spark, sf):
+def _inventory(spark, sf, stations=None):
     inv = spark_sql(spark, sf, S.INVENTORY)
-    st = _stations(spark, sf).select("station_id", "station_name", "latitude", "longitude")
+    stations = stations if stations is not None else _stations(spark, sf)
+    st = stations.select("station_id", "station_name", "latitude", "longitude")
     return materialize(join_ns(inv, st, ["station_id"], "left"))
 
 
@@ -77,12 +78,13 @@ def _readings(spark, sf):
     return materialize(L.parse_readings(spark_sql(spark, sf, S.LOGGER_RAW), LOGGER_YEAR))
 
 
-def _trimmed(spark, sf, keep=False):
-    return L.trim_to_deployment(_readings(spark, sf), _inventory(spark, sf), keep_inventory_cols=keep)
+def _trimmed(spark, sf, keep=False, inventory=None):
+    inventory = inventory if inventory is not None else _inventory(spark, sf)
+    return L.trim_to_deployment(_readings(spark, sf), inventory, keep_inventory_cols=keep)
 
 
-def _hobo_data(spark, sf):
-    return L.merge_years(_trimmed(spark, sf), exclude_serials=(7.0,))
+def _hobo_data(spark, sf, inventory=None):
+    return L.merge_years(_trimmed(spark, sf, inventory=inventory), exclude_serials=(7.0,))
 
 
 # --- T1 / T9 stations ----------------------------------------------------------------
@@ -137,20 +139,26 @@ def logger_trimmed(spark, sf):
 
 
 def logger_status(spark, sf):
-    return portable(L.logger_status(_readings(spark, sf), _trimmed(spark, sf, keep=True)))
+    readings = _readings(spark, sf)
+    trimmed = L.trim_to_deployment(readings, _inventory(spark, sf), keep_inventory_cols=True)
+    return portable(L.logger_status(readings, trimmed))
 
 
 def logger_status_summary(spark, sf):
-    return L.status_summary(L.logger_status(_readings(spark, sf), _trimmed(spark, sf, keep=True)))
+    readings = _readings(spark, sf)
+    trimmed = L.trim_to_deployment(readings, _inventory(spark, sf), keep_inventory_cols=True)
+    return L.status_summary(L.logger_status(readings, trimmed))
 
 
 def inventory_without_data(spark, sf):
-    flagged = L.inventory_with_data_flag(_inventory(spark, sf), _hobo_data(spark, sf))
+    inv = _inventory(spark, sf)
+    flagged = L.inventory_with_data_flag(inv, _hobo_data(spark, sf, inventory=inv))
     return portable(L.inventory_without_data(flagged))
 
 
 def inventory_export(spark, sf):
-    flagged = L.inventory_with_data_flag(_inventory(spark, sf), _hobo_data(spark, sf))
+    inv = _inventory(spark, sf)
+    flagged = L.inventory_with_data_flag(inv, _hobo_data(spark, sf, inventory=inv))
     return portable(L.inventory_export(flagged))
 
 
@@ -261,11 +269,11 @@ def station_watersheds(spark, sf):
     master = _stations(spark, sf)
     data = _baseline_data(spark, sf)
     bfinal = B.baseline_final(data)
-    tp = N.tp_final(_tp_data(spark, sf))
-    inv = _inventory(spark, sf)
+    tp = N.tp_final(_tp_data(spark, sf, stations=master))
+    inv = _inventory(spark, sf, stations=master)
     therm = ST.station_attributes(inv).na.drop()
     stn = ST.station_list(master, ST.station_attributes(bfinal), ST.station_attributes(tp), therm)
-    keep = ST.stations_in_use(stn, data, tp, _hobo_data(spark, sf))
+    keep = ST.stations_in_use(stn, data, tp, _hobo_data(spark, sf, inventory=inv))
     lyr = _layers(spark, sf)
     huc12 = _hierarchy(spark, sf, lyr)["huc12"].join(lyr["huc12"].select("pid", "polys"), "pid")
     return W.attribute_stations(keep, lyr["counties"], huc12, lyr["dnr_watersheds"])

@@ -154,3 +154,12 @@ def test_geojson_reader(spark, tmp):
     got = {r["CountyName"]: r["polys"] for r in df.collect()}
     assert got["A"] == [[[[0.0, 0.0], [1.0, 0.0], [1.0, 1.0], [0.0, 0.0]]]]
     assert got["B"] == [[[[2.0, 2.0], [3.0, 2.0], [3.0, 3.0], [2.0, 2.0]]]]
+
+
+def test_albers_origin_and_scale(spark):
+    # EPSG:5070 puts (lon0, lat0) = (-96, 23) at the origin; x grows eastward
+    df = spark.createDataFrame([(-96.0, 23.0), (-90.0, 44.0)], "lon double, lat double")
+    x, y = SP.albers_forward(F.col("lon"), F.col("lat"))
+    (x0, y0), (x1, y1) = rows(df.select(x, y))
+    assert abs(x0) < 1e-6 and abs(y0) < 1e-6
+    assert 400000 < x1 < 600000 and 2200000 < y1 < 2500000
