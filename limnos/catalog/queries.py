@@ -240,6 +240,8 @@ LC_SUBCELLS = 2
 
 
 def _layer(spark, sf, vertices_sql, attrs_sql):
+    # Stand-in layers are cheap to rebuild; a layer read from large GeoJSON
+    # and used by several joins would be materialised once instead.
     polys = spark_sql(spark, sf, vertices_sql.polys_sql)
     return spark_sql(spark, sf, attrs_sql).join(polys, "pid", "left")
 
@@ -298,16 +300,16 @@ def stations_wtm(spark, sf):
 def _landscape(spark, sf):
     lyr = _layers(spark, sf)
     cells = spark_sql(spark, sf, S.LANDCOVER_CELLS)
-    levels = []
+    layers, attrs = {}, None
     for level, name, code, cname in ((8, "huc8", "Huc8Code", "Huc8Name"),
                                      (10, "huc10", "Huc10Code", "Huc10Name"),
                                      (12, "huc12", "Huc12Code", "Huc12Name")):
-        layer = lyr[name]
-        attrs = layer.select("pid", F.col(code).alias("huc"), F.col(cname).alias("huc_name"))
-        shares = LC.class_shares(cells, layer.select("pid", "polys"), "pid", *LC_GRID,
-                                 k=LC_SUBCELLS)
-        levels.append((level, attrs, shares))
-    return LC.landscape(levels)
+        layers[level] = lyr[name].select("pid", "polys")
+        a = lyr[name].select(F.lit(level).alias("huc_level"), "pid", F.col(code).alias("huc"),
+                             F.col(cname).alias("huc_name"))
+        attrs = a if attrs is None else attrs.unionByName(a)
+    shares = LC.class_shares_levels(cells, layers, *LC_GRID, k=LC_SUBCELLS)
+    return LC.landscape_from_shares(attrs, shares)
 
 
 def landcover_shares(spark, sf):

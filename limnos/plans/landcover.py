@@ -59,6 +59,35 @@ def class_shares(cells: DataFrame, layer: DataFrame, poly_id: str, x0: float, y0
     return out.withColumn("pct_area", F.col("area") / F.col("total_area"))
 
 
+def class_shares_levels(cells: DataFrame, layers: dict, x0: float, y0: float, cell: float,
+                        k: int = 2) -> DataFrame:
+    """G5 + A9 for several watershed levels in one pass over the cells.
+
+    The coverage of every level is stacked (level, pid, i, j, frac) and the
+    cell table (the largest input) is joined to it once, instead of once
+    per level.  Output: (huc_level, pid, class, area, total_area, pct_area).
+    """
+    frac = None
+    for level, layer in layers.items():
+        f = coverage_fractions(layer, "pid", x0, y0, cell, k).withColumn("huc_level", F.lit(level))
+        frac = f if frac is None else frac.unionByName(f)
+    c = cell_index(cells, "x", "y", x0, y0, cell)
+    weighted = c.join(frac, ["i", "j"]).select(
+        "huc_level", "pid", "class", (F.col("cell_area") * F.col("frac")).alias("a"))
+    area = weighted.groupBy("huc_level", "pid", "class").agg(F.sum("a").alias("area"))
+    total = area.groupBy("huc_level", "pid").agg(F.sum("area").alias("total_area"))
+    out = area.join(total, ["huc_level", "pid"])
+    return out.withColumn("pct_area", F.col("area") / F.col("total_area"))
+
+
+def landscape_from_shares(attrs: DataFrame, shares: DataFrame) -> DataFrame:
+    """T11 from stacked attributes (huc_level, pid, huc, huc_name) and
+    ``class_shares_levels`` output; class 0 becomes 11 afterwards."""
+    df = join_ns(attrs, shares, ["huc_level", "pid"], "left").drop("pid")
+    return df.withColumn("class", F.when(F.col("class") == NO_DATA_CLASS, F.lit(NO_DATA_AS))
+                         .otherwise(F.col("class")))
+
+
 def landscape(levels: list[tuple[int, DataFrame, DataFrame]]) -> DataFrame:
     """Per level (level, attributes(pid, huc, huc_name), shares(pid, ...)),
     attributes left-joined to shares, stacked; class 0 becomes 11 afterwards
