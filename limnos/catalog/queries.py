@@ -309,7 +309,7 @@ def _landscape(spark, sf):
                              F.col(cname).alias("huc_name"))
         attrs = a if attrs is None else attrs.unionByName(a)
     shares = LC.class_shares_levels(cells, layers, *LC_GRID, k=LC_SUBCELLS)
-    return LC.landscape_from_shares(attrs, shares)
+    return materialize(LC.landscape_from_shares(attrs, shares))
 
 
 def landcover_shares(spark, sf):

@@ -22,6 +22,10 @@ JOB_CONF = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.localShuffleReader.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # HotSpot does not JIT-compile methods over 8000 bytes of bytecode; a
+    # wider whole-stage function would run interpreted.  At this limit Spark
+    # splits such stages instead (the value its docs suggest for HotSpot).
+    "spark.sql.codegen.hugeMethodLimit": "8000",
 }
 
 
