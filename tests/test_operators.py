@@ -136,3 +136,22 @@ def test_repeatable_pick_and_file_order(spark):
     p = spark.createDataFrame([("b/10.csv",), ("b/9.csv",), ("b/a.csv",)], "p string")
     got = [r[0] for r in p.orderBy(O.natural_path_order("p")).collect()]
     assert got == ["b/9.csv", "b/a.csv", "b/10.csv"]
+
+
+def _plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_skew_safe_plan_shapes(spark):
+    # keep-first and per-group values are aggregates with a partial (map-side)
+    # stage, not whole-partition windows; top-n needs no window at all
+    df = spark.range(1000).select((F.col("id") % 3).alias("k"), F.col("id").alias("o"),
+                                  (F.col("id") * 2).alias("v"))
+    p = _plan(G.keep_first(df, ["k"], ["o"]))
+    assert "Window" not in p and "partial_min_by" in p
+    p = _plan(G.any_in_group(df.withColumn("f", F.col("v") > 10), "f", ["k"], "a"))
+    assert "Window" not in p and "partial_max" in p
+    assert "Window" not in _plan(G.top_n_with_ties(df, "v", 5))
+    p = _plan(G.dense_group_id(df, ["k"]))
+    # the only windows run per range partition (and over the per-partition sizes)
+    assert "rangepartitioning" in p.lower()
