@@ -202,8 +202,10 @@ TP_TOP5 = (_cte(**TP_CTES) + f"\nSELECT * REPLACE ({D.date_text('date')} AS date
            "(SELECT tp FROM tp_data WHERE tp IS NOT NULL ORDER BY tp DESC LIMIT 5))")
 
 TP_HISTOGRAM = (_cte(**TP_CTES) + """
-SELECT bin, n, round(bin * 0.1 + 0.0, 6) AS bin_lo, round((bin + 1) * 0.1 + 0.0, 6) AS bin_hi
-FROM (SELECT CAST(floor((sqrt(tp) - 0.0) / 0.1) AS BIGINT) AS bin, count(*) AS n
+SELECT bin, n, round(bin * CAST(0.1 AS DOUBLE) + CAST(0.0 AS DOUBLE), 6) AS bin_lo,
+       round((bin + 1) * CAST(0.1 AS DOUBLE) + CAST(0.0 AS DOUBLE), 6) AS bin_hi
+FROM (SELECT CAST(floor((sqrt(tp) - CAST(0.0 AS DOUBLE)) / CAST(0.1 AS DOUBLE)) AS BIGINT) AS bin,
+             count(*) AS n
       FROM tp_data WHERE tp < 5 AND tp IS NOT NULL GROUP BY 1)""")
 
 # --- loggers (T4-T8) ---------------------------------------------------------------
@@ -267,14 +269,14 @@ LOGGER_QC = _cte(**LOGGER_CTES) + """
 SELECT logger_sn, count(*) AS n_obs, max(unit) AS unit,
        CAST(min(date) AS VARCHAR) AS date_min, CAST(max(date) AS VARCHAR) AS date_max,
        min(temp) AS temp_min, max(temp) AS temp_max, count(DISTINCT year) AS n_years,
-       count_if(coalesce(year <> 2024, true)) AS n_other_year,
-       count_if(NOT temp_ok) AS n_out_of_range, count_if(date_time IS NULL) AS n_unparsed
+       CAST(count_if(coalesce(year <> 2024, true)) AS BIGINT) AS n_other_year,
+       CAST(count_if(NOT temp_ok) AS BIGINT) AS n_out_of_range, CAST(count_if(date_time IS NULL) AS BIGINT) AS n_unparsed
 FROM lg_t2 GROUP BY logger_sn"""
 
 LOGGER_WARNINGS = _cte(**LOGGER_CTES) + """,
 qc AS (SELECT logger_sn, count(DISTINCT year) AS n_years,
-              count_if(coalesce(year <> 2024, true)) AS n_other_year,
-              count_if(NOT temp_ok) AS n_out_of_range FROM lg_t2 GROUP BY logger_sn)
+              CAST(count_if(coalesce(year <> 2024, true)) AS BIGINT) AS n_other_year,
+              CAST(count_if(NOT temp_ok) AS BIGINT) AS n_out_of_range FROM lg_t2 GROUP BY logger_sn)
 SELECT logger_sn, 'other_year' AS code, n_other_year AS n,
        CAST(n_other_year AS VARCHAR) || ' values are not from the inventory year' AS message
 FROM qc WHERE n_years > 1
@@ -331,8 +333,8 @@ LOGGER_STATUS = (_cte(**STATUS_CTES) + "\nSELECT "
                  + _dates_out(["date_min", "date_max", "deployed", "removed"]) + " FROM status")
 
 LOGGER_STATUS_SUMMARY = _cte(**STATUS_CTES) + """
-SELECT count(*) AS loggers, count_if(status = 'missing station id') AS missing_station_id,
-       count_if(deployed IS NULL) AS missing_deployed, count_if(removed IS NULL) AS missing_removed
+SELECT count(*) AS loggers, CAST(count_if(status = 'missing station id') AS BIGINT) AS missing_station_id,
+       CAST(count_if(deployed IS NULL) AS BIGINT) AS missing_deployed, CAST(count_if(removed IS NULL) AS BIGINT) AS missing_removed
 FROM status"""
 
 FLAG_CTES = {
@@ -447,8 +449,8 @@ FROM cnt WHERE k = 1 AND source = 'Partner'"""
 
 SAMPLES_BY_SOURCE = _cte(**SAMPLE_CTES) + """
 SELECT station_id,
-       CASE WHEN count_if(source = 'WAV') > 0 THEN count_if(source = 'WAV') END AS "WAV",
-       CASE WHEN count_if(source = 'Partner') > 0 THEN count_if(source = 'Partner') END
+       CASE WHEN CAST(count_if(source = 'WAV') AS BIGINT) > 0 THEN CAST(count_if(source = 'WAV') AS BIGINT) END AS "WAV",
+       CASE WHEN CAST(count_if(source = 'Partner') AS BIGINT) > 0 THEN CAST(count_if(source = 'Partner') AS BIGINT) END
          AS "Partner"
 FROM samples GROUP BY station_id"""
 
