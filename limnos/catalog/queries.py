@@ -275,7 +275,7 @@ def station_watersheds(spark, sf):
     inv = _inventory(spark, sf, stations=master)
     therm = ST.station_attributes(inv).na.drop()
     stn = ST.station_list(master, ST.station_attributes(bfinal), ST.station_attributes(tp), therm)
-    keep = ST.stations_in_use(stn, data, tp, _hobo_data(spark, sf, inventory=inv))
+    keep = materialize(ST.stations_in_use(stn, data, tp, _hobo_data(spark, sf, inventory=inv)))
     lyr = _layers(spark, sf)
     huc12 = _hierarchy(spark, sf, lyr)["huc12"].join(lyr["huc12"].select("pid", "polys"), "pid")
     return W.attribute_stations(keep, lyr["counties"], huc12, lyr["dnr_watersheds"])

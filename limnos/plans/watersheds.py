@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 
 from limnos.functions import sentence_case, strip_line_breaks
 from limnos.operators.joins import join_ns
-from limnos.operators.spatial import (best_parent, first_match_join, layer_stats, rasterize,
+from limnos.operators.groups import keep_first
+from limnos.operators.spatial import (best_parent, layer_stats, point_in_polygon, rasterize,
                                       simplify, tm_forward, transform_polys)
 
 # Vertex share kept when thinning each layer for display.
@@ -53,8 +54,12 @@ def watershed_hierarchy(huc6: DataFrame, huc8: DataFrame, huc10: DataFrame, huc1
 def attribute_stations(stations: DataFrame, counties: DataFrame, huc12: DataFrame,
                        dnr: DataFrame, band: float = 0.05) -> DataFrame:
     """T9 second half: county, sub-watershed (with its hierarchy) and DNR
-    watershed of each station, first match per layer."""
-    pts = stations
+    watershed of each station, first match per layer.
+
+    Every layer is matched against the same (id, lon, lat) projection and
+    its one-row-per-station result joined back, so the station table appears
+    once per layer in the plan rather than nested inside the previous join.
+    """
     layers = [
         (counties, {"CountyName": "county_name", "DnrRegion": "dnr_region"}),
         (huc12, {"Huc12Code": "huc12", "Huc12Name": "sub_watershed", "Huc10Code": "huc10",
@@ -63,15 +68,20 @@ def attribute_stations(stations: DataFrame, counties: DataFrame, huc12: DataFram
         (dnr, {"DnrWatershedName": "dnr_watershed_name",
                "DnrWatershedCode": "dnr_watershed_code"}),
     ]
+    base = stations.select("station_id", "longitude", "latitude")
+    out = stations
     for k, (layer, attrs) in enumerate(layers):
         if "polys" not in layer.columns:
             raise ValueError("attribute_stations: layers need a polys column")
         have = [a for a in attrs if a in layer.columns]
-        lyr = layer.select(F.col("pid").alias(f"__poly{k}"), "polys",
+        pid = f"__poly{k}"
+        lyr = layer.select(F.col("pid").alias(pid), "polys",
                            *[F.col(a).alias(attrs[a]) for a in have])
-        pts = first_match_join(pts, "station_id", "longitude", "latitude", lyr, f"__poly{k}",
-                               [attrs[a] for a in have], band).drop(f"__poly{k}")
-    return pts.select(*[c for c in STATION_OUTPUT if c in pts.columns])
+        pairs = point_in_polygon(base, "station_id", "longitude", "latitude", lyr, pid, band)
+        first = keep_first(pairs, ["station_id"], order=[pid])
+        first = join_ns(first, lyr.drop("polys"), [pid], "left").drop(pid)
+        out = join_ns(out, first, ["station_id"], "left")
+    return out.select(*[c for c in STATION_OUTPUT if c in out.columns])
 
 
 def plan_attributes(plans: DataFrame, text_cols: list[str]) -> DataFrame:
