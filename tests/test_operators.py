@@ -155,3 +155,20 @@ def test_skew_safe_plan_shapes(spark):
     p = _plan(G.dense_group_id(df, ["k"]))
     # the only windows run per range partition (and over the per-partition sizes)
     assert "rangepartitioning" in p.lower()
+
+
+def test_hot_key_results(spark):
+    # one key holds a third of the rows: results stay exact (no capping,
+    # sampling or dropped rows) through the aggregate-based operators
+    n = 3000
+    data = [(0 if i % 3 == 0 else i % 97 + 1, i, (i * 7) % 11) for i in range(n)]
+    df = spark.createDataFrame(data, "k int, o int, v int").repartition(8)
+    first = dict(rows(G.keep_first(df, ["k"], ["o"]), "k", "o"))
+    assert first[0] == 0 and len(first) == 98
+    counts = dict(set(rows(G.count_in_group(df, None, ["k"], "n"), "k", "n")))
+    assert counts[0] == n // 3 and sum(counts.values()) == n
+    assert G.duplicated(df, ["k"]).count() == n
+    ids = dict(rows(G.dense_group_id(df, ["k"], partitions=4).select("k", "group_id").distinct()))
+    assert sorted(ids.values()) == list(range(1, 99)) and ids[0] == 1
+    top = G.top_n_with_ties(df, "v", 1).count()
+    assert top == sum(1 for _, _, v in data if v == 10)
