@@ -15,6 +15,7 @@ from pyspark.sql import types as T
 from limnos.catalog import standins as S
 from limnos.catalog.tables import spark_sql
 from limnos.functions import format_datetime
+from limnos.functions.datetimes import with_flexible_datetime
 from limnos.operators.aggregates import histogram
 from limnos.plans import baseline as B
 from limnos.plans import loggers as L
@@ -202,12 +203,11 @@ def _combined_samples(spark, sf):
         N.as_long("station_id").alias("station_id"),
         F.col("start_date_time").cast("timestamp_ntz").alias("start_date_time"),
         "result_value_no")
-    part = spark_sql(spark, sf, S.TP_PARTNER).select(
+    part = with_flexible_datetime(spark_sql(spark, sf, S.TP_PARTNER), "sample_start_date_time",
+                                  "start_date_time", "mdyHMSp").select(
         F.lit("Partner").alias("source"), F.col("fieldwork_seq_no").alias("fsn"),
-        N.as_long("station_id").alias("station_id"),
-        N.parse_flexible("sample_start_date_time", "mdyHMSp").alias("start_date_time"),
-        "result_value_no")
-    return Q.combined_samples(prog, part)
+        N.as_long("station_id").alias("station_id"), "start_date_time", "result_value_no")
+    return materialize(Q.combined_samples(prog, part))
 
 
 SAMPLE_KEYS = ["start_date_time", "station_id", "result_value_no"]
