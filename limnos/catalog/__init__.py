@@ -45,4 +45,5 @@ REGISTRY = {
     "stations_csv_roundtrip": (Q.stations_csv_roundtrip, O.STATION_MASTER),
     "logger_files_roundtrip": (Q.logger_files_roundtrip, O.LOGGER_READINGS),
     "event_props": (Q.event_props, O.EVENT_PROPS),
+    "logger_export_roundtrip": (Q.logger_export_roundtrip, O.LOGGER_EXPORT_ROUNDTRIP),
 }

@@ -719,3 +719,7 @@ SELECT station_id, round({_X}, 3) AS x_wtm, round({_Y}, 3) AS y_wtm FROM station
 
 EVENT_PROPS = """
 SELECT event_id, user_id, TRY_CAST(json_extract(props, '$.k') AS INTEGER) AS k FROM events"""
+
+
+LOGGER_EXPORT_ROUNDTRIP = (_cte(**TRIM_CTES) + "\nSELECT "
+                           + _dates_out(["date"], ["date_time"]) + " FROM hobo")

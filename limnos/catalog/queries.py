@@ -397,3 +397,20 @@ def event_props(spark, sf):
     """The JSON payload of each event as columns."""
     ev = spark_sql(spark, sf, "SELECT event_id, user_id, props FROM {events}")
     return FI.json_columns(ev, "props", "k int")
+
+
+def logger_export_roundtrip(spark, sf):
+    """The cleaned logger data written one folder per (year, logger,
+    station), read back with partition discovery and typed again."""
+    hobo = _hobo_data(spark, sf)
+    out = SK.export_per_logger(hobo, SK.scratch_path(spark, "hobo-export"), LOGGER_YEAR)
+    back = (spark.read.option("header", True).option("nullValue", "NA")
+            .option("recursiveFileLookup", False).csv(f"{out}/export_year={LOGGER_YEAR}"))
+    typed = back.select(
+        F.col("logger_sn").cast("double").alias("logger_sn"), "date_time", "date",
+        *[F.col(c).cast("int").alias(c) for c in ("year", "month", "day", "hour", "yday")],
+        F.col("temp_f").cast("double").alias("temp_f"), F.col("temp_c").cast("double").alias("temp_c"),
+        "device_type", F.col("station_id").cast("bigint").alias("station_id"), "station_name",
+        F.col("latitude").cast("double").alias("latitude"),
+        F.col("longitude").cast("double").alias("longitude"))
+    return typed
