@@ -46,4 +46,5 @@ REGISTRY = {
     "logger_files_roundtrip": (Q.logger_files_roundtrip, O.LOGGER_READINGS),
     "event_props": (Q.event_props, O.EVENT_PROPS),
     "logger_export_roundtrip": (Q.logger_export_roundtrip, O.LOGGER_EXPORT_ROUNDTRIP),
+    "weather_files_roundtrip": (Q.weather_files_roundtrip, O.WEATHER_FILES_ROUNDTRIP),
 }

@@ -723,3 +723,8 @@ SELECT event_id, user_id, TRY_CAST(json_extract(props, '$.k') AS INTEGER) AS k F
 
 LOGGER_EXPORT_ROUNDTRIP = (_cte(**TRIM_CTES) + "\nSELECT "
                            + _dates_out(["date"], ["date_time"]) + " FROM hobo")
+
+
+WEATHER_FILES_ROUNDTRIP = _cte(weather=S.WEATHER) + """
+SELECT logger_sn, CAST(date AS VARCHAR) AS date, min_temp, round(avg_temp, 6) AS avg_temp,
+       max_temp FROM weather"""

@@ -414,3 +414,21 @@ def logger_export_roundtrip(spark, sf):
         F.col("latitude").cast("double").alias("latitude"),
         F.col("longitude").cast("double").alias("longitude"))
     return typed
+
+
+def weather_files_roundtrip(spark, sf):
+    """Daily weather written as one ``{"data": [...]}`` answer per logger
+    (as a weather service returns it) and read back as one row per day.
+    Each answer holds one logger's days, so the collect is bounded by the
+    request span, never by the table."""
+    w = spark_sql(spark, sf, S.WEATHER)
+    docs = (w.groupBy("logger_sn")
+              .agg(F.to_json(F.struct(F.array_sort(F.collect_list(F.struct(
+                  F.col("date").cast("string").alias("date"), "min_temp", "avg_temp",
+                  "max_temp"))).alias("data"))).alias("value")))
+    out = SK.scratch_path(spark, "weather")
+    docs.repartition("logger_sn").write.partitionBy("logger_sn").text(out)
+    back = FI.read_weather(spark, f"{out}/*/*.txt", key_pattern=r"logger_sn=([^/]+)/")
+    return back.select(F.col("key").cast("double").alias("logger_sn"),
+                       F.col("date").cast("string").alias("date"),
+                       "min_temp", F.round("avg_temp", 6).alias("avg_temp"), "max_temp")
