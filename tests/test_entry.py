@@ -36,3 +36,11 @@ def test_query_matches_oracle_small(spark, name):
     want = con.execute(entry.oracle_sql()[name]).df()
     assert sorted(got.columns) == sorted(want.columns)
     assert len(got) == len(want)
+
+
+def test_no_forbidden_plan_nodes_in_any_query(spark):
+    bad = []
+    for name, fn in entry.queries().items():
+        plan = fn(spark, SF_SMALL)._jdf.queryExecution().executedPlan().toString()
+        bad += [f"{name}: {b}" for b in BAD_NODES if b in plan]
+    assert not bad, bad
