@@ -6,8 +6,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from limnos.llm import fingerprint, quality, secrets
-from limnos.llm.common import documents, labels
+from limnos.llm import fingerprint, ngram_join, quality, secrets
+from limnos.llm.common import documents, labels, ship
 
 
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -23,6 +23,10 @@ def op5_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
         fingerprint.as_text(F.col("edited_fingerprint")).alias("edited_fingerprint"), "near_edited", "near_next")
 
 
+def op7_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.ngram_components(documents(spark, sf_dir))
+
+
 def op8_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir).select(
         "doc_id", "text", "source", F.concat_ws("/", "source", "lang").alias("repository"))
@@ -32,10 +36,20 @@ def op8_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
                         secrets.as_text(F.col("spans")).alias("spans"), "n_live", "n_copied")
 
 
+def _shipped(fn):
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        ship(spark)
+        return fn(spark, sf_dir)
+    run.__name__, run.__doc__ = fn.__name__, fn.__doc__
+    return run
+
+
 QUERIES = {
     "op2_quality_rules": op2_quality_rules,
     "op5_fingerprints": op5_fingerprints,
+    "op7_ngram_jaccard_join": op7_ngram_jaccard_join,
     "op8_secret_scans": op8_secret_scans,
 }
+QUERIES = {name: _shipped(fn) for name, fn in QUERIES.items()}
 
 ORACLES: dict[str, str] = {}
