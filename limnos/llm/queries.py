@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from limnos.llm import fingerprint, ngram_join, quality, secrets
+from limnos.llm import fingerprint, line_dedup, ngram_join, quality, secrets
 from limnos.llm.common import documents, labels, ship
 
 
@@ -23,6 +23,13 @@ def op5_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
         fingerprint.as_text(F.col("edited_fingerprint")).alias("edited_fingerprint"), "near_edited", "near_next")
 
 
+def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = line_dedup.cut_lines(documents(spark, sf_dir))
+    return cut.select("doc_id", F.coalesce(F.size("_removed"), F.lit(0)).cast("long").alias("n_removed"),
+                      F.length("text").cast("long").alias("n_chars"),
+                      F.sha2(F.col("text").cast("binary"), 256).alias("text_sha256"))
+
+
 def op7_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.ngram_components(documents(spark, sf_dir))
 
@@ -47,6 +54,7 @@ def _shipped(fn):
 QUERIES = {
     "op2_quality_rules": op2_quality_rules,
     "op5_fingerprints": op5_fingerprints,
+    "op6_line_dedup": op6_line_dedup,
     "op7_ngram_jaccard_join": op7_ngram_jaccard_join,
     "op8_secret_scans": op8_secret_scans,
 }
