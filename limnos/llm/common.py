@@ -15,10 +15,14 @@ from limnos.session import checkpoint_dir
 # White space of the word rule `[^\x20\x09-\x0D]+`, as a Java character class.
 WS = "[ \\t\\n\\x0B\\f\\r]"
 
+BATCH_ROWS = 512
+
 
 def ship(spark: SparkSession) -> None:
-    """Send the package to the executors' Python workers, once per context, so
-    that a cluster needs no copy of it."""
+    """Prepare a session: send the package to the executors' Python workers
+    (once per context), so that a cluster needs no copy of it."""
+    # Arrow batches are bounded by rows only; texts may be very long
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     sc = spark.sparkContext
     if getattr(sc, "_limnos_shipped", False):
         return

@@ -6,10 +6,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from limnos.llm import fingerprint, line_dedup, ngram_join, quality, secrets
+from limnos.llm import bpe, fingerprint, line_dedup, ngram_join, quality, secrets, token_files
 from limnos.llm.common import documents, labels, ship
 
 
+def tokenizer_path(name: str) -> str:
+    """Place of a public tokenizer file on every machine."""
+    import public_tokenizers
+    return public_tokenizers.path(name)
+
+
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     trusted = quality.trusted_ids(labels(spark, sf_dir))
     return quality.quality_rules(documents(spark, sf_dir), trusted).select(
@@ -17,6 +23,10 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
         "base_failed", "kept", "llr")
 
 
+def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.encode_decode(documents(spark, sf_dir), tokenizer_path("word_bpe_49k.json"))
+
+
 def op5_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.edited_fingerprints(documents(spark, sf_dir)).select(
         "doc_id", "n_chars", "edited_sha256", fingerprint.as_text(F.col("fingerprint")).alias("fingerprint"),
@@ -43,6 +53,10 @@ def op8_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
                         secrets.as_text(F.col("spans")).alias("spans"), "n_live", "n_copied")
 
 
+def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_files.write_and_read(documents(spark, sf_dir), tokenizer_path("byte_bpe_50k.json"))
+
+
 def _shipped(fn):
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         ship(spark)
@@ -53,10 +67,12 @@ def _shipped(fn):
 
 QUERIES = {
     "op2_quality_rules": op2_quality_rules,
+    "op3_bpe": op3_bpe,
     "op5_fingerprints": op5_fingerprints,
     "op6_line_dedup": op6_line_dedup,
     "op7_ngram_jaccard_join": op7_ngram_jaccard_join,
     "op8_secret_scans": op8_secret_scans,
+    "op9_token_files": op9_token_files,
 }
 QUERIES = {name: _shipped(fn) for name, fn in QUERIES.items()}
 
