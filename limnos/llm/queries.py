@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from limnos.llm import bpe, fingerprint, line_dedup, ngram_join, quality, secrets, token_files
+from limnos.llm import bpe, fingerprint, line_dedup, ngram_join, quality, secrets, token_files, toxicity
 from limnos.llm.common import documents, labels, ship
 
 
@@ -57,6 +57,10 @@ def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.write_and_read(documents(spark, sf_dir), tokenizer_path("byte_bpe_50k.json"))
 
 
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity(documents(spark, sf_dir), labels(spark, sf_dir))
+
+
 def _shipped(fn):
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         ship(spark)
@@ -73,6 +77,7 @@ QUERIES = {
     "op7_ngram_jaccard_join": op7_ngram_jaccard_join,
     "op8_secret_scans": op8_secret_scans,
     "op9_token_files": op9_token_files,
+    "op10_toxicity": op10_toxicity,
 }
 QUERIES = {name: _shipped(fn) for name, fn in QUERIES.items()}
 

@@ -72,13 +72,18 @@ def _blocks(data: np.ndarray, offsets: np.ndarray):
         at = hi
 
 
-def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """64-bit hash of every word (A-Z as a-z) and word offsets per row."""
+def word_hashes(data: np.ndarray, offsets: np.ndarray, breaks: np.ndarray = _WS,
+                prefixes: tuple = ()) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hash of every word (A-Z as a-z) and word offsets per row.
+
+    ``breaks``: table of the bytes between words.  With ``prefixes`` the hashes
+    have further columns: those of the first p bytes (0 for shorter words).
+    """
     hashes, starts_all = [], []
     for lo, hi in _blocks(data, offsets):
         b = data[lo:hi]
         n = hi - lo
-        word = ~_WS[b]
+        word = ~breaks[b]
         edge = np.zeros(n + 1, bool)
         rows = offsets[np.searchsorted(offsets, lo):np.searchsorted(offsets, hi, "right")] - lo
         edge[rows] = True
@@ -93,11 +98,19 @@ def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
         sums = np.empty(n + 1, np.uint64)
         sums[0] = 0
         np.cumsum(_BYTE[b] * _power(_PRIME, n), out=sums[1:])
-        h = (sums[ends] - sums[starts]) * _power(_INVERSE, n)[starts]
-        hashes.append(mix(h + (ends - starts).astype(np.uint64) * _Q[0]))
+        scale = _power(_INVERSE, n)[starts]
+        h = mix((sums[ends] - sums[starts]) * scale + (ends - starts).astype(np.uint64) * _Q[0])
+        if prefixes:
+            cols = [h]
+            for k in prefixes:
+                p = mix((sums[np.minimum(starts + k, n)] - sums[starts]) * scale + np.array([k], np.uint64) * _Q[30])
+                cols.append(np.where(ends - starts >= k, p, U(0)))
+            h = np.stack(cols, axis=1)
+        hashes.append(h)
         starts_all.append(starts + lo)
     if not hashes:
-        return np.zeros(0, np.uint64), np.zeros(len(offsets), np.int64)
+        shape = (0, 1 + len(prefixes)) if prefixes else 0
+        return np.zeros(shape, np.uint64), np.zeros(len(offsets), np.int64)
     return np.concatenate(hashes), np.searchsorted(np.concatenate(starts_all), offsets)
 
 
