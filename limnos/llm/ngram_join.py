@@ -68,8 +68,8 @@ def _slices(batches, size: int = 256):
 
 
 def document_classes(docs: DataFrame, size: int = WORDS) -> DataFrame:
-    """doc_id, n (set size), cls (64-bit id of the set; NULL when empty), own
-    (shingles within the set's own bound)."""
+    """doc_id, th (text hash), n (set size), cls (64-bit id of the set; NULL when
+    empty), own (shingles within the set's own bound)."""
     def run(batches):
         for batch in _slices(batches):
             n, cls, own = [], [], []
@@ -78,9 +78,10 @@ def document_classes(docs: DataFrame, size: int = WORDS) -> DataFrame:
                 cls.append(_class_id(g) if len(g) else None)
                 own.append(int(np.searchsorted(g, _own_bound(np.array([len(g)]))[0], "right")))
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id").cast(pa.int64()), pa.array(n, pa.int64()), pa.array(cls, pa.int64()),
-                 pa.array(own, pa.int64())], names=["doc_id", "n", "cls", "own"])
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id bigint, n bigint, cls bigint, own bigint")
+                [batch.column("doc_id").cast(pa.int64()), batch.column("th"), pa.array(n, pa.int64()),
+                 pa.array(cls, pa.int64()), pa.array(own, pa.int64())], names=["doc_id", "th", "n", "cls", "own"])
+    return docs.select("doc_id", F.xxhash64("text").alias("th"), "text") \
+        .mapInArrow(run, "doc_id bigint, th bigint, n bigint, cls bigint, own bigint")
 
 
 def _packed(fragments: int, size: int):
@@ -147,8 +148,9 @@ def class_sets(docs: DataFrame, wanted: DataFrame, size: int = WORDS) -> DataFra
     return wanted.join(found, "id").groupBy("id").agg(F.first("n").alias("n"), F.first("part").alias("part"))
 
 
-def ngram_components(docs: DataFrame, size: int = WORDS, percent: int = PERCENT) -> DataFrame:
-    """doc_id, n_shingles, component_id per input row."""
+def ngram_groups(docs: DataFrame, size: int = WORDS, percent: int = PERCENT) -> DataFrame:
+    """doc_id, th, n_shingles, component_id, grp (id of the component; NULL for
+    an empty set) per input row."""
     classes = stored(document_classes(docs, size), "classes")
     wanted = stored(candidate_classes(docs, classes, size), "wanted")
     sets = stored(class_sets(docs, wanted, size), "sets")
@@ -157,9 +159,25 @@ def ngram_components(docs: DataFrame, size: int = WORDS, percent: int = PERCENT)
 
     members = classes.where("cls is not null").groupBy("cls").agg(F.min("doc_id").alias("first"))
     placed = members.join(comps.withColumnRenamed("id", "cls"), "cls", "left") \
-        .withColumn("comp", F.coalesce("comp", "cls"))
-    smallest = placed.groupBy("comp").agg(F.min("first").alias("component_id"))
-    named = placed.join(smallest, "comp").select("cls", "component_id")
+        .withColumn("grp", F.coalesce("comp", "cls"))
+    smallest = placed.groupBy("grp").agg(F.min("first").alias("component_id"))
+    named = placed.join(smallest, "grp").select("cls", "grp", "component_id")
     return classes.join(named, "cls", "left").select(
-        "doc_id", F.col("n").alias("n_shingles"),
-        F.when(F.col("cls").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+        "doc_id", "th", F.col("n").alias("n_shingles"),
+        F.when(F.col("cls").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), "grp")
+
+
+def ngram_components(docs: DataFrame, size: int = WORDS, percent: int = PERCENT) -> DataFrame:
+    """doc_id, n_shingles, component_id per input row."""
+    return ngram_groups(docs, size, percent).select("doc_id", "n_shingles", "component_id")
+
+
+def keep_one(docs: DataFrame, size: int = WORDS, percent: int = PERCENT) -> DataFrame:
+    """One document of every component (smallest doc_id, then text hash), with
+    all its columns; documents without words stay.  Rows equal in doc_id and
+    text are one document."""
+    groups = stored(ngram_groups(docs, size, percent).select("doc_id", "th", "grp"), "groups")
+    first = groups.where("grp is not null").groupBy("grp").agg(F.min(F.struct("doc_id", "th")).alias("one")) \
+        .select("one.*").unionByName(groups.where("grp is null").select("doc_id", "th"))
+    first = first.select(F.col("doc_id").alias("_doc"), F.col("th").alias("_th"))
+    return docs.join(first, F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.xxhash64("text") == F.col("_th")), "left_semi")

@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from limnos.llm import bpe, fingerprint, line_dedup, ngram_join, quality, secrets, token_files, toxicity
+from limnos.llm import bpe, fingerprint, line_dedup, ngram_join, packing, pii, quality, secrets, token_files, toxicity
 from limnos.llm.common import documents, labels, ship
 
 
@@ -16,6 +16,10 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(documents(spark, sf_dir))
+
+
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     trusted = quality.trusted_ids(labels(spark, sf_dir))
     return quality.quality_rules(documents(spark, sf_dir), trusted).select(
@@ -27,6 +31,12 @@ def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_decode(documents(spark, sf_dir), tokenizer_path("word_bpe_49k.json"))
 
 
+def op4_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.personal_data(documents(spark, sf_dir))
+    return found.select("doc_id", "n_email", "n_ip", "n_card", "n_phone",
+                        F.sha2(F.col("base").cast("binary"), 256).alias("base_sha256"), "spans")
+
+
 def op5_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.edited_fingerprints(documents(spark, sf_dir)).select(
         "doc_id", "n_chars", "edited_sha256", fingerprint.as_text(F.col("fingerprint")).alias("fingerprint"),
@@ -70,8 +80,10 @@ def _shipped(fn):
 
 
 QUERIES = {
+    "op1_best_fit_packing": op1_best_fit_packing,
     "op2_quality_rules": op2_quality_rules,
     "op3_bpe": op3_bpe,
+    "op4_personal_data": op4_personal_data,
     "op5_fingerprints": op5_fingerprints,
     "op6_line_dedup": op6_line_dedup,
     "op7_ngram_jaccard_join": op7_ngram_jaccard_join,
