@@ -27,6 +27,7 @@ REGISTRY = {
     "loggers_per_year": (Q.loggers_per_year, O.LOGGERS_PER_YEAR),
     "baseline_station_tally": (Q.baseline_station_tally, O.BASELINE_STATION_TALLY),
     "stations_missing_from_list": (Q.stations_missing_from_list, O.STATIONS_MISSING_FROM_LIST),
+    "baseline_visits_per_year": (Q.baseline_visits_per_year, O.BASELINE_VISITS_PER_YEAR),
     "duplicate_coordinates": (Q.duplicate_coordinates, O.DUPLICATE_COORDINATES),
     "duplicate_samples": (Q.duplicate_samples, O.DUPLICATE_SAMPLES),
     "unique_partner_samples": (Q.unique_partner_samples, O.UNIQUE_PARTNER_SAMPLES),

@@ -54,11 +54,11 @@ _KEY_VARS = ["air_temp", "water_temp", "d_o", "ph", "specific_cond", "transparen
 BASELINE_CTES = {
     "obs_raw": S.BASELINE_OBS,
     "obs_t": f"""
-      SELECT {D.as_integer('fieldwork_seq_no')} AS fsn,
+      SELECT {D.as_long('fieldwork_seq_no')} AS fsn,
              {D.parse_flexible('start_datetime', 'ymdHMp')} AS datetime,
-             {D.as_integer('station_id')} AS station_id, primary_station_name AS station_name,
+             {D.as_long('station_id')} AS station_id, primary_station_name AS station_name,
              {D.as_numeric('latitude')} AS latitude, {D.as_numeric('longitude')} AS longitude,
-             {D.as_integer('wbic')} AS wbic, official_waterbody_name AS waterbody,
+             {D.as_long('wbic')} AS wbic, official_waterbody_name AS waterbody,
              station_type_code,
              {D.as_numeric('ambient_air_temp')} AS air_temp, ambient_air_temp_units AS air_temp_units,
              {D.as_numeric('water_temp')} AS water_temp, water_temp_units,
@@ -79,11 +79,11 @@ BASELINE_CTES = {
                                  ORDER BY {D.order_by(_OBS_TIES)}) = 1""",
     "flow_raw": S.BASELINE_FLOW,
     "flow_t": f"""
-      SELECT {D.as_integer('fieldwork_seq_no')} AS fsn,
+      SELECT {D.as_long('fieldwork_seq_no')} AS fsn,
              {D.parse_flexible('start_datetime', 'ymdHMp')} AS datetime,
-             {D.as_integer('station_id')} AS station_id, primary_station_name AS station_name,
+             {D.as_long('station_id')} AS station_id, primary_station_name AS station_name,
              {D.as_numeric('latitude')} AS latitude, {D.as_numeric('longitude')} AS longitude,
-             {D.as_integer('wbic')} AS wbic, official_waterbody_name AS waterbody,
+             {D.as_long('wbic')} AS wbic, official_waterbody_name AS waterbody,
              station_type_code,
              {D.as_numeric('stream_width')} AS stream_width,
              {D.as_numeric('average_stream_depth')} AS average_stream_depth,
@@ -267,22 +267,29 @@ LOGGER_READINGS = (_cte(**LOGGER_CTES)
 
 LOGGER_QC = _cte(**LOGGER_CTES) + """
 SELECT logger_sn, count(*) AS n_obs, max(unit) AS unit,
-       CAST(min(date) AS VARCHAR) AS date_min, CAST(max(date) AS VARCHAR) AS date_max,
-       min(temp) AS temp_min, max(temp) AS temp_max, count(DISTINCT year) AS n_years,
+       CASE WHEN count(date) = count(*) THEN CAST(min(date) AS VARCHAR) END AS date_min,
+       CASE WHEN count(date) = count(*) THEN CAST(max(date) AS VARCHAR) END AS date_max,
+       min(temp) AS temp_min, max(temp) AS temp_max,
+       count(DISTINCT year) + max(CASE WHEN year IS NULL THEN 1 ELSE 0 END) AS n_years,
        CAST(count_if(coalesce(year <> 2024, true)) AS BIGINT) AS n_other_year,
        CAST(count_if(NOT temp_ok) AS BIGINT) AS n_out_of_range, CAST(count_if(date_time IS NULL) AS BIGINT) AS n_unparsed
 FROM lg_t2 GROUP BY logger_sn"""
 
 LOGGER_WARNINGS = _cte(**LOGGER_CTES) + """,
-qc AS (SELECT logger_sn, count(DISTINCT year) AS n_years,
+qc AS (SELECT logger_sn, count(DISTINCT year) + max(CASE WHEN year IS NULL THEN 1 ELSE 0 END) AS n_years,
+              array_to_string(list_sort(list(DISTINCT CAST(year AS VARCHAR)) FILTER (WHERE year IS NOT NULL)), ', ')
+                AS known_years,
               CAST(count_if(coalesce(year <> 2024, true)) AS BIGINT) AS n_other_year,
               CAST(count_if(NOT temp_ok) AS BIGINT) AS n_out_of_range FROM lg_t2 GROUP BY logger_sn)
 SELECT logger_sn, 'other_year' AS code, n_other_year AS n,
-       CAST(n_other_year AS VARCHAR) || ' values are not from the inventory year' AS message
+       'Outside the inventory year: ' || CAST(n_other_year AS VARCHAR) || ' readings' AS message
+FROM qc WHERE n_years > 1
+UNION ALL
+SELECT logger_sn, 'several_years', n_years, 'Readings fall in the years ' || coalesce(known_years, '')
 FROM qc WHERE n_years > 1
 UNION ALL
 SELECT logger_sn, 'out_of_range', n_out_of_range,
-       'Removed ' || CAST(n_out_of_range AS VARCHAR) || ' temperature value(s) out of range'
+       'Beyond the plausible range: ' || CAST(n_out_of_range AS VARCHAR) || ' readings dropped'
 FROM qc WHERE n_out_of_range > 0"""
 
 LOGGER_TRIMMED = (_cte(**TRIM_CTES) + "\nSELECT "
@@ -407,22 +414,13 @@ FROM data d WHERE EXISTS (SELECT 1 FROM valid_fsn v WHERE v.fsn IS NOT DISTINCT
 GROUP BY ALL"""
 
 BASELINE_STATION_TALLY = _cte(**BASELINE_CTES) + _TALLY
-STATIONS_MISSING_FROM_LIST = (_cte(**BASELINE_CTES, **STATION_CTES) + ", tally AS (" + _TALLY
-                              + f""")
-SELECT * FROM tally t WHERE NOT EXISTS (SELECT 1 FROM stations s
-                                        WHERE t.station_id{NL}s.station_id)""")
-
-DUPLICATE_COORDINATES = _cte(**STATION_CTES) + """
-SELECT * FROM (SELECT *, count(*) OVER (PARTITION BY latitude, longitude) AS n_at_site
-               FROM stations) WHERE n_at_site > 1"""
-
 SAMPLE_CTES = {
-    "prog_raw": S.TP_PROGRAM,
-    "part_raw": S.TP_PARTNER,
+    "prog_raw": S.SAMPLES_PROGRAM,
+    "part_raw": S.SAMPLES_PARTNER,
     "samples": f"""
       SELECT source, fsn, station_id, start_date_time,
              coalesce({_tp_num('result_value_no')}, 0.0) AS result_value_no
-      FROM (SELECT 'WAV' AS source, fieldwork_seq_no AS fsn,
+      FROM (SELECT 'Program' AS source, fieldwork_seq_no AS fsn,
                    {D.as_long('station_id')} AS station_id,
                    CAST(start_date_time AS TIMESTAMP) AS start_date_time, result_value_no
             FROM prog_raw
@@ -449,7 +447,7 @@ FROM cnt WHERE k = 1 AND source = 'Partner'"""
 
 SAMPLES_BY_SOURCE = _cte(**SAMPLE_CTES) + """
 SELECT station_id,
-       CASE WHEN CAST(count_if(source = 'WAV') AS BIGINT) > 0 THEN CAST(count_if(source = 'WAV') AS BIGINT) END AS "WAV",
+       CASE WHEN CAST(count_if(source = 'Program') AS BIGINT) > 0 THEN CAST(count_if(source = 'Program') AS BIGINT) END AS "Program",
        CASE WHEN CAST(count_if(source = 'Partner') AS BIGINT) > 0 THEN CAST(count_if(source = 'Partner') AS BIGINT) END
          AS "Partner"
 FROM samples GROUP BY station_id"""
@@ -536,8 +534,9 @@ def _first_poly(name: str, pts: str, v: str) -> dict[str, str]:
     }
 
 
-STATION_WATERSHEDS = _cte2({
-    **BASELINE_CTES, **TP_CTES, **TRIM_CTES, **HIER_CTES,
+# the prioritised station list (master, baseline, nutrient, logger stations) and
+# the part of it that any data table uses
+LIST_CTES = {
     "bfinal": f"SELECT * FROM data d WHERE EXISTS (SELECT 1 FROM valid_fsn v WHERE v.fsn{NL}d.fsn)",
     "tpf": "SELECT * FROM tp_data WHERE tp < 5",
     "sl_src": """
@@ -563,6 +562,34 @@ STATION_WATERSHEDS = _cte2({
       SELECT station_id FROM data UNION SELECT station_id FROM tpf
       UNION SELECT station_id FROM hobo""",
     "kept": f"SELECT * FROM sl s WHERE EXISTS (SELECT 1 FROM kept_ids k WHERE k.station_id{NL}s.station_id)",
+}
+
+_MISSING = f"""SELECT station_id, '%s' AS source, count(*) AS n FROM %s t
+WHERE NOT EXISTS (SELECT 1 FROM sl WHERE sl.station_id{NL}t.station_id) GROUP BY station_id"""
+_QC_CTES = {**BASELINE_CTES, **TP_CTES, **TRIM_CTES, **LIST_CTES}
+STATIONS_MISSING_FROM_LIST = _cte(**_QC_CTES) + "\n" + "\nUNION ALL\n".join(
+    _MISSING % x for x in (("baseline", "bfinal"), ("nutrient", "tpf"), ("logger", "hobo")))
+
+DUPLICATE_COORDINATES = _cte(**_QC_CTES) + """
+SELECT 'all' AS list, station_id, station_name, latitude, longitude, n_at_site
+FROM (SELECT *, count(*) OVER (PARTITION BY latitude, longitude) AS n_at_site FROM kept) WHERE n_at_site > 1
+UNION ALL
+SELECT 'baseline', station_id, station_name, latitude, longitude, n_at_site
+FROM (SELECT *, count(*) OVER (PARTITION BY latitude, longitude) AS n_at_site
+      FROM (SELECT DISTINCT station_id, station_name, latitude, longitude, wbic, waterbody, station_type_code
+            FROM bfinal)) WHERE n_at_site > 1
+UNION ALL
+SELECT 'nutrient', station_id, station_name, latitude, longitude, n_at_site
+FROM (SELECT *, count(*) OVER (PARTITION BY latitude, longitude) AS n_at_site
+      FROM (SELECT DISTINCT station_id, station_name, latitude, longitude, wbic, waterbody, station_type_code
+            FROM tpf)) WHERE n_at_site > 1"""
+
+BASELINE_VISITS_PER_YEAR = _cte(**BASELINE_CTES) + f"""
+SELECT station_id, year, count(*) AS n FROM data d
+WHERE EXISTS (SELECT 1 FROM valid_fsn v WHERE v.fsn{NL}d.fsn) GROUP BY station_id, year"""
+
+STATION_WATERSHEDS = _cte2({
+    **BASELINE_CTES, **TP_CTES, **TRIM_CTES, **HIER_CTES, **LIST_CTES,
     "vc": S.COUNTY_VERTICES, "ac": S.COUNTY_ATTRS, "vd": S.REGION_VERTICES, "ad": S.DNR_ATTRS,
     **_first_poly("pc", "kept", "vc"), **_first_poly("ph", "kept", "v12"),
     **_first_poly("pd", "kept", "vd"),

@@ -127,7 +127,7 @@ def logger_readings(spark, sf):
 
 def logger_qc(spark, sf):
     raw = spark_sql(spark, sf, S.LOGGER_RAW)
-    return portable(L.reading_qc(raw, LOGGER_YEAR))
+    return portable(L.reading_qc(raw, LOGGER_YEAR).drop("known_years"))
 
 
 def logger_warnings(spark, sf):
@@ -188,22 +188,42 @@ def baseline_station_tally(spark, sf):
     return Q.station_tally(B.baseline_final(_baseline_data(spark, sf)))
 
 
+def _station_parts(spark, sf):
+    """The prioritised station list, the data tables and the stations in use."""
+    master = _stations(spark, sf)
+    data = _baseline_data(spark, sf)
+    bfinal = B.baseline_final(data)
+    tp = materialize(N.tp_final(_tp_data(spark, sf, stations=master)))
+    inv = _inventory(spark, sf, stations=master)
+    hobo = materialize(_hobo_data(spark, sf, inventory=inv))
+    therm = ST.station_attributes(inv).na.drop()
+    stn = ST.station_list(master, ST.station_attributes(bfinal), ST.station_attributes(tp), therm)
+    return materialize(stn), bfinal, tp, hobo, lambda s: ST.stations_in_use(s, data, tp, hobo)
+
+
 def stations_missing_from_list(spark, sf):
-    tally = Q.station_tally(B.baseline_final(_baseline_data(spark, sf)))
-    return Q.missing_from_list(tally, _stations(spark, sf))
+    stn, bfinal, tp, hobo, _ = _station_parts(spark, sf)
+    return Q.missing_from_list(stn, {"baseline": bfinal, "nutrient": tp, "logger": hobo})
 
 
 def duplicate_coordinates(spark, sf):
-    return Q.duplicate_coordinates(_stations(spark, sf))
+    """Stations that share coordinates: in the final list and per source list."""
+    stn, bfinal, tp, _, in_use = _station_parts(spark, sf)
+    return Q.duplicate_coordinates({"all": in_use(stn), "baseline": ST.station_attributes(bfinal),
+                                    "nutrient": ST.station_attributes(tp)})
+
+
+def baseline_visits_per_year(spark, sf):
+    return Q.visits_per_year(B.baseline_final(_baseline_data(spark, sf)))
 
 
 def _combined_samples(spark, sf):
-    prog = spark_sql(spark, sf, S.TP_PROGRAM).select(
-        F.lit("WAV").alias("source"), F.col("fieldwork_seq_no").alias("fsn"),
+    prog = spark_sql(spark, sf, S.SAMPLES_PROGRAM).select(
+        F.lit("Program").alias("source"), F.col("fieldwork_seq_no").alias("fsn"),
         N.as_long("station_id").alias("station_id"),
         F.col("start_date_time").cast("timestamp_ntz").alias("start_date_time"),
         "result_value_no")
-    part = with_flexible_datetime(spark_sql(spark, sf, S.TP_PARTNER), "sample_start_date_time",
+    part = with_flexible_datetime(spark_sql(spark, sf, S.SAMPLES_PARTNER), "sample_start_date_time",
                                   "start_date_time", "mdyHMSp").select(
         F.lit("Partner").alias("source"), F.col("fieldwork_seq_no").alias("fsn"),
         N.as_long("station_id").alias("station_id"), "start_date_time", "result_value_no")
@@ -223,7 +243,7 @@ def unique_partner_samples(spark, sf):
 
 def samples_by_source(spark, sf):
     return Q.samples_by_source(_combined_samples(spark, sf), ["station_id"], "source",
-                               ["WAV", "Partner"])
+                               ["Program", "Partner"])
 
 
 # --- spatial stand-ins ------------------------------------------------------------
@@ -268,14 +288,8 @@ def watershed_hierarchy(spark, sf):
 
 def station_watersheds(spark, sf):
     """Final station list with county / watershed attributes."""
-    master = _stations(spark, sf)
-    data = _baseline_data(spark, sf)
-    bfinal = B.baseline_final(data)
-    tp = N.tp_final(_tp_data(spark, sf, stations=master))
-    inv = _inventory(spark, sf, stations=master)
-    therm = ST.station_attributes(inv).na.drop()
-    stn = ST.station_list(master, ST.station_attributes(bfinal), ST.station_attributes(tp), therm)
-    keep = materialize(ST.stations_in_use(stn, data, tp, _hobo_data(spark, sf, inventory=inv)))
+    stn, _, _, _, in_use = _station_parts(spark, sf)
+    keep = materialize(in_use(stn))
     lyr = _layers(spark, sf)
     huc12 = _hierarchy(spark, sf, lyr)["huc12"].join(lyr["huc12"].select("pid", "polys"), "pid")
     return W.attribute_stations(keep, lyr["counties"], huc12, lyr["dnr_watersheds"])

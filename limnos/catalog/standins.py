@@ -177,6 +177,11 @@ FROM {{lineitem}} JOIN {{orders}} ON l_orderkey = o_orderkey
 WHERE l_linenumber BETWEEN 3 AND 5
 """
 
+# duplicate check between the two sample exports: every line of the source
+# table is in one of them or (line 3) in both
+SAMPLES_PROGRAM = TP_PROGRAM
+SAMPLES_PARTNER = TP_PARTNER.replace("l_linenumber BETWEEN 3 AND 5", "l_linenumber >= 3")
+
 TP_AGENCY = f"""
 SELECT CAST(l_orderkey AS STRING) AS fieldwork_seqno,
        {_mdy_text('o_orderdate', _TP_YEARS)} || ' ' ||

@@ -20,16 +20,12 @@ _PLACEHOLDER = re.compile(r"\{([a-z_]+)\}")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spread(spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet"))
-
-
-def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
-    """Round-robin repartition when a scan yields fewer tasks than the
-    cluster has cores (a single-row-group file, a gzip export); large inputs
-    already split into many tasks and pass through unchanged."""
-    spark = df.sparkSession
-    want = min_partitions or spark.sparkContext.defaultParallelism
-    return df.repartition(want) if df.rdd.getNumPartitions() < want else df
+    """A given table.  The setting ``spark.limnos.scanPartitions``, unset by
+    default, deals every scan over that many tasks; local runs and the bench
+    set it, since their tables are single files that do not split."""
+    df = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    parts = spark.conf.get("spark.limnos.scanPartitions", "")
+    return df.repartition(int(parts)) if parts else df
 
 
 def spark_sql(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from limnos.operators.aggregates import order_key
 from limnos.operators.joins import join_ns
+from limnos.session import materialize
 
 _ORDERABLE_SKIP = ("map<", "variant")
 
@@ -55,11 +56,19 @@ def keep_first(df: DataFrame, keys: list[str], order: list = (), desc: tuple = (
     column as tie-break, so the choice is deterministic.  Runs as a hash
     aggregate (``min_by``), with partial aggregation before the shuffle.
     """
-    ties = [c for c, t in df.dtypes if c not in keys and not t.startswith(_ORDERABLE_SKIP)]
-    ok = order_key(*order, *ties, desc=desc)
-    row = F.struct(*[F.col(c) for c in df.columns])
-    return (df.groupBy(*keys).agg(F.min_by(row, ok).alias("__row"))
-              .select(*[F.col("__row")[c].alias(c) for c in df.columns]))
+    kinds = dict(df.dtypes)
+    ties = [c for c in df.columns if c not in keys and not kinds[c].startswith(_ORDERABLE_SKIP)]
+    plain = [c for c in dict.fromkeys([*order, *ties]) if isinstance(c, str) and c in kinds and c not in desc]
+    if len(plain) < len(dict.fromkeys([*order, *ties])) or len(ties) + len(keys) < len(df.columns):
+        # computed or descending keys, or columns that cannot be compared
+        ok = order_key(*order, *ties, desc=desc)
+        row = F.struct(*[F.col(c) for c in df.columns])
+        return (df.groupBy(*keys).agg(F.min_by(row, ok).alias("__row"))
+                  .select(*[F.col("__row")[c].alias(c) for c in df.columns]))
+    # the row itself, its columns in order of comparison, holds each value once
+    row = F.struct(*[x for c in plain for x in (F.col(c).isNull().alias(f"na_{c}"), F.col(c))])
+    first = df.groupBy(*keys).agg(F.min(row).alias("__row"))
+    return first.select(*[F.col(c) if c in keys and c not in plain else F.col("__row")[c].alias(c) for c in df.columns])
 
 
 def top_n_with_ties(df: DataFrame, col: str, n: int) -> DataFrame:
@@ -84,8 +93,10 @@ def dense_group_id(df: DataFrame, keys: list[str], name: str = "group_id",
     spark = df.sparkSession
     n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     sort_cols = [F.col(k).asc_nulls_last() for k in keys]
-    k = (df.select(*keys).distinct().repartitionByRange(n, *sort_cols)
-           .withColumn("__p", F.spark_partition_id()))
+    # written once: range bounds are sampled per execution, so both uses below
+    # must read one and the same assignment of keys to ranges
+    k = materialize(df.select(*keys).distinct().repartitionByRange(n, *sort_cols)
+                    .withColumn("__p", F.spark_partition_id()))
     sizes = k.groupBy("__p").agg(F.count(F.lit(1)).alias("__c"))
     offsets = sizes.select(
         "__p", (F.sum("__c").over(Window.orderBy("__p")) - F.col("__c")).alias("__off"))

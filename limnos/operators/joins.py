@@ -91,10 +91,3 @@ def lookup(df: DataFrame, table: DataFrame, on) -> DataFrame:
     is bounded by construction.
     """
     return join_ns(df, F.broadcast(table), on, "left")
-
-
-def broadcast_if_small(df: DataFrame, max_rows: int = 1_000_000) -> DataFrame:
-    """Broadcast hint only after checking the row count (one cheap job with a
-    pushed-down limit); otherwise leave the choice to the planner and AQE."""
-    n = df.limit(max_rows + 1).count()
-    return F.broadcast(df) if n <= max_rows else df

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from limnos.functions import (as_integer, as_numeric, calendar_columns,
+from limnos.functions import (as_long, as_numeric, calendar_columns,
                               sentence_case, squish, unit_label)
 from limnos.functions.datetimes import with_flexible_datetime
 from limnos.operators.aggregates import any_present
@@ -68,7 +68,7 @@ def baseline_obs(raw: DataFrame) -> DataFrame:
         **{c: as_numeric(c) for c in OBS_MEASURES},
         **{c: squish(c) for c in TEXT_FIELDS},
         "weather_conditions": F.regexp_replace("weather_conditions", "_", " "),
-        **{c: as_integer(c) for c in ID_FIELDS},
+        **{c: as_long(c) for c in ID_FIELDS},
     })
     # sentence case reads its input several times: give it a staged column
     df = df.withColumns({c: sentence_case(c) for c in [*TEXT_FIELDS, "weather_conditions"]})
@@ -83,7 +83,7 @@ def flow_obs(raw: DataFrame) -> DataFrame:
     df = raw.select(*[F.col(src).alias(dst) for src, dst in FLOW_COLUMNS.items()])
     df = with_flexible_datetime(df, "datetime", "datetime", "ymdHMp")
     df = df.withColumns({
-        **{c: as_integer(c) for c in ID_FIELDS},
+        **{c: as_long(c) for c in ID_FIELDS},
         **{c: as_numeric(c) for c in FLOW_MEASURES},
     })
     df = _with_date(_coords(df))

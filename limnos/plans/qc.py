@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -24,14 +26,25 @@ def station_tally(data: DataFrame) -> DataFrame:
     return data.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
 
 
-def missing_from_list(tally: DataFrame, stations: DataFrame) -> DataFrame:
-    """Rows whose station id is not in the station list."""
-    return anti_join_ns(tally, stations, ["station_id"])
+def visits_per_year(data: DataFrame) -> DataFrame:
+    """Visits per station and year."""
+    return data.groupBy("station_id", "year").agg(F.count(F.lit(1)).alias("n"))
+
+
+def missing_from_list(stations: DataFrame, tables: dict[str, DataFrame]) -> DataFrame:
+    """Station ids of the data tables that the station list lacks:
+    (station_id, source, n rows)."""
+    counts = [df.groupBy("station_id").agg(F.count(F.lit(1)).alias("n"))
+              .select("station_id", F.lit(name).alias("source"), "n") for name, df in tables.items()]
+    return anti_join_ns(reduce(DataFrame.unionByName, counts), stations, ["station_id"])
 
 
-def duplicate_coordinates(stations: DataFrame) -> DataFrame:
-    """Stations sharing exact coordinates (NA pairs group together)."""
-    return duplicated(stations, ["latitude", "longitude"], name="n_at_site")
+def duplicate_coordinates(lists: dict[str, DataFrame]) -> DataFrame:
+    """Stations sharing exact coordinates (NA pairs group together), per list."""
+    cols = ["station_id", "station_name", "latitude", "longitude"]
+    parts = [duplicated(df, ["latitude", "longitude"], name="n_at_site")
+             .select(F.lit(name).alias("list"), *cols, "n_at_site") for name, df in lists.items()]
+    return reduce(DataFrame.unionByName, parts)
 
 
 def combined_samples(*sources: DataFrame, value: str = "result_value_no") -> DataFrame:

@@ -36,7 +36,8 @@ def get_session(master: str = "local[8]", shuffle_partitions: int = 8,
                .config("spark.ui.enabled", "false")
                .config("spark.ui.showConsoleProgress", "false")
                .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
-               .config("spark.driver.memory", os.environ.get("LIMNOS_DRIVER_MEMORY", "16g")))
+               .config("spark.driver.memory", os.environ.get("LIMNOS_DRIVER_MEMORY", "8g"))
+               .config("spark.limnos.scanPartitions", str(shuffle_partitions)))
     for k, v in {**JOB_CONF, **(extra or {})}.items():
         builder = builder.config(k, v)
     spark = builder.getOrCreate()
@@ -62,6 +63,8 @@ def checkpoint_dir(spark: SparkSession) -> str:
         return current
     conf_dir = sc.getConf().get("spark.checkpoint.dir", None)
     if not conf_dir:
+        if not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         conf_dir = tempfile.mkdtemp(prefix="limnos-ckpt-")
     sc.setCheckpointDir(conf_dir)
     return sc.getCheckpointDir() or conf_dir

@@ -18,7 +18,7 @@ from limnos.functions import as_numeric, na_tokens
 # The unit is the first stand-alone F or C in the header's
 # third column (the degree sign may arrive mis-encoded, so it is not used).
 UNIT_PATTERN = r"(?<![A-Za-z])([FC])(?![A-Za-z])"
-ROW_NUMBER_PATTERN = r"^\s*\d+\s*$"
+BANNER_WORD = "Plot"
 SERIAL_PATTERN = r"([^/]+)\.csv$"
 FIELDS = "c1 string, c2 string, c3 string"
 
@@ -27,14 +27,15 @@ def classify_lines(lines: DataFrame, value: str = "value", file: str = "file",
                    serial_pattern: str = SERIAL_PATTERN) -> DataFrame:
     """(file, line) -> (file, logger_sn, raw_datetime, raw_temp, unit).
 
-    Data lines have a row number in the first field; the header is a
-    non-data line with at least three fields; anything else (banners,
-    blank lines) is ignored.
+    A header's third field names a unit and is no number; a banner has fewer
+    than three fields and holds the word of a plot title.  Every other line
+    that is not blank is a data row, whatever stands in its first field.
     """
     f = F.from_csv(F.col(value), FIELDS)
-    df = lines.select(F.col(file).alias("file"), f.alias("f"))
-    is_data = F.coalesce(F.col("f.c1").rlike(ROW_NUMBER_PATTERN), F.lit(False))
-    is_header = ~is_data & F.col("f.c3").isNotNull()
+    df = lines.select(F.col(file).alias("file"), F.col(value).alias("line"), f.alias("f"))
+    is_header = F.coalesce(as_numeric("f.c3").isNull() & F.col("f.c3").rlike(UNIT_PATTERN), F.lit(False))
+    is_banner = F.col("f.c3").isNull() & F.coalesce(F.col("line").contains(BANNER_WORD), F.lit(False))
+    is_data = ~is_header & ~is_banner & (F.trim("line") != "")
     units = (df.where(is_header)
                .groupBy("file")
                .agg(F.max(F.nullif(F.regexp_extract("f.c3", UNIT_PATTERN, 1), F.lit("")))
@@ -55,18 +56,18 @@ def read_logger_folder(spark: SparkSession, path: str, pattern: str = "*.csv",
     try:
         lines = spark.read.text(f"{path.rstrip('/')}/{pattern}")
     except AnalysisException as e:  # no match for the glob
-        raise FileNotFoundError(f"No csv files found in directory '{path}'") from e
+        raise FileNotFoundError(f"{path}: holds no logger file that matches {pattern}") from e
     lines = lines.select("value", F.col("_metadata.file_path").alias("file"))
     return classify_lines(lines, serial_pattern=serial_pattern)
 
 
-def assert_units(raw: DataFrame, sample: int = 20) -> None:
-    """Fail like the reference when a file has no recognisable unit.
+def unit_problems(raw: DataFrame) -> DataFrame:
+    """QC table of the files whose header names no unit: (file, code)."""
+    return raw.where(F.col("unit").isNull()).select("file").distinct().withColumn("code", F.lit("no_unit"))
 
-    One small aggregate; at most ``sample`` file names reach the driver.
-    """
-    bad = raw.where(F.col("unit").isNull()).select("file").distinct().limit(sample).collect()
-    if bad:
-        names = ", ".join(r["file"] for r in bad)
-        raise ValueError("Unable to determine temperature units (need °F or °C in the "
-                         f"temperature column name): {names}")
+
+def assert_units(raw: DataFrame) -> None:
+    """Fail when any file has no recognisable unit (``unit_problems`` lists them)."""
+    n = unit_problems(raw).count()
+    if n:
+        raise ValueError(f"{n} logger file(s) without F or C in the temperature header")

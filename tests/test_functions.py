@@ -126,3 +126,14 @@ def test_json_columns(spark):
     arr = spark.createDataFrame([(1, '[{"d": "a"}, {"d": "b"}]')], "id int, j string")
     rec = T.StructType([T.StructField("d", T.StringType())])
     assert sorted(parse_json_records(arr, "j", rec).collect()) == [(1, "a"), (1, "b")]
+
+
+def test_ids_beyond_32_bits(spark):
+    # visit and station ids are 64-bit: a large one must not become NULL
+    assert one(spark, L.as_long("x"), "3000000000") == 3_000_000_000
+    from limnos.plans import baseline
+    from limnos.catalog import standins as S
+    from limnos.catalog.tables import spark_sql
+    from tests.conftest import SF_SMALL
+    raw = spark_sql(spark, SF_SMALL, S.BASELINE_OBS).withColumn("fieldwork_seq_no", F.lit("3000000001"))
+    assert baseline.baseline_obs(raw).select("fsn").distinct().first().fsn == 3_000_000_001

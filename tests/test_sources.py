@@ -46,6 +46,15 @@ def test_logger_folder(spark, tmp):
                    (20361490.0, None, 70.0, 21.11)]
 
 
+def test_logger_rows_of_any_first_field_are_kept(spark, tmp):
+    # an empty, decimal or grouped row number is still a data row
+    write(f"{tmp}/8.csv", 'Plot Title: 8\n#,"Date Time","Temp, °C (LGR)"\n,2023-06-01 12:00:00,20.5\n'
+          '1.0,2023-06-01 13:00:00,21.5\n"1,000",2023-06-01 14:00:00,22.5\n4,2023-06-01 15:00:00,\n\n')
+    raw = LF.read_logger_folder(spark, tmp)
+    got = sorted(rows(raw, "raw_datetime", "raw_temp", "unit"))
+    assert [g[1] for g in got] == ["20.5", "21.5", "22.5", None] and {g[2] for g in got} == {"C"}
+
+
 def test_logger_folder_errors(spark, tmp):
     with pytest.raises(FileNotFoundError):
         LF.read_logger_folder(spark, tmp)
