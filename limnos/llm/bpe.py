@@ -26,25 +26,73 @@ import hashlib
 import os
 import re
 import unicodedata
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from limnos.llm.vectors import _INVERSE, _PRIME, _power, mix, text_buffer
+
 LEAF = 32_768           # code points a piece has at most
 WINDOW = 64             # first window on either side of a join
-CACHE = 400_000         # distinct chunks a worker remembers
-BATCH_CHARS = 4 << 20
+CACHE = 2_000_000       # distinct chunks a worker remembers
+BATCH_CHARS = 2 << 20
 
 # Chunk rules: text is cut where the tokenizer always cuts.
 #   words: at every blank or line break (the tokenizer drops white space)
 #   bytes: before a single blank or line break between two other characters
-_BYTES = re.compile(r"(?:\A\s+|[ \n])?\S+(?:(?:\s{2,}|[^\S \n])\S+)*(?:\s+\Z)?|\A\s+\Z")
+RULES = ("words", "bytes")
+LONG_TEXT = 1 << 20     # code points beyond which a text is cut before it is hashed
+_CUT = re.compile(r"\S[ \n](?=\S)")
+
+_rng = np.random.default_rng(314159)
+_CODE = _rng.integers(1, 1 << 63, 256, dtype=np.uint64)
+_ASCII_SPACE = np.zeros(256, bool)
+_ASCII_SPACE[[0x20, *range(0x09, 0x0E), *range(0x1C, 0x20)]] = True
+# White space characters beyond ASCII.
+_WIDE_SPACE = "\u0085\u00a0\u1680\u180e" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
+
+
+def _space(b: np.ndarray) -> np.ndarray:
+    """Which bytes belong to white space."""
+    space = _ASCII_SPACE[b]
+    for lead in (0xC2, 0xE1, 0xE2, 0xE3):
+        if (b == lead).any():
+            for ch in _WIDE_SPACE:
+                raw = ch.encode()
+                if raw[0] == lead:
+                    at = np.flatnonzero(b[:len(b) - len(raw) + 1] == lead)
+                    for k in range(1, len(raw)):
+                        at = at[b[at + k] == raw[k]]
+                    for k in range(len(raw)):
+                        space[at + k] = True
+    return space
+
+
+def chunk_spans(b: np.ndarray, offsets: np.ndarray, rule: str) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends (bytes) of the chunks of texts stored back to back."""
+    first = np.zeros(len(b) + 1, bool)
+    first[offsets] = True                           # also the end of the last text
+    separator = (b == 0x20) | (b == 0x0A)
+    if rule == "words":
+        inside = ~separator
+        begin = inside.copy()
+        begin[1:] &= separator[:-1] | first[1:-1]
+        end = inside
+        end[:-1] &= separator[1:] | first[1:-1]
+        return np.flatnonzero(begin), np.flatnonzero(end) + 1
+    solid = ~_space(b)
+    begin = first[:-1].copy()
+    begin[1:-1] |= separator[1:-1] & solid[:-2] & solid[2:] & ~first[1:-2] & ~first[2:-1]
+    starts = np.flatnonzero(begin)
+    return starts, np.append(starts[1:], len(b))
 
 
 class Encoder:
-    """Library tokenizer with a cache of distinct chunks."""
+    """Library tokenizer with a cache of distinct chunks, keyed by a 64-bit
+    hash of bytes and length."""
 
     def __init__(self, path: str, rule: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -53,48 +101,120 @@ class Encoder:
         self.library.no_truncation()
         self.library.no_padding()
         self.rule = rule
+        self.sizes = self._token_sizes()
         self._reset()
 
+    def _token_sizes(self) -> np.ndarray:
+        """Bytes of (normalised) text that each token id stands for: a byte-level
+        vocabulary writes one character per byte."""
+        added = self.library.get_added_tokens_decoder()
+        sizes = np.zeros(self.library.get_vocab_size(with_added_tokens=True) + 1, np.int64)
+        for token, i in self.library.get_vocab(with_added_tokens=True).items():
+            sizes[i] = len(token.encode()) if i in added else len(token.removesuffix("</w>"))
+        return sizes
+
     def _reset(self):
-        self.index: dict[str, int] = {}
+        self.keys = np.zeros(0, np.uint64)          # sorted hashes of known chunks
+        self.slot = np.zeros(0, np.int64)           # and their place in the store
         self.flat = np.zeros(1 << 16, np.uint32)
-        self.at = np.zeros(1 << 14, np.int64)       # start of chunk i; at[i + 1] its end
-
-    def chunks(self, text: str) -> list[str]:
-        if self.rule == "words":
-            return text.replace("\n", " ").split(" ")
-        found = _BYTES.findall(text)
-        return found if sum(map(len, found)) == len(text) else [text]
+        self.at = np.zeros(1, np.int64)             # start of chunk i; at[i + 1] its end
+        self.used = 0
 
     def plain(self, text: str) -> list[int]:
         return self.library.encode(text, add_special_tokens=False).ids
 
-    def _learn(self, fresh: list[str]) -> None:
-        n, used = len(self.index), int(self.at[len(self.index)])
-        encoded = [e.ids for e in self.library.encode_batch_fast(fresh, add_special_tokens=False)]
+    def _apart(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        encoded = [e.ids for e in self.library.encode_batch_fast(chunks, add_special_tokens=False)]
         lengths = np.fromiter(map(len, encoded), np.int64, len(encoded))
-        while len(self.at) < n + len(fresh) + 1:
-            self.at = np.concatenate([self.at, np.zeros_like(self.at)])
-        self.at[n + 1:n + 1 + len(fresh)] = used + np.cumsum(lengths)
-        end = int(self.at[n + len(fresh)])
+        return np.fromiter(chain.from_iterable(encoded), np.uint32, int(lengths.sum())), lengths
+
+    def _together(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids and token counts of chunks, encoded as one text: between chunks
+        the tokenizer cuts anyway, and the byte sizes of the tokens tell where.
+        Chunks that do not line up are encoded apart."""
+        between = " " if self.rule == "words" else ""
+        text = between.join(chunks)
+        plain = self.library.normalizer.normalize_str(text).split(" ") if between else chunks
+        ids = np.array(self.plain(text), np.uint32)
+        ends = np.cumsum([len(p.encode()) for p in plain])
+        reach = np.cumsum(self.sizes[ids])
+        stop = np.searchsorted(reach, ends)
+        if len(plain) != len(chunks) or not len(ids) or stop[-1] != len(ids) - 1 or not (reach[stop] == ends).all():
+            return self._apart(chunks)
+        return ids, np.diff(stop, prepend=-1)
+
+    def _learn(self, fresh: list[str], keys: np.ndarray) -> None:
+        whole = np.fromiter(map(self._plain_chunk, fresh), bool, len(fresh))
+        order = np.concatenate([np.flatnonzero(whole), np.flatnonzero(~whole)])
+        parts = []
+        for a in range(0, int(whole.sum()), 256):
+            parts.append(self._together([fresh[k] for k in order[a:min(a + 256, int(whole.sum()))].tolist()]))
+        if not whole.all():
+            parts.append(self._apart([fresh[k] for k in order[int(whole.sum()):].tolist()]))
+        encoded, lengths = (np.concatenate(x) for x in zip(*parts))
+        keys = keys[order]
+        up = np.argsort(keys)
+        slots = (len(self.at) - 1 + np.arange(len(fresh)))[up]
+        keys = keys[up]
+        self.at = np.concatenate([self.at, self.at[-1] + np.cumsum(lengths)])
+        end = int(self.at[-1])
         while len(self.flat) < end:
             self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
-        self.flat[used:end] = np.fromiter((i for ids in encoded for i in ids), np.uint32, end - used)
-        self.index.update(zip(fresh, range(n, n + len(fresh))))
+        self.flat[self.used:end] = encoded
+        self.used = end
+        where = np.searchsorted(self.keys, keys)
+        self.keys, self.slot = np.insert(self.keys, where, keys), np.insert(self.slot, where, slots)
+
+    def _plain_chunk(self, chunk: str) -> bool:
+        """Whether a chunk may stand among others in one text."""
+        solid = len(chunk) > 1 and not chunk[1].isspace() and not chunk[-1].isspace()
+        return solid and (chunk[0] in " \n" if self.rule == "bytes" else not chunk[0].isspace())
+
+    def _cut(self, text: str) -> list[str]:
+        """A very long text in parts that encode apart."""
+        parts = []
+        while len(text) > LONG_TEXT:
+            found = None
+            for found in _CUT.finditer(text, 0, LONG_TEXT):
+                pass
+            found = found or _CUT.search(text, LONG_TEXT - 2)
+            if found is None:
+                break
+            parts.append(text[:found.start() + 1])
+            text = text[found.start() + 1:]
+        return [*parts, text]
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
-        if len(self.index) > CACHE:
+        if any(len(t) > LONG_TEXT for t in texts):
+            return [np.concatenate([self._encode([p])[0] for p in self._cut(t)]) for t in texts]
+        return self._encode(texts)
+
+    def _encode(self, texts: list[str]) -> list[np.ndarray]:
+        if len(self.keys) > CACHE:
             self._reset()
-        pieces = [self.chunks(t) for t in texts]
-        index = self.index
-        fresh = list(dict.fromkeys(c for p in pieces for c in p if c not in index))
-        if fresh:
-            self._learn(fresh)
-        where = np.fromiter((index[c] for p in pieces for c in p), np.int64, sum(map(len, pieces)))
-        starts, lengths = self.at[where], self.at[where + 1] - self.at[where]
-        ends = np.cumsum(lengths)
-        ids = self.flat[np.repeat(starts - (ends - lengths), lengths) + np.arange(int(ends[-1]) if len(ends) else 0)]
-        bounds = np.concatenate([[0], ends])[np.cumsum([0, *map(len, pieces)])]
+        b, offsets = text_buffer(pa.array(texts, pa.large_string()))
+        b, offsets = b[offsets[0]:offsets[-1]], offsets - offsets[0]
+        starts, ends = chunk_spans(b, offsets, self.rule) if len(b) else (offsets[:0], offsets[:0])
+        sums = np.empty(len(b) + 1, np.uint64)
+        sums[0] = 0
+        np.cumsum(_CODE[b] * _power(_PRIME, len(b)), out=sums[1:])
+        keys = (sums[ends] - sums[starts]) * _power(_INVERSE, len(b) + 1)[starts]
+        keys = mix(keys + (ends - starts).astype(np.uint64) * _CODE[7])
+        distinct, one, inverse = np.unique(keys, return_index=True, return_inverse=True)
+        where = np.searchsorted(self.keys, distinct)
+        known = np.zeros(len(distinct), bool)
+        inner = where < len(self.keys)
+        known[inner] = self.keys[where[inner]] == distinct[inner]
+        if not known.all():
+            raw, new = b.tobytes(), one[~known]
+            self._learn([raw[a:z].decode() for a, z in zip(starts[new].tolist(), ends[new].tolist())], distinct[~known])
+            where = np.searchsorted(self.keys, distinct)
+        slot = self.slot[where][inverse] if len(distinct) else np.zeros(0, np.int64)
+        begin = self.at[slot]
+        lengths = self.at[slot + 1] - begin
+        stop = np.cumsum(lengths)
+        ids = self.flat[np.repeat(begin - (stop - lengths), lengths) + np.arange(int(stop[-1]) if len(stop) else 0)]
+        bounds = np.concatenate([[0], stop])[np.searchsorted(starts, offsets)]
         return [ids[a:z] for a, z in zip(bounds[:-1].tolist(), bounds[1:].tolist())]
 
     def join(self, left: str, a: np.ndarray, right: str, b: np.ndarray) -> np.ndarray:

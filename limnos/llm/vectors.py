@@ -35,10 +35,10 @@ def mix(h: np.ndarray) -> np.ndarray:
 def _power(base: U, n: int) -> np.ndarray:
     have = _powers.get(base)
     if have is None or len(have) < n:
-        p = np.full(max(n, BLOCK + 8), base, np.uint64)
+        p = np.full(max(n, BLOCK) + 8, base, np.uint64)
         p[0] = 1
         have = np.multiply.accumulate(p)
-        if n <= BLOCK + 8:
+        if n <= 4 * BLOCK:
             _powers[base] = have
     return have[:n]
 
