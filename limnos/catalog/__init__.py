@@ -48,4 +48,11 @@ REGISTRY = {
     "event_props": (Q.event_props, O.EVENT_PROPS),
     "logger_export_roundtrip": (Q.logger_export_roundtrip, O.LOGGER_EXPORT_ROUNDTRIP),
     "weather_files_roundtrip": (Q.weather_files_roundtrip, O.WEATHER_FILES_ROUNDTRIP),
+    "stations_table_roundtrip": (Q.stations_table_roundtrip, O.STATION_MASTER),
+    "stations_export_targets": (Q.stations_export_targets, O.STATIONS_EXPORT_TARGETS),
+    "tally_tee": (Q.tally_tee, O.BASELINE_VISITS_PER_YEAR),
+    "weather_long": (Q.weather_long, O.WEATHER_LONG),
+    "tp_scale": (Q.tp_scale, O.TP_SCALE),
+    "landcover_axis_range": (Q.landcover_axis_range, O.LANDCOVER_AXIS_RANGE),
+    "visits_excel_text": (Q.visits_excel_text, O.VISITS_EXCEL_TEXT),
 }

@@ -755,3 +755,25 @@ LOGGER_EXPORT_ROUNDTRIP = (_cte(**TRIM_CTES) + "\nSELECT "
 WEATHER_FILES_ROUNDTRIP = _cte(weather=S.WEATHER) + """
 SELECT logger_sn, CAST(date AS VARCHAR) AS date, min_temp, round(avg_temp, 6) AS avg_temp,
        max_temp FROM weather"""
+
+
+# --- further sinks, reshaping and derived values ----------------------------------------
+
+STATIONS_EXPORT_TARGETS = _cte(**STATION_CTES) + """
+SELECT CAST(k AS INTEGER) AS "copy", CAST(station_id AS BIGINT) AS station_id, station_name
+FROM stations CROSS JOIN range(4) r(k)"""
+
+WEATHER_LONG = _cte(w=S.WEATHER) + """
+SELECT logger_sn, CAST(date AS VARCHAR) AS date, 'min_temp' AS measure, round(CAST(min_temp AS DOUBLE), 6) AS value FROM w
+UNION ALL SELECT logger_sn, CAST(date AS VARCHAR), 'avg_temp', round(CAST(avg_temp AS DOUBLE), 6) FROM w
+UNION ALL SELECT logger_sn, CAST(date AS VARCHAR), 'max_temp', round(CAST(max_temp AS DOUBLE), 6) FROM w"""
+
+TP_SCALE = _cte(**TP_CTES) + """
+SELECT fsn, station_id, tp, round(ln(1 + (tp * 1000 + 1)), 6) AS tp_scale FROM tp_data WHERE tp < 5"""
+
+LANDCOVER_AXIS_RANGE = f"""
+SELECT round(min(diff) * 1.25, 6) AS lo, round(max(diff) * 1.25, 6) AS hi FROM ({LANDCOVER_VS_STATE})"""
+
+VISITS_EXCEL_TEXT = _cte(**BASELINE_CTES) + """
+SELECT station_id, CAST(date AS VARCHAR) AS date, count(*) AS n, count(water_temp) AS n_water_temp
+FROM obs GROUP BY station_id, date"""

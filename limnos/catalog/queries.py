@@ -23,6 +23,7 @@ from limnos.plans import nutrient as N
 from limnos.plans import qc as Q
 from limnos.plans import stations as ST
 from limnos.operators.joins import join_ns
+from limnos.operators.sets import unpivot
 from limnos.session import materialize
 
 LOGGER_YEAR = 2024
@@ -446,3 +447,58 @@ def weather_files_roundtrip(spark, sf):
     return back.select(F.col("key").cast("double").alias("logger_sn"),
                        F.col("date").cast("string").alias("date"),
                        "min_temp", F.round("avg_temp", 6).alias("avg_temp"), "max_temp")
+
+
+# --- further sinks, reshaping and derived values ------------------------------------
+
+def stations_table_roundtrip(spark, sf):
+    """The typed table sink, read back."""
+    return spark.read.parquet(SK.write_table(_stations(spark, sf), SK.scratch_path(spark, "stations-table")))
+
+
+def stations_export_targets(spark, sf):
+    """One table to two folders in two formats; rows of every copy."""
+    base = SK.scratch_path(spark, "targets")
+    paths = SK.export_targets(_stations(spark, sf), [f"{base}/a", f"{base}/b"], "stations", year_col=None)
+    parts = []
+    for k, p in enumerate(paths):
+        df = spark.read.parquet(p) if p.endswith(".parquet") else FI.read_delimited(spark, p)
+        parts.append(df.select(F.lit(k).alias("copy"), F.col("station_id").cast("bigint").alias("station_id"), "station_name"))
+    out = parts[0]
+    for df in parts[1:]:
+        out = out.unionByName(df)
+    return out
+
+
+def tally_tee(spark, sf):
+    """A QC table written in mid-pipeline and used on."""
+    return SK.tee(Q.visits_per_year(B.baseline_final(_baseline_data(spark, sf))), SK.scratch_path(spark, "tally"))
+
+
+def weather_long(spark, sf):
+    """Daily measures as one row per (day, measure)."""
+    w = spark_sql(spark, sf, S.WEATHER)
+    return portable(unpivot(w, ["logger_sn", "date"], ["min_temp", "avg_temp", "max_temp"], "measure", "value"),
+                    round_cols=("value",))
+
+
+def tp_scale(spark, sf):
+    """The colour scale value of each phosphorus sample."""
+    tp = N.tp_map_colour_value(N.tp_final(_tp_data(spark, sf)))
+    return portable(tp.select("fsn", "station_id", "tp", "tp_scale"), round_cols=("tp_scale",))
+
+
+def landcover_axis_range(spark, sf):
+    """Axis range of the differences from the state means."""
+    return portable(LC.diff_axis_range(landcover_vs_state(spark, sf)), round_cols=("lo", "hi"))
+
+
+def visits_excel_text(spark, sf):
+    """The visit export as delimited text with dirty headers and NA tokens,
+    read back by normalised name and run through the visit job."""
+    raw = spark_sql(spark, sf, S.BASELINE_OBS)
+    dirty = raw.toDF(*[c.upper().replace("_", " ") for c in raw.columns])
+    path = SK.write_csv(dirty, SK.scratch_path(spark, "visits"))
+    back = FI.read_delimited(spark, path, multi_line=True)
+    return portable(B.baseline_obs(back).groupBy("station_id", "date").agg(
+        F.count(F.lit(1)).alias("n"), F.count("water_temp").alias("n_water_temp")))

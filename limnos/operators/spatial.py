@@ -285,17 +285,19 @@ def _tri_area(a, b, c) -> Column:
 
 
 def simplify_ring(ring: Column, keep: float) -> Column:
-    """Keep about ``keep`` of a closed ring's vertices: those whose triangle
+    """Keep the share ``keep`` of a closed ring's vertices: those whose triangle
     with their neighbours is largest (one pass, not topology-preserving);
     the closing vertex and at least three distinct vertices are kept."""
     n = F.size(ring)
     inner = F.transform(F.sequence(F.lit(1), F.greatest(n - 2, F.lit(1))),
                         lambda i: _tri_area(ring[i - 1], ring[i], ring[i + 1]))
     want = F.greatest(F.lit(2), F.ceil((n - 2) * keep).cast("int"))
-    ranked = F.sort_array(inner, asc=False)
-    cut = F.element_at(ranked, F.least(want, F.size(ranked)))
-    kept = F.filter(F.sequence(F.lit(0), n - 1), lambda i: (i == 0) | (i == n - 1)
-                    | (F.element_at(inner, F.greatest(i, F.lit(1))) >= cut))
+    # rank by (area rounded past floating-point noise, position): ties are
+    # decided by position and exactly ``want`` vertices stay
+    placed = F.transform(inner, lambda a, i: F.struct(F.round(-a, 12).alias("a"), (i + 1).alias("i")))
+    chosen = F.transform(F.slice(F.sort_array(placed), F.lit(1), F.least(want, F.size(inner))), lambda x: x["i"])
+    kept = F.filter(F.sequence(F.lit(0), n - 1),
+                    lambda i: (i == 0) | (i == n - 1) | F.array_contains(chosen, i))
     return F.when(n <= 4, ring).otherwise(F.transform(kept, lambda i: ring[i]))
 
 

@@ -10,16 +10,17 @@ from limnos.functions import clean_names, na_tokens
 
 
 def read_delimited(spark: SparkSession, path: str, na=("", "NA"), case: str = "snake",
-                   sep: str = ",", encoding: str = "UTF-8") -> DataFrame:
+                   sep: str = ",", encoding: str = "UTF-8", multi_line: bool = False) -> DataFrame:
     """A delimited export as text columns named by its header, names
     normalised, NA tokens -> NULL, values trimmed.
 
     No type inference: every column arrives as text (one pass, no sampling
-    job) and jobs type it explicitly with the lenient casts.  Multi-line
-    quoted fields are supported; plain files split across tasks.
+    job) and jobs type it explicitly with the lenient casts.  Files split
+    across tasks; ``multi_line`` reads fields with line breaks, at the price
+    of one task per file.
     """
     df = (spark.read.option("header", True).option("inferSchema", False)
-          .option("multiLine", True).option("sep", sep).option("encoding", encoding)
+          .option("multiLine", multi_line).option("sep", sep).option("encoding", encoding)
           .option("mode", "PERMISSIVE").csv(path))
     df = clean_names(df, case)
     return df.select(*[na_tokens(c, na).alias(c) for c in df.columns])
