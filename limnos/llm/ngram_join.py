@@ -31,8 +31,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from limnos.llm.common import stored
-from limnos.llm.similarity import (BATCH_KEYS, FRAGMENT_KEYS, PACKED, id_filter, link, pack, packed_batch, passes,
-                                   prefix_keys, shared_ids)
+from limnos.llm.similarity import (BATCH_KEYS, FRAGMENT_KEYS, PACKED, id_filter, link, measured, pack, packed_batch,
+                                   passes, prefix_keys, set_minus, set_postings, shared_ids)
 from limnos.llm.vectors import shingles, text_buffer, word_hashes
 
 WORDS = 5
@@ -114,10 +114,10 @@ def candidate_classes(docs: DataFrame, classes: DataFrame, size: int = WORDS) ->
     """id, n of the classes that may have a link."""
     sizes = classes.where("cls is not null").groupBy(F.col("cls").alias("id")) \
         .agg(F.max("n").alias("n"), F.max("own").alias("own"))
-    total = classes.agg(F.sum("own")).first()[0] or 0
+    total, rows = classes.agg(F.coalesce(F.sum("own"), F.lit(0)), F.count("*")).first()
     fragments = max(1, -(-total // FRAGMENT_KEYS))
     packed = docs.select("text").mapInArrow(_packed(fragments, size), PACKED)
-    shared = shared_ids(packed)
+    shared = shared_ids(packed, rows)
     need = F.col("own") - F.floor(F.col("n") * (100 - PERCENT) / 100)
     return sizes.join(shared, "id", "left").where(F.coalesce("shared", F.lit(0)) >= need).select("id", "n")
 
@@ -155,7 +155,8 @@ def ngram_groups(docs: DataFrame, size: int = WORDS, percent: int = PERCENT) ->
     wanted = stored(candidate_classes(docs, classes, size), "wanted")
     sets = stored(class_sets(docs, wanted, size), "sets")
     keys = stored(prefix_keys(sets, percent), "prefix")
-    comps = link(keys, sets, percent)
+    comps = link(keys, lambda pairs: measured(pairs, sets), lambda rows: set_minus(rows, sets),
+                 lambda grams: set_postings(grams, sets), percent)
 
     members = classes.where("cls is not null").groupBy("cls").agg(F.min("doc_id").alias("first"))
     placed = members.join(comps.withColumnRenamed("id", "cls"), "cls", "left") \
