@@ -26,9 +26,3 @@ def pick_keys(df: DataFrame, key: str, n: int, seed: int = 42) -> DataFrame:
     keys = df.select(key).where(F.col(key).isNotNull()).distinct()
     return (keys.withColumn("__h", F.xxhash64(F.col(key), F.lit(seed)))
                 .orderBy("__h", key).limit(n).drop("__h"))
-
-
-def sample_groups(df: DataFrame, key: str, n: int, seed: int = 42) -> DataFrame:
-    """Rows of ``n`` repeatably chosen keys (a sampling operator: the limit is
-    the feature)."""
-    return semi_join_ns(df, pick_keys(df, key, n, seed), [key])

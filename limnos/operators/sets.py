@@ -72,10 +72,3 @@ def pivot_counts(df: DataFrame, key: list[str], names_from: str, values: list[st
     return (df.groupBy(*key).pivot(names_from, values)
               .agg(F.count(F.lit(1)))
               .select(*key, *[F.when(F.col(v) > 0, F.col(v)).alias(v) for v in values]))
-
-
-def check_schema(df: DataFrame, schema: T.StructType) -> None:
-    have = dict(df.dtypes)
-    for f in schema.fields:
-        if f.name not in have:
-            raise ValueError(f"missing column {f.name}")

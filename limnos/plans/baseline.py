@@ -37,6 +37,8 @@ FLOW_COLUMNS = {
     "calculated_corrected_streamflow_cfs": "corrected_streamflow",
     "flow_method_used": "flow_method_used",
 }
+# Measures, text and key columns of the visit exports, their units
+# and the first day taken.
 OBS_MEASURES = ["air_temp", "water_temp", "d_o", "d_o_percent_saturation", "ph", "specific_cond",
                 "transparency", "transparency_tube_length"]
 FLOW_MEASURES = ["stream_width", "average_stream_depth", "average_surface_velocity",

@@ -42,23 +42,6 @@ def class_table(spark) -> DataFrame:
         "class int, class_name string, hex string, class_order int")
 
 
-def class_shares(cells: DataFrame, layer: DataFrame, poly_id: str, x0: float, y0: float,
-                 cell: float, k: int = 2) -> DataFrame:
-    """G5 + A9: area per (polygon, class) weighted by the covered share of
-    each cell, with the polygon total and the share of it.
-
-    Cells and polygon coverage meet on the grid index (equi-join); the
-    totals are a second aggregate on polygon joined back, not a window."""
-    frac = coverage_fractions(layer, poly_id, x0, y0, cell, k)
-    c = cell_index(cells, "x", "y", x0, y0, cell)
-    weighted = c.join(frac, ["i", "j"]).select(poly_id, "class",
-                                                (F.col("cell_area") * F.col("frac")).alias("a"))
-    area = weighted.groupBy(poly_id, "class").agg(F.sum("a").alias("area"))
-    total = area.groupBy(poly_id).agg(F.sum("area").alias("total_area"))
-    out = area.join(total, poly_id)
-    return out.withColumn("pct_area", F.col("area") / F.col("total_area"))
-
-
 def class_shares_levels(cells: DataFrame, layers: dict, x0: float, y0: float, cell: float,
                         k: int = 2) -> DataFrame:
     """G5 + A9 for several watershed levels in one pass over the cells.
@@ -88,19 +71,6 @@ def landscape_from_shares(attrs: DataFrame, shares: DataFrame) -> DataFrame:
                          .otherwise(F.col("class")))
 
 
-def landscape(levels: list[tuple[int, DataFrame, DataFrame]]) -> DataFrame:
-    """Per level (level, attributes(pid, huc, huc_name), shares(pid, ...)),
-    attributes left-joined to shares, stacked; class 0 becomes 11 afterwards
-    (not re-aggregated, so a watershed may hold two class-11 rows)."""
-    parts = []
-    for level, attrs, shares in levels:
-        a = attrs.select(F.lit(level).alias("huc_level"), "pid", "huc", "huc_name")
-        parts.append(join_ns(a, shares, ["pid"], "left").drop("pid"))
-    df = bind_rows(*parts)
-    return df.withColumn("class", F.when(F.col("class") == NO_DATA_CLASS, F.lit(NO_DATA_AS))
-                         .otherwise(F.col("class")))
-
-
 def area_summary(landscape_df: DataFrame) -> DataFrame:
     """Mean watershed area per level (mean over watersheds of their
     total), count, in km² and mi².  Means are NA-strict, as R's ``mean``."""
@@ -149,16 +119,12 @@ def watershed_vs_state(landscape_df: DataFrame, classes: DataFrame, level: int =
         "label_pos": F.when(F.col("diff") == 0, F.lit(0.0))
                       .otherwise(-1 * F.signum("diff") * 0.00001),
     })
+    # The wording of the chart's hover text
     return out.withColumn("hovertext", F.concat(
         F.lit("Current watershed: "), percent("pct_area2"), F.lit("<br>State average: "),
         percent("pct_area"), F.lit("<br>Difference: "), F.col("label")))
 
 
-def one_watershed(landscape_df: DataFrame, classes: DataFrame, huc: str) -> DataFrame:
-    """The class table of one named watershed (legend joined)."""
-    return lookup(landscape_df.where(F.col("huc") == huc), classes, ["class"])
-
-
 def diff_axis_range(diffs: DataFrame) -> DataFrame:
     """Chart axis range, 1.25 x the smallest and largest difference."""
     return diffs.agg((F.min("diff") * 1.25).alias("lo"), (F.max("diff") * 1.25).alias("hi"))

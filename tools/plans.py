@@ -1,5 +1,5 @@
-"""Write the formatted physical plan of every registered query to
-docs/plans/<name>.txt and a node summary to docs/plans/SUMMARY.md.
+"""Write a node summary of every core query's physical plan to
+docs/plans/SUMMARY.md.
 
     python tools/plans.py [sf_dir]
 
@@ -18,7 +18,7 @@ import sys
 ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
 sys.path.insert(0, ROOT)
 
-import __spark_entry__ as entry  # noqa: E402
+from limnos.catalog import REGISTRY  # noqa: E402
 from limnos.session import get_session  # noqa: E402
 
 NODES = ["Scan parquet", "Exchange", "BroadcastExchange", "BroadcastHashJoin", "SortMergeJoin",
@@ -34,14 +34,12 @@ def main() -> None:
     os.makedirs(out_dir, exist_ok=True)
     spark = get_session("local[4]", 8)
     rows, bad = [], []
-    for name, fn in entry.queries().items():
+    for name, (fn, _) in REGISTRY.items():
         df = fn(spark, sf_dir)
         buf = io.StringIO()
         with contextlib.redirect_stdout(buf):
             df.explain("formatted")
         text = buf.getvalue()
-        with open(os.path.join(out_dir, f"{name}.txt"), "w") as fh:
-            fh.write(text)
         head = text.split("\n\n(1)")[0]
         counts = {n: len(re.findall(rf"\b{re.escape(n)}\b", head)) for n in NODES}
         pushed = "PushedFilters: [" in text and "PushedFilters: []" not in text
