@@ -9,8 +9,8 @@ shingle sets and those of Jaccard similarity 0.8 or more are linked; union-find
 gives the components.  Of every component the first line (smallest doc_id,
 then text hash, then position) stays, the others go.
 
-Band keys travel packed and only to find the items that share one; shingle
-sets are built for those items alone.  A common line is one item from the
+Band keys travel packed and only to find the items that share one; the lines
+themselves are gathered for those items alone.  A common line is one item from the
 first batch on, its occurrences are reduced by partial aggregation, and the
 kept line is joined back to them (a skewed side that can be split).
 
@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from limnos.llm.common import stored
-from limnos.llm.similarity import (BATCH_KEYS, FRAGMENT_KEYS, PACKED, id_filter, link, pack, packed_batch, passes,
+from limnos.llm.similarity import (FRAGMENT_KEYS, PACKED, bitmaps, id_filter, link, pack, packed_batch, passes,
                                    shared_ids)
 from limnos.llm.vectors import _Q, BLOCK, U, char_shingles, mix
 
@@ -85,40 +85,39 @@ def signatures(lines: list[str]) -> np.ndarray:
 
 
 def band_keys(sig: np.ndarray) -> np.ndarray:
-    parts = (sig.reshape(len(sig), BANDS, ROWS) * _Q[1:1 + ROWS]).sum(axis=2)
+    # a band takes bins far apart: neighbours may have been filled from one value
+    parts = (sig.reshape(len(sig), ROWS, BANDS) * _Q[1:1 + ROWS, None]).sum(axis=1)
     return mix(parts + np.arange(1, BANDS + 1, dtype=np.uint64) * _Q[51])
 
 
-def _lines(batches, want):
-    """Lists of (id, line) of distinct lines, about FLUSH_CHARS at a time."""
+def _lines(batches, table: np.ndarray | None = None):
+    """Dicts of id to line of distinct lines, about FLUSH_CHARS at a time; with
+    a filter ``table``, of the lines that pass it."""
     seen: dict[int, str] = {}
     total = 0
     for batch in batches:
-        for text in batch.column("text").to_pylist():
-            for line in (text or "").split("\n"):
-                if not line.strip(BLANK):
-                    continue
-                i = line_id(line)
-                if i not in seen and want(i):
-                    seen[i] = line
-                    total += len(line)
-            if total >= FLUSH_CHARS or len(seen) >= 60_000:
-                yield seen
-                seen, total = {}, 0
+        lines = [x for text in batch.column("text").to_pylist() if text for x in text.split("\n") if x.strip(BLANK)]
+        ids = [line_id(x) for x in lines]
+        if table is not None and ids:
+            good = np.flatnonzero(passes(table, np.array(ids, np.int64))).tolist()
+            ids, lines = [ids[k] for k in good], [lines[k] for k in good]
+        for i, line in zip(ids, lines):
+            if i not in seen:
+                seen[i] = line
+                total += len(line)
+                if total >= FLUSH_CHARS or len(seen) >= 60_000:
+                    yield seen
+                    seen, total = {}, 0
     if seen:
         yield seen
 
 
 def _packed(fragments: int):
     def run(batches):
-        for found in _lines(batches, lambda i: True):
+        for found in _lines(batches):
             ids, lines = np.array(list(found), np.int64), list(found.values())
-            step = BATCH_KEYS // BANDS
-            for at in range(0, len(ids), step):
-                keys = band_keys(signatures(lines[at:at + step]))
-                some = ids[at:at + step]
-                yield packed_batch(pack(some, np.full(len(some), EMPTY), np.full(len(some), BANDS),
-                                        keys.reshape(-1), fragments))
+            keys = band_keys(signatures(lines))
+            yield packed_batch(pack(ids, np.full(len(ids), EMPTY), np.full(len(ids), BANDS), keys.reshape(-1), fragments))
     return run
 
 
@@ -130,34 +129,64 @@ def line_occurrences(docs: DataFrame) -> DataFrame:
         .select("doc_id", "th", "pos", F.xxhash64("line").alias("id"))
 
 
-def line_components(docs: DataFrame, n_lines: int) -> DataFrame:
-    """id, comp of every line that has a similar but different line."""
+def _known(cache: dict, line: str) -> np.ndarray:
+    if line not in cache:
+        if len(cache) >= 5_000:
+            cache.clear()
+        cache[line] = char_shingles(line, CHARS)
+    return cache[line]
+
+
+def _overlap(batches):
+    """a, na, b, nb, lead with the number of shingles that lines ta and tb share."""
+    cache: dict[str, np.ndarray] = {}
+    for batch in batches:
+        common = [len(np.intersect1d(_known(cache, x), _known(cache, y), assume_unique=True))
+                  for x, y in zip(batch.column("ta").to_pylist(), batch.column("tb").to_pylist())]
+        kept = batch.drop_columns(["ta", "tb"])
+        yield pa.RecordBatch.from_arrays([*kept.columns, pa.array(common, pa.int64())], names=[*kept.schema.names, "common"])
+
+
+def line_components(docs: DataFrame, lines: DataFrame) -> DataFrame:
+    """id, comp of every line that has a similar but different line.
+
+    ``lines``: the occurrences; the most frequent line of a band leads its star.
+    """
+    n_lines = lines.count()
     fragments = max(1, -(-n_lines * BANDS // FRAGMENT_KEYS))
-    shared = shared_ids(docs.select("text").mapInArrow(_packed(fragments), PACKED)).select("id")
-    wanted = stored(shared, "lines")
-    bits = docs.sparkSession.sparkContext.broadcast(id_filter(wanted))
+    shared = shared_ids(docs.select("text").mapInArrow(_packed(fragments), PACKED), n_lines).select("id")
+    wanted = stored(lines.join(shared, "id").groupBy("id").agg((-F.count("*")).alias("rank")), "lines")
+    bits = docs.sparkSession.sparkContext.broadcast(id_filter(wanted.select("id")))
 
     def build(batches):
-        table = np.frombuffer(bits.value, np.int64)
-        for found in _lines(batches, lambda i: bool(passes(table, np.array([i], np.int64))[0])):
+        for found in _lines(batches, np.frombuffer(bits.value, np.int64)):
             lines = list(found.values())
             sets = [char_shingles(x, CHARS) for x in lines]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(list(found), pa.int64()), pa.array(list(map(len, sets)), pa.int64()),
-                 pa.array([s.tobytes() for s in sets], pa.binary()),
-                 pa.array(band_keys(signatures(lines)).view(np.int64).tolist(), pa.list_(pa.int64()))],
-                names=["id", "n", "part", "bands"])
-    built = docs.select("text").mapInArrow(build, "id bigint, n bigint, part binary, bands array<bigint>")
-    sets = stored(wanted.join(built, "id").groupBy("id").agg(
-        F.first("n").alias("n"), F.first("part").alias("part"), F.first("bands").alias("bands")), "sets")
-    return link(sets.select(F.explode("bands").alias("key"), "id", "n"), sets, PERCENT)
+                [pa.array(list(found), pa.int64()), pa.array(list(map(len, sets)), pa.int64()), pa.array(lines, pa.string()),
+                 pa.array(band_keys(signatures(lines)).view(np.int64).tolist(), pa.list_(pa.int64())),
+                 pa.array(bitmaps(sets), pa.list_(pa.int64()))], names=["id", "n", "line", "bands", "bits"])
+    built = docs.select("text").mapInArrow(
+        build, "id bigint, n bigint, line string, bands array<bigint>, bits array<bigint>")
+    items = stored(built.join(wanted, "id").groupBy("id").agg(
+        F.first("n").alias("n"), F.first("line").alias("line"), F.first("bands").alias("bands"),
+        F.first("bits").alias("bits"), F.first("rank").alias("rank")), "items")
+    keys = stored(items.select(F.explode("bands").alias("key"), "id", "n", F.col("n").alias("m"), "rank").distinct(), "bands")
+    texts = items.select("id", "line")
+
+    def measure(pairs):
+        both = pairs.join(texts.select(F.col("id").alias("a"), F.col("line").alias("ta")), "a") \
+            .join(texts.select(F.col("id").alias("b"), F.col("line").alias("tb")), "b").select(*pairs.columns, "ta", "tb")
+        fields = ", ".join(f"{c} bigint" for c in [*pairs.columns, "common"])
+        return both.sortWithinPartitions("a").mapInArrow(_overlap, fields)
+    return link(keys, measure, percent=PERCENT, bits=items.select("id", "bits"))
 
 
 def removed_lines(docs: DataFrame) -> DataFrame:
     """doc_id, th, removed: positions of the lines that go, for documents that
     lose any."""
     lines = stored(line_occurrences(docs), "occurrences")
-    comps = line_components(docs, lines.count())
+    comps = line_components(docs, lines)
     placed = lines.join(comps, "id", "left").withColumn("g", F.coalesce("comp", "id"))
     where = F.struct("doc_id", "th", "pos")
     kept = placed.groupBy("g").agg(F.min(where).alias("kept"), F.count("*").alias("c")).where("c > 1").drop("c")
