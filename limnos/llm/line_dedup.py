@@ -147,15 +147,16 @@ def _overlap(batches):
         yield pa.RecordBatch.from_arrays([*kept.columns, pa.array(common, pa.int64())], names=[*kept.schema.names, "common"])
 
 
-def line_components(docs: DataFrame, lines: DataFrame) -> DataFrame:
+def line_components(docs: DataFrame, counted: DataFrame) -> DataFrame:
     """id, comp of every line that has a similar but different line.
 
-    ``lines``: the occurrences; the most frequent line of a band leads its star.
+    ``counted``: id and number of occurrences (c); the most frequent line of a
+    band leads its star.
     """
-    n_lines = lines.count()
+    n_lines = counted.count()
     fragments = max(1, -(-n_lines * BANDS // FRAGMENT_KEYS))
     shared = shared_ids(docs.select("text").mapInArrow(_packed(fragments), PACKED), n_lines).select("id")
-    wanted = stored(lines.join(shared, "id").groupBy("id").agg((-F.count("*")).alias("rank")), "lines")
+    wanted = stored(counted.join(shared, "id").select("id", (-F.col("c")).alias("rank")), "lines")
     bits = docs.sparkSession.sparkContext.broadcast(id_filter(wanted.select("id")))
 
     def build(batches):
@@ -179,18 +180,22 @@ def line_components(docs: DataFrame, lines: DataFrame) -> DataFrame:
             .join(texts.select(F.col("id").alias("b"), F.col("line").alias("tb")), "b").select(*pairs.columns, "ta", "tb")
         fields = ", ".join(f"{c} bigint" for c in [*pairs.columns, "common"])
         return both.sortWithinPartitions("a").mapInArrow(_overlap, fields)
-    return link(keys, measure, percent=PERCENT, bits=items.select("id", "bits"))
+    return link(keys, measure, percent=PERCENT, bits=items.select("id", "bits", F.col("bands").alias("keys")))
 
 
 def removed_lines(docs: DataFrame) -> DataFrame:
     """doc_id, th, removed: positions of the lines that go, for documents that
     lose any."""
     lines = stored(line_occurrences(docs), "occurrences")
-    comps = line_components(docs, lines)
-    placed = lines.join(comps, "id", "left").withColumn("g", F.coalesce("comp", "id"))
     where = F.struct("doc_id", "th", "pos")
-    kept = placed.groupBy("g").agg(F.min(where).alias("kept"), F.count("*").alias("c")).where("c > 1").drop("c")
-    return placed.join(kept, "g").where(~where.eqNullSafe(F.col("kept"))) \
+    counted = stored(lines.groupBy("id").agg(F.min(where).alias("first"), F.count("*").alias("c")), "counted")
+    comps = line_components(docs, counted)
+    # the kept occurrence of every line that occurs again or has a similar line
+    again = counted.join(comps, "id", "left").where("c > 1 or comp is not null") \
+        .select("id", F.coalesce("comp", "id").alias("g"), "first")
+    again = stored(again, "again")
+    kept = again.join(again.groupBy("g").agg(F.min("first").alias("kept")), "g").select("id", "kept")
+    return lines.join(kept, "id").where(~where.eqNullSafe(F.col("kept"))) \
         .groupBy("doc_id", "th").agg(F.collect_set("pos").alias("removed"))
 
 

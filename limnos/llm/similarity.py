@@ -239,8 +239,8 @@ def link(keys: DataFrame, measure, minus=None, postings=None, percent: int = 80,
     it can link with a set whose size asks for more only through an n-gram that L
     lacks: such pairs come from those n-grams, which are rare, and not from the
     keys that a whole group of near copies shares.  Without ``minus`` all pairs
-    come from the keys; ``bits`` (id, array of a set's bitmap words) then sifts
-    them inside the join.
+    come from the keys; ``bits`` (id, array of a set's bitmap words, array of its
+    keys) then sifts them inside the join.
     """
     lead = keys.groupBy("key").agg(F.min(F.struct("rank", "id", "n", "m")).alias("lead"), F.count("*").alias("c")) \
         .where("c > 1").select("key", "lead.*")
@@ -271,8 +271,9 @@ def link(keys: DataFrame, measure, minus=None, postings=None, percent: int = 80,
         .where("comps > 1").select("key", F.col("top.comp").alias("top"))
     mixed = placed.join(split, "key")
     if bits is not None:
-        mixed = mixed.join(bits.select("id", *[F.col("bits")[k].alias(f"b{k}") for k in range(WORDS_OF_BITS)]), "id")
-        apart = apart & _bound("x", "y", percent)
+        mixed = mixed.join(bits.select("id", "keys", *[F.col("bits")[k].alias(f"b{k}") for k in range(WORDS_OF_BITS)]), "id")
+        # each pair at one of its common keys only
+        apart = apart & _bound("x", "y", percent) & (F.array_min(F.array_intersect("x.keys", "y.keys")) == F.col("x.key"))
     mixed = stored(mixed, "keys")
     x, y = mixed.where("comp != top").alias("x"), mixed.alias("y")
     crossed = _pairs(x.join(y, F.col("x.key") == F.col("y.key")).where(
