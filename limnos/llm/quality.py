@@ -48,9 +48,9 @@ def base_features(docs: DataFrame) -> DataFrame:
     # windows in hash order; only rows with a repeated hash pay for the sort
     ordered = grams.withColumn("s", F.when(
         F.size(F.array_distinct("g")) < F.size("g"),
-        F.array_sort(F.transform("g", lambda h, i: F.struct(h.alias("h"), i.alias("i")))))
+        F.sort_array(F.transform("g", lambda h, i: F.struct(h.alias("h"), i.alias("i")))))
         .otherwise(F.array().cast("array<struct<h:bigint,i:int>>")))
-    repeated = ordered.withColumn("p", F.array_sort(F.filter(F.transform(
+    repeated = ordered.withColumn("p", F.sort_array(F.filter(F.transform(
         "s", lambda x, j: F.when(
             F.coalesce(F.get("s", j - 1)["h"] == x["h"], F.lit(False))
             | F.coalesce(F.get("s", j + 1)["h"] == x["h"], F.lit(False)), x["i"])),
@@ -62,8 +62,8 @@ def base_features(docs: DataFrame) -> DataFrame:
     return repeated.select(
         "doc_id", F.xxhash64("text").alias("th"),
         F.size("w").cast("long").alias("n_words"),
-        F.length(F.translate("text", " \t\n\x0b\x0c\r", "")).cast("long").alias("word_chars"),
-        (F.length("text") - F.length(F.translate("text", SYMBOLS, ""))).cast("long").alias("n_symbols"),
+        F.length(F.array_join("w", "")).cast("long").alias("word_chars"),
+        F.regexp_count("text", F.lit(f"[{SYMBOLS}]")).cast("long").alias("n_symbols"),
         (F.size("ln") - F.size(F.array_distinct("ln"))).cast("long").alias("n_dup_lines"),
         covered.alias("n_repeat_words"))
 
@@ -87,7 +87,8 @@ def log_ratios(docs: DataFrame, trusted: DataFrame, buckets: int = BUCKETS) -> D
     """
     good = trusted.where(F.col("doc_id").isNotNull()).select("doc_id").distinct() \
         .withColumn("good", F.lit(1))
-    flagged = docs.select("doc_id", "text").join(good, "doc_id", "left")
+    # one way to join at every size: labels grow with the documents
+    flagged = docs.select("doc_id", "text").join(good.hint("merge"), "doc_id", "left")
     counts = exploded(flagged, buckets, "good").groupBy("bucket").agg(
         F.count("*").alias("n_raw"), F.count("good").alias("n_target"))
     every = stored(docs.sparkSession.range(buckets).withColumnRenamed("id", "bucket")
@@ -120,5 +121,16 @@ def quality_rules(docs: DataFrame, trusted: DataFrame, buckets: int = BUCKETS,
         (~failed & (llr >= F.lit(threshold))).alias("kept"))
 
 
+def keep_good(docs: DataFrame, trusted: DataFrame, buckets: int = BUCKETS,
+              threshold: float = THRESHOLD) -> DataFrame:
+    """The documents that pass, with all their columns."""
+    # written first: a filter on the verdict would be pushed into the rule
+    # expressions, which the optimizer then evaluates once per word
+    verdicts = stored(quality_rules(docs, trusted, buckets, threshold).select("doc_id", "th", "kept"), "verdicts")
+    good = verdicts.where("kept").select(F.col("doc_id").alias("_doc"), F.col("th").alias("_th"))
+    return docs.join(good, F.col("doc_id").eqNullSafe(F.col("_doc"))
+                     & (F.xxhash64(F.coalesce("text", F.lit(""))) == F.col("_th")), "left_semi")
+
+
 def trusted_ids(labels: DataFrame) -> DataFrame:
     return labels.where(F.col("quality") == 1).select("doc_id")
