@@ -31,7 +31,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-LANES = 128
+LANES = 64
 MODULUS = 1 << 32
 LONG = 200
 BLOCKS = 64             # blocks of doc_id for the neighbour search
@@ -119,8 +119,12 @@ def edited_fingerprints(docs: DataFrame, blocks: int = BLOCKS) -> DataFrame:
         "receiver", F.expr("left(text, k)").alias("head"), paragraphs(F.col("text")).alias("d")) \
         .select("receiver", F.struct("head", lanes(F.col("d")).alias("fp")).alias("next")) \
         .groupBy("receiver").agg(F.min("next").alias("next"))
-    own = base.join(given, base["doc_id"] == given["receiver"], "left") \
-        .select("doc_id", "text", F.length("text").alias("n"), "next")
+    # both joins read the same rows in the same layout, so one exchange of the
+    # texts serves them; rows without doc_id have no neighbour to join
+    known = base.where(F.col("doc_id").isNotNull()).join(given, F.col("doc_id") == F.col("receiver"), "left") \
+        .select("doc_id", "text", "next")
+    lone = base.where(F.col("doc_id").isNull()).withColumn("next", F.lit(None).cast(given.schema["next"].dataType))
+    own = known.unionByName(lone).select("doc_id", "text", F.length("text").alias("n"), "next")
     k = F.floor(F.col("n") / 3).cast("int")
     edited = own.select("doc_id", "text", "n", "next", F.concat(
         F.expr("left(text, n - cast(floor(n / 3) as int))"),
