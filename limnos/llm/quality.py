@@ -6,12 +6,16 @@ all documents.  A document's score is the sum over its n-grams of
 log p_target - log p_raw, divided by the number of n-grams.  A document is
 kept when it passes the base rules and its score reaches the threshold.
 
-Everything is DataFrame work.  The n-grams are exploded inside the scan's
-stage and pre-aggregated per bucket before the shuffle, so neither a hot
-source nor a hot word meets in one task.  The ratio table has ``buckets``
-rows (a parameter), which bounds the one broadcast.  Ratios are fixed-point
-integers: sums do not depend on the order of addition, so the verdict is the
-same on every run.
+Everything is DataFrame work.  The number of buckets grows with the corpus: one
+for every ``LOAD`` distinct n-grams, at every size.  With a fixed number
+collisions pull all ratios towards 0 as the vocabulary grows; with a bucket for
+each n-gram, those seen in one document only decide, and good documents outside
+the target are rejected.  The n-grams are exploded inside the scan's stage and
+pre-aggregated per bucket before the shuffle, so neither a hot source nor a hot
+word meets in one task.  Only hot buckets, each at least 1/``HOT`` of all
+occurrences and so at most ``HOT``, are broadcast; the others meet their ratios
+by a shuffle.  Ratios are fixed-point integers: sums do not depend on the order
+of addition, so the verdict is the same on every run.
 
 Defined cases: NULL or empty text has no words and fails the base rules with
 score 0.  Rows that repeat a doc_id are judged one by one; equal rows get
@@ -23,12 +27,13 @@ stay out of the way: only ``doc_id`` and ``text`` are read.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from limnos.llm.common import stored, words
 
-BUCKETS = 1 << 16
+LOAD = 8                # distinct n-grams a bucket
+HOT = 1 << 18           # buckets broadcast at most
 THRESHOLD = -0.25       # mean log ratio per n-gram
 MIN_WORDS = 50
 SCALE = 1 << 20         # fixed-point unit of a log ratio
@@ -68,20 +73,29 @@ def base_features(docs: DataFrame) -> DataFrame:
         covered.alias("n_repeat_words"))
 
 
+def bucket_count(docs: DataFrame) -> int:
+    """Buckets for the n-grams of ``docs``, from a sketch of their distinct number."""
+    grams = docs.select(words(F.col("text")).alias("w")).select(F.explode_outer(hashes("w")).alias("g"))
+    return max(1, grams.agg(F.approx_count_distinct("g", 0.01)).first()[0] // LOAD)
+
+
+def hashes(w: str) -> Column:
+    """64-bit hashes of the 1- and 2-grams of a word array (the last is NULL)."""
+    return F.concat(F.transform(w, lambda x: F.xxhash64(x)),
+                    F.transform(w, lambda x, i: F.when(i + 1 < F.size(w), F.xxhash64(x, F.get(w, i + 1)))))
+
+
 def exploded(docs: DataFrame, buckets: int, *keep: str) -> DataFrame:
     staged = docs.select(*keep, F.xxhash64(F.coalesce("text", F.lit(""))).alias("th"),
                          words(F.col("text")).alias("w"))
-    grams = staged.select(*keep, "th", F.concat(
-        F.transform("w", lambda x: F.pmod(F.xxhash64(x), F.lit(buckets))),
-        F.transform("w", lambda x, i: F.when(i + 1 < F.size("w"), F.pmod(
-            F.xxhash64(x, F.get("w", i + 1)), F.lit(buckets))))).alias("g"))
+    grams = staged.select(*keep, "th", F.transform(hashes("w"), lambda h: F.pmod(h, F.lit(buckets))).alias("g"))
     # outer: a plain explode infers a size filter that the optimizer pushes below
     # the projections, which would evaluate the split once per n-gram
     return grams.select(*keep, "th", F.explode_outer("g").alias("bucket")).where(F.col("bucket").isNotNull())
 
 
-def log_ratios(docs: DataFrame, trusted: DataFrame, buckets: int = BUCKETS) -> DataFrame:
-    """bucket, r: fixed-point log(p_target / p_raw), one row per bucket.
+def log_ratios(docs: DataFrame, trusted: DataFrame, buckets: int) -> DataFrame:
+    """bucket, r, hot: fixed-point log(p_target / p_raw), one row per bucket in use.
 
     ``trusted`` holds the doc_ids of the target documents.
     """
@@ -89,25 +103,34 @@ def log_ratios(docs: DataFrame, trusted: DataFrame, buckets: int = BUCKETS) -> D
         .withColumn("good", F.lit(1))
     # one way to join at every size: labels grow with the documents
     flagged = docs.select("doc_id", "text").join(good.hint("merge"), "doc_id", "left")
-    counts = exploded(flagged, buckets, "good").groupBy("bucket").agg(
-        F.count("*").alias("n_raw"), F.count("good").alias("n_target"))
-    every = stored(docs.sparkSession.range(buckets).withColumnRenamed("id", "bucket")
-                   .join(counts, "bucket", "left").na.fill(0), "buckets")
-    total = every.agg(F.sum("n_raw").alias("t_raw"), F.sum("n_target").alias("t_target")).first()
-    p_raw = (F.col("n_raw") + 1) / F.lit(float(total["t_raw"] + buckets))
-    p_target = (F.col("n_target") + 1) / F.lit(float(total["t_target"] + buckets))
-    return every.select("bucket", F.round(F.log(p_target / p_raw) * SCALE).cast("long").alias("r"))
+    counts = stored(exploded(flagged, buckets, "good").groupBy("bucket").agg(
+        F.count("*").alias("n_raw"), F.count("good").alias("n_target")), "buckets")
+    total = counts.agg(F.sum("n_raw").alias("t_raw"), F.sum("n_target").alias("t_target")).first()
+    t_raw, t_target = total["t_raw"] or 0, total["t_target"] or 0
+    p_raw = (F.col("n_raw") + 1) / F.lit(float(t_raw + buckets))
+    p_target = (F.col("n_target") + 1) / F.lit(float(t_target + buckets))
+    return counts.select("bucket", F.round(F.log(p_target / p_raw) * SCALE).cast("long").alias("r"),
+                         (F.col("n_raw") * HOT >= t_raw).alias("hot"))
 
 
-def score_documents(docs: DataFrame, ratios: DataFrame, buckets: int = BUCKETS) -> DataFrame:
+def score_documents(docs: DataFrame, ratios: DataFrame, buckets: int) -> DataFrame:
     """doc_id, th, llr: mean log ratio per n-gram (rows without words: absent)."""
-    return exploded(docs, buckets, "doc_id").join(F.broadcast(ratios), "bucket") \
-        .groupBy("doc_id", "th").agg((F.sum("r") / F.count("*") / SCALE).alias("llr"))
+    grams = exploded(docs, buckets, "doc_id")
+    hot = F.broadcast(ratios.where("hot").select("bucket", "r"))
+    rare = ratios.where("not hot").select("bucket", "r").hint("merge")
+
+    def summed(rows):
+        return rows.groupBy("doc_id", "th").agg(F.sum("r").alias("s"), F.count("*").alias("n"))
+    # hot buckets are summed where they are read; the others are joined by shuffle
+    parts = summed(grams.join(hot, "bucket")).unionByName(
+        summed(grams.join(hot.select("bucket"), "bucket", "left_anti").join(rare, "bucket")))
+    return parts.groupBy("doc_id", "th").agg((F.sum("s") / F.sum("n") / SCALE).alias("llr"))
 
 
-def quality_rules(docs: DataFrame, trusted: DataFrame, buckets: int = BUCKETS,
+def quality_rules(docs: DataFrame, trusted: DataFrame, buckets: int | None = None,
                   threshold: float = THRESHOLD) -> DataFrame:
     """One row per input row: rule inputs, llr, base_failed and kept."""
+    buckets = buckets or bucket_count(docs)
     ratios = log_ratios(docs, trusted, buckets)
     scores = score_documents(docs, ratios, buckets)
     f, s = base_features(docs).alias("f"), scores.alias("s")
@@ -121,7 +144,7 @@ def quality_rules(docs: DataFrame, trusted: DataFrame, buckets: int = BUCKETS,
         (~failed & (llr >= F.lit(threshold))).alias("kept"))
 
 
-def keep_good(docs: DataFrame, trusted: DataFrame, buckets: int = BUCKETS,
+def keep_good(docs: DataFrame, trusted: DataFrame, buckets: int | None = None,
               threshold: float = THRESHOLD) -> DataFrame:
     """The documents that pass, with all their columns."""
     # written first: a filter on the verdict would be pushed into the rule

@@ -10,9 +10,12 @@ import pytest
 from pyspark.sql import functions as F
 
 from limnos.llm import fingerprint, pii, quality, secrets
+from limnos.llm.common import documents, labels
 from tests.conftest import SF_SMALL
 from tests.llm.conftest import EDGE, frame, row_dicts
 
+SF_MEDIUM = "/root/testdata/sf0.01"
+
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
 
@@ -61,6 +64,34 @@ def test_quality_score_is_the_mean_log_ratio(shipped):
     assert all(r["base_failed"] for r in out.values())          # repeated windows all over
 
 
+def test_quality_buckets_grow_with_the_corpus(shipped, monkeypatch):
+    def corpus(n):
+        rows = [(k, " ".join(f"w{k}x{j}" for j in range(100)), "en", "s", 0) for k in range(n)]
+        return frame(shipped, rows + [(n + k, "junk spam " * 40, "en", "s", 0) for k in range(3)])
+    small, large = (quality.bucket_count(corpus(n)) for n in (20, 200))
+    assert small == pytest.approx(20 * 199 / quality.LOAD, rel=0.05)
+    assert large == pytest.approx(200 * 199 / quality.LOAD, rel=0.05)
+    # the default is that count; ratios joined by shuffle and by broadcast agree
+    docs, trusted = corpus(20), shipped.createDataFrame([(k,) for k in range(10)], "doc_id bigint")
+    every = {r["doc_id"]: r["llr"] for r in row_dicts(quality.quality_rules(docs, trusted))}
+    want = {r["doc_id"]: r["llr"] for r in row_dicts(quality.quality_rules(docs, trusted, buckets=small))}
+    monkeypatch.setattr(quality, "HOT", 64)
+    ratios = quality.log_ratios(docs, trusted, small)
+    assert 0 < ratios.where("hot").count() <= 64 < ratios.where("not hot").count()
+    assert {r["doc_id"]: r["llr"] for r in row_dicts(quality.quality_rules(docs, trusted))} == every == want
+
+
+def test_quality_rejects_bad_and_keeps_unseen_good_documents(shipped):
+    docs, marks = documents(shipped, SF_MEDIUM), labels(shipped, SF_MEDIUM).select("doc_id", "quality").distinct()
+    held = F.expr("quality = 1 and pmod(xxhash64(doc_id), 5) = 0")
+    trusted = quality.trusted_ids(marks.where(~held))
+    out = quality.quality_rules(docs, trusted).join(marks, "doc_id").where("n_words >= 50")
+    low = F.col("llr") < quality.THRESHOLD
+    bad = out.where("quality = 0").agg(F.avg(low.cast("int"))).first()[0]
+    good = out.where(held).agg(F.avg(low.cast("int"))).first()[0]
+    assert bad >= 0.95 and good <= 0.05
+
+
 def test_quality_edges_and_empty(edge_extra, nothing, shipped):
     trusted = shipped.createDataFrame([(1,)], "doc_id bigint")
     assert quality.quality_rules(edge_extra, trusted).count() == len(EDGE)
