@@ -31,7 +31,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-LANES = 64
+LANES = 128
 MODULUS = 1 << 32
 LONG = 200
 BLOCKS = 64             # blocks of doc_id for the neighbour search

@@ -131,6 +131,26 @@ def test_fingerprint_is_a_multiset_hash(shipped):
     assert r.plus == fp[1] and r.minus == fp[3] and r.same == 1.0
 
 
+def test_fingerprint_likeness_is_near_the_exact_overlap(shipped):
+    def text(k, side, shared):
+        own = [f"p{k} {side} {j} {'x' * (j % 7 + 5)}" for j in range(shared, 42)]
+        return "\n".join([f"p{k} both {j} {'x' * (j % 7 + 5)}" for j in range(shared)] + own)
+    pairs = [(k, text(k, "a", n), text(k, "b", n)) for k in range(600) for n in [28 * (k % 2)]]
+    fp = [{r["doc_id"]: r["fingerprint"] for r in row_dicts(fingerprint.fingerprints(
+        frame(shipped, [(p[0], p[side], "", "", 0) for p in pairs])))} for side in (1, 2)]
+    got = {r["k"]: r["near"] for r in row_dicts(shipped.createDataFrame(
+        [(p[0], fp[0][p[0]], fp[1][p[0]]) for p in pairs], "k int, a array<bigint>, b array<bigint>").select(
+        "k", fingerprint.likeness(F.col("a"), F.col("b")).alias("near")))}
+    errors = {0: [], 1: []}
+    for k, a, b in pairs:
+        x, y = (Counter(t.split("\n")) for t in (a, b))
+        size = sum(c * c * len(p) ** 2 for z in (x, y) for p, c in z.items())
+        exact = 2 * sum(c * y[p] * len(p) ** 2 for p, c in x.items()) / size
+        errors[k % 2].append(got[k] - exact)
+    assert np.quantile(errors[0], 0.95) <= 0.17         # unrelated texts
+    assert np.std(errors[1]) <= 0.078                   # two thirds in common
+
+
 def test_fingerprint_empty_table(nothing):
     assert fingerprint.edited_fingerprints(nothing).count() == 0
 
