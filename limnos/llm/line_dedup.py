@@ -1,10 +1,13 @@
 """Line dedup (operator 6): fuzzy lines by MinHash, one line per component.
 
 A line is a piece between line breaks that holds a word; equal lines are one
-item, named by the 64-bit hash of its text.  Items get one-permutation MinHash
-signatures over their 6-character shingles (empty bins are filled from the
-next one), cut into 16 bands of 6: a pair of similarity 0.8 shares a band with
-probability 0.99.  Items that share a band are compared exactly on their
+item, named by the 64-bit hash of its text.  Items get MinHash signatures over
+their 6-character shingles, cut into 16 bands of 6: a pair of similarity 0.8
+shares a band with probability 0.99.  Lines of at most ``FEW`` distinct shingles
+get a full MinHash, one hash function per value; longer ones one permutation
+(empty bins are filled from the next one), which is as good only where few bins
+stay empty.  Lines of 0.8 ``FEW`` to ``FEW`` get both, so similar lines have one in
+common.  Items that share a band are compared exactly on their
 shingle sets and those of Jaccard similarity 0.8 or more are linked; union-find
 gives the components.  Of every component the first line (smallest doc_id,
 then text hash, then position) stays, the others go.
@@ -38,6 +41,9 @@ CHARS = 6
 BANDS = 16
 ROWS = 6
 BINS = BANDS * ROWS
+FEW = 125               # distinct shingles of a line that gets a full MinHash
+FULL = 90               # filled bins from which a line has more than FEW
+CHUNK = 1 << 15
 PERCENT = 80
 BLANK = " \t\n\x0b\x0c\r"
 EMPTY = U(0xFFFFFFFFFFFFFFFF)
@@ -50,8 +56,9 @@ def line_id(line: str) -> int:
     return h - (1 << 64) if h >> 63 else h
 
 
-def signatures(lines: list[str]) -> np.ndarray:
-    """One-permutation MinHash over character shingles, one row per line."""
+def signatures(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """One-permutation MinHash over character shingles, one row per line, and
+    the number of bins that were filled by the line's own shingles."""
     sig = np.full(len(lines) * BINS, EMPTY, np.uint64)
     code = np.frombuffer("\n".join(lines).encode("utf-32-le", "surrogatepass"), np.uint32)
     line = 0
@@ -73,7 +80,8 @@ def signatures(lines: list[str]) -> np.ndarray:
     sig = sig.reshape(len(lines), BINS)
     for i in np.flatnonzero((sig == EMPTY).all(axis=1)).tolist():
         sig[i, 0] = char_shingles(lines[i], CHARS)[0]
-    todo = np.flatnonzero((sig == EMPTY).any(axis=1))
+    filled = (sig != EMPTY).sum(axis=1)
+    todo = np.flatnonzero(filled < BINS)
     while len(todo):
         part = sig[todo]
         right = np.roll(part, -1, axis=1)
@@ -81,7 +89,7 @@ def signatures(lines: list[str]) -> np.ndarray:
         part[fill] = right[fill] + _Q[50]
         sig[todo] = part
         todo = todo[(part == EMPTY).any(axis=1)]
-    return sig
+    return sig, filled
 
 
 def band_keys(sig: np.ndarray) -> np.ndarray:
@@ -90,6 +98,46 @@ def band_keys(sig: np.ndarray) -> np.ndarray:
     return mix(parts + np.arange(1, BANDS + 1, dtype=np.uint64) * _Q[51])
 
 
+_random = np.random.default_rng(20240601)
+_XOR = _random.integers(0, 1 << 63, BINS, dtype=np.uint64) * U(2)
+_TIMES = _random.integers(1, 1 << 63, BINS, dtype=np.uint64) | U(1)
+
+
+def few_shingles(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Number of distinct shingles of every line, and the full MinHash, one row per line."""
+    grams = [char_shingles(x, CHARS) for x in lines]
+    sizes = np.array(list(map(len, grams)), np.int64)
+    sig = np.full((len(lines), BINS), EMPTY, np.uint64)
+    small = np.flatnonzero(sizes <= FEW)
+    at = 0
+    while at < len(small):
+        # whole lines of about CHUNK shingles, so that the work stays in the cache
+        ends = np.cumsum(sizes[small[at:at + CHUNK // 8]])
+        rows = small[at:at + max(1, int(np.searchsorted(ends, CHUNK)))]
+        h = np.concatenate([grams[i] for i in rows.tolist()])
+        starts = np.concatenate([[0], np.cumsum(sizes[rows])[:-1]])
+        for k in range(BINS):
+            sig[rows, k] = np.minimum.reduceat((h ^ _XOR[k]) * _TIMES[k], starts)
+        at += len(rows)
+    return sizes, sig
+
+
+def line_keys(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Keys of the bands of all lines, one line after the other, and their number per line."""
+    sig, filled = signatures(lines)
+    long = band_keys(sig)
+    few = np.flatnonzero(filled < FULL)
+    sizes, full = few_shingles([lines[i] for i in few.tolist()])
+    use = np.ones((len(lines), 2 * BANDS), bool)
+    use[:, BANDS:] = False
+    use[few[sizes <= FEW], BANDS:] = True
+    use[few[100 * sizes < PERCENT * FEW], :BANDS] = False
+    keys = np.zeros((len(lines), 2 * BANDS), np.uint64)
+    keys[:, :BANDS] = long
+    keys[few, BANDS:] = mix(band_keys(full) + _Q[52])
+    return keys[use], use.sum(axis=1)
+
+
 def _lines(batches, table: np.ndarray | None = None):
     """Dicts of id to line of distinct lines, about FLUSH_CHARS at a time; with
     a filter ``table``, of the lines that pass it."""
@@ -116,8 +164,8 @@ def _packed(fragments: int):
     def run(batches):
         for found in _lines(batches):
             ids, lines = np.array(list(found), np.int64), list(found.values())
-            keys = band_keys(signatures(lines))
-            yield packed_batch(pack(ids, np.full(len(ids), EMPTY), np.full(len(ids), BANDS), keys.reshape(-1), fragments))
+            keys, counts = line_keys(lines)
+            yield packed_batch(pack(ids, np.full(len(ids), EMPTY), counts, keys, fragments))
     return run
 
 
@@ -163,9 +211,12 @@ def line_components(docs: DataFrame, counted: DataFrame) -> DataFrame:
         for found in _lines(batches, np.frombuffer(bits.value, np.int64)):
             lines = list(found.values())
             sets = [char_shingles(x, CHARS) for x in lines]
+            keys, counts = line_keys(lines)
+            bands = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(counts)), pa.int32()),
+                                             pa.array(keys.view(np.int64), pa.int64()))
             yield pa.RecordBatch.from_arrays(
                 [pa.array(list(found), pa.int64()), pa.array(list(map(len, sets)), pa.int64()), pa.array(lines, pa.string()),
-                 pa.array(band_keys(signatures(lines)).view(np.int64).tolist(), pa.list_(pa.int64())),
+                 bands,
                  pa.array(bitmaps(sets), pa.list_(pa.int64()))], names=["id", "n", "line", "bands", "bits"])
     built = docs.select("text").mapInArrow(
         build, "id bigint, n bigint, line string, bands array<bigint>, bits array<bigint>")

@@ -138,6 +138,23 @@ def test_line_dedup_keeps_one_line_per_component(shipped):
     assert got == want
 
 
+@pytest.mark.parametrize("low,high", [(15, 30), (31, 60), (100, 150)])
+def test_line_keys_find_pairs_at_the_threshold(low, high):
+    rng = random.Random(low)
+    letters = "abcdefghijklmnopqrstuvwxyz "
+    pairs = []
+    while len(pairs) < 1500:
+        x = "".join(rng.choice(letters) for _ in range(rng.randint(low, high)))
+        y = x[:-rng.randint(1, max(1, len(x) // 6))] + rng.choice(["", "7", "42"])
+        a, b = ({t[k:k + 6] for k in range(len(t) - 5)} for t in (x, y))
+        if 0.8 <= len(a & b) / len(a | b) <= 0.88:
+            pairs.append((x, y))
+    keys, counts = line_dedup.line_keys([t for p in pairs for t in p])
+    parts = np.split(keys, np.cumsum(counts)[:-1])
+    found = sum(len(np.intersect1d(parts[2 * k], parts[2 * k + 1])) > 0 for k in range(len(pairs)))
+    assert found >= 0.985 * len(pairs)
+
+
 def test_line_dedup_edges_and_empty(edge_extra, nothing):
     out = line_dedup.dedup_lines(edge_extra)
     assert out.columns == edge_extra.columns
