@@ -3,10 +3,13 @@ digest columns from the operators' own results."""
 
 from __future__ import annotations
 
+import zlib
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from limnos.llm import bpe, fingerprint, line_dedup, ngram_join, packing, pii, quality, secrets, token_files, toxicity
+from limnos.llm import (bpe, exact_dedup, filter_audit, fingerprint, line_dedup, ngram_join, packing, periodic_runs, pii,
+                        quality, secrets, token_files, toxicity)
 from limnos.llm.common import documents, labels, ship
 
 
@@ -71,6 +74,36 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(documents(spark, sf_dir), labels(spark, sf_dir))
 
 
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(documents(spark, sf_dir), labels(spark, sf_dir))
+
+
+def planted_period(doc_id: int | None, words: list[bytes]) -> list[bytes]:
+    """The words of the contract's edited texts: a tenth of all documents, by
+    the checksum of doc_id, repeat a period from some word on."""
+    h, n = zlib.crc32(str(doc_id).encode()) if doc_id is not None else 1, len(words)
+    if h % 10 or not n:
+        return words
+    g = h // 10
+    a = g % n
+    p = 1 + (n - a) // (3 + g % 8)
+    return words[:a] + [words[a + k % p] for k in range(n - a)]
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = periodic_runs.find_runs(documents(spark, sf_dir), planted_period)
+    best = found.withColumn("best", periodic_runs.longest(F.col("runs")))
+    return best.select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), "best.start", "best.length", "best.period",
+        F.expr("1000 * best.length div best.period").alias("exponent_milli"),
+        F.sha2(periodic_runs.as_text(F.col("runs")).cast("binary"), 256).alias("runs_sha256"),
+        F.sha2(F.col("text").cast("binary"), 256).alias("collapsed_sha256"))
+
+
+def op13_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_dedup.exact_groups(documents(spark, sf_dir))
+
+
 def _shipped(fn):
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         ship(spark)
@@ -90,7 +123,13 @@ QUERIES = {
     "op8_secret_scans": op8_secret_scans,
     "op9_token_files": op9_token_files,
     "op10_toxicity": op10_toxicity,
+    "op11_filter_audit": op11_filter_audit,
+    "op12_periodic_runs": op12_periodic_runs,
+    "op13_exact_dedup": op13_exact_dedup,
 }
 QUERIES = {name: _shipped(fn) for name, fn in QUERIES.items()}
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op11_filter_audit": filter_audit.AUDIT_SQL,
+    "op13_exact_dedup": exact_dedup.GROUPS_SQL,
+}
