@@ -63,7 +63,9 @@ def as_integer(x: str) -> str:
 
 
 def as_long(x: str) -> str:
-    return f"TRY_CAST(trunc({as_numeric(x)}) AS BIGINT)"
+    t = f"trim(CAST({x} AS VARCHAR))"
+    return (f"(CASE WHEN regexp_matches({t}, '^[+-]?[0-9]+$') THEN TRY_CAST({t} AS BIGINT) "
+            f"ELSE TRY_CAST(trunc({as_numeric(x)}) AS BIGINT) END)")
 
 
 def r_round(x: str, digits: int = 2) -> str:

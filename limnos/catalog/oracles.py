@@ -7,6 +7,8 @@ comparisons, independent of the Spark implementation.
 
 from __future__ import annotations
 
+import math
+
 from limnos.catalog import duck as D
 from limnos.catalog import standins as S
 from limnos.catalog.tables import duck_sql
@@ -459,6 +461,56 @@ def _dbl(v: float) -> str:
     return f"CAST({v!r} AS DOUBLE)"
 
 
+def _tm_sql(lon: str, lat: str) -> tuple[str, str]:
+    """Transverse Mercator forward (same published series) in DuckDB SQL."""
+    a, f = 6378137.0, 1 / 298.257222101
+    e2 = f * (2 - f)
+    ep2 = e2 / (1 - e2)
+    k0, lon0, fe, fn = 0.9996, -90.0, 520000.0, -4480000.0
+    phi = f"radians({lat})"
+    n = f"({a!r} / sqrt(1 - {e2!r} * pow(sin({phi}), 2)))"
+    t = f"pow(tan({phi}), 2)"
+    c = f"({ep2!r} * pow(cos({phi}), 2))"
+    A = f"(radians({lon} - ({lon0!r})) * cos({phi}))"
+    m = (f"({a!r} * (({1 - e2 / 4 - 3 * e2**2 / 64 - 5 * e2**3 / 256!r}) * {phi} "
+         f"- ({3 * e2 / 8 + 3 * e2**2 / 32 + 45 * e2**3 / 1024!r}) * sin(2 * {phi}) "
+         f"+ ({15 * e2**2 / 256 + 45 * e2**3 / 1024!r}) * sin(4 * {phi}) "
+         f"- ({35 * e2**3 / 3072!r}) * sin(6 * {phi})))")
+    x = (f"({k0!r} * {n} * ({A} + (1 - {t} + {c}) * pow({A}, 3) / 6 + "
+         f"(5 - 18 * {t} + pow({t}, 2) + 72 * {c} - 58 * {ep2!r}) * pow({A}, 5) / 120) + {fe!r})")
+    y = (f"({k0!r} * ({m} + {n} * tan({phi}) * (pow({A}, 2) / 2 + "
+         f"(5 - {t} + 9 * {c} + 4 * pow({c}, 2)) * pow({A}, 4) / 24 + "
+         f"(61 - 58 * {t} + pow({t}, 2) + 600 * {c} - 330 * {ep2!r}) * pow({A}, 6) / 720)) + {fn!r})")
+    return x, y
+
+
+def _albers_sql(lon: str, lat: str) -> tuple[str, str]:
+    """Albers equal-area conic forward (EPSG:5070) in DuckDB SQL."""
+    a, f = 6378137.0, 1 / 298.257222101
+    e2 = f * (2 - f)
+    e = math.sqrt(e2)
+
+    def q_of(p: float) -> float:
+        s = math.sin(p)
+        return (1 - e2) * (s / (1 - e2 * s * s) - math.log((1 - e * s) / (1 + e * s)) / (2 * e))
+    p1, p2, p0 = map(math.radians, (29.5, 45.5, 23.0))
+    m1, m2 = (math.cos(p) / math.sqrt(1 - e2 * math.sin(p) ** 2) for p in (p1, p2))
+    n = (m1 ** 2 - m2 ** 2) / (q_of(p2) - q_of(p1))
+    c = m1 ** 2 + n * q_of(p1)
+    rho0 = a * math.sqrt(c - n * q_of(p0)) / n
+    s = f"sin(radians({lat}))"
+    q = (f"({1 - e2!r} * ({s} / (1 - {e2!r} * {s} * {s}) - "
+         f"ln((1 - {e!r} * {s}) / (1 + {e!r} * {s})) / {2 * e!r}))")
+    rho = f"({a!r} * sqrt({c!r} - {n!r} * {q}) / {n!r})"
+    theta = f"({n!r} * radians({lon} - (-96.0)))"
+    return f"({rho} * sin({theta}))", f"({rho0!r} - {rho} * cos({theta}))"
+
+
+def _projected(v: str, sql) -> str:
+    x, y = sql("CAST(x AS DOUBLE)", "CAST(y AS DOUBLE)")
+    return f"SELECT pid, part, ring, i, {x} AS x, {y} AS y FROM {v}"
+
+
 def _edges(v: str) -> str:
     return (f"SELECT a.pid, a.x AS x1, a.y AS y1, b.x AS x2, b.y AS y2 FROM {v} a JOIN {v} b "
             "ON a.pid = b.pid AND a.part = b.part AND a.ring = b.ring AND b.i = a.i + 1")
@@ -497,13 +549,14 @@ def _best_parent(name: str, child: str, parent: str) -> dict[str, str]:
                   "p.pid) = 1"}
 
 
-_HX0, _HY0, _HC = -93.0, 41.0, 0.02
+_HX0, _HY0, _HC = 200000.0, 0.0, 2000.0
 HIER_CTES = {
     "v6": S.HUC6_VERTICES, "v8": S.REGION_VERTICES, "v10": S.COUNTY_VERTICES,
     "v12": S.HUC12_VERTICES,
     "a6": S.HUC6_ATTRS, "a8": S.HUC8_ATTRS, "a10": S.HUC10_ATTRS, "a12": S.HUC12_ATTRS,
-    **_raster("h6", "v6", _HX0, _HY0, _HC), **_raster("h8", "v8", _HX0, _HY0, _HC),
-    **_raster("h10", "v10", _HX0, _HY0, _HC), **_raster("h12", "v12", _HX0, _HY0, _HC),
+    **{f"p{k}": _projected(f"v{k}", _tm_sql) for k in (6, 8, 10, 12)},
+    **_raster("h6", "p6", _HX0, _HY0, _HC), **_raster("h8", "p8", _HX0, _HY0, _HC),
+    **_raster("h10", "p10", _HX0, _HY0, _HC), **_raster("h12", "p12", _HX0, _HY0, _HC),
     **_best_parent("l8", "h8_r", "h6_r"), **_best_parent("l10", "h10_r", "h8_r"),
     **_best_parent("l12", "h12_r", "h10_r"),
     "w8": "SELECT a.*, p.MajorBasin FROM a8 a LEFT JOIN l8 l ON a.pid = l.pid "
@@ -613,21 +666,46 @@ FROM (SELECT 'huc6' AS layer, * FROM v6 UNION ALL SELECT 'huc8', * FROM v8
       UNION ALL SELECT 'counties', * FROM v10 UNION ALL SELECT 'dnr_watersheds', * FROM v8)
 GROUP BY layer"""
 
-# land cover: sub-cells of half the grid size, covered share per cell
-_LX0, _LY0, _LC, _K = -92.5, 42.0, 0.02, 2
+# land cover: the exact share of every cell of a polygon's box, as the integral
+# of each ring segment's x, clamped to the cell, over the height it has in the
+# cell's row (grid units; outer rings counted as counter-clockwise, holes not)
+_LX0, _LY0, _LC = 270000.0, 2100000.0, 2500.0
+
+
+def _mean_clamped(p: str, q: str) -> str:
+    """Mean of min(max(t, 0), 1) for t from p to q."""
+    g = lambda t: f"(CASE WHEN {t} <= 0 THEN 0.0 WHEN {t} >= 1 THEN {t} - 0.5 ELSE {t} * {t} / 2 END)"
+    return (f"(CASE WHEN abs({q} - ({p})) < 1e-9 THEN least(greatest(({p} + {q}) / 2, 0.0), 1.0) "
+            f"ELSE ({g(q)} - {g(p)}) / ({q} - ({p})) END)")
 
 
 def _shares(p: str, v: str) -> dict[str, str]:
-    out = _raster(p, v, _LX0, _LY0, _LC / _K)
-    out[f"{p}_f"] = (f"SELECT pid, CAST(floor(i / {_K}) AS BIGINT) AS i, "
-                     f"CAST(floor(j / {_K}) AS BIGINT) AS j, count(*) / {_dbl(float(_K * _K))} AS frac "
-                     f"FROM {p}_r GROUP BY ALL")
-    out[f"{p}_a"] = (f"SELECT f.pid, c.class, sum(c.cell_area * f.frac) AS area FROM lc_cells c "
-                     f"JOIN {p}_f f ON c.i = f.i AND c.j = f.j GROUP BY f.pid, c.class")
-    out[f"{p}_s"] = (f"SELECT a.*, t.total_area, a.area / t.total_area AS pct_area FROM {p}_a a "
-                     f"JOIN (SELECT pid, sum(area) AS total_area FROM {p}_a GROUP BY pid) t "
-                     "ON a.pid = t.pid")
-    return out
+    X0, Y0, C = _dbl(_LX0), _dbl(_LY0), _dbl(_LC)
+    at = lambda y: f"(u1 + (u2 - u1) * ({y} - v1) / (v2 - v1))"
+    return {
+        f"{p}_p": _projected(v, _albers_sql),
+        f"{p}_o": f"SELECT a.pid, a.part, a.ring, (a.x - {X0}) / {C} AS u1, (a.y - {Y0}) / {C} AS v1, "
+                  f"(b.x - {X0}) / {C} AS u2, (b.y - {Y0}) / {C} AS v2 FROM {p}_p a JOIN {p}_p b "
+                  "ON a.pid = b.pid AND a.part = b.part AND a.ring = b.ring AND b.i = a.i + 1",
+        f"{p}_t": f"SELECT pid, part, ring, CASE WHEN (sum(u1 * v2 - u2 * v1) < 0) = (ring = 0) THEN -1 ELSE 1 END AS w "
+                  f"FROM {p}_o GROUP BY pid, part, ring",
+        f"{p}_e": f"SELECT o.*, t.w FROM {p}_o o JOIN {p}_t t USING (pid, part, ring) WHERE v1 <> v2",
+        f"{p}_b": f"SELECT pid, floor(min(least(u1, u2))) AS i0, floor(max(greatest(u1, u2))) AS i1, "
+                  f"floor(min(least(v1, v2))) AS j0, floor(max(greatest(v1, v2))) AS j1 FROM {p}_o GROUP BY pid",
+        f"{p}_i": f"SELECT pid, j0, j1, unnest(range(CAST(i0 AS BIGINT), CAST(i1 AS BIGINT) + 1)) AS i FROM {p}_b",
+        f"{p}_c": f"SELECT pid, i, unnest(range(CAST(j0 AS BIGINT), CAST(j1 AS BIGINT) + 1)) AS j FROM {p}_i",
+        f"{p}_h": f"SELECT c.pid, c.i, c.j, e.*  EXCLUDE (pid), least(greatest(v1, j), j + 1) AS va, "
+                  f"least(greatest(v2, j), j + 1) AS vb FROM {p}_c c JOIN {p}_e e ON c.pid = e.pid "
+                  "AND greatest(v1, v2) > c.j AND least(v1, v2) < c.j + 1",
+        f"{p}_g": f"SELECT pid, i, j, w * (vb - va) AS dv, {at('va')} - i AS p, {at('vb')} - i AS q FROM {p}_h",
+        f"{p}_f": f"SELECT pid, i, j, round(sum(dv * {_mean_clamped('p', 'q')}), 12) AS frac "
+                  f"FROM {p}_g GROUP BY pid, i, j",
+        f"{p}_a": f"SELECT f.pid, c.class, sum(c.cell_area * f.frac) AS area FROM lc_cells c "
+                  f"JOIN {p}_f f ON c.i = f.i AND c.j = f.j WHERE f.frac > 0 GROUP BY f.pid, c.class",
+        f"{p}_s": f"SELECT a.*, t.total_area, a.area / t.total_area AS pct_area FROM {p}_a a "
+                  f"JOIN (SELECT pid, sum(area) AS total_area FROM {p}_a GROUP BY pid) t "
+                  "ON a.pid = t.pid",
+    }
 
 
 LANDSCAPE_CTES = {
@@ -651,15 +729,15 @@ LANDSCAPE_CTES = {
 }
 
 LANDCOVER_SHARES = _cte2(LANDSCAPE_CTES) + """
-SELECT huc_level, huc, huc_name, class, round(area, 6) AS area,
-       round(total_area, 6) AS total_area, round(pct_area, 6) AS pct_area FROM landscape"""
+SELECT huc_level, huc, huc_name, class, round(area, 1) AS area,
+       round(total_area, 1) AS total_area, round(pct_area, 6) AS pct_area FROM landscape"""
 
 LANDCOVER_AREA_SUMMARY = _cte2(LANDSCAPE_CTES) + """,
 per AS (SELECT huc_level, huc, CASE WHEN count(total_area) = count(*) THEN avg(total_area) END
                AS mean_area FROM landscape GROUP BY huc_level, huc),
 lvl AS (SELECT huc_level, CASE WHEN count(mean_area) = count(*) THEN avg(mean_area) END
                AS mean_area, count(*) AS n FROM per GROUP BY huc_level)
-SELECT huc_level, round(mean_area, 6) AS mean_area, n, round(mean_area / 1e6, 6) AS sq_km,
+SELECT huc_level, round(mean_area, 1) AS mean_area, n, round(mean_area / 1e6, 6) AS sq_km,
        round(mean_area / 1e6 * 0.3861, 6) AS sq_mi FROM lvl"""
 
 
@@ -714,31 +792,6 @@ SELECT plan_id,
 FROM plans"""
 
 
-def _tm_sql(lon: str, lat: str) -> tuple[str, str]:
-    """Transverse Mercator forward (same published series) in DuckDB SQL."""
-    import math
-    a, f = 6378137.0, 1 / 298.257222101
-    e2 = f * (2 - f)
-    ep2 = e2 / (1 - e2)
-    k0, lon0, fe, fn = 0.9996, -90.0, 520000.0, -4480000.0
-    phi = f"radians({lat})"
-    n = f"({a!r} / sqrt(1 - {e2!r} * pow(sin({phi}), 2)))"
-    t = f"pow(tan({phi}), 2)"
-    c = f"({ep2!r} * pow(cos({phi}), 2))"
-    A = f"(radians({lon} - ({lon0!r})) * cos({phi}))"
-    m = (f"({a!r} * (({1 - e2 / 4 - 3 * e2**2 / 64 - 5 * e2**3 / 256!r}) * {phi} "
-         f"- ({3 * e2 / 8 + 3 * e2**2 / 32 + 45 * e2**3 / 1024!r}) * sin(2 * {phi}) "
-         f"+ ({15 * e2**2 / 256 + 45 * e2**3 / 1024!r}) * sin(4 * {phi}) "
-         f"- ({35 * e2**3 / 3072!r}) * sin(6 * {phi})))")
-    x = (f"({k0!r} * {n} * ({A} + (1 - {t} + {c}) * pow({A}, 3) / 6 + "
-         f"(5 - 18 * {t} + pow({t}, 2) + 72 * {c} - 58 * {ep2!r}) * pow({A}, 5) / 120) + {fe!r})")
-    y = (f"({k0!r} * ({m} + {n} * tan({phi}) * (pow({A}, 2) / 2 + "
-         f"(5 - {t} + 9 * {c} + 4 * pow({c}, 2)) * pow({A}, 4) / 24 + "
-         f"(61 - 58 * {t} + pow({t}, 2) + 600 * {c} - 330 * {ep2!r}) * pow({A}, 6) / 720)) + {fn!r})")
-    del math
-    return x, y
-
-
 _X, _Y = _tm_sql("longitude", "latitude")
 STATIONS_WTM = _cte(**STATION_CTES) + f"""
 SELECT station_id, round({_X}, 3) AS x_wtm, round({_Y}, 3) AS y_wtm FROM stations"""

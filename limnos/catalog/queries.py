@@ -29,9 +29,9 @@ from limnos.session import materialize
 LOGGER_YEAR = 2024
 
 
-def portable(df: DataFrame, round_cols: tuple = ()) -> DataFrame:
+def portable(df: DataFrame, round_cols: tuple = (), areas: tuple = ()) -> DataFrame:
     """Dates -> 'yyyy-MM-dd', timestamps -> 'yyyy-MM-dd HH:mm:ss', the named
-    doubles rounded to 6 places."""
+    doubles rounded to 6 places, areas (large sums of products) to 1."""
     out = []
     for f in df.schema.fields:
         c = F.col(f.name)
@@ -39,8 +39,8 @@ def portable(df: DataFrame, round_cols: tuple = ()) -> DataFrame:
             c = c.cast("string")
         elif isinstance(f.dataType, (T.TimestampType, T.TimestampNTZType)):
             c = format_datetime(c)
-        elif f.name in round_cols:
-            c = F.round(c, 6)
+        elif f.name in round_cols or f.name in areas:
+            c = F.round(c, 1 if f.name in areas else 6)
         out.append(c.alias(f.name))
     return df.select(*out)
 
@@ -254,10 +254,9 @@ from limnos.operators.spatial import tm_forward  # noqa: E402
 from limnos.plans import landcover as LC  # noqa: E402
 from limnos.plans import watersheds as W  # noqa: E402
 
-# grid for the largest-overlap chain and for land cover (degrees)
-HIER_GRID = (-93.0, 41.0, 0.02)
-LC_GRID = (-92.5, 42.0, 0.02)
-LC_SUBCELLS = 2
+# grids in metres: the largest-overlap chain (EPSG:3071), the land-cover cells (EPSG:5070)
+HIER_GRID = (200_000.0, 0.0, 2_000.0)
+LC_GRID = (270_000.0, 2_100_000.0, 2_500.0)
 
 
 def _layer(spark, sf, vertices_sql, attrs_sql):
@@ -323,17 +322,17 @@ def _landscape(spark, sf):
         a = lyr[name].select(F.lit(level).alias("huc_level"), "pid", F.col(code).alias("huc"),
                              F.col(cname).alias("huc_name"))
         attrs = a if attrs is None else attrs.unionByName(a)
-    shares = LC.class_shares_levels(cells, layers, *LC_GRID, k=LC_SUBCELLS)
+    shares = LC.class_shares_levels(cells, layers, *LC_GRID)
     return materialize(LC.landscape_from_shares(attrs, shares))
 
 
 def landcover_shares(spark, sf):
-    return portable(_landscape(spark, sf), round_cols=("area", "total_area", "pct_area"))
+    return portable(_landscape(spark, sf), round_cols=("pct_area",), areas=("area", "total_area"))
 
 
 def landcover_area_summary(spark, sf):
     return portable(LC.area_summary(_landscape(spark, sf)),
-                    round_cols=("mean_area", "sq_km", "sq_mi"))
+                    round_cols=("sq_km", "sq_mi"), areas=("mean_area",))
 
 
 def landcover_state_means(spark, sf):
@@ -351,7 +350,7 @@ def landcover_sample_watershed(spark, sf):
     ls = _landscape(spark, sf)
     pick = pick_keys(ls.where(F.col("huc_level") == 12), "huc", 1, seed=42)
     return portable(LC.lookup(ls, LC.class_table(spark), ["class"]).join(pick, "huc"),
-                    round_cols=("area", "total_area", "pct_area"))
+                    round_cols=("pct_area",), areas=("area", "total_area"))
 
 
 def plan_attributes(spark, sf):

@@ -54,6 +54,11 @@ SELECT s_suppkey * 20 AS station_id,
 FROM {supplier}
 """
 
+def _fsn(key: str) -> str:
+    """Visit ids, half of them beyond 2^53, where doubles no longer tell neighbours apart."""
+    return f"({key} + CASE WHEN o_orderkey % 4 < 2 THEN 9007199254740992 ELSE 0 END)"
+
+
 # --- baseline visits (all text, as exported) ----------------------------------
 
 _VISIT_HOUR = "((5 + l_linenumber * 2) % 24)"
@@ -63,7 +68,7 @@ _BLANK = "(o_custkey % 37 = 0 OR l_partkey % 29 = 0)"
 
 BASELINE_OBS = f"""
 SELECT CASE WHEN l_orderkey % 10 = 3 THEN CAST(l_orderkey AS STRING) || '.7'
-            ELSE CAST(l_orderkey AS STRING) END AS fieldwork_seq_no,
+            ELSE CAST({_fsn('l_orderkey')} AS STRING) END AS fieldwork_seq_no,
        CASE WHEN l_partkey % 5 = 0 THEN replace({_VISIT_DATE}, '-', '/') ELSE {_VISIT_DATE} END
          || ' ' ||
        CASE WHEN l_partkey % 9 = 0 THEN {clock24(_VISIT_HOUR, _VISIT_MIN)}
@@ -107,7 +112,7 @@ FROM {{lineitem}} JOIN {{orders}} ON l_orderkey = o_orderkey
 
 _FLOW_DATE = date_text("o_orderdate", 19)
 BASELINE_FLOW = f"""
-SELECT CAST(o_orderkey AS STRING) AS fieldwork_seq_no,
+SELECT CAST({_fsn('o_orderkey')} AS STRING) AS fieldwork_seq_no,
        {_FLOW_DATE} || ' ' || {clock12('7', '(o_orderkey % 60)')} AS start_datetime,
        CAST(o_custkey AS STRING) AS station_id,
        CASE WHEN o_orderkey % 17 = 0 THEN 'Another name'
@@ -147,7 +152,7 @@ def _mdy_text(ts: str, years: str) -> str:
 
 
 TP_PROGRAM = f"""
-SELECT CAST(l_orderkey AS STRING) AS fieldwork_seq_no,
+SELECT CAST({_fsn('l_orderkey')} AS STRING) AS fieldwork_seq_no,
        CAST(o_custkey AS STRING) AS station_id,
        'Station ' || CAST(o_custkey AS STRING) AS primary_station_name,
        CAST(CAST(42.0 + (o_custkey % 97) * 0.05 AS DOUBLE) AS STRING) AS calc_ll_lat_dd_amt,
@@ -167,7 +172,7 @@ WHERE l_linenumber <= 3
 """
 
 TP_PARTNER = f"""
-SELECT CAST(l_orderkey AS STRING) AS fieldwork_seq_no,
+SELECT CAST({_fsn('l_orderkey')} AS STRING) AS fieldwork_seq_no,
        {_mdy_text('o_orderdate', _TP_YEARS)} || ' ' ||
          {clock12(_TP_HOUR, _TP_MIN, '0')} AS sample_start_date_time,
        CAST(o_custkey AS STRING) AS station_id,
@@ -183,7 +188,7 @@ SAMPLES_PROGRAM = TP_PROGRAM
 SAMPLES_PARTNER = TP_PARTNER.replace("l_linenumber BETWEEN 3 AND 5", "l_linenumber >= 3")
 
 TP_AGENCY = f"""
-SELECT CAST(l_orderkey AS STRING) AS fieldwork_seqno,
+SELECT CAST({_fsn('l_orderkey')} AS STRING) AS fieldwork_seqno,
        {_mdy_text('o_orderdate', _TP_YEARS)} || ' ' ||
          {clock12(_TP_HOUR, _TP_MIN, '0')} AS start_date_time,
        CAST(o_custkey AS STRING) AS fieldwork_station_id,
@@ -351,10 +356,10 @@ HUC6_ATTRS = """
 SELECT r_regionkey AS pid, 'Basin ' || r_name AS MajorBasin FROM {region}
 """
 
-# land-cover cells: one record per lineitem on a 0.02 degree grid
+# land-cover cells: one record per lineitem on a 2500 m grid (EPSG:5070)
 LANDCOVER_CELLS = """
-SELECT CAST(-92.5 + ((l_orderkey % 331) + 0.5) * 0.02 AS DOUBLE) AS x,
-       CAST(42.0 + ((l_partkey % 277) + 0.5) * 0.02 AS DOUBLE) AS y,
+SELECT CAST(270000 + ((l_orderkey % 331) + 0.5) * 2500 AS DOUBLE) AS x,
+       CAST(2100000 + ((l_partkey % 277) + 0.5) * 2500 AS DOUBLE) AS y,
        CASE WHEN l_returnflag = 'A' AND l_linestatus = 'F' THEN 0
             WHEN l_returnflag = 'N' AND l_linestatus = 'F' THEN 11
             WHEN l_returnflag = 'N' THEN 21

@@ -11,6 +11,8 @@ from limnos.functions.util import as_col
 # optional fraction, optional exponent, surrounding blanks allowed, or Inf.
 NUMERIC_PATTERN = r"^\s*[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?\s*$|^\s*[+-]?Inf\s*$"
 
+WHOLE_PATTERN = r"^[+-]?\d+$"
+
 
 def as_numeric(c) -> Column:
     """``as.numeric``: text to double, NULL when not a number.
@@ -32,8 +34,13 @@ def as_integer(c) -> Column:
 
 
 def as_long(c) -> Column:
-    """Like ``as_integer`` but 64-bit, for identifiers that outgrow int."""
-    return as_numeric(c).try_cast("bigint")
+    """Like ``as_integer`` but 64-bit, for identifiers that outgrow int.
+
+    Whole numbers in plain digits are read exactly: a double would merge ids above
+    2^53.  Fractions and exponents go through double, as in ``as_integer``.
+    """
+    s = F.trim(as_col(c).cast("string"))
+    return F.when(s.rlike(WHOLE_PATTERN), s.try_cast("bigint")).otherwise(as_numeric(c).try_cast("bigint"))
 
 
 def na_tokens(c, tokens=("", "NA")) -> Column:

@@ -5,19 +5,21 @@ Layers are DataFrames with an id column and ``polys``:
 -> (x, y).  Polygon and MultiPolygon share that type; holes are extra rings.
 
 * ``edges`` turns rings into segments inside each row (no shuffle).
-* ``point_in_polygon`` is an equi-join on latitude bands plus an even-odd
-  crossing count: no nested-loop or cartesian join.  Hot bands are split by
-  AQE's skew join.
-* ``rasterize`` is a scanline fill: per polygon and grid row, the sorted
-  crossings give the covered cell ranges.  Grids drive the largest-overlap
-  join (G3) and covered-area extraction (G5) as equi-joins on cell ids.
+* ``point_in_polygon`` is an equi-join on the tiles of a two-level grid: only
+  tiles that a ring touches need its segments.  A hot tile is split by AQE's
+  skew join.
+* ``row_spans`` is a scanline fill: per polygon and grid row, the sorted
+  crossings give runs of covered cells.  The largest-overlap join (G3) is span
+  arithmetic on them; no row is made per cell.
+* ``coverage_spans`` gives the exact covered share of grid cells (G5): one row per
+  cell that a ring touches, one span for those between.
 """
 
 from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -29,20 +31,24 @@ POLYS = T.ArrayType(T.ArrayType(T.ArrayType(T.ArrayType(T.DoubleType()))))
 
 # --- geometry basics --------------------------------------------------------------
 
+def close_ring(r: Column) -> Column:
+    """The ring with its first vertex repeated at the end."""
+    first, last = F.get(r, F.lit(0)), F.get(r, F.size(r) - 1)
+    return F.when((F.size(r) > 0) & ((first[0] != last[0]) | (first[1] != last[1])),
+                  F.concat(r, F.array(first))).otherwise(r)
+
+
 def rings(polys: Column) -> Column:
     """All rings of all parts, each closed (first vertex repeated at the end)."""
-    flat = F.flatten(polys)
-    return F.transform(flat, lambda r: F.when(
-        (F.size(r) > 0) & ((r[0][0] != F.element_at(r, -1)[0]) | (r[0][1] != F.element_at(r, -1)[1])),
-        F.concat(r, F.array(r[0]))).otherwise(r))
+    return F.transform(F.flatten(polys), close_ring)
 
 
 def edges(layer: DataFrame, id_col: str) -> DataFrame:
     """(id, x1, y1, x2, y2) for every ring segment, computed within the row."""
     segs = F.flatten(F.transform(rings(F.col("polys")), lambda r: F.transform(
         F.sequence(F.lit(1), F.greatest(F.size(r) - 1, F.lit(1))),
-        lambda i: F.struct(r[i - 1][0].alias("x1"), r[i - 1][1].alias("y1"),
-                           r[i][0].alias("x2"), r[i][1].alias("y2")))))
+        lambda i: F.struct(F.get(r, i - 1)[0].alias("x1"), F.get(r, i - 1)[1].alias("y1"),
+                           F.get(r, i)[0].alias("x2"), F.get(r, i)[1].alias("y2")))))
     return (layer.select(id_col, F.explode(segs).alias("e"))
                  .where(F.col("e.x2").isNotNull())
                  .select(id_col, "e.x1", "e.y1", "e.x2", "e.y2"))
@@ -75,54 +81,138 @@ def layer_stats(layer: DataFrame) -> DataFrame:
 
 # --- point in polygon (G2) ------------------------------------------------------------
 
+TILE = 0.05             # side of a tile, in the layer's units
+WIDE = 6                # log2 of the tiles in a wide tile
+# share of a tile by which the grid is shifted, so that the round coordinates of
+# vertices and points do not lie on its lines
+_SHIFT = 0.3819660112501051
+
+
+def _parity(crossings: Column, x: Column) -> Column:
+    """0 or 1: parity of the crossings at or right of x."""
+    return F.size(F.filter(crossings, lambda c: c >= x)) % 2
+
+
+def tile_index(layer: DataFrame, poly_id: str, tile: float = TILE, wide: int = WIDE) -> DataFrame:
+    """Two-level grid over a layer: (poly_id, level, band, at, corner, segs).
+
+    A tile (band, at) that a ring touches is an *edge* tile: it holds the
+    segments that touch it and the polygon's parity (inside = 1) at its lower
+    right corner.  Tiles no ring touches are all inside or all outside; those
+    inside come as runs between edge tiles, cut into whole wide tiles (level
+    ``wide``) and the single tiles left over at their ends (level 0), without
+    segments.  Everything is grouped by (polygon, band): one shuffle, and no group
+    larger than one polygon's segments in one band.
+    """
+    ox = oy = tile * _SHIFT
+    e = edges(layer, poly_id)
+    low, high = F.least("y1", "y2"), F.greatest("y1", "y2")
+    e = e.withColumn("band", F.explode(F.sequence(F.floor((low - oy) / tile), F.floor((high - oy) / tile))))
+    bottom, flat = oy + F.col("band") * tile, F.col("y1") == F.col("y2")
+    at_y = lambda y: x_at(y, F.col("x1"), F.col("y1"), F.col("x2"), F.col("y2"))
+    xa = F.when(flat, F.col("x1")).otherwise(at_y(F.greatest(low, bottom)))
+    xz = F.when(flat, F.col("x2")).otherwise(at_y(F.least(high, bottom + tile)))
+    # a hair wider, so that rounding leaves out no tile a segment touches
+    e = e.withColumns({"first": F.floor((F.least(xa, xz) - ox) / tile - 1e-7),
+                       "last": F.floor((F.greatest(xa, xz) - ox) / tile + 1e-7),
+                       "c": F.when(crosses(bottom, F.col("y1"), F.col("y2")), at_y(bottom))})
+    e = e.repartition(poly_id, "band")
+    rows = e.groupBy(poly_id, "band").agg(F.collect_list("c").alias("crossings"))
+    touched = (e.withColumn("at", F.explode(F.sequence("first", "last"))).groupBy(poly_id, "band", "at")
+                .agg(F.collect_list(F.struct("x1", "y1", "x2", "y2")).alias("segs")))
+    right = lambda at: ox + (at + 1) * tile
+    edge = touched.join(rows, [poly_id, "band"]).select(
+        poly_id, F.lit(0).alias("level"), "band", "at", _parity(F.col("crossings"), right(F.col("at"))).alias("corner"), "segs")
+
+    runs = touched.groupBy(poly_id, "band").agg(F.sort_array(F.collect_list("at")).alias("ts")).join(rows, [poly_id, "band"])
+    gaps = F.filter(F.transform("ts", lambda t, k: F.struct((t + 1).alias("a"), (F.get("ts", k + 1) - 1).alias("z"))),
+                    lambda g: (g["a"] <= g["z"]) & (_parity(F.col("crossings"), right(g["a"]) - tile / 2) == 1))
+    runs = runs.select(poly_id, "band", F.explode(gaps).alias("g")).select(poly_id, "band", "g.a", "g.z")
+    runs = runs.withColumns({"wa": F.shiftright(F.col("a") + ((1 << wide) - 1), wide),
+                             "wz": F.shiftright(F.col("z") + 1, wide) - 1})
+    span = lambda level, lo, hi: F.when(lo <= hi, F.transform(F.sequence(lo, hi), lambda t: F.struct(
+        F.lit(level).alias("level"), t.alias("at")))).otherwise(F.array().cast("array<struct<level:int,at:bigint>>"))
+    a, z, wa, wz = (F.col(c) for c in ("a", "z", "wa", "wz"))
+    # with no whole wide tile inside, the run is one stretch of single tiles
+    pieces = F.when(wa > wz, span(0, a, z)).otherwise(F.concat(
+        span(wide, wa, wz), span(0, a, F.shiftleft(wa, wide) - 1), span(0, F.shiftleft(wz + 1, wide), z)))
+    inner = runs.select(poly_id, "band", F.explode(pieces).alias("p")).select(
+        poly_id, "p.level", "band", "p.at", F.lit(1).alias("corner"),
+        F.array().cast("array<struct<x1:double,y1:double,x2:double,y2:double>>").alias("segs"))
+    return edge.unionByName(inner)
+
+
+def tile_matches(points: DataFrame, x: str, y: str, index: DataFrame, tile: float = TILE, wide: int = WIDE) -> DataFrame:
+    """Each point with the index rows of its tile: an equi-join on (level, band,
+    at).  A point meets one row of each polygon that has its tile, at most."""
+    ox = oy = tile * _SHIFT
+    p = points.where(F.col(x).isNotNull() & F.col(y).isNotNull())
+    p = p.withColumns({"band": F.floor((F.col(y) - oy) / tile), "__t": F.floor((F.col(x) - ox) / tile)})
+    p = p.withColumn("__k", F.explode(F.array(
+        F.struct(F.lit(0).alias("level"), F.col("__t").alias("at")),
+        F.struct(F.lit(wide).alias("level"), F.shiftright("__t", wide).alias("at"))))).drop("__t")
+    p = p.select("*", "__k.level", "__k.at").drop("__k")
+    return p.join(index, ["level", "band", "at"])
+
+
+def _inside_tile(px: Column, py: Column, tile: float) -> Column:
+    """Even-odd test of a point against the segments of its tile.
+
+    The ray from the point to the right is followed to the tile's right side;
+    beyond it the parity is that of the tile's lower right corner, changed by
+    every segment that the side crosses between the corner and the ray.  Both parts
+    use the same crossing formula as a ray over all segments, so they agree with it.
+    """
+    ox = oy = tile * _SHIFT
+    right, bottom = ox + (F.col("at") + 1) * tile, oy + F.col("band") * tile
+
+    def changes(s):
+        x1, y1, x2, y2 = (s[c] for c in ("x1", "y1", "x2", "y2"))
+        flat = y1 == y2
+        here = F.when(flat, F.lit(False)).otherwise(
+            crosses(py, y1, y2) & (px < x_at(py, x1, y1, x2, y2)) & (x_at(py, x1, y1, x2, y2) < right))
+        lo, hi = F.greatest(F.least(y1, y2), bottom), F.least(F.greatest(y1, y2), py)
+        side = F.when(flat, (y1 > bottom) & (y1 <= py) & ((x1 >= right) != (x2 >= right))).otherwise(
+            (lo < hi) & ((x_at(lo, x1, y1, x2, y2) >= right) != (x_at(hi, x1, y1, x2, y2) >= right)))
+        return here.cast("int") + side.cast("int")
+    return F.aggregate("segs", F.col("corner"), lambda n, s: n + changes(s)) % 2 == 1
+
+
 def point_in_polygon(points: DataFrame, point_id: str, x: str, y: str,
-                     layer: DataFrame, poly_id: str, band: float = 0.05) -> DataFrame:
+                     layer: DataFrame, poly_id: str, tile: float = TILE) -> DataFrame:
     """(point_id, poly_id) for every point inside (even-odd rule) a polygon.
 
-    Segments are replicated over the latitude bands they span; each point
-    meets only the segments of its own band (equi-join), then the bounding
-    box and the crossing test (ray towards +x) filter, and an odd count of
-    crossings per (point, polygon) means inside.
+    Points meet the tile index of the layer: a tile wholly inside needs no
+    segment, an edge tile only its own.  One shuffle of the points, no grouping
+    afterwards; a tile that many points share is a skewed side AQE can split.
     """
-    boxed = layer.select(poly_id, "polys", *[c.alias(k) for k, c in bbox(F.col("polys")).items()])
-    e = edges(boxed, poly_id).join(boxed.select(poly_id, "minx", "maxx"), poly_id)
-    e = e.where(F.col("y1") != F.col("y2"))
-    lo = F.floor(F.least("y1", "y2") / band)
-    hi = F.floor(F.greatest("y1", "y2") / band)
-    e = e.withColumn("band", F.explode(F.sequence(lo, hi)))
-    p = points.select(F.col(point_id).alias("__pid"), F.col(x).alias("__px"),
-                      F.col(y).alias("__py")).where(F.col("__px").isNotNull()
-                                                     & F.col("__py").isNotNull())
-    p = p.withColumn("band", F.floor(F.col("__py") / band))
-    px, py = F.col("__px"), F.col("__py")
-    hits = (p.join(e, "band")
-             .where((px >= F.col("minx")) & (px <= F.col("maxx"))
-                    & crosses(py, F.col("y1"), F.col("y2"))
-                    & (px < x_at(py, F.col("x1"), F.col("y1"), F.col("x2"), F.col("y2")))))
-    return (hits.groupBy("__pid", poly_id).agg(F.count(F.lit(1)).alias("__n"))
-                .where(F.col("__n") % 2 == 1)
-                .select(F.col("__pid").alias(point_id), poly_id))
+    p = points.select(F.col(point_id).alias("__pid"), F.col(x).alias("__px"), F.col(y).alias("__py"))
+    met = tile_matches(p, "__px", "__py", tile_index(layer, poly_id, tile), tile)
+    return met.where(_inside_tile(F.col("__px"), F.col("__py"), tile)).select(F.col("__pid").alias(point_id), poly_id)
 
 
 def first_match_join(points: DataFrame, point_id: str, x: str, y: str, layer: DataFrame,
-                     poly_id: str, attrs: list[str], band: float = 0.05) -> DataFrame:
+                     poly_id: str, attrs: list[str], tile: float = TILE) -> DataFrame:
     """Left spatial join keeping one polygon per point (lowest polygon id),
     as the reference's chained ``st_join`` followed by a keep-first dedup."""
-    pairs = point_in_polygon(points, point_id, x, y, layer, poly_id, band)
-    first = keep_first(pairs, [point_id], order=[poly_id])
-    first = join_ns(first, layer.select(poly_id, *attrs), [poly_id], "left")
+    pairs = point_in_polygon(points, point_id, x, y, layer, poly_id, tile)
+    first = pairs.groupBy(point_id).agg(F.min(poly_id).alias(poly_id))
+    first = join_ns(first, layer.select(poly_id, *attrs), [poly_id], "left").drop(poly_id)
     return join_ns(points, first, [point_id], "left")
 
 
-# --- rasterisation (G3, G5) -------------------------------------------------------------
+# --- grid rows as spans (G3) --------------------------------------------------------------
+
+BLOCK = 6               # log2 of the cells in a block of a grid row
 
-def rasterize(layer: DataFrame, poly_id: str, x0: float, y0: float, cell: float) -> DataFrame:
-    """(poly_id, i, j) for every grid cell whose centre lies inside the polygon.
+
+def row_spans(layer: DataFrame, poly_id: str, x0: float, y0: float, cell: float) -> DataFrame:
+    """(poly_id, j, i0, i1): runs of grid cells whose centre lies inside the polygon.
 
     Cell (i, j) has its centre at (x0 + (i + .5) * cell, y0 + (j + .5) * cell).
     Per polygon and grid row the crossing x values are sorted; consecutive
     pairs bound the covered centres (the same even-odd rule as
-    ``point_in_polygon``).
+    ``point_in_polygon``).  The spans of one polygon and row are disjoint.
     """
     e = edges(layer, poly_id).where(F.col("y1") != F.col("y2"))
     jlo = F.ceil((F.least("y1", "y2") - y0) / cell - 0.5) - 1
@@ -133,27 +223,52 @@ def rasterize(layer: DataFrame, poly_id: str, x0: float, y0: float, cell: float)
     xs = e.groupBy(poly_id, "j").agg(
         F.array_sort(F.collect_list(x_at(yc, F.col("x1"), F.col("y1"), F.col("x2"), F.col("y2"))))
         .alias("xs"))
-    spans = xs.select(poly_id, "j", F.explode(F.transform(
+    pairs = xs.select(poly_id, "j", F.explode(F.transform(
         F.sequence(F.lit(0), F.floor(F.size("xs") / 2).cast("int") - 1),
         lambda k: F.struct(F.col("xs")[k * 2].alias("a"), F.col("xs")[k * 2 + 1].alias("b"))))
-        .alias("s")).where(F.col("s.b").isNotNull())
-    ilo = F.ceil((F.col("s.a") - x0) / cell - 0.5) - 1
-    ihi = F.floor((F.col("s.b") - x0) / cell - 0.5) + 1
-    cells = spans.withColumn("i", F.explode(F.sequence(ilo, ihi)))
-    xc = F.lit(x0) + (F.col("i") + 0.5) * cell
-    # spans of one row are disjoint, so every covered cell appears once
-    return cells.where((xc >= F.col("s.a")) & (xc < F.col("s.b"))).select(poly_id, "i", "j")
+        .alias("s"))
+    centre = lambda i: F.lit(x0) + (i + 0.5) * cell
+    # the division may round to a neighbour: the centres themselves decide
+    near = lambda x: F.ceil((x - x0) / cell - 0.5)
+    first = lambda x: (F.when(centre(near(x) - 1) >= x, near(x) - 1)
+                       .when(centre(near(x)) >= x, near(x)).otherwise(near(x) + 1))
+    return pairs.select(poly_id, "j", first(F.col("s.a")).alias("i0"), (first(F.col("s.b")) - 1).alias("i1")) \
+                .where(F.col("i0") <= F.col("i1"))
+
 
+def in_blocks(spans: DataFrame, block: int = BLOCK) -> DataFrame:
+    """The spans cut at the blocks of their row, with the block's number (``blk``)."""
+    lo, hi = F.shiftleft("blk", block), F.shiftleft(F.col("blk") + 1, block) - 1
+    cut = spans.withColumn("blk", F.explode(F.sequence(F.shiftright("i0", block), F.shiftright("i1", block))))
+    return cut.withColumns({"i0": F.greatest("i0", lo), "i1": F.least("i1", hi)})
 
-def best_parent(child_cells: DataFrame, parent_cells: DataFrame, child_id: str = "pid",
+
+def rasterize(layer: DataFrame, poly_id: str, x0: float, y0: float, cell: float) -> DataFrame:
+    """(poly_id, i, j) for every grid cell whose centre lies inside the polygon."""
+    return row_spans(layer, poly_id, x0, y0, cell).select(poly_id, F.explode(F.sequence("i0", "i1")).alias("i"), "j")
+
+
+def shared_cells(child: DataFrame, parent: DataFrame, child_id: str, parent_id: str, block: int = BLOCK) -> DataFrame:
+    """(child_id, parent, cells): grid cells that spans of both layers cover.
+
+    An overlap join by span arithmetic: spans are cut at fixed blocks of their
+    grid row, so two that overlap meet by equality of (row, block); the length
+    of the common part is added up.  No row is made per cell.
+    """
+    a, b = in_blocks(child, block).alias("a"), in_blocks(parent, block).alias("b")
+    common = F.least("a.i1", "b.i1") - F.greatest("a.i0", "b.i0") + 1
+    met = a.join(b, (F.col("a.j") == F.col("b.j")) & (F.col("a.blk") == F.col("b.blk")))
+    return met.select(F.col(f"a.{child_id}").alias(child_id), F.col(f"b.{parent_id}").alias("parent"), common.alias("n")) \
+              .where("n > 0").groupBy(child_id, "parent").agg(F.sum("n").alias("cells"))
+
+
+def best_parent(child: DataFrame, parent: DataFrame, child_id: str = "pid",
                 parent_id: str = "pid") -> DataFrame:
-    """(child_id, parent): the parent sharing most cells with each child
-    (ties: lowest parent id).  Cell tables come from ``rasterize`` on one grid."""
-    p = parent_cells.select(F.col(parent_id).alias("parent"), "i", "j")
-    shared = (child_cells.join(p, ["i", "j"]).groupBy(child_id, "parent")
-                         .agg(F.count(F.lit(1)).alias("__cells")))
-    best = keep_first(shared, [child_id], order=["__cells", "parent"], desc=("__cells",))
-    return best.drop("__cells")
+    """(child_id, parent): the parent sharing most cells with each child (ties:
+    lowest parent id).  Span tables come from ``row_spans`` on one grid."""
+    shared = shared_cells(child, parent, child_id, parent_id)
+    best = keep_first(shared, [child_id], order=["cells", "parent"], desc=("cells",))
+    return best.drop("cells")
 
 
 def largest_overlap(child: DataFrame, child_id: str, parent: DataFrame, parent_id: str,
@@ -161,26 +276,72 @@ def largest_overlap(child: DataFrame, child_id: str, parent: DataFrame, parent_i
     """``st_join(child, parent, largest = TRUE)`` approximated on a grid:
     the parent sharing most cell centres with the child (ties: lowest parent
     id); children without any shared cell keep NULL parent attributes."""
-    c = rasterize(child, child_id, x0, y0, cell)
-    p = rasterize(parent, parent_id, x0, y0, cell)
-    shared = (c.join(p, ["i", "j"]).groupBy(child_id, parent_id)
-                .agg(F.count(F.lit(1)).alias("__cells")))
-    best = keep_first(shared, [child_id], order=["__cells", parent_id], desc=("__cells",))
-    best = best.drop("__cells")
+    best = best_parent(row_spans(child, child_id, x0, y0, cell), row_spans(parent, parent_id, x0, y0, cell),
+                       child_id, parent_id).withColumnRenamed("parent", parent_id)
     attrs = parent.select(parent_id, *parent_attrs)
-    out = join_ns(child.drop("polys"), join_ns(best, attrs, [parent_id], "left"),
-                  [child_id], "left")
-    return out
+    return join_ns(child.drop("polys"), join_ns(best, attrs, [parent_id], "left"), [child_id], "left")
 
 
-def coverage_fractions(layer: DataFrame, poly_id: str, x0: float, y0: float, cell: float,
-                       k: int = 2) -> DataFrame:
-    """(poly_id, i, j, frac): share of each grid cell covered by the polygon,
-    estimated from k x k sub-cell centres."""
-    sub = rasterize(layer, poly_id, x0, y0, cell / k)
-    return (sub.groupBy(poly_id, F.floor(F.col("i") / k).alias("i"),
-                        F.floor(F.col("j") / k).alias("j"))
-               .agg((F.count(F.lit(1)) / float(k * k)).alias("frac")))
+# --- exact coverage of grid cells (G5) -------------------------------------------------------
+
+def oriented(polys: Column) -> Column:
+    """The polygons with closed rings, the first of a part counter-clockwise and
+    the others (holes) clockwise."""
+    turned = lambda r: F.aggregate(
+        F.sequence(F.lit(1), F.greatest(F.size(r) - 1, F.lit(1))), F.lit(0.0),
+        lambda n, i: n + F.coalesce(F.get(r, i - 1)[0] * F.get(r, i)[1] - F.get(r, i)[0] * F.get(r, i - 1)[1], F.lit(0.0)))
+    closed = F.transform(polys, lambda part: F.transform(part, close_ring))
+    return F.transform(closed, lambda part: F.transform(
+        part, lambda r, k: F.when((turned(r) < 0) == (k == 0), F.reverse(r)).otherwise(r)))
+
+
+def coverage_spans(layer: DataFrame, poly_id: str, x0: float, y0: float, cell: float) -> DataFrame:
+    """(poly_id, j, i0, i1, frac): the exact share of grid cells that a polygon covers.
+
+    Signed areas are accumulated along each grid row.  A ring segment is cut at
+    the grid's lines; each piece changes the coverage of all cells right of it
+    by its height, and that of its own cell by its height times the part of the
+    cell right of it.  The running sum over the cells that segments touch gives
+    their shares; between two of them the share is constant, so inner cells stay
+    one span.  Rows: the touched cells and the spans between them.
+    """
+    e = edges(layer.select(poly_id, oriented(F.col("polys")).alias("polys")), poly_id).select(
+        poly_id, *[((F.col(c) - o) / cell).alias(n) for c, n, o in
+                   (("x1", "u1", x0), ("y1", "v1", y0), ("x2", "u2", x0), ("y2", "v2", y0))])
+    clamp = lambda x, lo: F.least(F.greatest(x, lo), lo + 1)
+    j, i = F.col("j").cast("double"), F.col("i").cast("double")
+    e = e.where("v1 <> v2").withColumn("j", F.explode(F.sequence(F.floor(F.least("v1", "v2")), F.floor(F.greatest("v1", "v2")))))
+    at_v = lambda v: F.col("u1") + (F.col("u2") - F.col("u1")) * (v - F.col("v1")) / (F.col("v2") - F.col("v1"))
+    e = e.withColumns({"va": clamp(F.col("v1"), j), "vb": clamp(F.col("v2"), j)}).where("va <> vb")
+    e = e.select(poly_id, "j", (F.col("vb") - F.col("va")).alias("dv"), at_v(F.col("va")).alias("ua"), at_v(F.col("vb")).alias("ub"))
+    e = e.withColumn("i", F.explode(F.sequence(F.floor(F.least("ua", "ub")), F.floor(F.greatest("ua", "ub")))))
+    e = e.withColumns({"ca": clamp(F.col("ua"), i), "cb": clamp(F.col("ub"), i)})
+    height = F.when(F.col("ua") == F.col("ub"), -F.col("dv")).otherwise(
+        -F.col("dv") * (F.col("cb") - F.col("ca")) / (F.col("ub") - F.col("ua")))
+    part = e.withColumn("h", height).withColumn("a", F.col("h") * (1 - ((F.col("ca") + F.col("cb")) / 2 - i)))
+    cells = part.groupBy(poly_id, "j", "i").agg(F.sum("h").alias("h"), F.sum("a").alias("a"))
+    # one polygon's touched cells in one grid row
+    along = Window.partitionBy(poly_id, "j").orderBy("i")
+    before = F.coalesce(F.sum("h").over(along.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
+    run = cells.withColumns({"before": before, "next": F.lead("i").over(along)})
+    share = lambda c: F.round(c, 12)
+    pieces = F.array(
+        F.struct(F.col("i").alias("i0"), F.col("i").alias("i1"), share(F.col("before") + F.col("a")).alias("frac")),
+        F.struct((F.col("i") + 1).alias("i0"), (F.col("next") - 1).alias("i1"), share(F.col("before") + F.col("h")).alias("frac")))
+    return run.select(poly_id, "j", F.explode(pieces).alias("p")).select(poly_id, "j", "p.i0", "p.i1", "p.frac") \
+              .where("i0 <= i1 and frac > 0")
+
+
+def cover_cells(cells: DataFrame, spans: DataFrame, keys: list[str], block: int = 4) -> DataFrame:
+    """The cells (with i, j) joined to the polygons (``keys``) that cover them, with the covered share ``frac``.
+
+    The spans of a polygon in a block of a grid row are one row: a cell
+    meets one row of each polygon near it, by equality of (row, block).
+    """
+    blocks = in_blocks(spans, block).groupBy(*keys, "j", "blk").agg(F.collect_list(F.struct("i0", "i1", "frac")).alias("spans"))
+    met = cells.withColumn("blk", F.shiftright("i", block)).join(blocks, ["j", "blk"])
+    own = F.get(F.filter("spans", lambda s: (s["i0"] <= F.col("i")) & (F.col("i") <= s["i1"])), F.lit(0))
+    return met.withColumn("frac", own["frac"]).where(F.col("frac").isNotNull()).drop("spans", "blk")
 
 
 def cell_index(cells: DataFrame, x: str, y: str, x0: float, y0: float, cell: float) -> DataFrame:
@@ -278,6 +439,11 @@ def transform_polys(polys: Column, fn) -> Column:
     return F.transform(polys, lambda part: F.transform(part, lambda ring: F.transform(ring, vert)))
 
 
+def project(layer: DataFrame, fn=tm_forward) -> DataFrame:
+    """A lon/lat layer in metres (Wisconsin Transverse Mercator unless told otherwise)."""
+    return layer.withColumn("polys", transform_polys(F.col("polys"), fn))
+
+
 # --- simplification (G6) ----------------------------------------------------------------
 
 def _tri_area(a, b, c) -> Column:

@@ -9,7 +9,7 @@ from limnos.functions import percent, signed_percent
 from limnos.operators.aggregates import strict_mean
 from limnos.operators.joins import join_ns, lookup
 from limnos.operators.sets import bind_rows
-from limnos.operators.spatial import cell_index, coverage_fractions
+from limnos.operators.spatial import albers_forward, cell_index, cover_cells, coverage_spans, project
 
 # Land-cover legend (class code, name, display colour).
 CLASSES = [
@@ -42,20 +42,21 @@ def class_table(spark) -> DataFrame:
         "class int, class_name string, hex string, class_order int")
 
 
-def class_shares_levels(cells: DataFrame, layers: dict, x0: float, y0: float, cell: float,
-                        k: int = 2) -> DataFrame:
+def class_shares_levels(cells: DataFrame, layers: dict, x0: float, y0: float, cell: float) -> DataFrame:
     """G5 + A9 for several watershed levels in one pass over the cells.
 
-    The coverage of every level is stacked (level, pid, i, j, frac) and the
-    cell table (the largest input) is joined to it once, instead of once
-    per level.  Output: (huc_level, pid, class, area, total_area, pct_area).
+    Lon/lat layers are projected to the cells' system (EPSG:5070).  A cell counts
+    for a watershed with the exact share that the watershed covers; inner cells
+    meet a span, only cells on a border a share of their own.  The spans of all
+    levels are stacked and the cell table (the largest input) is joined to them
+    once, instead of once per level.  Output: (huc_level, pid, class, area, total_area, pct_area).
     """
-    frac = None
+    spans = None
     for level, layer in layers.items():
-        f = coverage_fractions(layer, "pid", x0, y0, cell, k).withColumn("huc_level", F.lit(level))
-        frac = f if frac is None else frac.unionByName(f)
+        s = coverage_spans(project(layer, albers_forward), "pid", x0, y0, cell).withColumn("huc_level", F.lit(level))
+        spans = s if spans is None else spans.unionByName(s)
     c = cell_index(cells, "x", "y", x0, y0, cell)
-    weighted = c.join(frac, ["i", "j"]).select(
+    weighted = cover_cells(c, spans, ["huc_level", "pid"]).select(
         "huc_level", "pid", "class", (F.col("cell_area") * F.col("frac")).alias("a"))
     area = weighted.groupBy("huc_level", "pid", "class").agg(F.sum("a").alias("area"))
     total = area.groupBy("huc_level", "pid").agg(F.sum("area").alias("total_area"))

@@ -8,9 +8,8 @@ from pyspark.sql import functions as F
 
 from limnos.functions import sentence_case, strip_line_breaks
 from limnos.operators.joins import join_ns
-from limnos.operators.groups import keep_first
-from limnos.operators.spatial import (best_parent, layer_stats, point_in_polygon, rasterize,
-                                      simplify, tm_forward, transform_polys)
+from limnos.operators.spatial import TILE, best_parent, layer_stats, point_in_polygon, project, row_spans, simplify
+from limnos.session import materialize
 
 # Vertex share kept when thinning each layer for display.
 KEEP_SHARE = {"counties": 0.25, "plans": 0.25, "huc8": 0.5, "huc10": 0.5, "huc12": 0.5,
@@ -24,19 +23,19 @@ STATION_OUTPUT = ["station_id", "station_name", "latitude", "longitude", "county
 
 def watershed_hierarchy(huc6: DataFrame, huc8: DataFrame, huc10: DataFrame, huc12: DataFrame,
                         x0: float, y0: float, cell: float) -> dict[str, DataFrame]:
-    """Each level takes the attributes of the parent it overlaps most
-    (grid approximation, cell size ``cell``).
+    """Each level takes the attributes of the parent it overlaps most.
 
-    Every layer (pid, polys, attributes) is rasterised once; the three
-    parent links are computed on cell tables and the attributes are then
-    carried down through small id tables, so no level's plan is nested in
-    the next one's.
+    Lon/lat layers (pid, polys, attributes) are projected to metres (EPSG:3071) and
+    laid on a grid of ``cell`` metres, once each: the row spans of a level are
+    written and serve as child and as parent.  Overlaps are span arithmetic; the
+    attributes are then carried down through small id tables, so no level's plan
+    is nested in the next one's.
     """
-    cells = {n: rasterize(l, "pid", x0, y0, cell) for n, l in
+    spans = {n: materialize(row_spans(project(l.select("pid", "polys")), "pid", x0, y0, cell)) for n, l in
              (("huc6", huc6), ("huc8", huc8), ("huc10", huc10), ("huc12", huc12))}
-    link8 = best_parent(cells["huc8"], cells["huc6"])
-    link10 = best_parent(cells["huc10"], cells["huc8"])
-    link12 = best_parent(cells["huc12"], cells["huc10"])
+    link8 = best_parent(spans["huc8"], spans["huc6"])
+    link10 = best_parent(spans["huc10"], spans["huc8"])
+    link12 = best_parent(spans["huc12"], spans["huc10"])
 
     def attach(layer, link, parent_attrs):
         base = layer.drop("polys")
@@ -52,13 +51,13 @@ def watershed_hierarchy(huc6: DataFrame, huc8: DataFrame, huc10: DataFrame, huc1
 
 
 def attribute_stations(stations: DataFrame, counties: DataFrame, huc12: DataFrame,
-                       dnr: DataFrame, band: float = 0.05) -> DataFrame:
+                       dnr: DataFrame, tile: float = TILE) -> DataFrame:
     """T9 second half: county, sub-watershed (with its hierarchy) and DNR
     watershed of each station, first match per layer.
 
-    Every layer is matched against the same (id, lon, lat) projection and
-    its one-row-per-station result joined back, so the station table appears
-    once per layer in the plan rather than nested inside the previous join.
+    The layers' tile indexes are stacked, so the stations meet all layers in one
+    join; a station's lowest polygon of each layer comes from one aggregate, and
+    the polygons' attributes are joined by id.
     """
     layers = [
         (counties, {"CountyName": "county_name", "DnrRegion": "dnr_region"}),
@@ -68,19 +67,22 @@ def attribute_stations(stations: DataFrame, counties: DataFrame, huc12: DataFram
         (dnr, {"DnrWatershedName": "dnr_watershed_name",
                "DnrWatershedCode": "dnr_watershed_code"}),
     ]
-    base = stations.select("station_id", "longitude", "latitude")
-    out = stations
+    stacked, tables = None, []
     for k, (layer, attrs) in enumerate(layers):
         if "polys" not in layer.columns:
             raise ValueError("attribute_stations: layers need a polys column")
         have = [a for a in attrs if a in layer.columns]
-        pid = f"__poly{k}"
-        lyr = layer.select(F.col("pid").alias(pid), "polys",
-                           *[F.col(a).alias(attrs[a]) for a in have])
-        pairs = point_in_polygon(base, "station_id", "longitude", "latitude", lyr, pid, band)
-        first = keep_first(pairs, ["station_id"], order=[pid])
-        first = join_ns(first, lyr.drop("polys"), [pid], "left").drop(pid)
-        out = join_ns(out, first, ["station_id"], "left")
+        tables.append(layer.select(F.col("pid").alias(f"__poly{k}"), *[F.col(a).alias(attrs[a]) for a in have]))
+        one = layer.select(F.struct(F.lit(k).alias("layer"), F.col("pid").cast("string").alias("pid")).alias("__shape"), "polys")
+        stacked = one if stacked is None else stacked.unionByName(one)
+    pairs = point_in_polygon(stations, "station_id", "longitude", "latitude", stacked, "__shape", tile)
+    kinds = [dict(layer.dtypes)["pid"] for layer, _ in layers]
+    first = pairs.groupBy("station_id").agg(*[
+        F.min(F.when(F.col("__shape.layer") == k, F.col("__shape.pid").cast(kind))).alias(f"__poly{k}")
+        for k, kind in enumerate(kinds)])
+    out = join_ns(stations, first, ["station_id"], "left")
+    for k, table in enumerate(tables):
+        out = join_ns(out, table, [f"__poly{k}"], "left").drop(f"__poly{k}")
     return out.select(*[c for c in STATION_OUTPUT if c in out.columns])
 
 
@@ -94,11 +96,6 @@ def display_layer(layer: DataFrame, name: str) -> DataFrame:
     return simplify(layer, KEEP_SHARE.get(name, 0.5))
 
 
-def to_wtm(layer: DataFrame) -> DataFrame:
-    """lon/lat polygons -> Wisconsin Transverse Mercator metres."""
-    return layer.withColumn("polys", transform_polys(F.col("polys"), tm_forward))
-
-
 def layer_summary(layers: dict[str, DataFrame]) -> DataFrame:
     """A16 for several layers: (layer, features, vertices, rings)."""
     out = None

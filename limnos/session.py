@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import SparkSession
 
@@ -70,12 +71,42 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir() or conf_dir
 
 
-def materialize(df):
-    """Write ``df`` once to the shared checkpoint folder and continue from
-    there (reliable checkpoint: survives executor loss, cuts the lineage).
-    For tables a job reads more than once."""
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+# Folders that ``materialize`` has written, by application
+_WRITTEN: dict[str, list[str]] = {}
+
+
+def intermediate_path(spark: SparkSession, name: str) -> str:
+    """A fresh folder for an intermediate table, on record for ``release``."""
+    path = f"{checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    _WRITTEN.setdefault(spark.sparkContext.applicationId, []).append(path)
+    return path
+
+
+def materialize(df, name: str = "limnos"):
+    """Write ``df`` once, as Parquet in the shared checkpoint folder, and continue from
+    that table: survives executor loss, cuts the lineage, and a later reader takes
+    only the columns it needs.  For tables a job reads more than once.
+
+    With ``spark.limnos.materialize`` = false nothing is written and the plan stays whole,
+    as plan tests and plan dumps want it.
+    """
+    spark = df.sparkSession
+    if spark.conf.get("spark.limnos.materialize", "true") == "false":
+        return df
+    path = intermediate_path(spark, name)
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def release(spark: SparkSession) -> int:
+    """Delete the intermediate tables of this application; returns their number.
+    For the end of a job: results read from them must have been written."""
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    paths = _WRITTEN.pop(spark.sparkContext.applicationId, [])
+    for path in paths:
+        folder = hadoop.Path(path)
+        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+    return len(paths)
 
 
 def assert_utc(spark: SparkSession) -> None:

@@ -1,5 +1,7 @@
 import math
+import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from limnos.operators import spatial as SP
@@ -36,7 +38,7 @@ def brute_inside(px, py, polys):
 def test_point_in_polygon_matches_brute_force(spark):
     pts = [(i, 0.37 * (i % 23) - 0.3, 0.29 * (i // 23) - 0.2) for i in range(23 * 17)]
     p = spark.createDataFrame(pts, "id int, x double, y double")
-    got = set(rows(SP.point_in_polygon(p, "id", "x", "y", layer(spark), "pid", band=0.5)))
+    got = set(rows(SP.point_in_polygon(p, "id", "x", "y", layer(spark), "pid", tile=0.5)))
     polys = {1: SQUARE_WITH_HOLE, 2: TWO_PARTS, 3: DIAMOND}
     want = {(i, k) for i, x, y in pts for k, poly in polys.items() if brute_inside(x, y, poly)}
     assert got == want and len(want) > 20
@@ -76,12 +78,122 @@ def test_largest_overlap_60_40(spark):
     assert out == {1: "west", 2: None}
 
 
-def test_coverage_fractions(spark):
+def star(rng, cx, cy, n, lo=0.2, hi=1.5):
+    """A closed ring around (cx, cy) with n vertices at random distances."""
+    v = [[cx + r * math.cos(t), cy + r * math.sin(t)] for t, r in
+         ((2 * math.pi * k / n, rng.uniform(lo, hi)) for k in range(n))]
+    return v + v[:1]
+
+
+def star_layer(spark, seed, n=12):
+    """Overlapping star polygons, some with a hole (in either direction) and a second part."""
+    rng = random.Random(seed)
+    polys = {}
+    for k in range(n):
+        cx, cy = rng.uniform(0, 6), rng.uniform(-3, 3)
+        part = [star(rng, cx, cy, rng.randrange(3, 60), 0.5)]
+        if k % 3 == 0:
+            hole = star(rng, cx, cy, rng.randrange(3, 20), 0.1, 0.2)
+            part.append(hole[::-1] if k % 2 else hole)
+        if k % 5 == 0:
+            part[0] = part[0][::-1]
+        polys[k] = [part] + ([[star(rng, cx + 20, cy, 5)]] if k % 4 == 0 else [])
+    df = spark.createDataFrame(list(polys.items()), T.StructType([T.StructField("pid", T.IntegerType()),
+                                                                  T.StructField("polys", SP.POLYS)]))
+    return df, polys
+
+
+@pytest.mark.parametrize("tile", [0.07, 0.4, 3.0])
+def test_tile_index_agrees_with_rays(spark, tile):
+    # tiles far smaller and larger than the polygons; points on vertices and edges too
+    lyr, polys = star_layer(spark, 1)
+    rng = random.Random(2)
+    pts = [(k, rng.uniform(-2, 28), rng.uniform(-5, 5)) for k in range(400)]
+    pts += [(1000 + k, x, y) for k, (x, y) in enumerate(v for p in polys.values() for v in p[0][0][:6])]
+    pts += [(2000, None, 1.0), (2001, 1.0, None)]
+    got = set(rows(SP.point_in_polygon(spark.createDataFrame(pts, "id int, x double, y double"), "id", "x", "y", lyr, "pid", tile)))
+    want = {(i, k) for i, x, y in pts if x is not None and y is not None
+            for k, poly in polys.items() if brute_inside(x, y, poly)}
+    assert got == want and len(want) > 100
+
+
+def test_points_meet_few_index_rows(spark):
+    # many polygons in one latitude band: a point meets those of its own tile only
+    n = 200
+    lyr = spark.createDataFrame([(k, [[[[2.0 * k, 0.0], [2.0 * k + 1.5, 0.0], [2.0 * k + 1.5, 1.0], [2.0 * k, 1.0]]]])
+                                 for k in range(n)],
+                                T.StructType([T.StructField("pid", T.IntegerType()), T.StructField("polys", SP.POLYS)]))
+    pts = spark.range(2000).select("id", (F.col("id") * 0.2 + 0.05).alias("x"), F.lit(0.51).alias("y"))
+    met = SP.tile_matches(pts, "x", "y", SP.tile_index(lyr, "pid", 0.1), 0.1)
+    inside = SP.point_in_polygon(pts, "id", "x", "y", lyr, "pid", 0.1).count()
+    assert inside == 1600 and inside <= met.count() <= 1.2 * inside      # by latitude alone: 2 * 200 * 2000
+
+
+def test_inner_tiles_come_as_wide_ones(spark):
+    lyr = spark.createDataFrame([(1, fl([[[[0, 0], [100, 0], [100, 1], [0, 1]]]]))],
+                                T.StructType([T.StructField("pid", T.IntegerType()), T.StructField("polys", SP.POLYS)]))
+    index = SP.tile_index(lyr, "pid", 0.1).where("size(segs) = 0")
+    assert index.where("level = 0").count() <= 126 * 11
+    assert index.where("level > 0").count() >= 9 * 14
+
+
+def test_spans_share_the_same_cells(spark):
+    a, _ = star_layer(spark, 3)
+    b, _ = star_layer(spark, 4, 7)
+    grid = (-3.0, -5.0, 0.05)
+    got = set(rows(SP.shared_cells(SP.row_spans(a, "pid", *grid), SP.row_spans(b, "pid", *grid), "pid", "pid", block=3)))
+    ca, cb = SP.rasterize(a, "pid", *grid), SP.rasterize(b, "pid", *grid).withColumnRenamed("pid", "q")
+    want = set(rows(ca.join(cb, ["i", "j"]).groupBy("pid", "q").count()))
+    assert got == want and len(want) > 10
+
+
+def clipped_area(ring, xl, yl, xh, yh):
+    """Area of a ring inside a box, by clipping at its four sides (signed by the ring)."""
+    pts = ring[:-1]
+    for axis, bound, keep in ((0, xl, 1), (0, xh, -1), (1, yl, 1), (1, yh, -1)):
+        out = []
+        for (p, q) in zip(pts, pts[1:] + pts[:1]):
+            a, b = (p[axis] - bound) * keep, (q[axis] - bound) * keep
+            if a >= 0:
+                out.append(p)
+            if (a < 0) != (b < 0):
+                t = a / (a - b)
+                out.append([p[0] + t * (q[0] - p[0]), p[1] + t * (q[1] - p[1])])
+        pts = out
+        if not pts:
+            return 0.0
+    return sum(p[0] * q[1] - q[0] * p[1] for p, q in zip(pts, pts[1:] + pts[:1])) / 2
+
+
+@pytest.mark.parametrize("cell", [0.13, 0.9])
+def test_coverage_is_exact(spark, cell):
+    lyr, polys = star_layer(spark, 5, 6)
+    x0, y0 = -3.05, -5.02
+    got = {}
+    for pid, j, i0, i1, frac in rows(SP.coverage_spans(lyr, "pid", x0, y0, cell)):
+        for i in range(i0, i1 + 1):
+            assert (pid, i, j) not in got
+            got[pid, i, j] = frac
+    for pid, poly in polys.items():
+        cells = {(i, j) for p, i, j in got if p == pid}
+        area = 0.0
+        for part in poly:
+            for k, ring in enumerate(part):
+                area += (-1 if k else 1) * abs(clipped_area(ring, -100, -100, 100, 100))
+        assert abs(sum(got[pid, i, j] for i, j in cells) * cell * cell - area) < 1e-9
+        for i, j in random.Random(6).sample(sorted(cells), min(150, len(cells))):
+            box = (x0 + i * cell, y0 + j * cell, x0 + (i + 1) * cell, y0 + (j + 1) * cell)
+            want = sum((-1 if k else 1) * abs(clipped_area(ring, *box)) for part in poly for k, ring in enumerate(part))
+            assert abs(got[pid, i, j] - want / (cell * cell)) < 1e-9
+
+
+def test_cells_meet_the_polygons_that_cover_them(spark):
     sq = spark.createDataFrame([(1, fl([[[[0, 0], [1, 0], [1, 1], [0, 1], [0, 0]]]]))],
-                               T.StructType([T.StructField("pid", T.IntegerType()),
-                                             T.StructField("polys", SP.POLYS)]))
-    fr = {(i, j): f for _, i, j, f in rows(SP.coverage_fractions(sq, "pid", 0.5, 0.5, 1.0, k=2))}
-    assert fr == {(-1, -1): 0.25, (0, -1): 0.25, (-1, 0): 0.25, (0, 0): 0.25}
+                               T.StructType([T.StructField("pid", T.IntegerType()), T.StructField("polys", SP.POLYS)]))
+    cells = spark.createDataFrame([(i, j, 10.0) for i in range(-2, 3) for j in range(-2, 3)], "i long, j long, w double")
+    spans = SP.coverage_spans(sq, "pid", 0.5, 0.5, 1.0)
+    got = {(i, j): f for i, j, f in rows(SP.cover_cells(cells, spans, ["pid"]), "i", "j", "frac")}
+    assert got == {(-1, -1): 0.25, (0, -1): 0.25, (-1, 0): 0.25, (0, 0): 0.25}
 
 
 def test_transverse_mercator_roundtrip(spark):
