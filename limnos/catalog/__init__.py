@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from limnos.catalog import layer_oracles as LO
+from limnos.catalog import layer_queries as LQ
 from limnos.catalog import oracles as O
 from limnos.catalog import queries as Q
 
@@ -35,7 +37,7 @@ REGISTRY = {
     "watershed_hierarchy": (Q.watershed_hierarchy, O.WATERSHED_HIERARCHY),
     "station_watersheds": (Q.station_watersheds, O.STATION_WATERSHEDS),
     "layer_stats": (Q.layer_stats, O.LAYER_STATS),
-    "display_layer_stats": (Q.display_layer_stats, None),
+    "display_layer_stats": (Q.display_layer_stats, LO.DISPLAY_LAYER_STATS),
     "stations_wtm": (Q.stations_wtm, O.STATIONS_WTM),
     "landcover_shares": (Q.landcover_shares, O.LANDCOVER_SHARES),
     "landcover_area_summary": (Q.landcover_area_summary, O.LANDCOVER_AREA_SUMMARY),
@@ -55,4 +57,9 @@ REGISTRY = {
     "tp_scale": (Q.tp_scale, O.TP_SCALE),
     "landcover_axis_range": (Q.landcover_axis_range, O.LANDCOVER_AXIS_RANGE),
     "visits_excel_text": (Q.visits_excel_text, O.VISITS_EXCEL_TEXT),
+    "layers_geojson_roundtrip": (LQ.layers_geojson_roundtrip, LO.LAYERS_GEOJSON_ROUNDTRIP),
+    "dnr_watershed_layer": (LQ.dnr_watershed_layer, LO.DNR_WATERSHED_LAYER),
+    "display_layers_export": (LQ.display_layers_export, LO.DISPLAY_LAYERS_EXPORT),
+    "landcover_cells_roundtrip": (LQ.landcover_cells_roundtrip, LO.LANDCOVER_CELLS_ROUNDTRIP),
+    "nke_plans": (LQ.nke_plans, LO.NKE_PLANS),
 }

@@ -356,6 +356,56 @@ HUC6_ATTRS = """
 SELECT r_regionkey AS pid, 'Basin ' || r_name AS MajorBasin FROM {region}
 """
 
+# DNR watersheds with shared winding borders: a cell of a lattice per supplier;
+# the vertices of a side follow from the side, so neighbours have the same ones
+_CX, _RY = "((s_suppkey - 1) % 10)", "CAST((s_suppkey - 1 - (s_suppkey - 1) % 10) / 10 AS BIGINT)"
+
+
+def _winding(dc: int, dr: int, m: int, across: bool) -> tuple[str, str]:
+    """Vertex m of the side that starts at lattice point (c + dc, r + dr)."""
+    c, r = f"({_CX} + {dc})", f"({_RY} + {dr})"
+    bend = f"(({c} * 7 + {r} * 13 + {m * 5 + 3 * across}) % 9 - 4) * 0.02"
+    return (f"{c} + {m} * 0.125", f"{r} + {bend}") if across else (f"{c} + {bend}", f"{r} + {m} * 0.125")
+
+
+def _lattice(dc: int, dr: int) -> tuple[str, str]:
+    return f"{_CX} + {dc}", f"{_RY} + {dr}"
+
+
+BASIN_VERTICES = _vertex_rows("{supplier}", "s_suppkey", [(0, 0, [
+    _lattice(0, 0), *[_winding(0, 0, m, True) for m in range(1, 7)],
+    _lattice(1, 0), *[_winding(1, 0, m, False) for m in range(1, 7)],
+    _lattice(1, 1), *[_winding(0, 1, m, True) for m in range(6, 0, -1)],
+    _lattice(0, 1), *[_winding(0, 0, m, False) for m in range(6, 0, -1)]])])
+BASIN_ATTRS = """
+SELECT s_suppkey AS pid, 'W' || CAST(s_suppkey AS STRING) AS WSHED_CODE, s_name AS WSHED_NAME,
+       CAST(s_acctbal AS DOUBLE) AS WATERSHED_SIZE_ACRES_AMT,
+       CASE WHEN s_suppkey % 7 = 0 THEN NULL ELSE CAST(s_acctbal AS DOUBLE) / 640 END AS WATERSHED_SIZE_SQ_MILES_AMT,
+       CAST(s_nationkey AS DOUBLE) AS TOTAL_LAKE_ACRES_AMT,
+       CAST(s_suppkey % 100 AS DOUBLE) + 0.5 AS TOTAL_WETLAND_ACRES_AMT
+FROM {supplier}
+"""
+
+# lakes: a hexagon per supplier, clockwise, with an island in every third
+_LX, _LY, _LR = f"{_CX} + 0.5", f"{_RY} + 0.5", "(0.05 + (s_suppkey % 1000) * 0.0001)"
+LAKE_VERTICES = _vertex_rows("{supplier}", "s_suppkey", [
+    (0, 0, [(f"{_LX} - {_LR}", _LY), (f"{_LX} - {_LR} * 0.5", f"{_LY} + {_LR}"), (f"{_LX} + {_LR} * 0.5", f"{_LY} + {_LR}"),
+            (f"{_LX} + {_LR}", _LY), (f"{_LX} + {_LR} * 0.5", f"{_LY} - {_LR}"), (f"{_LX} - {_LR} * 0.5", f"{_LY} - {_LR}")]),
+    (0, 1, [(f"{_LX} - {_LR} * 0.25", _LY), (_LX, f"{_LY} + {_LR} * 0.25"), (f"{_LX} + {_LR} * 0.25", _LY)]),
+], where={(0, 1): "s_suppkey % 3 = 0"})
+LAKE_ATTRS = """
+SELECT s_suppkey AS pid, 'Lake "' || s_name || '" ' || chr(123) || chr(125) || chr(10) || ' "Feature"' AS LakeName FROM {supplier}
+"""
+
+# restoration plans: documents as plan texts with dates, a tenth without an id
+NKE_PLANS = """
+SELECT CASE WHEN doc_id % 10 = 3 THEN NULL ELSE doc_id END AS PlanId, source || chr(13) || chr(10) AS PlanName,
+       lang AS PurposeDe, text AS Objective,
+       DATE '2020-01-01' + CAST(doc_id % 500 AS INT) AS StartDate,
+       CASE WHEN doc_id % 4 = 0 THEN NULL ELSE DATE '2024-06-30' + CAST(doc_id % 90 AS INT) END AS EndDate
+FROM {documents}
+"""
+
 # land-cover cells: one record per lineitem on a 2500 m grid (EPSG:5070)
 LANDCOVER_CELLS = """
 SELECT CAST(270000 + ((l_orderkey % 331) + 0.5) * 2500 AS DOUBLE) AS x,

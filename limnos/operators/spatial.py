@@ -72,6 +72,11 @@ def crosses(py: Column, y1: Column, y2: Column) -> Column:
     return (y1 > py) != (y2 > py)
 
 
+def planar_area(polys: Column) -> Column:
+    """Area of outer rings less that of holes, in square units of the layer."""
+    return F.aggregate(F.flatten(oriented(polys)), F.lit(0.0), lambda n, r: n + _turned(r)) / 2
+
+
 def layer_stats(layer: DataFrame) -> DataFrame:
     """Features and vertices of a layer."""
     return layer.agg(F.count(F.lit(1)).alias("features"),
@@ -284,15 +289,19 @@ def largest_overlap(child: DataFrame, child_id: str, parent: DataFrame, parent_i
 
 # --- exact coverage of grid cells (G5) -------------------------------------------------------
 
+def _turned(r: Column) -> Column:
+    """Twice the signed area of a closed ring, positive when counter-clockwise."""
+    return F.aggregate(
+        F.sequence(F.lit(1), F.greatest(F.size(r) - 1, F.lit(1))), F.lit(0.0),
+        lambda n, i: n + F.coalesce(F.get(r, i - 1)[0] * F.get(r, i)[1] - F.get(r, i)[0] * F.get(r, i - 1)[1], F.lit(0.0)))
+
+
 def oriented(polys: Column) -> Column:
     """The polygons with closed rings, the first of a part counter-clockwise and
     the others (holes) clockwise."""
-    turned = lambda r: F.aggregate(
-        F.sequence(F.lit(1), F.greatest(F.size(r) - 1, F.lit(1))), F.lit(0.0),
-        lambda n, i: n + F.coalesce(F.get(r, i - 1)[0] * F.get(r, i)[1] - F.get(r, i)[0] * F.get(r, i - 1)[1], F.lit(0.0)))
     closed = F.transform(polys, lambda part: F.transform(part, close_ring))
     return F.transform(closed, lambda part: F.transform(
-        part, lambda r, k: F.when((turned(r) < 0) == (k == 0), F.reverse(r)).otherwise(r)))
+        part, lambda r, k: F.when((_turned(r) < 0) == (k == 0), F.reverse(r)).otherwise(r)))
 
 
 def coverage_spans(layer: DataFrame, poly_id: str, x0: float, y0: float, cell: float) -> DataFrame:
@@ -442,31 +451,3 @@ def transform_polys(polys: Column, fn) -> Column:
 def project(layer: DataFrame, fn=tm_forward) -> DataFrame:
     """A lon/lat layer in metres (Wisconsin Transverse Mercator unless told otherwise)."""
     return layer.withColumn("polys", transform_polys(F.col("polys"), fn))
-
-
-# --- simplification (G6) ----------------------------------------------------------------
-
-def _tri_area(a, b, c) -> Column:
-    return F.abs((b[0] - a[0]) * (c[1] - a[1]) - (c[0] - a[0]) * (b[1] - a[1])) / 2
-
-
-def simplify_ring(ring: Column, keep: float) -> Column:
-    """Keep the share ``keep`` of a closed ring's vertices: those whose triangle
-    with their neighbours is largest (one pass, not topology-preserving);
-    the closing vertex and at least three distinct vertices are kept."""
-    n = F.size(ring)
-    inner = F.transform(F.sequence(F.lit(1), F.greatest(n - 2, F.lit(1))),
-                        lambda i: _tri_area(ring[i - 1], ring[i], ring[i + 1]))
-    want = F.greatest(F.lit(2), F.ceil((n - 2) * keep).cast("int"))
-    # rank by (area rounded past floating-point noise, position): ties are
-    # decided by position and exactly ``want`` vertices stay
-    placed = F.transform(inner, lambda a, i: F.struct(F.round(-a, 12).alias("a"), (i + 1).alias("i")))
-    chosen = F.transform(F.slice(F.sort_array(placed), F.lit(1), F.least(want, F.size(inner))), lambda x: x["i"])
-    kept = F.filter(F.sequence(F.lit(0), n - 1),
-                    lambda i: (i == 0) | (i == n - 1) | F.array_contains(chosen, i))
-    return F.when(n <= 4, ring).otherwise(F.transform(kept, lambda i: ring[i]))
-
-
-def simplify(layer: DataFrame, keep: float) -> DataFrame:
-    return layer.withColumn("polys", F.transform(
-        "polys", lambda part: F.transform(part, lambda r: simplify_ring(r, keep))))

@@ -8,13 +8,23 @@ from pyspark.sql import functions as F
 
 from limnos.functions import sentence_case, strip_line_breaks
 from limnos.operators.joins import join_ns
-from limnos.operators.spatial import TILE, best_parent, layer_stats, point_in_polygon, project, row_spans, simplify
+from limnos.operators.groups import top_n_with_ties
+from limnos.operators.spatial import TILE, best_parent, layer_stats, planar_area, point_in_polygon, project, row_spans
+from limnos.operators.topology import thin
 from limnos.session import materialize
+from limnos.sources.geo import write_geojson
 
 # Vertex share kept when thinning each layer for display.
 KEEP_SHARE = {"counties": 0.25, "plans": 0.25, "huc8": 0.5, "huc10": 0.5, "huc12": 0.5,
               "dnr_watersheds": 0.15}
 
+# Source column -> output column of the plan and watershed layers.
+NKE_COLUMNS = {"PlanName": "nke_plan_name", "PurposeDe": "nke_plan_purpose", "Objective": "nke_plan_objective",
+               "StartDate": "nke_start", "EndDate": "nke_end"}
+DNR_COLUMNS = {"WshedCode": "DnrWatershedCode", "WshedName": "DnrWatershedName", "WatershedSizeAcresAmt": "SizeAcres",
+               "WatershedSizeSqMilesAmt": "SizeSqMiles", "TotalLakeAcresAmt": "TotalLakeAcres",
+               "TotalWetlandAcresAmt": "TotalWetlandAcres"}
+
 STATION_OUTPUT = ["station_id", "station_name", "latitude", "longitude", "county_name",
                   "dnr_region", "wbic", "waterbody", "huc12", "sub_watershed", "huc10",
                   "watershed", "dnr_watershed_name", "dnr_watershed_code", "huc8", "sub_basin",
@@ -91,9 +101,38 @@ def plan_attributes(plans: DataFrame, text_cols: list[str]) -> DataFrame:
     return plans.withColumns({c: sentence_case(F.trim(strip_line_breaks(c))) for c in text_cols})
 
 
+def nke_data(plans: DataFrame) -> DataFrame:
+    """Plans with an id; names, purposes and objectives as sentences
+    without line breaks, the dates as they are."""
+    kept = plans.where(F.col("PlanId").isNotNull()).select("PlanId", *[F.col(a).alias(b) for a, b in NKE_COLUMNS.items()])
+    texts = [f.name for f in kept.schema.fields if f.dataType.simpleString() == "string" and f.name in NKE_COLUMNS.values()]
+    return plan_attributes(kept, texts)
+
+
+def dnr_layer(raw: DataFrame) -> DataFrame:
+    """The DNR watersheds with codes, names, sizes and lake and wetland acres."""
+    return raw.select(*[F.col(a).alias(b) for a, b in DNR_COLUMNS.items()], "polys")
+
+
+def major_lakes(lakes: DataFrame, n: int = 1000) -> DataFrame:
+    """The n largest waterbodies by area (ties stay)."""
+    return top_n_with_ties(lakes.withColumn("Area", planar_area(F.col("polys"))), "Area", n)
+
+
 def display_layer(layer: DataFrame, name: str) -> DataFrame:
-    """Thinned copy of a layer for maps."""
-    return simplify(layer, KEEP_SHARE.get(name, 0.5))
+    """Copy of a layer for maps, thinned with its shared borders; layers
+    without a share, such as the lakes, as they are."""
+    return thin(layer, "pid", KEEP_SHARE[name]) if name in KEEP_SHARE else layer
+
+
+def export_layers(layers: dict[str, DataFrame], targets: list[str]) -> list[str]:
+    """Every layer to every target folder as ``<name>.geojson``; a layer is worked once."""
+    written = []
+    for name, layer in layers.items():
+        once = materialize(layer, "layer")
+        for target in targets:
+            written.append(write_geojson(once, f"{target.rstrip('/')}/{name}.geojson", [c for c in once.columns if c != "polys"]))
+    return written
 
 
 def layer_summary(layers: dict[str, DataFrame]) -> DataFrame:

@@ -232,15 +232,6 @@ def test_tm_against_krueger_series(spark):
         assert abs(gx - kx) < 1e-3 and abs(gy - ky) < 1e-3
 
 
-def test_simplify_keeps_closed_rings(spark):
-    ring = [[math.cos(t / 10), math.sin(t / 10)] for t in range(63)]
-    ring.append(ring[0])
-    df = spark.createDataFrame([(1, [[ring]])], T.StructType([T.StructField("pid", T.IntegerType()),
-                                                              T.StructField("polys", SP.POLYS)]))
-    out = SP.simplify(df, 0.25).first()["polys"][0][0]
-    assert out[0] == out[-1] and 12 <= len(out) <= 30
-
-
 def test_layer_stats_and_vertices(spark):
     st = SP.layer_stats(layer(spark)).first()
     assert (st["features"], st["rings"], st["vertices"]) == (3, 5, 24)
@@ -275,18 +266,3 @@ def test_albers_origin_and_scale(spark):
     (x0, y0), (x1, y1) = rows(df.select(x, y))
     assert abs(x0) < 1e-6 and abs(y0) < 1e-6
     assert 400000 < x1 < 600000 and 2200000 < y1 < 2500000
-
-
-def test_simplify_keeps_the_exact_share_under_ties(spark):
-    # 24 vertices on a circle: all triangles are equal but for rounding noise
-    import math
-    from pyspark.sql import functions as F
-    from limnos.operators.spatial import simplify_ring
-    ring = [[math.cos(k * math.pi / 12), math.sin(k * math.pi / 12)] for k in range(24)]
-    ring.append(ring[0])
-    df = spark.createDataFrame([(ring,)], "ring array<array<double>>")
-    for keep in (0.25, 0.5, 0.8):
-        got = df.select(simplify_ring(F.col("ring"), keep).alias("r")).first().r
-        want = math.ceil((len(ring) - 2) * keep)
-        assert len(got) == want + 2 and got[0] == ring[0] and got[-1] == ring[-1]
-        assert [list(v) for v in got[1:-1]] == ring[1:1 + want]      # ties go to the earlier vertex
