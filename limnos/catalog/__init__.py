@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from limnos.catalog import file_oracles as FO
+from limnos.catalog import file_queries as FQ
 from limnos.catalog import layer_oracles as LO
 from limnos.catalog import layer_queries as LQ
 from limnos.catalog import oracles as O
@@ -43,7 +45,7 @@ REGISTRY = {
     "landcover_area_summary": (Q.landcover_area_summary, O.LANDCOVER_AREA_SUMMARY),
     "landcover_state_means": (Q.landcover_state_means, O.LANDCOVER_STATE_MEANS),
     "landcover_vs_state": (Q.landcover_vs_state, O.LANDCOVER_VS_STATE),
-    "landcover_sample_watershed": (Q.landcover_sample_watershed, None),
+    "landcover_sample_watershed": (Q.landcover_sample_watershed, O.LANDCOVER_SAMPLE_WATERSHED),
     "plan_attributes": (Q.plan_attributes, O.PLAN_ATTRIBUTES),
     "stations_csv_roundtrip": (Q.stations_csv_roundtrip, O.STATION_MASTER),
     "logger_files_roundtrip": (Q.logger_files_roundtrip, O.LOGGER_READINGS),
@@ -62,4 +64,14 @@ REGISTRY = {
     "display_layers_export": (LQ.display_layers_export, LO.DISPLAY_LAYERS_EXPORT),
     "landcover_cells_roundtrip": (LQ.landcover_cells_roundtrip, LO.LANDCOVER_CELLS_ROUNDTRIP),
     "nke_plans": (LQ.nke_plans, LO.NKE_PLANS),
+    "flow_first_in_file": (FQ.flow_first_in_file, FO.FLOW_FIRST_IN_FILE),
+    "logger_years": (FQ.logger_years, FO.LOGGER_YEARS),
+    "logger_years_qc": (FQ.logger_years_qc, FO.LOGGER_YEARS_QC),
+    "inventory_years_without_data": (FQ.inventory_years_without_data, FO.INVENTORY_YEARS_WITHOUT_DATA),
+    "logger_titles": (FQ.logger_titles, FO.LOGGER_TITLES),
+    "station_tally_arranged": (FQ.station_tally_arranged, FO.STATION_TALLY_ARRANGED),
+    "tp_histogram_auto": (FQ.tp_histogram_auto, FO.TP_HISTOGRAM_AUTO),
+    "baseline_at_duplicates": (FQ.baseline_at_duplicates, FO.BASELINE_AT_DUPLICATES),
+    "duplicate_samples_of_year": (FQ.duplicate_samples_of_year, FO.DUPLICATE_SAMPLES_OF_YEAR),
+    "reading_time_zone": (FQ.reading_time_zone, FO.READING_TIME_ZONE),
 }

@@ -761,6 +761,14 @@ LANDCOVER_STATE_MEANS = _cte2(STATE_CTES) + """
 SELECT class_name, hex, class_order, round(pct_area, 6) AS pct_area FROM state"""
 
 
+LANDCOVER_SAMPLE_WATERSHED = _cte2(STATE_CTES) + """,
+pick AS (SELECT huc FROM landscape WHERE huc_level = 12 AND huc IS NOT NULL GROUP BY huc
+         ORDER BY sha256('42:' || huc), huc LIMIT 1)
+SELECT l.huc_level, l.huc, l.huc_name, l.class, round(l.area, 1) AS area, round(l.total_area, 1) AS total_area,
+       round(l.pct_area, 6) AS pct_area, g.class_name, g.hex, g.class_order
+FROM landscape l LEFT JOIN legend g ON l.class = g.class WHERE l.huc IN (SELECT huc FROM pick)"""
+
+
 def _pct(x: str) -> str:
     v = D.r_round(f"({x}) * 100", 1)
     return f"printf('%.1f%%', CASE WHEN {v} = 0 THEN 0.0 ELSE {v} END)"

@@ -218,12 +218,14 @@ def baseline_visits_per_year(spark, sf):
     return Q.visits_per_year(B.baseline_final(_baseline_data(spark, sf)))
 
 
-def _combined_samples(spark, sf):
+def _combined_samples(spark, sf, program_year=None):
     prog = spark_sql(spark, sf, S.SAMPLES_PROGRAM).select(
         F.lit("Program").alias("source"), F.col("fieldwork_seq_no").alias("fsn"),
         N.as_long("station_id").alias("station_id"),
         F.col("start_date_time").cast("timestamp_ntz").alias("start_date_time"),
         "result_value_no")
+    if program_year:
+        prog = Q.samples_of_year(prog, program_year)
     part = with_flexible_datetime(spark_sql(spark, sf, S.SAMPLES_PARTNER), "sample_start_date_time",
                                   "start_date_time", "mdyHMSp").select(
         F.lit("Partner").alias("source"), F.col("fieldwork_seq_no").alias("fsn"),

@@ -59,6 +59,10 @@ def _fsn(key: str) -> str:
     return f"({key} + CASE WHEN o_orderkey % 4 < 2 THEN 9007199254740992 ELSE 0 END)"
 
 
+# visited places; a few stations have no latitude in any source, so the final list lacks them
+_LAT = ("CASE WHEN o_custkey % 41 = 7 THEN NULL "
+        "ELSE CAST(CAST(42.0 + (o_custkey % 97) * 0.05 AS DOUBLE) AS STRING) END")
+
 # --- baseline visits (all text, as exported) ----------------------------------
 
 _VISIT_HOUR = "((5 + l_linenumber * 2) % 24)"
@@ -75,7 +79,7 @@ SELECT CASE WHEN l_orderkey % 10 = 3 THEN CAST(l_orderkey AS STRING) || '.7'
             ELSE {clock12(_VISIT_HOUR, _VISIT_MIN)} END AS start_datetime,
        CAST(o_custkey AS STRING) AS station_id,
        'Station ' || CAST(o_custkey AS STRING) AS primary_station_name,
-       CAST(CAST(42.0 + (o_custkey % 97) * 0.05 AS DOUBLE) AS STRING) AS latitude,
+       {_LAT} AS latitude,
        CAST(CAST(-92.0 + (o_custkey % 23) * 0.25 AS DOUBLE) AS STRING) AS longitude,
        CASE WHEN o_custkey % 7 = 0 THEN NULL ELSE CAST(o_custkey % 50 AS STRING) END AS wbic,
        CASE WHEN o_orderpriority LIKE '1%' THEN NULL ELSE o_orderpriority END
@@ -117,7 +121,7 @@ SELECT CAST({_fsn('o_orderkey')} AS STRING) AS fieldwork_seq_no,
        CAST(o_custkey AS STRING) AS station_id,
        CASE WHEN o_orderkey % 17 = 0 THEN 'Another name'
             ELSE 'Station ' || CAST(o_custkey AS STRING) END AS primary_station_name,
-       CAST(CAST(42.0 + (o_custkey % 97) * 0.05 AS DOUBLE) AS STRING) AS latitude,
+       {_LAT} AS latitude,
        CAST(CAST(-92.0 + (o_custkey % 23) * 0.25 AS DOUBLE) AS STRING) AS longitude,
        CASE WHEN o_custkey % 7 = 0 THEN NULL ELSE CAST(o_custkey % 50 AS STRING) END AS wbic,
        CASE WHEN o_orderpriority LIKE '1%' THEN NULL ELSE o_orderpriority END
@@ -134,6 +138,16 @@ SELECT CAST({_fsn('o_orderkey')} AS STRING) AS fieldwork_seq_no,
 FROM {{orders}}
 """
 
+# flow exports as twelve files: every visit, and a third of them once more, with
+# another velocity, in another file or further down in the same one
+_FLOW_BODY = BASELINE_FLOW.strip()[len("SELECT "):]
+FLOW_FILES = f"""
+SELECT o_orderkey % 12 AS file_no, CAST(o_orderkey AS DOUBLE) AS line_no, {_FLOW_BODY}
+UNION ALL
+SELECT (o_orderkey * 7 + 5) % 12, CAST(o_orderkey AS DOUBLE) + 0.5, {_FLOW_BODY.replace("'0.' ||", "'7.' ||")}
+WHERE o_orderkey % 3 = 0
+"""
+
 # --- phosphorus samples: lines 1-3 program, 3-5 partner (line 3 in both), 6-7 agency
 
 _TP_HOUR = "(6 + l_linenumber)"
@@ -155,7 +169,7 @@ TP_PROGRAM = f"""
 SELECT CAST({_fsn('l_orderkey')} AS STRING) AS fieldwork_seq_no,
        CAST(o_custkey AS STRING) AS station_id,
        'Station ' || CAST(o_custkey AS STRING) AS primary_station_name,
-       CAST(CAST(42.0 + (o_custkey % 97) * 0.05 AS DOUBLE) AS STRING) AS calc_ll_lat_dd_amt,
+       {_LAT} AS calc_ll_lat_dd_amt,
        CAST(CAST(-92.0 + (o_custkey % 23) * 0.25 AS DOUBLE) AS STRING) AS calc_ll_long_dd_amt,
        CAST(o_custkey % 50 AS STRING) AS wbic,
        o_orderpriority AS official_waterbody_name,
@@ -239,6 +253,14 @@ SELECT 2024 AS year,
 FROM {customer}
 """
 
+# yearly logger folders, two for each year; one reading in a hundred lies a year before its folder's
+LOGGER_FOLDERS = LOGGER_RAW.replace("year(ts)", "(year(ts) - CASE WHEN event_id % 4 < 2 THEN 1 ELSE 0 END"
+                                    " - CASE WHEN event_id % 101 = 5 THEN 1 ELSE 0 END)").replace(
+    "SELECT", "SELECT CASE event_id % 4 WHEN 0 THEN '2023' WHEN 1 THEN '2023_mrk' WHEN 2 THEN '2024' "
+    "ELSE '2024_extra' END AS folder,", 1)
+INVENTORY_YEARS = (INVENTORY + "UNION ALL"
+                   + INVENTORY.replace("2024", "2023").replace("% 5 IN (1, 3)", "% 6 IN (1, 3)"))
+
 # "Air" readings for the weather comparison: daily extremes of the events of
 # the same logger and day, shifted so ranges differ from the water series.
 WEATHER = """

@@ -4,6 +4,8 @@ is pre-reduced on every map task before the shuffle."""
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -79,3 +81,41 @@ def histogram(df: DataFrame, c: str, width: float, origin: float = 0.0,
               .groupBy(b.alias(name)).agg(F.count(F.lit(1)).alias("n"))
               .withColumns({"bin_lo": F.col(name) * width + origin,
                             "bin_hi": (F.col(name) + 1) * width + origin}))
+
+
+def pretty_breaks(lo: float, hi: float, n: int) -> list[float]:
+    """About n round intervals that cover [lo, hi], as R's ``pretty``: the step is
+    1, 2, 5 or 10 times a power of ten, the largest whose predecessor is too
+    small for (hi - lo) / n by R's default bias."""
+    span = hi - lo
+    cell = span / n if span > 0 else max(abs(hi), 1e-300) / 10
+    base = 10.0 ** math.floor(math.log10(cell))
+    # The points where the default bias takes the next larger step
+    step = base * next((s for s, top in ((1, 1.4), (2, 2.8), (5, 7.0)) if cell <= top * base * (1 + 1e-10)), 10)
+    first, last = math.floor(lo / step + 1e-10), math.ceil(hi / step - 1e-10)
+    if first == last:
+        last += 1
+    return [k * step for k in range(int(first), int(last) + 1)]
+
+
+def auto_histogram(df: DataFrame, c: str, name: str = "bin") -> DataFrame:
+    """A15 as ``hist(x)`` draws it: Sturges' number of classes, pretty breaks, bins
+    closed on the right (the first on both sides); a row per bin, empty ones too.
+
+    One aggregate gives the count and range; the bins are a short list, so their
+    counts come back by one group-by on the bin number.
+    """
+    spark = df.sparkSession
+    x = F.col(c).cast("double")
+    known = df.where(x.isNotNull() & ~F.isnan(x))
+    total, lo, hi = known.agg(F.count("*"), F.min(x), F.max(x)).first()
+    fields = f"{name} long, bin_lo double, bin_hi double"
+    if not total:
+        return spark.createDataFrame([], fields + ", n long")
+    breaks = pretty_breaks(lo, hi, math.ceil(math.log2(total) + 1))
+    step = breaks[1] - breaks[0]
+    # R's fuzz: a value that rounding puts a hair above a break belongs to it
+    above = sum((F.when(x > b + 1e-7 * step, 1).otherwise(0) for b in breaks[1:-1]), F.lit(0))
+    counts = known.groupBy(above.cast("long").alias(name)).agg(F.count("*").alias("n"))
+    bins = spark.createDataFrame([(k, a, b) for k, (a, b) in enumerate(zip(breaks, breaks[1:]))], fields)
+    return bins.join(F.broadcast(counts), name, "left").na.fill(0, ["n"])

@@ -53,8 +53,9 @@ def keep_first(df: DataFrame, keys: list[str], order: list = (), desc: tuple = (
     """``distinct(keys, .keep_all = TRUE)`` after ``arrange(order)``.
 
     One row per key: the first in the declared order, then every other
-    column as tie-break, so the choice is deterministic.  Runs as a hash
-    aggregate (``min_by``), with partial aggregation before the shuffle.
+    column as tie-break, so the choice is deterministic.  A sort aggregate of
+    ``min(struct)`` (``min_by`` for computed, descending or unordered columns), with
+    partial aggregation before the shuffle.
     """
     kinds = dict(df.dtypes)
     ties = [c for c in df.columns if c not in keys and not kinds[c].startswith(_ORDERABLE_SKIP)]

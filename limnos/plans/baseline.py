@@ -80,9 +80,13 @@ def baseline_obs(raw: DataFrame) -> DataFrame:
     return keep_first(df, ["fsn", "station_id", "date"], order=["datetime"])
 
 
-def flow_obs(raw: DataFrame) -> DataFrame:
-    """Typed flow visits; streamflow = entered, else corrected, else calculated."""
-    df = raw.select(*[F.col(src).alias(dst) for src, dst in FLOW_COLUMNS.items()])
+def flow_obs(raw: DataFrame, position: str | None = None) -> DataFrame:
+    """Typed flow visits; streamflow = entered, else corrected, else calculated.
+
+    One row per visit: the first in the files when ``position`` names the column
+    that ``read_delimited`` gave, else the first in time (tables have no row order).
+    """
+    df = raw.select(*[F.col(src).alias(dst) for src, dst in FLOW_COLUMNS.items()], *[position] * bool(position))
     df = with_flexible_datetime(df, "datetime", "datetime", "ymdHMp")
     df = df.withColumns({
         **{c: as_long(c) for c in ID_FIELDS},
@@ -94,7 +98,8 @@ def flow_obs(raw: DataFrame) -> DataFrame:
     df = df.withColumn("streamflow", F.coalesce("entered_streamflow", "corrected_streamflow",
                                                 "calculated_streamflow"))
     df = df.select(*cols[:i], "streamflow", *cols[i:])
-    return keep_first(df, ["fsn", "station_id", "date"], order=["datetime"])
+    first = keep_first(df, ["fsn", "station_id", "date"], order=[position or "datetime"])
+    return first.drop(position) if position else first
 
 
 def add_units(df: DataFrame, col: str, unit: str) -> DataFrame:
@@ -124,8 +129,9 @@ def valid_fsn(data: DataFrame) -> DataFrame:
     key measurement (a station-year flag, aggregated, not windowed)."""
     good_years = (data.groupBy("station_id", "year").agg(any_present(*KEY_VARS).alias("valid_year"))
                       .where("valid_year"))
-    return semi_join_ns(data.select("station_id", "year", "fsn"), good_years,
-                        ["station_id", "year"]).select("fsn")
+    # once each: a visit id on many rows is no larger on the joins' build side
+    return semi_join_ns(data.select("station_id", "year", "fsn").distinct(), good_years,
+                        ["station_id", "year"]).select("fsn").distinct()
 
 
 def baseline_final(data: DataFrame) -> DataFrame:

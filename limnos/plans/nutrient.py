@@ -9,6 +9,7 @@ from limnos.functions import as_long, as_numeric, month_name, parse_flexible, ti
 from limnos.functions.datetimes import with_flexible_datetime
 from limnos.operators.groups import count_in_group, keep_first, top_n_with_ties
 from limnos.operators.joins import natural_left_join
+from limnos.session import materialize
 from limnos.operators.sets import bind_rows
 
 # The phosphorus parameter code and the plausibility cut-offs.
@@ -82,7 +83,8 @@ def tp_data(*sources: DataFrame) -> DataFrame:
     })
     df = df.withColumns({"year": F.year("date"), "month": F.month("date"),
                          "month_name": month_name("date")})
-    df = keep_first(df, ["station_id", "datetime", "tp"], order=["__src"]).drop("__src")
+    # read twice below (rows and their counts): worked once
+    df = materialize(keep_first(df, ["station_id", "datetime", "tp"], order=["__src"]).drop("__src"))
     df = count_in_group(df, "tp", ["year", "station_id"], "num_obs")
     return df.where(F.col("year") < MAX_YEAR_EXCLUSIVE)
 

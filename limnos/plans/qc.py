@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from limnos.operators.aggregates import count_of_counts
 from limnos.operators.groups import dense_group_id, duplicated, singletons
-from limnos.operators.joins import anti_join_ns
+from limnos.operators.joins import anti_join_ns, semi_join_ns
 from limnos.operators.sets import bind_rows, pivot_counts
 from limnos.plans.nutrient import tp_value
 from limnos.plans.stations import STATION_COLS
@@ -47,6 +47,18 @@ def duplicate_coordinates(lists: dict[str, DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)
 
 
+def data_at_duplicates(data: DataFrame, stations: DataFrame) -> DataFrame:
+    """The data rows of stations that share their coordinates with another station
+    of the list (which holds every station's attribute rows)."""
+    twins = duplicated(stations, ["latitude", "longitude"]).select("station_id").distinct()
+    return semi_join_ns(data, twins, ["station_id"])
+
+
+def samples_of_year(samples: DataFrame, year: int, col: str = "start_date_time") -> DataFrame:
+    """Samples taken in one calendar year (a missing time is in none)."""
+    return samples.where(F.year(col) == year)
+
+
 def combined_samples(*sources: DataFrame, value: str = "result_value_no") -> DataFrame:
     """Stack sample exports; "ND" -> 0, missing results -> 0."""
     df = bind_rows(*sources)

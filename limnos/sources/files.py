@@ -2,28 +2,39 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from limnos.functions import clean_names, na_tokens
+from limnos.operators.ordering import natural_path_order
 
 
-def read_delimited(spark: SparkSession, path: str, na=("", "NA"), case: str = "snake",
-                   sep: str = ",", encoding: str = "UTF-8", multi_line: bool = False) -> DataFrame:
+def file_position() -> Column:
+    """Where a row of a scan stands: file (natural order of its path), block and
+    place in the block.  Comparable over the whole table and the same on every
+    run: a block's rows are read in order by one task, whatever the block's task.
+    Take it directly from a reader, before any shuffle."""
+    return F.struct(natural_path_order(F.col("_metadata.file_path")).alias("file"),
+                    F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("line"))
+
+
+def read_delimited(spark: SparkSession, path: str, na=("", "NA"), case: str = "snake", sep: str = ",",
+                   encoding: str = "UTF-8", multi_line: bool = False, position: str | None = None) -> DataFrame:
     """A delimited export as text columns named by its header, names
     normalised, NA tokens -> NULL, values trimmed.
 
     No type inference: every column arrives as text (one pass, no sampling
     job) and jobs type it explicitly with the lenient casts.  Files split
     across tasks; ``multi_line`` reads fields with line breaks, at the price
-    of one task per file.
+    of one task per file.  ``position`` names a column for ``file_position``.
     """
     df = (spark.read.option("header", True).option("inferSchema", False)
           .option("multiLine", multi_line).option("sep", sep).option("encoding", encoding)
           .option("mode", "PERMISSIVE").csv(path))
-    df = clean_names(df, case)
-    return df.select(*[na_tokens(c, na).alias(c) for c in df.columns])
+    place = [file_position().alias(position)] if position else []
+    names = clean_names(df, case).columns
+    return df.select(*[na_tokens(F.col(f"`{c}`"), na).alias(n) for c, n in zip(df.columns, names)], *place)
 
 
 def typed(df: DataFrame, types: dict) -> DataFrame:

@@ -61,6 +61,14 @@ def read_logger_folder(spark: SparkSession, path: str, pattern: str = "*.csv",
     return classify_lines(lines, serial_pattern=serial_pattern)
 
 
+def read_logger_years(spark: SparkSession, base: str, pattern: str = "*/*.csv",
+                      serial_pattern: str = SERIAL_PATTERN, folder_pattern: str = r"([^/]+)/[^/]+$") -> DataFrame:
+    """The logger files of several folders (``2022``, ``2023``, ``2023_partner`` ...) in one
+    scan, with the folder's name in ``folder``."""
+    raw = read_logger_folder(spark, base, pattern, serial_pattern)
+    return raw.withColumn("folder", F.regexp_extract("file", folder_pattern, 1))
+
+
 def unit_problems(raw: DataFrame) -> DataFrame:
     """QC table of the files whose header names no unit: (file, code)."""
     return raw.where(F.col("unit").isNull()).select("file").distinct().withColumn("code", F.lit("no_unit"))
