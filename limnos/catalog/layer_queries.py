@@ -25,7 +25,7 @@ def _measures(layer: DataFrame, name: str, *keep: str) -> DataFrame:
     v = F.flatten(rings)
     total = lambda axis: F.round(F.aggregate(v, F.lit(0.0), lambda n, p: n + p[axis]), 6)
     return layer.select(F.lit(name).alias("layer"), *keep, F.size(F.flatten("polys")).alias("rings"), F.size(v).alias("vertices"),
-                        total(0).alias("sum_x"), total(1).alias("sum_y"), F.round(planar_area(F.col("polys")), 6).alias("area"))
+                        total(0).alias("sum_x"), total(1).alias("sum_y"), F.round(planar_area(), 6).alias("area"))
 
 
 def _basins(spark: SparkSession, sf: str) -> DataFrame:

@@ -24,7 +24,7 @@ from limnos.plans import qc as Q
 from limnos.plans import stations as ST
 from limnos.operators.joins import join_ns
 from limnos.operators.sets import unpivot
-from limnos.session import materialize
+from limnos.session import materialize, side_by_side
 
 LOGGER_YEAR = 2024
 
@@ -192,11 +192,15 @@ def baseline_station_tally(spark, sf):
 def _station_parts(spark, sf):
     """The prioritised station list, the data tables and the stations in use."""
     master = _stations(spark, sf)
-    data = _baseline_data(spark, sf)
+
+    def loggers():
+        inv = _inventory(spark, sf, stations=master)
+        return inv, materialize(_hobo_data(spark, sf, inventory=inv))
+    # three jobs that read only the station list
+    data, tp, (inv, hobo) = side_by_side(
+        spark, lambda: _baseline_data(spark, sf),
+        lambda: materialize(N.tp_final(_tp_data(spark, sf, stations=master))), loggers)
     bfinal = B.baseline_final(data)
-    tp = materialize(N.tp_final(_tp_data(spark, sf, stations=master)))
-    inv = _inventory(spark, sf, stations=master)
-    hobo = materialize(_hobo_data(spark, sf, inventory=inv))
     therm = ST.station_attributes(inv).na.drop()
     stn = ST.station_list(master, ST.station_attributes(bfinal), ST.station_attributes(tp), therm)
     return materialize(stn), bfinal, tp, hobo, lambda s: ST.stations_in_use(s, data, tp, hobo)
@@ -290,10 +294,11 @@ def watershed_hierarchy(spark, sf):
 
 def station_watersheds(spark, sf):
     """Final station list with county / watershed attributes."""
-    stn, _, _, _, in_use = _station_parts(spark, sf)
-    keep = materialize(in_use(stn))
     lyr = _layers(spark, sf)
-    huc12 = _hierarchy(spark, sf, lyr)["huc12"].join(lyr["huc12"].select("pid", "polys"), "pid")
+    (stn, _, _, _, in_use), levels = side_by_side(
+        spark, lambda: _station_parts(spark, sf), lambda: _hierarchy(spark, sf, lyr))
+    keep = materialize(in_use(stn))
+    huc12 = levels["huc12"].join(lyr["huc12"].select("pid", "polys"), "pid")
     return W.attribute_stations(keep, lyr["counties"], huc12, lyr["dnr_watersheds"])
 
 
@@ -309,7 +314,7 @@ def display_layer_stats(spark, sf):
 def stations_wtm(spark, sf):
     """Station coordinates in Wisconsin Transverse Mercator (metres)."""
     st = _stations(spark, sf)
-    x, y = tm_forward(F.col("longitude"), F.col("latitude"))
+    x, y = tm_forward("longitude", "latitude")
     return st.select("station_id", F.round(x, 3).alias("x_wtm"), F.round(y, 3).alias("y_wtm"))
 
 

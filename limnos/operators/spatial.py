@@ -19,7 +19,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -28,9 +28,21 @@ from limnos.operators.joins import join_ns
 
 POLYS = T.ArrayType(T.ArrayType(T.ArrayType(T.ArrayType(T.DoubleType()))))
 
+# Expressions over whole geometries are written as SQL text: one call to the JVM
+# each, where column operators would take one a symbol.
+
+
+def _d(x: float) -> str:
+    """A double literal."""
+    return f"({float(x)!r}D)"
+
 
 # --- geometry basics --------------------------------------------------------------
 
+_CLOSED = ("CASE WHEN size(r) > 0 AND (get(get(r, 0), 0) <> get(get(r, size(r) - 1), 0) "
+           "OR get(get(r, 0), 1) <> get(get(r, size(r) - 1), 1)) THEN concat(r, array(get(r, 0))) ELSE r END")
+
+
 def close_ring(r: Column) -> Column:
     """The ring with its first vertex repeated at the end."""
     first, last = F.get(r, F.lit(0)), F.get(r, F.size(r) - 1)
@@ -38,43 +50,40 @@ def close_ring(r: Column) -> Column:
                   F.concat(r, F.array(first))).otherwise(r)
 
 
-def rings(polys: Column) -> Column:
-    """All rings of all parts, each closed (first vertex repeated at the end)."""
-    return F.transform(F.flatten(polys), close_ring)
-
-
 def edges(layer: DataFrame, id_col: str) -> DataFrame:
     """(id, x1, y1, x2, y2) for every ring segment, computed within the row."""
-    segs = F.flatten(F.transform(rings(F.col("polys")), lambda r: F.transform(
-        F.sequence(F.lit(1), F.greatest(F.size(r) - 1, F.lit(1))),
-        lambda i: F.struct(F.get(r, i - 1)[0].alias("x1"), F.get(r, i - 1)[1].alias("y1"),
-                           F.get(r, i)[0].alias("x2"), F.get(r, i)[1].alias("y2")))))
-    return (layer.select(id_col, F.explode(segs).alias("e"))
-                 .where(F.col("e.x2").isNotNull())
-                 .select(id_col, "e.x1", "e.y1", "e.x2", "e.y2"))
+    segments = ("flatten(transform(transform(flatten(polys), r -> " + _CLOSED + "), r -> "
+                "transform(sequence(1, greatest(size(r) - 1, 1)), i -> named_struct("
+                "'x1', get(get(r, i - 1), 0), 'y1', get(get(r, i - 1), 1), 'x2', get(get(r, i), 0), 'y2', get(get(r, i), 1)))))")
+    return layer.selectExpr(f"`{id_col}`", f"inline({segments})").where("x2 is not null")
 
 
-def bbox(polys: Column) -> dict[str, Column]:
-    verts = F.flatten(F.flatten(polys))
-    xs = F.transform(verts, lambda v: v[0])
-    ys = F.transform(verts, lambda v: v[1])
-    return {"minx": F.array_min(xs), "maxx": F.array_max(xs),
-            "miny": F.array_min(ys), "maxy": F.array_max(ys)}
+def _x_at(y: str, s: str = "") -> str:
+    """x where the segment crosses the horizontal line at y."""
+    return f"(({s}x2 - {s}x1) * ({y} - {s}y1) / ({s}y2 - {s}y1) + {s}x1)"
 
 
-def x_at(py: Column, x1: Column, y1: Column, x2: Column, y2: Column) -> Column:
-    """x where the segment crosses the horizontal line y = py."""
-    return (x2 - x1) * (py - y1) / (y2 - y1) + x1
+def _crosses(y: str, s: str = "") -> str:
+    """Half-open straddle test, so a vertex on the line counts once."""
+    return f"(({s}y1 > {y}) <> ({s}y2 > {y}))"
 
 
-def crosses(py: Column, y1: Column, y2: Column) -> Column:
-    """Half-open straddle test, so a vertex on the line counts once."""
-    return (y1 > py) != (y2 > py)
+# twice the signed area of a closed ring r, positive when counter-clockwise
+_TURNED = ("aggregate(sequence(1, greatest(size(r) - 1, 1)), 0.0D, (n, i) -> n + coalesce("
+           "get(get(r, i - 1), 0) * get(get(r, i), 1) - get(get(r, i), 0) * get(get(r, i - 1), 1), 0.0D))")
+_ORIENTED = (f"transform(transform(polys, part -> transform(part, r -> {_CLOSED})), part -> transform(part, (r, k) -> "
+             f"CASE WHEN ({_TURNED} < 0) = (k = 0) THEN reverse(r) ELSE r END))")
+
 
+def oriented() -> Column:
+    """``polys`` with closed rings, the first of a part counter-clockwise and the
+    others (holes) clockwise."""
+    return F.expr(_ORIENTED)
 
-def planar_area(polys: Column) -> Column:
-    """Area of outer rings less that of holes, in square units of the layer."""
-    return F.aggregate(F.flatten(oriented(polys)), F.lit(0.0), lambda n, r: n + _turned(r)) / 2
+
+def planar_area() -> Column:
+    """Area of ``polys``: outer rings less holes, in square units of the layer."""
+    return F.expr(f"aggregate(flatten({_ORIENTED}), 0.0D, (n, r) -> n + {_TURNED}) / 2")
 
 
 def layer_stats(layer: DataFrame) -> DataFrame:
@@ -92,10 +101,13 @@ WIDE = 6                # log2 of the tiles in a wide tile
 # vertices and points do not lie on its lines
 _SHIFT = 0.3819660112501051
 
+_PIECES = "array<struct<level:int,at:bigint>>"
+_SEGMENTS = "array<struct<x1:double,y1:double,x2:double,y2:double>>"
+
 
-def _parity(crossings: Column, x: Column) -> Column:
-    """0 or 1: parity of the crossings at or right of x."""
-    return F.size(F.filter(crossings, lambda c: c >= x)) % 2
+def _grid(tile: float) -> tuple[str, str]:
+    """Side of a tile and origin of the grid (both axes)."""
+    return _d(tile), _d(tile * _SHIFT)
 
 
 def tile_index(layer: DataFrame, poly_id: str, tile: float = TILE, wide: int = WIDE) -> DataFrame:
@@ -109,58 +121,53 @@ def tile_index(layer: DataFrame, poly_id: str, tile: float = TILE, wide: int = W
     segments.  Everything is grouped by (polygon, band): one shuffle, and no group
     larger than one polygon's segments in one band.
     """
-    ox = oy = tile * _SHIFT
-    e = edges(layer, poly_id)
-    low, high = F.least("y1", "y2"), F.greatest("y1", "y2")
-    e = e.withColumn("band", F.explode(F.sequence(F.floor((low - oy) / tile), F.floor((high - oy) / tile))))
-    bottom, flat = oy + F.col("band") * tile, F.col("y1") == F.col("y2")
-    at_y = lambda y: x_at(y, F.col("x1"), F.col("y1"), F.col("x2"), F.col("y2"))
-    xa = F.when(flat, F.col("x1")).otherwise(at_y(F.greatest(low, bottom)))
-    xz = F.when(flat, F.col("x2")).otherwise(at_y(F.least(high, bottom + tile)))
+    t, o = _grid(tile)
+    key, low, high, bottom = f"`{poly_id}`", "least(y1, y2)", "greatest(y1, y2)", f"({o} + band * {t})"
+    e = edges(layer, poly_id).selectExpr(
+        "*", f"explode(sequence(floor(({low} - {o}) / {t}), floor(({high} - {o}) / {t}))) AS band")
+    e = e.selectExpr(
+        "*", f"CASE WHEN y1 = y2 THEN x1 ELSE {_x_at(f'greatest({low}, {bottom})')} END AS xa",
+        f"CASE WHEN y1 = y2 THEN x2 ELSE {_x_at(f'least({high}, {bottom} + {t})')} END AS xz",
+        f"CASE WHEN {_crosses(bottom)} THEN {_x_at(bottom)} END AS c")
     # a hair wider, so that rounding leaves out no tile a segment touches
-    e = e.withColumns({"first": F.floor((F.least(xa, xz) - ox) / tile - 1e-7),
-                       "last": F.floor((F.greatest(xa, xz) - ox) / tile + 1e-7),
-                       "c": F.when(crosses(bottom, F.col("y1"), F.col("y2")), at_y(bottom))})
-    e = e.repartition(poly_id, "band")
-    rows = e.groupBy(poly_id, "band").agg(F.collect_list("c").alias("crossings"))
-    touched = (e.withColumn("at", F.explode(F.sequence("first", "last"))).groupBy(poly_id, "band", "at")
-                .agg(F.collect_list(F.struct("x1", "y1", "x2", "y2")).alias("segs")))
-    right = lambda at: ox + (at + 1) * tile
-    edge = touched.join(rows, [poly_id, "band"]).select(
-        poly_id, F.lit(0).alias("level"), "band", "at", _parity(F.col("crossings"), right(F.col("at"))).alias("corner"), "segs")
-
-    runs = touched.groupBy(poly_id, "band").agg(F.sort_array(F.collect_list("at")).alias("ts")).join(rows, [poly_id, "band"])
-    gaps = F.filter(F.transform("ts", lambda t, k: F.struct((t + 1).alias("a"), (F.get("ts", k + 1) - 1).alias("z"))),
-                    lambda g: (g["a"] <= g["z"]) & (_parity(F.col("crossings"), right(g["a"]) - tile / 2) == 1))
-    runs = runs.select(poly_id, "band", F.explode(gaps).alias("g")).select(poly_id, "band", "g.a", "g.z")
-    runs = runs.withColumns({"wa": F.shiftright(F.col("a") + ((1 << wide) - 1), wide),
-                             "wz": F.shiftright(F.col("z") + 1, wide) - 1})
-    span = lambda level, lo, hi: F.when(lo <= hi, F.transform(F.sequence(lo, hi), lambda t: F.struct(
-        F.lit(level).alias("level"), t.alias("at")))).otherwise(F.array().cast("array<struct<level:int,at:bigint>>"))
-    a, z, wa, wz = (F.col(c) for c in ("a", "z", "wa", "wz"))
+    e = e.selectExpr(key, "band", "x1", "y1", "x2", "y2", "c", f"floor((least(xa, xz) - {o}) / {t} - 1e-7D) AS first",
+                     f"floor((greatest(xa, xz) - {o}) / {t} + 1e-7D) AS last").repartition(poly_id, "band")
+    rows = e.groupBy(poly_id, "band").agg(F.expr("collect_list(c) AS crossings"))
+    touched = (e.selectExpr(key, "band", "x1", "y1", "x2", "y2", "explode(sequence(first, last)) AS at")
+                .groupBy(poly_id, "band", "at").agg(F.expr("collect_list(struct(x1, y1, x2, y2)) AS segs")))
+    parity = lambda x: f"(size(filter(crossings, c -> c >= {x})) % 2)"
+    edge = touched.join(rows, [poly_id, "band"]).selectExpr(
+        key, "0 AS level", "band", "at", f"{parity(f'{o} + (at + 1) * {t}')} AS corner", "segs")
+
+    runs = touched.groupBy(poly_id, "band").agg(F.expr("sort_array(collect_list(at)) AS ts")).join(rows, [poly_id, "band"])
+    gaps = ("filter(transform(ts, (t, k) -> named_struct('a', t + 1, 'z', get(ts, k + 1) - 1)), "
+            f"g -> g.a <= g.z AND {parity(f'{o} + (g.a + 0.5D) * {t}')} = 1)")
+    runs = runs.selectExpr(key, "band", f"inline({gaps})").selectExpr(
+        "*", f"shiftright(a + {(1 << wide) - 1}, {wide}) AS wa", f"shiftright(z + 1, {wide}) - 1 AS wz")
+
+    def span(level: int, lo: str, hi: str) -> str:
+        return (f"CASE WHEN {lo} <= {hi} THEN transform(sequence({lo}, {hi}), t -> named_struct('level', {level}, 'at', t)) "
+                f"ELSE cast(array() AS {_PIECES}) END")
     # with no whole wide tile inside, the run is one stretch of single tiles
-    pieces = F.when(wa > wz, span(0, a, z)).otherwise(F.concat(
-        span(wide, wa, wz), span(0, a, F.shiftleft(wa, wide) - 1), span(0, F.shiftleft(wz + 1, wide), z)))
-    inner = runs.select(poly_id, "band", F.explode(pieces).alias("p")).select(
-        poly_id, "p.level", "band", "p.at", F.lit(1).alias("corner"),
-        F.array().cast("array<struct<x1:double,y1:double,x2:double,y2:double>>").alias("segs"))
+    pieces = (f"CASE WHEN wa > wz THEN {span(0, 'a', 'z')} ELSE concat({span(wide, 'wa', 'wz')}, "
+              f"{span(0, 'a', f'(shiftleft(wa, {wide}) - 1)')}, {span(0, f'shiftleft(wz + 1, {wide})', 'z')}) END")
+    inner = runs.selectExpr(key, "band", f"inline({pieces})").selectExpr(
+        key, "level", "band", "at", "1 AS corner", f"cast(array() AS {_SEGMENTS}) AS segs")
     return edge.unionByName(inner)
 
 
 def tile_matches(points: DataFrame, x: str, y: str, index: DataFrame, tile: float = TILE, wide: int = WIDE) -> DataFrame:
     """Each point with the index rows of its tile: an equi-join on (level, band,
     at).  A point meets one row of each polygon that has its tile, at most."""
-    ox = oy = tile * _SHIFT
-    p = points.where(F.col(x).isNotNull() & F.col(y).isNotNull())
-    p = p.withColumns({"band": F.floor((F.col(y) - oy) / tile), "__t": F.floor((F.col(x) - ox) / tile)})
-    p = p.withColumn("__k", F.explode(F.array(
-        F.struct(F.lit(0).alias("level"), F.col("__t").alias("at")),
-        F.struct(F.lit(wide).alias("level"), F.shiftright("__t", wide).alias("at"))))).drop("__t")
-    p = p.select("*", "__k.level", "__k.at").drop("__k")
+    t, o = _grid(tile)
+    place = f"floor((`{x}` - {o}) / {t})"
+    p = points.where(f"`{x}` is not null and `{y}` is not null").selectExpr(
+        "*", f"floor((`{y}` - {o}) / {t}) AS band",
+        f"inline(array(named_struct('level', 0, 'at', {place}), named_struct('level', {wide}, 'at', shiftright({place}, {wide}))))")
     return p.join(index, ["level", "band", "at"])
 
 
-def _inside_tile(px: Column, py: Column, tile: float) -> Column:
+def _inside_tile(px: str, py: str, tile: float) -> str:
     """Even-odd test of a point against the segments of its tile.
 
     The ray from the point to the right is followed to the tile's right side;
@@ -168,19 +175,15 @@ def _inside_tile(px: Column, py: Column, tile: float) -> Column:
     every segment that the side crosses between the corner and the ray.  Both parts
     use the same crossing formula as a ray over all segments, so they agree with it.
     """
-    ox = oy = tile * _SHIFT
-    right, bottom = ox + (F.col("at") + 1) * tile, oy + F.col("band") * tile
-
-    def changes(s):
-        x1, y1, x2, y2 = (s[c] for c in ("x1", "y1", "x2", "y2"))
-        flat = y1 == y2
-        here = F.when(flat, F.lit(False)).otherwise(
-            crosses(py, y1, y2) & (px < x_at(py, x1, y1, x2, y2)) & (x_at(py, x1, y1, x2, y2) < right))
-        lo, hi = F.greatest(F.least(y1, y2), bottom), F.least(F.greatest(y1, y2), py)
-        side = F.when(flat, (y1 > bottom) & (y1 <= py) & ((x1 >= right) != (x2 >= right))).otherwise(
-            (lo < hi) & ((x_at(lo, x1, y1, x2, y2) >= right) != (x_at(hi, x1, y1, x2, y2) >= right)))
-        return here.cast("int") + side.cast("int")
-    return F.aggregate("segs", F.col("corner"), lambda n, s: n + changes(s)) % 2 == 1
+    t, o = _grid(tile)
+    right, bottom = f"({o} + (at + 1) * {t})", f"({o} + band * {t})"
+    lo, hi = f"greatest(least(s.y1, s.y2), {bottom})", f"least(greatest(s.y1, s.y2), {py})"
+    here = f"{_crosses(py, 's.')} AND {px} < {_x_at(py, 's.')} AND {_x_at(py, 's.')} < {right}"
+    side = f"{lo} < {hi} AND ({_x_at(lo, 's.')} >= {right}) <> ({_x_at(hi, 's.')} >= {right})"
+    flat = f"s.y1 > {bottom} AND s.y1 <= {py} AND (s.x1 >= {right}) <> (s.x2 >= {right})"
+    changes = (f"CASE WHEN s.y1 = s.y2 THEN CASE WHEN {flat} THEN 1 ELSE 0 END "
+               f"ELSE CASE WHEN {here} THEN 1 ELSE 0 END + CASE WHEN {side} THEN 1 ELSE 0 END END")
+    return f"aggregate(segs, corner, (n, s) -> n + {changes}) % 2 = 1"
 
 
 def point_in_polygon(points: DataFrame, point_id: str, x: str, y: str,
@@ -193,7 +196,7 @@ def point_in_polygon(points: DataFrame, point_id: str, x: str, y: str,
     """
     p = points.select(F.col(point_id).alias("__pid"), F.col(x).alias("__px"), F.col(y).alias("__py"))
     met = tile_matches(p, "__px", "__py", tile_index(layer, poly_id, tile), tile)
-    return met.where(_inside_tile(F.col("__px"), F.col("__py"), tile)).select(F.col("__pid").alias(point_id), poly_id)
+    return met.where(_inside_tile("__px", "__py", tile)).select(F.col("__pid").alias(point_id), poly_id)
 
 
 def first_match_join(points: DataFrame, point_id: str, x: str, y: str, layer: DataFrame,
@@ -219,33 +222,30 @@ def row_spans(layer: DataFrame, poly_id: str, x0: float, y0: float, cell: float)
     pairs bound the covered centres (the same even-odd rule as
     ``point_in_polygon``).  The spans of one polygon and row are disjoint.
     """
-    e = edges(layer, poly_id).where(F.col("y1") != F.col("y2"))
-    jlo = F.ceil((F.least("y1", "y2") - y0) / cell - 0.5) - 1
-    jhi = F.floor((F.greatest("y1", "y2") - y0) / cell - 0.5) + 1
-    e = e.withColumn("j", F.explode(F.sequence(jlo, jhi)))
-    yc = F.lit(y0) + (F.col("j") + 0.5) * cell
-    e = e.where(crosses(yc, F.col("y1"), F.col("y2")))
-    xs = e.groupBy(poly_id, "j").agg(
-        F.array_sort(F.collect_list(x_at(yc, F.col("x1"), F.col("y1"), F.col("x2"), F.col("y2"))))
-        .alias("xs"))
-    pairs = xs.select(poly_id, "j", F.explode(F.transform(
-        F.sequence(F.lit(0), F.floor(F.size("xs") / 2).cast("int") - 1),
-        lambda k: F.struct(F.col("xs")[k * 2].alias("a"), F.col("xs")[k * 2 + 1].alias("b"))))
-        .alias("s"))
-    centre = lambda i: F.lit(x0) + (i + 0.5) * cell
-    # the division may round to a neighbour: the centres themselves decide
-    near = lambda x: F.ceil((x - x0) / cell - 0.5)
-    first = lambda x: (F.when(centre(near(x) - 1) >= x, near(x) - 1)
-                       .when(centre(near(x)) >= x, near(x)).otherwise(near(x) + 1))
-    return pairs.select(poly_id, "j", first(F.col("s.a")).alias("i0"), (first(F.col("s.b")) - 1).alias("i1")) \
-                .where(F.col("i0") <= F.col("i1"))
+    key, c, x_0, y_0 = f"`{poly_id}`", _d(cell), _d(x0), _d(y0)
+    yc = f"({y_0} + (j + 0.5D) * {c})"
+    e = edges(layer, poly_id).where("y1 <> y2").selectExpr(
+        "*", f"explode(sequence(ceil((least(y1, y2) - {y_0}) / {c} - 0.5D) - 1, "
+             f"floor((greatest(y1, y2) - {y_0}) / {c} - 0.5D) + 1)) AS j").where(_crosses(yc))
+    xs = e.selectExpr(key, "j", f"{_x_at(yc)} AS x").groupBy(poly_id, "j").agg(F.expr("array_sort(collect_list(x)) AS xs"))
+    pairs = xs.selectExpr(key, "j", "inline(transform(sequence(0, cast(size(xs) / 2 AS int) - 1), "
+                                    "k -> named_struct('a', xs[k * 2], 'b', xs[k * 2 + 1])))")
+
+    def first(x: str) -> str:
+        """The first cell whose centre is at or after x: the division may round
+        to a neighbour, the centres themselves decide."""
+        near = f"ceil(({x} - {x_0}) / {c} - 0.5D)"
+        centre = lambda i: f"{x_0} + ({i} + 0.5D) * {c}"
+        return f"CASE WHEN {centre(f'({near} - 1)')} >= {x} THEN {near} - 1 WHEN {centre(near)} >= {x} THEN {near} ELSE {near} + 1 END"
+    return pairs.selectExpr(key, "j", f"{first('a')} AS i0", f"{first('b')} - 1 AS i1").where("i0 <= i1")
 
 
 def in_blocks(spans: DataFrame, block: int = BLOCK) -> DataFrame:
     """The spans cut at the blocks of their row, with the block's number (``blk``)."""
-    lo, hi = F.shiftleft("blk", block), F.shiftleft(F.col("blk") + 1, block) - 1
-    cut = spans.withColumn("blk", F.explode(F.sequence(F.shiftright("i0", block), F.shiftright("i1", block))))
-    return cut.withColumns({"i0": F.greatest("i0", lo), "i1": F.least("i1", hi)})
+    rest = [f"`{c}`" for c in spans.columns if c not in ("i0", "i1")]
+    cut = spans.selectExpr("*", f"explode(sequence(shiftright(i0, {block}), shiftright(i1, {block}))) AS blk")
+    return cut.selectExpr(*rest, f"greatest(i0, shiftleft(blk, {block})) AS i0",
+                          f"least(i1, shiftleft(blk + 1, {block}) - 1) AS i1", "blk")
 
 
 def rasterize(layer: DataFrame, poly_id: str, x0: float, y0: float, cell: float) -> DataFrame:
@@ -289,21 +289,6 @@ def largest_overlap(child: DataFrame, child_id: str, parent: DataFrame, parent_i
 
 # --- exact coverage of grid cells (G5) -------------------------------------------------------
 
-def _turned(r: Column) -> Column:
-    """Twice the signed area of a closed ring, positive when counter-clockwise."""
-    return F.aggregate(
-        F.sequence(F.lit(1), F.greatest(F.size(r) - 1, F.lit(1))), F.lit(0.0),
-        lambda n, i: n + F.coalesce(F.get(r, i - 1)[0] * F.get(r, i)[1] - F.get(r, i)[0] * F.get(r, i - 1)[1], F.lit(0.0)))
-
-
-def oriented(polys: Column) -> Column:
-    """The polygons with closed rings, the first of a part counter-clockwise and
-    the others (holes) clockwise."""
-    closed = F.transform(polys, lambda part: F.transform(part, close_ring))
-    return F.transform(closed, lambda part: F.transform(
-        part, lambda r, k: F.when((_turned(r) < 0) == (k == 0), F.reverse(r)).otherwise(r)))
-
-
 def coverage_spans(layer: DataFrame, poly_id: str, x0: float, y0: float, cell: float) -> DataFrame:
     """(poly_id, j, i0, i1, frac): the exact share of grid cells that a polygon covers.
 
@@ -314,30 +299,27 @@ def coverage_spans(layer: DataFrame, poly_id: str, x0: float, y0: float, cell: f
     their shares; between two of them the share is constant, so inner cells stay
     one span.  Rows: the touched cells and the spans between them.
     """
-    e = edges(layer.select(poly_id, oriented(F.col("polys")).alias("polys")), poly_id).select(
-        poly_id, *[((F.col(c) - o) / cell).alias(n) for c, n, o in
-                   (("x1", "u1", x0), ("y1", "v1", y0), ("x2", "u2", x0), ("y2", "v2", y0))])
-    clamp = lambda x, lo: F.least(F.greatest(x, lo), lo + 1)
-    j, i = F.col("j").cast("double"), F.col("i").cast("double")
-    e = e.where("v1 <> v2").withColumn("j", F.explode(F.sequence(F.floor(F.least("v1", "v2")), F.floor(F.greatest("v1", "v2")))))
-    at_v = lambda v: F.col("u1") + (F.col("u2") - F.col("u1")) * (v - F.col("v1")) / (F.col("v2") - F.col("v1"))
-    e = e.withColumns({"va": clamp(F.col("v1"), j), "vb": clamp(F.col("v2"), j)}).where("va <> vb")
-    e = e.select(poly_id, "j", (F.col("vb") - F.col("va")).alias("dv"), at_v(F.col("va")).alias("ua"), at_v(F.col("vb")).alias("ub"))
-    e = e.withColumn("i", F.explode(F.sequence(F.floor(F.least("ua", "ub")), F.floor(F.greatest("ua", "ub")))))
-    e = e.withColumns({"ca": clamp(F.col("ua"), i), "cb": clamp(F.col("ub"), i)})
-    height = F.when(F.col("ua") == F.col("ub"), -F.col("dv")).otherwise(
-        -F.col("dv") * (F.col("cb") - F.col("ca")) / (F.col("ub") - F.col("ua")))
-    part = e.withColumn("h", height).withColumn("a", F.col("h") * (1 - ((F.col("ca") + F.col("cb")) / 2 - i)))
-    cells = part.groupBy(poly_id, "j", "i").agg(F.sum("h").alias("h"), F.sum("a").alias("a"))
+    key, c = f"`{poly_id}`", _d(cell)
+    clamp = lambda x, lo: f"least(greatest({x}, {lo}), {lo} + 1)"
+    e = edges(layer.select(poly_id, oriented().alias("polys")), poly_id).selectExpr(
+        key, *[f"({v} - {_d(o)}) / {c} AS {n}" for v, n, o in
+               (("x1", "u1", x0), ("y1", "v1", y0), ("x2", "u2", x0), ("y2", "v2", y0))]).where("v1 <> v2")
+    e = e.selectExpr("*", "explode(sequence(floor(least(v1, v2)), floor(greatest(v1, v2)))) AS j")
+    e = e.selectExpr("*", f"{clamp('v1', 'double(j)')} AS va", f"{clamp('v2', 'double(j)')} AS vb").where("va <> vb")
+    e = e.selectExpr(key, "j", "vb - va AS dv", *[f"u1 + (u2 - u1) * ({v} - v1) / (v2 - v1) AS {u}"
+                                                  for v, u in (("va", "ua"), ("vb", "ub"))])
+    e = e.selectExpr("*", "explode(sequence(floor(least(ua, ub)), floor(greatest(ua, ub)))) AS i")
+    e = e.selectExpr("*", f"{clamp('ua', 'double(i)')} AS ca", f"{clamp('ub', 'double(i)')} AS cb")
+    e = e.selectExpr(key, "j", "i", "CASE WHEN ua = ub THEN -dv ELSE -dv * (cb - ca) / (ub - ua) END AS h",
+                     "1 - ((ca + cb) / 2 - i) AS w")
+    cells = e.groupBy(poly_id, "j", "i").agg(F.expr("sum(h) AS h"), F.expr("sum(h * w) AS a"))
     # one polygon's touched cells in one grid row
-    along = Window.partitionBy(poly_id, "j").orderBy("i")
-    before = F.coalesce(F.sum("h").over(along.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
-    run = cells.withColumns({"before": before, "next": F.lead("i").over(along)})
-    share = lambda c: F.round(c, 12)
-    pieces = F.array(
-        F.struct(F.col("i").alias("i0"), F.col("i").alias("i1"), share(F.col("before") + F.col("a")).alias("frac")),
-        F.struct((F.col("i") + 1).alias("i0"), (F.col("next") - 1).alias("i1"), share(F.col("before") + F.col("h")).alias("frac")))
-    return run.select(poly_id, "j", F.explode(pieces).alias("p")).select(poly_id, "j", "p.i0", "p.i1", "p.frac") \
+    along = f"OVER (PARTITION BY {key}, j ORDER BY i"
+    run = cells.selectExpr(
+        "*", f"coalesce(sum(h) {along} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0.0D) AS before",
+        f"lead(i) {along}) AS next")
+    return run.selectExpr(key, "j", "inline(array(named_struct('i0', i, 'i1', i, 'frac', round(before + a, 12)), "
+                                    "named_struct('i0', i + 1, 'i1', next - 1, 'frac', round(before + h, 12))))") \
               .where("i0 <= i1 and frac > 0")
 
 
@@ -347,10 +329,10 @@ def cover_cells(cells: DataFrame, spans: DataFrame, keys: list[str], block: int
     The spans of a polygon in a block of a grid row are one row: a cell
     meets one row of each polygon near it, by equality of (row, block).
     """
-    blocks = in_blocks(spans, block).groupBy(*keys, "j", "blk").agg(F.collect_list(F.struct("i0", "i1", "frac")).alias("spans"))
-    met = cells.withColumn("blk", F.shiftright("i", block)).join(blocks, ["j", "blk"])
-    own = F.get(F.filter("spans", lambda s: (s["i0"] <= F.col("i")) & (F.col("i") <= s["i1"])), F.lit(0))
-    return met.withColumn("frac", own["frac"]).where(F.col("frac").isNotNull()).drop("spans", "blk")
+    blocks = in_blocks(spans, block).groupBy(*keys, "j", "blk").agg(F.expr("collect_list(struct(i0, i1, frac)) AS spans"))
+    met = cells.selectExpr("*", f"shiftright(i, {block}) AS blk").join(blocks, ["j", "blk"])
+    return met.selectExpr("*", "get(filter(spans, s -> s.i0 <= i AND i <= s.i1), 0).frac AS frac") \
+              .where("frac is not null").drop("spans", "blk")
 
 
 def cell_index(cells: DataFrame, x: str, y: str, x0: float, y0: float, cell: float) -> DataFrame:
@@ -371,29 +353,32 @@ _E2 = GRS80_F * (2 - GRS80_F)
 _EP2 = _E2 / (1 - _E2)
 
 
-def _meridian_arc(phi: Column) -> Column:
+def _tm_terms(lon: str, lat: str, p: dict) -> dict[str, str]:
+    """The quantities the Transverse Mercator series is made of."""
     e2, e4, e6 = _E2, _E2 ** 2, _E2 ** 3
-    return GRS80_A * ((1 - e2 / 4 - 3 * e4 / 64 - 5 * e6 / 256) * phi
-                      - (3 * e2 / 8 + 3 * e4 / 32 + 45 * e6 / 1024) * F.sin(2 * phi)
-                      + (15 * e4 / 256 + 45 * e6 / 1024) * F.sin(4 * phi)
-                      - (35 * e6 / 3072) * F.sin(6 * phi))
-
-
-def tm_forward(lon: Column, lat: Column, p: dict = WTM) -> tuple[Column, Column]:
-    """Transverse Mercator (series to 6th order), degrees -> metres."""
-    phi = F.radians(lat)
-    lam = F.radians(lon - p["lon0"])
-    n = GRS80_A / F.sqrt(1 - _E2 * F.sin(phi) ** 2)
-    t = F.tan(phi) ** 2
-    c = _EP2 * F.cos(phi) ** 2
-    a = lam * F.cos(phi)
-    k0 = p["k0"]
-    x = k0 * n * (a + (1 - t + c) * a ** 3 / 6
-                  + (5 - 18 * t + t ** 2 + 72 * c - 58 * _EP2) * a ** 5 / 120)
-    y = k0 * (_meridian_arc(phi) + n * F.tan(phi) * (
-        a ** 2 / 2 + (5 - t + 9 * c + 4 * c ** 2) * a ** 4 / 24
-        + (61 - 58 * t + t ** 2 + 600 * c - 330 * _EP2) * a ** 6 / 720))
-    return x + p["fe"], y + p["fn"]
+    phi = f"radians({lat})"
+    arc = " ".join(f"{_d(k)} * {f}" for k, f in (
+        (1 - e2 / 4 - 3 * e4 / 64 - 5 * e6 / 256, f"{phi} -"), (3 * e2 / 8 + 3 * e4 / 32 + 45 * e6 / 1024, f"sin(2 * {phi}) +"),
+        (15 * e4 / 256 + 45 * e6 / 1024, f"sin(4 * {phi}) -"), (35 * e6 / 3072, f"sin(6 * {phi})")))
+    return {"n": f"{_d(GRS80_A)} / sqrt(1 - {_d(_E2)} * pow(sin({phi}), 2))", "tan": f"tan({phi})", "t": f"pow(tan({phi}), 2)",
+            "c": f"{_d(_EP2)} * pow(cos({phi}), 2)", "a": f"radians({lon} - {_d(p['lon0'])}) * cos({phi})",
+            "m": f"{_d(GRS80_A)} * ({arc})"}
+
+
+def _tm_sum(q: dict, p: dict) -> tuple[str, str]:
+    n, tan, t, c, a, m = (f"({q[k]})" for k in ("n", "tan", "t", "c", "a", "m"))
+    k0, ep2 = _d(p["k0"]), _d(_EP2)
+    x = (f"{k0} * {n} * ({a} + (1 - {t} + {c}) * pow({a}, 3) / 6 "
+         f"+ (5 - 18 * {t} + pow({t}, 2) + 72 * {c} - 58 * {ep2}) * pow({a}, 5) / 120) + {_d(p['fe'])}")
+    y = (f"{k0} * ({m} + {n} * {tan} * (pow({a}, 2) / 2 + (5 - {t} + 9 * {c} + 4 * pow({c}, 2)) * pow({a}, 4) / 24 "
+         f"+ (61 - 58 * {t} + pow({t}, 2) + 600 * {c} - 330 * {ep2}) * pow({a}, 6) / 720)) + {_d(p['fn'])}")
+    return x, y
+
+
+def tm_forward(lon: str, lat: str, p: dict = WTM) -> tuple[Column, Column]:
+    """Transverse Mercator (series to 6th order) of two columns, degrees -> metres."""
+    x, y = _tm_sum(_tm_terms(lon, lat, p), p)
+    return F.expr(x), F.expr(y)
 
 
 def tm_inverse(x: Column, y: Column, p: dict = WTM) -> tuple[Column, Column]:
@@ -419,35 +404,50 @@ def tm_inverse(x: Column, y: Column, p: dict = WTM) -> tuple[Column, Column]:
     return F.degrees(lon) + p["lon0"], F.degrees(lat)
 
 
-def _albers_q(phi):
-    e = math.sqrt(_E2)
-    s = F.sin(phi) if isinstance(phi, Column) else math.sin(phi)
-    log = F.log if isinstance(phi, Column) else math.log
-    return (1 - _E2) * (s / (1 - _E2 * s * s) - (1 / (2 * e)) * log((1 - e * s) / (1 + e * s)))
+def _albers_q(phi: float) -> float:
+    e, s = math.sqrt(_E2), math.sin(phi)
+    return (1 - _E2) * (s / (1 - _E2 * s * s) - (1 / (2 * e)) * math.log((1 - e * s) / (1 + e * s)))
 
 
-def albers_forward(lon: Column, lat: Column, p: dict = ALBERS) -> tuple[Column, Column]:
-    """Albers equal-area conic (ellipsoidal), degrees -> metres."""
+def _albers_terms(lon: str, lat: str, p: dict) -> dict[str, str]:
+    """Radius and angle of the conic, and the radius of the origin."""
     p1, p2, p0 = (math.radians(p[k]) for k in ("lat1", "lat2", "lat0"))
     m1 = math.cos(p1) / math.sqrt(1 - _E2 * math.sin(p1) ** 2)
     m2 = math.cos(p2) / math.sqrt(1 - _E2 * math.sin(p2) ** 2)
     q1, q2, q0 = _albers_q(p1), _albers_q(p2), _albers_q(p0)
     n = (m1 ** 2 - m2 ** 2) / (q2 - q1)
     c = m1 ** 2 + n * q1
-    rho0 = GRS80_A * math.sqrt(c - n * q0) / n
-    rho = GRS80_A * F.sqrt(c - n * _albers_q(F.radians(lat))) / n
-    theta = n * F.radians(lon - p["lon0"])
-    return p["fe"] + rho * F.sin(theta), p["fn"] + rho0 - rho * F.cos(theta)
+    e, s = math.sqrt(_E2), f"sin(radians({lat}))"
+    q = (f"{_d(1 - _E2)} * ({s} / (1 - {_d(_E2)} * {s} * {s}) "
+         f"- {_d(1 / (2 * e))} * ln((1 - {_d(e)} * {s}) / (1 + {_d(e)} * {s})))")
+    return {"rho": f"{_d(GRS80_A)} * sqrt({_d(c)} - {_d(n)} * {q}) / {_d(n)}", "theta": f"{_d(n)} * radians({lon} - {_d(p['lon0'])})",
+            "rho0": _d(GRS80_A * math.sqrt(c - n * q0) / n)}
+
+
+def _albers_sum(q: dict, p: dict) -> tuple[str, str]:
+    return (f"{_d(p['fe'])} + ({q['rho']}) * sin({q['theta']})",
+            f"{_d(p['fn'])} + {q['rho0']} - ({q['rho']}) * cos({q['theta']})")
+
+
+def albers_forward(lon: str, lat: str, p: dict = ALBERS) -> tuple[Column, Column]:
+    """Albers equal-area conic (ellipsoidal) of two columns, degrees -> metres."""
+    x, y = _albers_sum(_albers_terms(lon, lat, p), p)
+    return F.expr(x), F.expr(y)
 
 
-def transform_polys(polys: Column, fn) -> Column:
-    """Apply a (x, y) -> (x', y') column transform to every vertex."""
-    def vert(v):
-        x, y = fn(v[0], v[1])
-        return F.array(x, y)
-    return F.transform(polys, lambda part: F.transform(part, lambda ring: F.transform(ring, vert)))
+_TERMS = {tm_forward: (_tm_terms, _tm_sum, WTM), albers_forward: (_albers_terms, _albers_sum, ALBERS)}
 
 
 def project(layer: DataFrame, fn=tm_forward) -> DataFrame:
-    """A lon/lat layer in metres (Wisconsin Transverse Mercator unless told otherwise)."""
-    return layer.withColumn("polys", transform_polys(F.col("polys"), fn))
+    """A lon/lat layer in metres (Wisconsin Transverse Mercator unless told otherwise).
+
+    Each vertex's terms are worked out once, in a pass of their own: an expression
+    inside an array function is not shared, so a formula that uses a term several
+    times would compute it as often."""
+    terms, total, p = _TERMS[fn]
+    names = terms("get(v, 0)", "get(v, 1)", p)
+    parts = ", ".join(f"'{k}', {e}" for k, e in names.items())
+    x, y = total({k: f"q.{k}" for k in names}, p)
+    polys = (f"transform(polys, part -> transform(part, ring -> transform("
+             f"transform(ring, v -> named_struct({parts})), q -> array({x}, {y}))))")
+    return layer.withColumn("polys", F.expr(polys))

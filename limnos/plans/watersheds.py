@@ -116,7 +116,7 @@ def dnr_layer(raw: DataFrame) -> DataFrame:
 
 def major_lakes(lakes: DataFrame, n: int = 1000) -> DataFrame:
     """The n largest waterbodies by area (ties stay)."""
-    return top_n_with_ties(lakes.withColumn("Area", planar_area(F.col("polys"))), "Area", n)
+    return top_n_with_ties(lakes.withColumn("Area", planar_area()), "Area", n)
 
 
 def display_layer(layer: DataFrame, name: str) -> DataFrame:

@@ -9,7 +9,9 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from concurrent.futures import ThreadPoolExecutor
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import SparkSession
 
 # Settings every job relies on: wall-clock timestamps in UTC, ANSI casts
@@ -98,6 +100,14 @@ def materialize(df, name: str = "limnos"):
     return spark.read.schema(df.schema).parquet(path)
 
 
+def side_by_side(spark: SparkSession, *jobs) -> list:
+    """Run independent jobs (functions without arguments) at the same time and
+    return their results in order: one job's planning and its last tasks overlap
+    with the others' work.  Spark schedules the tasks of all of them."""
+    with ThreadPoolExecutor(len(jobs)) as pool:
+        return [f.result() for f in [pool.submit(inheritable_thread_target(spark)(job)) for job in jobs]]
+
+
 def release(spark: SparkSession) -> int:
     """Delete the intermediate tables of this application; returns their number.
     For the end of a job: results read from them must have been written."""

@@ -75,11 +75,11 @@ def read_geojson(spark: SparkSession, path: str, properties: T.StructType,
 FEATURES_PER_FILE = 100_000
 
 
-def geometry_json(polys: Column) -> Column:
-    """A Polygon or MultiPolygon: rings closed, outer rings counter-clockwise
+def geometry_json() -> Column:
+    """``polys`` as a Polygon or MultiPolygon: rings closed, outer rings counter-clockwise
     and holes clockwise; rings that are no area (fewer than four positions) are
     left out, and a part without an outer ring with them.  NULL without parts."""
-    shaped = F.transform(oriented(polys), lambda part: F.when(
+    shaped = F.transform(oriented(), lambda part: F.when(
         F.size(F.get(part, F.lit(0))) >= 4, F.filter(part, lambda r: F.size(r) >= 4)))
     parts = F.filter(shaped, lambda p: p.isNotNull())
     one = F.concat(F.lit('{"type":"Polygon","coordinates":'), F.to_json(F.get(parts, F.lit(0))), F.lit("}"))
@@ -98,7 +98,7 @@ def write_geojson(layer: DataFrame, path: str, properties: list[str],
     """
     spark = layer.sparkSession
     names = F.to_json(F.struct(*properties), {"ignoreNullFields": "false"}) if properties else F.lit("{}")
-    features = layer.select(names.alias("p"), F.coalesce(geometry_json(F.col("polys")), F.lit("null")).alias("g"))
+    features = layer.select(names.alias("p"), F.coalesce(geometry_json(), F.lit("null")).alias("g"))
     features = materialize(features, "features")
     files = max(1, -(-features.count() // features_per_file))
     dealt = features.withColumn("file", F.pmod(F.xxhash64("p", "g"), F.lit(files)).cast("int"))

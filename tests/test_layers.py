@@ -136,7 +136,7 @@ def test_neighbours_keep_a_common_border(spark):
     # borders held by one polygon only are the outline, as before; no gap opens inside
     ends = lambda c: {v for s, k in c.items() if k == 1 for v in s}
     assert set(after.values()) <= {1, 2} and ends(after) <= ends(before)
-    area = lambda df: df.select(F.sum(SP.planar_area(F.col("polys")))).first()[0]
+    area = lambda df: df.select(F.sum(SP.planar_area())).first()[0]
     outline = sum(1 for k in after.values() if k == 1)
     assert abs(area(out) - area(layer)) < 0.02 * outline       # only the outline's bends count
 

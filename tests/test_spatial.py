@@ -199,7 +199,7 @@ def test_cells_meet_the_polygons_that_cover_them(spark):
 def test_transverse_mercator_roundtrip(spark):
     # Central meridian maps to the false easting; inverse restores lon/lat
     df = spark.createDataFrame([(-90.0, 44.0), (-92.5, 46.7), (-87.1, 42.6)], "lon double, lat double")
-    x, y = SP.tm_forward(F.col("lon"), F.col("lat"))
+    x, y = SP.tm_forward("lon", "lat")
     fw = df.select("lon", "lat", x.alias("x"), y.alias("y"))
     lon, lat = SP.tm_inverse(F.col("x"), F.col("y"))
     back = rows(fw.select("lon", "lat", "x", lon.alias("lon2"), lat.alias("lat2")))
@@ -226,7 +226,7 @@ def test_tm_against_krueger_series(spark):
 
     pts = [(-92.4, 46.5), (-87.2, 42.7), (-90.0, 45.0)]
     df = spark.createDataFrame(pts, "lon double, lat double")
-    x, y = SP.tm_forward(F.col("lon"), F.col("lat"))
+    x, y = SP.tm_forward("lon", "lat")
     for (lo, la), (gx, gy) in zip(pts, rows(df.select(x, y))):
         kx, ky = kr(lo, la)
         assert abs(gx - kx) < 1e-3 and abs(gy - ky) < 1e-3
@@ -262,7 +262,7 @@ def test_geojson_reader(spark, tmp):
 def test_albers_origin_and_scale(spark):
     # EPSG:5070 puts (lon0, lat0) = (-96, 23) at the origin; x grows eastward
     df = spark.createDataFrame([(-96.0, 23.0), (-90.0, 44.0)], "lon double, lat double")
-    x, y = SP.albers_forward(F.col("lon"), F.col("lat"))
+    x, y = SP.albers_forward("lon", "lat")
     (x0, y0), (x1, y1) = rows(df.select(x, y))
     assert abs(x0) < 1e-6 and abs(y0) < 1e-6
     assert 400000 < x1 < 600000 and 2200000 < y1 < 2500000

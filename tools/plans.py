@@ -32,7 +32,8 @@ def main() -> None:
     sf_dir = sys.argv[1] if len(sys.argv) > 1 else "/root/testdata/sf0.001"
     out_dir = os.path.join(ROOT, "docs", "plans")
     os.makedirs(out_dir, exist_ok=True)
-    spark = get_session("local[4]", 8)
+    # whole plans, without intermediate tables
+    spark = get_session("local[4]", 8, extra={"spark.limnos.materialize": "false"})
     rows, bad = [], []
     for name, (fn, _) in REGISTRY.items():
         df = fn(spark, sf_dir)
