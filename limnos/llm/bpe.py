@@ -12,12 +12,14 @@ resort is a window over the whole pair.
 
 Pieces are cut further where the tokenizer cuts too (white space), and each
 distinct chunk is encoded by the library once per worker, not once per
-occurrence; the cache is emptied at ``CACHE`` chunks.
+occurrence; the cache is emptied at ``CACHE`` chunks.  A chunk is taken from the
+cache only if its bytes equal those it was encoded from.
 
 Defined cases: NULL or empty text has no tokens and decodes to the empty text.
 Each input row is a result row, repeated doc_ids included.  Special tokens in
 a text are recognised as the library does by default; padding and truncation
-of the tokenizer file are switched off.
+of the tokenizer file are switched off.  An empty table gives no rows.  Only
+doc_id and text are read, whatever the other columns are called.
 """
 
 from __future__ import annotations
@@ -33,11 +35,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from limnos.llm.vectors import _INVERSE, _PRIME, _power, mix, text_buffer
+from limnos.llm.vectors import BLOCKS, span_blocks, span_hashes, text_buffer
 
 LEAF = 32_768           # code points a piece has at most
 WINDOW = 64             # first window on either side of a join
-CACHE = 2_000_000       # distinct chunks a worker remembers
+CACHE = 1_000_000       # distinct chunks a worker remembers
 BATCH_CHARS = 2 << 20
 
 # Chunk rules: text is cut where the tokenizer always cuts.
@@ -47,8 +49,6 @@ RULES = ("words", "bytes")
 LONG_TEXT = 1 << 20     # code points beyond which a text is cut before it is hashed
 _CUT = re.compile(r"\S[ \n](?=\S)")
 
-_rng = np.random.default_rng(314159)
-_CODE = _rng.integers(1, 1 << 63, 256, dtype=np.uint64)
 _ASCII_SPACE = np.zeros(256, bool)
 _ASCII_SPACE[[0x20, *range(0x09, 0x0E), *range(0x1C, 0x20)]] = True
 # White space characters beyond ASCII.
@@ -91,8 +91,11 @@ def chunk_spans(b: np.ndarray, offsets: np.ndarray, rule: str) -> tuple[np.ndarr
 
 
 class Encoder:
-    """Library tokenizer with a cache of distinct chunks, keyed by a 64-bit
-    hash of bytes and length."""
+    """Library tokenizer with a cache of distinct chunks.
+
+    Chunks are found by a 64-bit hash, but only equal bytes share an entry: every
+    occurrence is compared with the chunk that the entry was made from, and one
+    that differs from it goes to a table keyed by the bytes themselves."""
 
     def __init__(self, path: str, rule: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -116,6 +119,9 @@ class Encoder:
     def _reset(self):
         self.keys = np.zeros(0, np.uint64)          # sorted hashes of known chunks
         self.slot = np.zeros(0, np.int64)           # and their place in the store
+        self.head = np.zeros((0, BLOCKS + 1), np.uint64)    # first bytes and length of the chunk in each place
+        self.long: dict[int, bytes] = {}            # all bytes of the longer ones
+        self.odd: dict[bytes, int] = {}             # places of chunks whose hash another chunk has
         self.flat = np.zeros(1 << 16, np.uint32)
         self.at = np.zeros(1, np.int64)             # start of chunk i; at[i + 1] its end
         self.used = 0
@@ -143,28 +149,45 @@ class Encoder:
             return self._apart(chunks)
         return ids, np.diff(stop, prepend=-1)
 
-    def _learn(self, fresh: list[str], keys: np.ndarray) -> None:
-        whole = np.fromiter(map(self._plain_chunk, fresh), bool, len(fresh))
+    def _store(self, chunks: list[str]) -> np.ndarray:
+        """Encode chunks and put their ids in the store; their order there."""
+        whole = np.fromiter(map(self._plain_chunk, chunks), bool, len(chunks))
         order = np.concatenate([np.flatnonzero(whole), np.flatnonzero(~whole)])
         parts = []
         for a in range(0, int(whole.sum()), 256):
-            parts.append(self._together([fresh[k] for k in order[a:min(a + 256, int(whole.sum()))].tolist()]))
+            parts.append(self._together([chunks[k] for k in order[a:min(a + 256, int(whole.sum()))].tolist()]))
         if not whole.all():
-            parts.append(self._apart([fresh[k] for k in order[int(whole.sum()):].tolist()]))
+            parts.append(self._apart([chunks[k] for k in order[int(whole.sum()):].tolist()]))
         encoded, lengths = (np.concatenate(x) for x in zip(*parts))
-        keys = keys[order]
-        up = np.argsort(keys)
-        slots = (len(self.at) - 1 + np.arange(len(fresh)))[up]
-        keys = keys[up]
         self.at = np.concatenate([self.at, self.at[-1] + np.cumsum(lengths)])
         end = int(self.at[-1])
         while len(self.flat) < end:
             self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
         self.flat[self.used:end] = encoded
         self.used = end
+        return order
+
+    def _learn(self, raw: list[bytes], keys: np.ndarray, head: np.ndarray) -> None:
+        first = len(self.at) - 1
+        order = self._store([r.decode() for r in raw])
+        slots = first + np.arange(len(raw))
+        grown = np.zeros((first + len(raw), BLOCKS + 1), np.uint64)
+        grown[:len(self.head)] = self.head
+        grown[first:] = head[order]
+        self.head = grown
+        self.long.update((first + k, raw[i]) for k, i in enumerate(order.tolist()) if len(raw[i]) > 8 * BLOCKS)
+        up = np.argsort(keys[order])
+        keys, slots = keys[order][up], slots[up]
         where = np.searchsorted(self.keys, keys)
         self.keys, self.slot = np.insert(self.keys, where, keys), np.insert(self.slot, where, slots)
 
+    def _slot_of(self, raw: bytes) -> int:
+        """Place of a chunk whose hash belongs to another one."""
+        if raw not in self.odd:
+            self.odd[raw] = len(self.at) - 1
+            self._store([raw.decode()])
+        return self.odd[raw]
+
     def _plain_chunk(self, chunk: str) -> bool:
         """Whether a chunk may stand among others in one text."""
         solid = len(chunk) > 1 and not chunk[1].isspace() and not chunk[-1].isspace()
@@ -195,21 +218,25 @@ class Encoder:
         b, offsets = text_buffer(pa.array(texts, pa.large_string()))
         b, offsets = b[offsets[0]:offsets[-1]], offsets - offsets[0]
         starts, ends = chunk_spans(b, offsets, self.rule) if len(b) else (offsets[:0], offsets[:0])
-        sums = np.empty(len(b) + 1, np.uint64)
-        sums[0] = 0
-        np.cumsum(_CODE[b] * _power(_PRIME, len(b)), out=sums[1:])
-        keys = (sums[ends] - sums[starts]) * _power(_INVERSE, len(b) + 1)[starts]
-        keys = mix(keys + (ends - starts).astype(np.uint64) * _CODE[7])
+        blocks = span_blocks(b, starts, ends)
+        keys = span_hashes(b, starts, ends, blocks)
+        head = np.stack([*blocks, (ends - starts).astype(np.uint64)], axis=1)
         distinct, one, inverse = np.unique(keys, return_index=True, return_inverse=True)
         where = np.searchsorted(self.keys, distinct)
         known = np.zeros(len(distinct), bool)
         inner = where < len(self.keys)
         known[inner] = self.keys[where[inner]] == distinct[inner]
+        raw = memoryview(b)
         if not known.all():
-            raw, new = b.tobytes(), one[~known]
-            self._learn([raw[a:z].decode() for a, z in zip(starts[new].tolist(), ends[new].tolist())], distinct[~known])
+            new = one[~known]
+            self._learn([bytes(raw[a:z]) for a, z in zip(starts[new].tolist(), ends[new].tolist())], distinct[~known], head[new])
             where = np.searchsorted(self.keys, distinct)
         slot = self.slot[where][inverse] if len(distinct) else np.zeros(0, np.int64)
+        same = (self.head[slot] == head).all(axis=1) if len(slot) else np.zeros(0, bool)
+        for i in np.flatnonzero(same & (head[:, BLOCKS] > 8 * BLOCKS)).tolist():
+            same[i] = self.long.get(int(slot[i])) == raw[starts[i]:ends[i]]
+        for i in np.flatnonzero(~same).tolist():
+            slot[i] = self._slot_of(bytes(raw[starts[i]:ends[i]]))
         begin = self.at[slot]
         lengths = self.at[slot + 1] - begin
         stop = np.cumsum(lengths)

@@ -8,18 +8,18 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 
 BLOCK = 1 << 20
 U = np.uint64
 _WS = np.zeros(256, bool)
 _WS[[0x20, *range(0x09, 0x0E)]] = True
-_rng = np.random.default_rng(20240229)
-_BYTE = _rng.integers(1, 1 << 63, 256, dtype=np.uint64)
-_BYTE[65:91] = _BYTE[97:123]                      # A-Z hash as a-z
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[65:91] += 32                               # A-Z as a-z
 _PRIME = U(0x9E3779B97F4A7C15)
-_INVERSE = U(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
-_Q = _rng.integers(1, 1 << 63, 64, dtype=np.uint64) | U(1)
-_powers: dict[U, np.ndarray] = {}
+_Q = np.random.default_rng(20240229).integers(1, 1 << 63, 64, dtype=np.uint64) | U(1)
+BLOCKS = 4              # words of 8 bytes that are hashed in numpy
+_MASK = np.array([(1 << 8 * k) - 1 for k in range(8)] + [(1 << 64) - 1], np.uint64)
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -32,15 +32,27 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h
 
 
-def _power(base: U, n: int) -> np.ndarray:
-    have = _powers.get(base)
-    if have is None or len(have) < n:
-        p = np.full(max(n, BLOCK) + 8, base, np.uint64)
-        p[0] = 1
-        have = np.multiply.accumulate(p)
-        if n <= 4 * BLOCK:
-            _powers[base] = have
-    return have[:n]
+def span_blocks(b: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> list[np.ndarray]:
+    """The first 8 * BLOCKS bytes of each span of ``b`` as 64-bit words, 0 beyond its end."""
+    padded = np.concatenate([b, np.zeros(8, np.uint8)])
+    wide = np.ndarray(len(b) + 1, "<u8", padded, strides=(1,))         # the 8 bytes from each place on
+    n = ends - starts
+    return [np.where(n > 8 * k, wide[np.minimum(starts + 8 * k, len(b))] & _MASK[np.clip(n - 8 * k, 0, 8)], U(0))
+            for k in range(BLOCKS)]
+
+
+def span_hashes(b: np.ndarray, starts: np.ndarray, ends: np.ndarray, blocks: list[np.ndarray]) -> np.ndarray:
+    """64-bit hash of each span: its words are mixed in one after the other (a
+    sum of powers would have collisions for any base); longer spans by xxHash."""
+    n = ends - starts
+    h = mix(blocks[0] + n.astype(np.uint64) * _Q[0])
+    for k in range(1, BLOCKS):
+        more = np.flatnonzero(n > 8 * k)
+        if len(more):
+            h[more] = mix((h[more] ^ blocks[k][more]) * _PRIME + _Q[k])
+    for i in np.flatnonzero(n > 8 * BLOCKS).tolist():
+        h[i] = xxhash.xxh3_64_intdigest(b[starts[i]:ends[i]].tobytes())
+    return h
 
 
 def text_buffer(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -77,7 +89,7 @@ def word_hashes(data: np.ndarray, offsets: np.ndarray, breaks: np.ndarray = _WS,
     """64-bit hash of every word (A-Z as a-z) and word offsets per row.
 
     ``breaks``: table of the bytes between words.  With ``prefixes`` the hashes
-    have further columns: those of the first p bytes (0 for shorter words).
+    have further columns: those of the first p bytes, at most 8 (0 for shorter words).
     """
     hashes, starts_all = [], []
     for lo, hi in _blocks(data, offsets):
@@ -95,15 +107,13 @@ def word_hashes(data: np.ndarray, offsets: np.ndarray, breaks: np.ndarray = _WS,
         starts, ends = np.flatnonzero(begin), np.flatnonzero(last) + 1
         if not len(starts):
             continue
-        sums = np.empty(n + 1, np.uint64)
-        sums[0] = 0
-        np.cumsum(_BYTE[b] * _power(_PRIME, n), out=sums[1:])
-        scale = _power(_INVERSE, n)[starts]
-        h = mix((sums[ends] - sums[starts]) * scale + (ends - starts).astype(np.uint64) * _Q[0])
+        folded = _LOWER[b]
+        blocks = span_blocks(folded, starts, ends)
+        h = span_hashes(folded, starts, ends, blocks)
         if prefixes:
             cols = [h]
             for k in prefixes:
-                p = mix((sums[np.minimum(starts + k, n)] - sums[starts]) * scale + np.array([k], np.uint64) * _Q[30])
+                p = mix((blocks[0] & _MASK[k]) + np.array([k], np.uint64) * _Q[30])
                 cols.append(np.where(ends - starts >= k, p, U(0)))
             h = np.stack(cols, axis=1)
         hashes.append(h)

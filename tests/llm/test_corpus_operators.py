@@ -320,3 +320,30 @@ def test_pipeline_stages_chain(shipped, nothing):
     assert dict(packed) == lengths
     for name, stage in corpus_pipeline.STAGES:
         assert stage(shipped, nothing, SF_SMALL).count() == 0, name
+
+
+def thue_morse(n=2048):
+    """The sequence and its complement: equal under any sum of powers modulo 2^64."""
+    bits = [bin(k).count("1") % 2 for k in range(n)]
+    return "".join("ab"[k] for k in bits), "".join("ba"[k] for k in bits)
+
+
+@pytest.mark.parametrize("name, rule", [("word_bpe_49k.json", "words"), ("byte_bpe_50k.json", "bytes")])
+def test_cache_never_mixes_chunks(name, rule, monkeypatch):
+    x, y = thue_morse()
+    texts = [x, y, x + " " + y, "alpha beta", "gamma " + "long" * 20 + " beta", "long" * 20]
+    enc = bpe.Encoder(tokenizer_path(name), rule)
+    plain = [enc.plain(t) for t in texts]
+    assert [t.tolist() for t in enc.encode(texts)] == plain
+    # with one hash for all chunks, the bytes alone tell them apart
+    monkeypatch.setattr(bpe, "span_hashes", lambda b, starts, ends, blocks: np.zeros(len(starts), np.uint64))
+    enc = bpe.Encoder(tokenizer_path(name), rule)
+    for _ in range(2):
+        assert [t.tolist() for t in enc.encode(texts)] == plain
+
+
+def test_words_with_equal_sums_are_no_copies(shipped):
+    x, y = thue_morse()
+    rows = [(1, x, "en", "s", 0), (2, y, "en", "s", 0), (3, x.upper(), "en", "s", 0)]
+    got = {r["doc_id"]: r["component_id"] for r in row_dicts(ngram_join.ngram_components(frame(shipped, rows)))}
+    assert got == {1: 1, 2: 2, 3: 1}
