@@ -99,8 +99,54 @@ def test_quality_edges_and_empty(edge_extra, nothing, shipped):
     assert quality.keep_good(nothing, trusted).columns == nothing.columns
 
 
+MIXED = [(50 + k, t, "en", "s", 0) for k, t in enumerate([
+    "One sentence. Another one!  A third?\nA line\n\nlast", "cut. " * 30, "No break at all " * 9, "a.b.c. d.\n" * 12,
+    "Ends with blanks.     ", "   ", "x", "äöü. ß? 😀! 你好.  end", "One sentence. Another one!  A third?\nA line\n\nlast"])]
+
+
+def lanes_of(text, spark, known={}):  # noqa: B006
+    """Fingerprint by brute force: one hash call a lane group and piece."""
+    total = np.zeros(fingerprint.LANES, np.int64)
+    for p in re.split(r"\n|(?<=[.!?]) +", text):
+        if p:
+            if p not in known:
+                d = hashlib.sha256(p.encode()).hexdigest()
+                calls = ", ".join(f"xxhash64(unhex('{d}'), {w})" for w in range(1, 17))
+                h = np.array(spark.sql(f"select array({calls}) h").first().h, np.int64)
+                known[p] = ((h[:, None] >> (8 * np.arange(8))) & 255).reshape(-1) - 128
+            total += len(p) * known[p]
+    return total
+
+
+def exact_likeness(a, b):
+    size = float((a * a).sum() + (b * b).sum())
+    return 1.0 if size == 0 else min(1.0, max(0.0, 2 * float((a * b).sum()) / size))
+
+
+def test_fingerprints_of_texts_edits_and_neighbours(shipped):
+    rows = [r for r in EDGE if r[0] not in (7, 8)] + MIXED
+    texts = {}
+    for i, t, *_ in rows:
+        if i is not None:
+            texts.setdefault(i, []).append(t or "")
+    order = sorted(texts, reverse=True)
+    after = dict(zip(order, order[1:] + order[:1]))
+    want = []
+    for i, t, *_ in rows:
+        t = t or ""
+        k = len(t) // 3
+        follow = "" if i is None else min(texts[after[i]], key=lambda x: x[:max(len(y) // 3 for y in texts[i])])
+        own, edited = lanes_of(t, shipped), lanes_of(t[:len(t) - k] + follow[:k], shipped)
+        near = 0.0 if i is None else exact_likeness(own, lanes_of(follow, shipped))
+        want.append((i, len(t), (own % 2 ** 32).tolist(), (edited % 2 ** 32).tolist(), round(exact_likeness(own, edited), 9), round(near, 9)))
+    got = [(r["doc_id"], r["n_chars"], r["fingerprint"], r["edited_fingerprint"], round(r["near_edited"], 9), round(r["near_next"], 9))
+           for r in row_dicts(fingerprint.edited_fingerprints(frame(shipped, rows, extra=True), ranges=3))]
+    key = lambda r: (r[0] is not None, r[0] or 0, r[1], r[2])
+    assert sorted(got, key=key) == sorted(want, key=key)
+
+
 def test_fingerprint_edit_and_neighbour(edge):
-    rows = row_dicts(fingerprint.edited_fingerprints(edge, blocks=3))
+    rows = row_dicts(fingerprint.edited_fingerprints(edge, ranges=3))
     assert len(rows) == len(EDGE)
     texts = {}
     for i, t, *_ in EDGE:
@@ -127,7 +173,7 @@ def test_fingerprint_is_a_multiset_hash(shipped):
     both = shipped.createDataFrame([(fp[3], fp[4], fp[1])], "a array<bigint>, b array<bigint>, c array<bigint>")
     r = both.select(fingerprint.combine(F.col("a"), F.col("b")).alias("plus"),
                     fingerprint.combine(F.col("c"), F.col("b"), -1).alias("minus"),
-                    fingerprint.likeness(F.col("c"), F.col("c")).alias("same")).first()
+                    fingerprint.likeness("c", "c").alias("same")).first()
     assert r.plus == fp[1] and r.minus == fp[3] and r.same == 1.0
 
 
@@ -140,7 +186,7 @@ def test_fingerprint_likeness_is_near_the_exact_overlap(shipped):
         frame(shipped, [(p[0], p[side], "", "", 0) for p in pairs])))} for side in (1, 2)]
     got = {r["k"]: r["near"] for r in row_dicts(shipped.createDataFrame(
         [(p[0], fp[0][p[0]], fp[1][p[0]]) for p in pairs], "k int, a array<bigint>, b array<bigint>").select(
-        "k", fingerprint.likeness(F.col("a"), F.col("b")).alias("near")))}
+        "k", fingerprint.likeness("a", "b").alias("near")))}
     errors = {0: [], 1: []}
     for k, a, b in pairs:
         x, y = (Counter(t.split("\n")) for t in (a, b))
