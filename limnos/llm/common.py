@@ -63,3 +63,12 @@ def stored(df: DataFrame, name: str) -> DataFrame:
 def words(text: Column) -> Column:
     """Array of the words `[^\\x20\\x09-\\x0D]+`; NULL text has none."""
     return F.array_remove(F.split(F.coalesce(text, F.lit("")), WS + "+"), "")
+
+
+def marked(docs: DataFrame, rows: DataFrame, key: Column, how: str, **values: str) -> DataFrame:
+    """``docs`` joined to ``rows`` (doc_id, th and the columns named in ``values``)
+    on doc_id and the key (hash of the text).  All columns of docs travel in
+    one struct, ``row``, so none can clash with another, whatever its name."""
+    left = docs.select(F.col("doc_id").alias("i"), key.alias("h"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    right = rows.select(F.col("doc_id").alias("j"), F.col("th").alias("g"), *[F.col(c).alias(n) for n, c in values.items()])
+    return left.join(right, F.col("i").eqNullSafe(F.col("j")) & (F.col("h") == F.col("g")), how)

@@ -21,7 +21,8 @@ Defined cases: NULL text stays NULL and has no lines.  Blank lines are never
 removed.  A document all of whose lines go is dropped by ``dedup_lines``.  Rows
 equal in doc_id and text are kept or cut alike.  NULL doc_ids sort first.
 Lines shorter than 6 characters match only when equal.  Long texts and lines
-are hashed in blocks.  Other columns pass through.
+are hashed in blocks.  Other columns pass through, whatever their names.  An empty
+table gives no rows.
 """
 
 from __future__ import annotations
@@ -32,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from limnos.llm.common import stored
+from limnos.llm.common import marked, stored
 from limnos.llm.similarity import (FRAGMENT_KEYS, PACKED, bitmaps, id_filter, link, pack, packed_batch, passes,
                                    shared_ids)
 from limnos.llm.vectors import _Q, BLOCK, U, char_shingles, mix
@@ -251,20 +252,16 @@ def removed_lines(docs: DataFrame) -> DataFrame:
 
 
 def cut_lines(docs: DataFrame) -> DataFrame:
-    """Every row with its text cut, and the positions removed (_removed)."""
-    gone = removed_lines(docs).select(F.col("doc_id").alias("_doc"), F.col("th").alias("_th"),
-                                      F.col("removed").alias("_removed"))
-    joined = docs.withColumn("_hash", F.xxhash64("text")).join(
-        gone, F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("_hash") == F.col("_th")), "left")
-    kept = F.filter(F.split("text", "\n", -1), lambda x, i: ~F.array_contains("_removed", i))
-    return joined.drop("_doc", "_th", "_hash").withColumn(
-        "text", F.when(F.col("_removed").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n")))
+    """doc_id, row (all columns as they were), text (cut) and removed (positions of the lines that went, or NULL)."""
+    found = marked(docs, removed_lines(docs), F.xxhash64("text"), "left", gone="removed")
+    kept = F.filter(F.split("row.text", "\n", -1), lambda x, i: ~F.array_contains("gone", i))
+    return found.select("row.doc_id", "row", F.col("gone").alias("removed"), F.when(F.col("gone").isNull(), F.col("row.text"))
+                        .otherwise(F.array_join(kept, "\n")).alias("text"))
 
 
 def dedup_lines(docs: DataFrame) -> DataFrame:
     """The documents with cut texts; those left without any word are dropped."""
-    cut = cut_lines(docs).where(F.col("_removed").isNull() | F.col("text").rlike("[^ \\t\\n\\x0B\\f\\r]"))
-    if "n_chars" in docs.columns:
-        cut = cut.withColumn("n_chars", F.when(F.col("_removed").isNull(), F.col("n_chars"))
-                             .otherwise(F.length("text").cast(docs.schema["n_chars"].dataType)))
-    return cut.select(*docs.columns)
+    cut = cut_lines(docs).where(F.col("removed").isNull() | F.col("text").rlike("[^ \\t\\n\\x0B\\f\\r]"))
+    own = {"text": F.col("text"), "n_chars": F.when(F.col("removed").isNull(), F.col("row.n_chars")).otherwise(
+        F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else None}
+    return cut.select(*[own.get(c, F.col(f"row.`{c}`")).alias(c) for c in docs.columns])

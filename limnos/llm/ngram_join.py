@@ -19,7 +19,8 @@ has the empty set and links with nothing, not even its equals; its component
 is its own doc_id.  Each input row is a result row; equal rows get equal
 results.  A NULL doc_id takes part with its text, but is never a component id
 unless all members are NULL.  Very long texts are hashed in blocks.  Shingles
-are compared by 64-bit hashes.
+are compared by 64-bit hashes.  An empty table gives no rows.  ``keep_one`` returns
+all columns, whatever their names; the others read doc_id and text only.
 """
 
 from __future__ import annotations
@@ -30,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from limnos.llm.common import stored
+from limnos.llm.common import marked, stored
 from limnos.llm.similarity import (BATCH_KEYS, FRAGMENT_KEYS, PACKED, id_filter, link, measured, pack, packed_batch,
                                    passes, prefix_keys, set_minus, set_postings, shared_ids)
 from limnos.llm.vectors import shingles, text_buffer, word_hashes
@@ -180,5 +181,5 @@ def keep_one(docs: DataFrame, size: int = WORDS, percent: int = PERCENT) -> Data
     groups = stored(ngram_groups(docs, size, percent).select("doc_id", "th", "grp"), "groups")
     first = groups.where("grp is not null").groupBy("grp").agg(F.min(F.struct("doc_id", "th")).alias("one")) \
         .select("one.*").unionByName(groups.where("grp is null").select("doc_id", "th"))
-    first = first.select(F.col("doc_id").alias("_doc"), F.col("th").alias("_th"))
-    return docs.join(first, F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.xxhash64("text") == F.col("_th")), "left_semi")
+    kept = marked(docs, first, F.xxhash64("text"), "left_semi")
+    return kept.select("row.*")

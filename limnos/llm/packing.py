@@ -16,7 +16,10 @@ over all groups, and a task holds lengths and keys only, never texts.
 
 Defined cases: NULL, empty or blank text has no words and no bin (bin_id and
 start are NULL).  A NULL source or doc_id is a value like others.  Each input
-row is packed, repeated rows too: they share a cluster and so never a bin.
+row is packed, repeated rows too: they share a cluster and so never a bin.  An
+empty table gives no rows.  Only doc_id, text and the source column are read.  The
+groups, and so the bins, follow from the order of rows as they were read and written
+once; any layout gives bins that keep all the rules.
 """
 
 from __future__ import annotations

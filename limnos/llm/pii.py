@@ -1,29 +1,36 @@
 """Personal data (operator 4): base patterns and a character BiLSTM-CRF.
 
-The base patterns (email, ip, card, phone) label spans.  A character-level
-bidirectional LSTM with CRF transitions is trained on windows around such
-spans and around other digits, in numpy.  Every whole text is then cut into
-overlapping windows; a window that holds neither a digit nor an @ cannot hold
-any of the four kinds and is all outside, the others are decoded (Viterbi).
+The base patterns (email, ip, card, phone) give spans that always stay.  A
+character-level bidirectional LSTM with CRF transitions, trained in numpy, finds
+what they miss: the same data in other spelling (national phone numbers, blanks or
+brackets around dots and @, other separators) or swallowed by a longer match that
+failed its check.  It learns from windows around base spans, as they are and
+rewritten in such spellings (``respelled``), and around other digits.
+
+Every whole text is cut into overlapping windows.  An added span holds a digit
+or an @ in any spelling (``plausible`` asks for one), so a window without either gives
+none and is not decoded; all others are (Viterbi).
 Where windows overlap, the tag of the window in which a character lies farther
 from the edge counts, so the decision is one per character of the text; runs
-of tags become spans.  Base spans always stay.  A decoded span is added when it
-touches no base match, accepted or rejected by its check, and has the least
-content of its kind.
+of tags become spans.  A decoded span is added when it touches no accepted base
+span and passes the check of its kind: four numbers up to 255, 13 to 19 digits
+with a Luhn sum, 9 to 15 digits, a name and a domain around one @.
 
-The sample is bounded by parameters: windows of at most ``DOCS`` documents with
-and as many without a base pattern's trigger, ``PER_DOC`` windows each, chosen
-by hash of doc_id.  Only the fixed-size model is broadcast.
+The sample is bounded by parameters: windows of at most ``DOCS`` rows with
+and as many without a base pattern's trigger, ``PER_DOC`` windows each and as many
+rewritten, chosen by hash of doc_id and text.  Only the fixed-size model is broadcast.
 
 Defined cases: NULL text is empty and has no span.  Each input row is a result
 row, repeated doc_ids included.  Texts of any length are decoded window by
-window in blocks.  With no labelled window the model is untrained and adds
-nothing.  Other columns pass through ``mask``.
+window in blocks.  With no labelled window (an empty table, say) the model is untrained
+and adds nothing.  ``scan`` reads doc_id and text only; other columns pass through ``mask``.
 """
 
 from __future__ import annotations
 
+import random
 import re
+import zlib
 
 import numpy as np
 import pyarrow as pa
@@ -35,7 +42,7 @@ PER_DOC = 3
 WINDOW = 96
 STRIDE = 48
 DIM, HIDDEN = 10, 16
-STEPS = 300             # gradient steps of a training run
+STEPS = 400             # gradient steps of a training run
 BATCH = 48
 
 # The base patterns.
@@ -279,10 +286,45 @@ def gold_tags(text: str, spans: list) -> np.ndarray:
     return tags
 
 
-def training_windows(text: str, limit: int = PER_DOC) -> list[tuple[np.ndarray, np.ndarray]]:
-    """Up to ``limit`` windows of a text, those with spans first."""
+def respelled(kind: int, found: str, rng: random.Random) -> str:
+    """A base span in another spelling, outside the base patterns."""
+    if kind == 0:
+        name, domain = found.split("@")
+        return rng.choice([f"{name} @ {domain}", f"{name}@ {domain}", f"{name}@{domain.replace('.', ' . ')}",
+                           f"{name}@{domain.replace('.', '[.]')}", f"{name}[@]{domain}", f"{name}(@){domain}"])
+    if kind == 1:
+        return rng.choice(["[.]", "(.)", " . ", ". "]).join(found.split("."))
+    digits = _digits(found)
+    if kind == 2:
+        sep = rng.choice([".", "/", "_", "  ", " - "])
+        return sep.join(digits[k:k + 4] for k in range(0, len(digits), 4))
+    last = digits[-10:]
+    return rng.choice(["({0}) {1}-{2}", "{0}-{1}-{2}", "{0}.{1}.{2}", "{0} {1} {2}", "0{0}/{1}{2}", "00" + digits[:-10] + " {0} {1} {2}"]) \
+        .format(last[:3], last[3:6], last[6:])
+
+
+def rewritten(text: str, spans: list, rng: random.Random) -> tuple[str, list]:
+    """The text with its base spans in other spellings, and their places."""
+    out, moved, at, size = [], [], 0, 0
+    for k, a, z in sorted(spans, key=lambda s: s[1]):
+        if a < at:
+            continue
+        swallowed = k == 3 and rng.random() < 0.3
+        new = text[a:z] if swallowed else respelled(k, text[a:z], rng)
+        out += [text[at:a], new]
+        size += a - at
+        moved.append((k, size, size + len(new)))
+        size, at = size + len(new), z
+        if swallowed:               # an address right after: the base pattern takes both for one number
+            ip = ".".join(str(rng.randrange(100, 256)) for _ in range(4))
+            out.append(" " + ip)
+            moved.append((1, size + 1, size + 1 + len(ip)))
+            size += 1 + len(ip)
+    return "".join([*out, text[at:]]), moved
+
+
+def _cut_windows(text: str, spans: list, limit: int) -> list[tuple[np.ndarray, np.ndarray]]:
     cls = classes(text)
-    spans = base_spans(text)
     starts = window_starts(text, cls)
     near = [a for a in starts if any(a <= s and z <= a + WINDOW for _, s, z in spans)]
     rest = [a for a in starts if not any(a < z and s < a + WINDOW for _, s, z in spans)]
@@ -295,14 +337,24 @@ def training_windows(text: str, limit: int = PER_DOC) -> list[tuple[np.ndarray,
     return list(zip(ids, out))
 
 
+def training_windows(text: str, limit: int = PER_DOC) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Up to ``limit`` windows of a text, those with spans first, and as many of
+    the text with its spans in other spellings."""
+    spans = base_spans(text)
+    found = _cut_windows(text, spans, limit)
+    if spans:
+        found += _cut_windows(*rewritten(text, spans, random.Random(zlib.crc32(text.encode("utf-8", "surrogatepass")))), limit)
+    return found
+
+
 def train(docs: DataFrame, n_docs: int = DOCS) -> Tagger:
-    text = F.col("text")
-    keyed = docs.select("doc_id", F.xxhash64("doc_id").alias("h"),
+    text, th = F.col("text"), F.xxhash64("text")
+    keyed = docs.select("doc_id", th.alias("th"), F.xxhash64("doc_id", th).alias("h"),
                         text.rlike("@[A-Za-z0-9-]+\\.|\\+[0-9]|[0-9]\\.[0-9]|[0-9][0-9 -]{11,}[0-9]").alias("likely"),
-                        text.rlike("[0-9@]").alias("hot"))
-    ids = keyed.where("likely").orderBy("h", "doc_id").limit(n_docs).select("doc_id") \
-        .unionByName(keyed.where("hot and not likely").orderBy("h", "doc_id").limit(n_docs).select("doc_id")).distinct()
-    # at most 2 * n_docs ids: a proven bound for the broadcast
+                        text.rlike("[0-9@]").alias("hot")).where("hot")
+    rows = keyed.where("likely").orderBy("h", "doc_id").limit(n_docs) \
+        .unionByName(keyed.where("not likely").orderBy("h", "doc_id").limit(n_docs)).select("doc_id", "th").distinct()
+    # at most 2 * n_docs keys: a proven bound for the broadcast
 
     def windows(batches):
         for batch in batches:
@@ -310,8 +362,9 @@ def train(docs: DataFrame, n_docs: int = DOCS) -> Tagger:
             yield pa.RecordBatch.from_arrays(
                 [pa.array([i.astype(np.int16).tobytes() for i, _ in found], pa.binary()),
                  pa.array([g.astype(np.int16).tobytes() for _, g in found], pa.binary())], names=["ids", "tags"])
-    got = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").select("text") \
-        .mapInArrow(windows, "ids binary, tags binary").distinct().orderBy("ids", "tags").toArrow()
+    # rows equal in doc_id and text give the same windows, which are reduced to one where they are made
+    picked = docs.select("doc_id", "text", th.alias("th")).join(F.broadcast(rows), ["doc_id", "th"], "left_semi")
+    got = picked.select("text").mapInArrow(windows, "ids binary, tags binary").distinct().orderBy("ids", "tags").toArrow()
     model = Tagger()
     if got.num_rows:
         read = lambda c: np.stack([np.frombuffer(x, np.int16) for x in got.column(c).to_pylist()]).astype(np.int64)
@@ -354,13 +407,23 @@ def decoded_spans(tags: np.ndarray) -> list[tuple[int, int, int]]:
 
 
 def plausible(kind: int, found: str) -> bool:
-    """Least content of an added span."""
-    n = len(_digits(found))
+    """The check of its kind for an added span, whatever the spelling."""
+    if "\n" in found:
+        return False
     if kind == 0:
-        return "@" in found[1:-1] and " " not in found and "\n" not in found
-    letters = sum(ch.isalpha() for ch in found)
-    least = {1: 4, 2: 12, 3: 7}[kind]
-    return n >= least and not letters and "\n" not in found and (kind != 1 or found.count(".") == 3)
+        name, _, domain = (x.strip(" []()") for x in found.partition("@"))
+        parts = re.split(r" ?[\[(]?\.[\])]? ?", domain)
+        return found.count("@") == 1 and " " not in name and len(name) > 0 and len(parts) > 1 \
+            and all(re.fullmatch("[A-Za-z0-9-]+", x) for x in parts)
+    if any(ch.isalpha() for ch in found):
+        return False
+    digits = _digits(found)
+    if kind == 1:
+        parts = re.split(r"[^0-9]+", found.strip(" .()[]"))
+        return len(parts) == 4 and all(len(x) <= 3 and int(x) <= 255 for x in parts if x) and all(parts)
+    if kind == 2:
+        return 13 <= len(digits) <= 19 and luhn(digits)
+    return 9 <= len(digits) <= 15
 
 
 def find_spans(model: Tagger, texts: list[str]) -> list[tuple[list, list]]:
@@ -382,11 +445,11 @@ def find_spans(model: Tagger, texts: list[str]) -> list[tuple[list, list]]:
             whole = reconcile(len(texts[n]), starts, tags[at:at + len(starts)])
             at += len(starts)
             if whole.any():
-                taken = [(a, z) for _, a, z, _ in matches[n]]
+                taken = [(a, z) for _, a, z, ok in matches[n] if ok]
                 for k, a, z in decoded_spans(whole):
-                    while a < z and texts[n][a] in " \n":
+                    while a < z and texts[n][a] in " \n,;:":
                         a += 1
-                    while a < z and texts[n][z - 1] in " \n.,":
+                    while a < z and texts[n][z - 1] in " \n.,;:":
                         z -= 1
                     if a < z and plausible(k, texts[n][a:z]) and not any(a < y and x < z for x, y in taken):
                         added[n].append((k, a, z))
@@ -417,7 +480,7 @@ def _blocks(texts: list[str], chars: int = 2 << 20):
 
 
 def scan(docs: DataFrame, model: Tagger) -> DataFrame:
-    """doc_id, n_email, n_ip, n_card, n_phone, base, spans (as texts)."""
+    """doc_id, n_email, n_ip, n_card, n_phone, base, spans (as texts), n_spans, n_added."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
@@ -429,10 +492,12 @@ def scan(docs: DataFrame, model: Tagger) -> DataFrame:
                 counts = [pa.array([sum(k == c for k, _, _ in b) for b, _ in found], pa.int64()) for c in range(4)]
                 yield pa.RecordBatch.from_arrays(
                     [ids.slice(a, z - a).cast(pa.int64()), *counts, pa.array([as_text(b) for b, _ in found]),
-                     pa.array([as_text(b + x) for b, x in found])],
-                    names=["doc_id", "n_email", "n_ip", "n_card", "n_phone", "base", "spans"])
+                     pa.array([as_text(b + x) for b, x in found]), pa.array([len(b) + len(x) for b, x in found], pa.int64()),
+                     pa.array([len(x) for _, x in found], pa.int64())],
+                    names=["doc_id", "n_email", "n_ip", "n_card", "n_phone", "base", "spans", "n_spans", "n_added"])
     return docs.select("doc_id", "text").mapInArrow(
-        run, "doc_id bigint, n_email bigint, n_ip bigint, n_card bigint, n_phone bigint, base string, spans string")
+        run, "doc_id bigint, n_email bigint, n_ip bigint, n_card bigint, n_phone bigint, base string, spans string, "
+        "n_spans bigint, n_added bigint")
 
 
 def personal_data(docs: DataFrame) -> DataFrame:

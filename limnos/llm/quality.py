@@ -21,8 +21,8 @@ Defined cases: NULL or empty text has no words and fails the base rules with
 score 0.  Rows that repeat a doc_id are judged one by one; equal rows get
 equal results.  A NULL doc_id or label joins with nothing.  With no labelled
 document the ratio is uniform smoothing on the target side.  Conflicting
-labels of one doc_id: good if any row says so.  Extra columns of the input
-stay out of the way: only ``doc_id`` and ``text`` are read.
+labels of one doc_id: good if any row says so.  An empty table gives no rows.  Only
+``doc_id`` and ``text`` are read; ``keep_good`` returns all columns, whatever their names.
 """
 
 from __future__ import annotations
@@ -30,7 +30,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from limnos.llm.common import stored, words
+from limnos.llm.common import marked, stored, words
 
 LOAD = 8                # distinct n-grams a bucket
 HOT = 1 << 18           # buckets broadcast at most
@@ -150,9 +150,8 @@ def keep_good(docs: DataFrame, trusted: DataFrame, buckets: int | None = None,
     # written first: a filter on the verdict would be pushed into the rule
     # expressions, which the optimizer then evaluates once per word
     verdicts = stored(quality_rules(docs, trusted, buckets, threshold).select("doc_id", "th", "kept"), "verdicts")
-    good = verdicts.where("kept").select(F.col("doc_id").alias("_doc"), F.col("th").alias("_th"))
-    return docs.join(good, F.col("doc_id").eqNullSafe(F.col("_doc"))
-                     & (F.xxhash64(F.coalesce("text", F.lit(""))) == F.col("_th")), "left_semi")
+    kept = marked(docs, verdicts.where("kept"), F.xxhash64(F.coalesce("text", F.lit(""))), "left_semi")
+    return kept.select("row.*")
 
 
 def trusted_ids(labels: DataFrame) -> DataFrame:

@@ -37,7 +37,8 @@ def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pii.personal_data(documents(spark, sf_dir))
     return found.select("doc_id", "n_email", "n_ip", "n_card", "n_phone",
-                        F.sha2(F.col("base").cast("binary"), 256).alias("base_sha256"), "spans")
+                        F.sha2(F.col("base").cast("binary"), 256).alias("base_sha256"), "spans",
+                        "n_spans", "n_added")
 
 
 def op5_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -48,7 +49,7 @@ def op5_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     cut = line_dedup.cut_lines(documents(spark, sf_dir))
-    return cut.select("doc_id", F.coalesce(F.size("_removed"), F.lit(0)).cast("long").alias("n_removed"),
+    return cut.select("doc_id", F.coalesce(F.size("removed"), F.lit(0)).cast("long").alias("n_removed"),
                       F.length("text").cast("long").alias("n_chars"),
                       F.sha2(F.col("text").cast("binary"), 256).alias("text_sha256"))
 
@@ -63,7 +64,8 @@ def op8_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secrets.secret_scan(docs)
     return found.select("doc_id", "n_assign", "n_access", "n_hex",
                         F.sha2(secrets.as_text(F.col("base")).cast("binary"), 256).alias("base_sha256"),
-                        secrets.as_text(F.col("spans")).alias("spans"), "n_live", "n_copied")
+                        secrets.as_text(F.col("spans")).alias("spans"), F.size("spans").cast("long").alias("n_spans"),
+                        "n_live", "n_copied", "most_owners", "most_repositories")
 
 
 def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:

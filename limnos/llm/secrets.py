@@ -3,11 +3,15 @@
 Every whole text is scanned for three base kinds (assign, access, hex) and for
 further candidates: long mixed-case tokens.  The values found are hashed and
 counted over the whole corpus by distinct repositories and distinct owners.  A
-value seen at few owners looks like a live credential of that owner; one that
-many owners carry is a copied example.  Base spans always stay; a token
-candidate is added as a span of kind ``token`` when its value is
+value seen at few owners and in few repositories looks like a live credential of
+its owner; one that many owners carry, or that is spread over many
+repositories, even of one owner, is a copied example.  Base spans always stay; a
+token candidate is added as a span of kind ``token`` when its value is
 owner-specific and it overlaps no base span.
 
+The texts are scanned once: spans and value hashes are written, and the counts and
+verdicts are worked out from that narrow table.
+
 All expressions are DataFrame functions.  Positions follow from the pieces
 between matches (split) and the matches (regexp_extract_all) of one pattern.
 Only values (hashes) are shuffled, after a distinct per task, so a value that
@@ -25,6 +29,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from limnos.llm.common import stored
+
 # The base patterns (the minimum length is applied afterwards to
 # `assign`, whose failing matches still consume their text).
 ASSIGN = "((?i:password|passwd|secret|token|api_?key))[\"']?\\x20*[:=]\\x20*[\"']?([A-Za-z0-9+/_.=-]+)"
@@ -33,7 +39,8 @@ HEX = "[0-9a-f]{24,}"
 TOKEN = "(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{24,}"
 MIN_VALUE = 6
 KINDS = ["assign", "access", "hex", "token"]
-COPY_OWNERS = 3         # a value at this many owners is a copied example
+COPY_OWNERS = 3         # a value at this many owners is a copied example,
+COPY_REPOSITORIES = 6   # as is one in this many repositories
 
 SPAN = "array<struct<s:int,k:int,e:int,v:bigint>>"
 
@@ -79,27 +86,29 @@ def scan(docs: DataFrame, owner: str = "source", repository: str = "repository")
 
 
 def ownership(scanned: DataFrame) -> DataFrame:
-    """v (value hash), n_owners, n_repositories over the whole corpus."""
+    """v (value hash), n_owners, n_repositories, n_seen over the whole corpus."""
     values = scanned.select(F.explode_outer(F.concat("base", "extra")).alias("x"), "o", "r") \
-        .select(F.col("x.v").alias("v"), F.coalesce("o", F.lit("")).alias("o"), F.coalesce("r", F.lit("")).alias("r"))
-    by_repository = values.where(F.col("v").isNotNull()).groupBy("v", "o", "r").agg(F.count("*").alias("n"))
-    by_owner = by_repository.groupBy("v", "o").agg(F.sum("n").alias("n"))
-    repositories = by_repository.select("v", "r").distinct().groupBy("v").agg(F.count("*").alias("n_repositories"))
-    return by_owner.groupBy("v").agg(F.count("*").alias("n_owners"), F.sum("n").alias("n_seen")) \
-        .join(repositories, "v")
+        .select(F.col("x.v").alias("v"), "o", "r").where(F.col("v").isNotNull())
+    # NULL owners and repositories are groups of their own
+    places = values.groupBy("v", "o", "r").agg(F.count("*").alias("n"))
+    by_owner = places.groupBy("v", "o").agg(F.sum("n").alias("n")) \
+        .groupBy("v").agg(F.count("*").alias("n_owners"), F.sum("n").alias("n_seen"))
+    by_repository = places.groupBy("v", "r").agg(F.count("*").alias("n")).groupBy("v").agg(F.count("*").alias("n_repositories"))
+    return by_owner.join(by_repository, "v")
 
 
 def secret_scan(docs: DataFrame, owner: str = "source", repository: str = "repository",
-                copy_owners: int = COPY_OWNERS) -> DataFrame:
+                copy_owners: int = COPY_OWNERS, copy_repositories: int = COPY_REPOSITORIES) -> DataFrame:
     """One row per input row: counts, base and final spans, owner-specific and
-    widely copied values."""
-    scanned = scan(docs, owner, repository)
+    widely copied values, and the most owners and repositories of any of its values."""
+    scanned = stored(scan(docs, owner, repository), "secrets")
     freq = ownership(scanned)
     one = scanned.select("doc_id", "th", F.explode_outer(F.concat("base", "extra")).alias("x")).distinct() \
         .withColumn("v", F.col("x.v")).where(F.col("v").isNotNull())
-    live = F.col("n_owners") < copy_owners
+    live = (F.col("n_owners") < copy_owners) & (F.col("n_repositories") < copy_repositories)
     judged = one.join(freq, "v").groupBy("doc_id", "th").agg(
         F.count(F.when(live, 1)).alias("n_live"), F.count(F.when(~live, 1)).alias("n_copied"),
+        F.max("n_owners").alias("most_owners"), F.max("n_repositories").alias("most_repositories"),
         F.collect_list(F.when(live & (F.col("x.k") == 3), F.col("x"))).alias("added"))
     s, j = scanned.alias("s"), judged.alias("j")
     joined = s.join(j, F.col("s.doc_id").eqNullSafe(F.col("j.doc_id")) & (F.col("s.th") == F.col("j.th")), "left")
@@ -109,4 +118,4 @@ def secret_scan(docs: DataFrame, owner: str = "source", repository: str = "repos
         F.col("s.doc_id").alias("doc_id"), F.col("n_assign").cast("long").alias("n_assign"),
         F.col("n_access").cast("long").alias("n_access"), F.col("n_hex").cast("long").alias("n_hex"), "base",
         F.array_sort(F.concat("base", F.coalesce("added", none))).alias("spans"),
-        F.coalesce("n_live", zero).alias("n_live"), F.coalesce("n_copied", zero).alias("n_copied"))
+        *[F.coalesce(c, zero).alias(c) for c in ("n_live", "n_copied", "most_owners", "most_repositories")])

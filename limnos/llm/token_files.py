@@ -4,7 +4,8 @@ A shard file follows the public *zstd seekable format*: independent frames,
 then a skippable frame that holds the seek table (compressed size, plain size
 and the low 32 bits of XXH64 of the plain bytes for every frame) and ends
 with the table's magic number.  Before the seek table stands a skippable frame
-with the document index (doc_id, presence flag, number of tokens).  The plain
+with the document index (doc_id, presence flag, number of tokens), which has an entry of
+plain size 0 in the table.  The plain
 bytes are the token ids of the shard's documents as little-endian unsigned
 32-bit integers, each document closed by the end id.  A frame holds about
 ``FRAME`` tokens: whole documents, or a part of one that is longer.  A reader
@@ -20,7 +21,7 @@ sum over the manifest, one row a shard.
 
 Defined cases: NULL or empty text is the end id alone.  NULL doc_ids come
 first, rows that repeat a doc_id follow each other by text hash and text.  An
-empty table gives no shard and no row.
+empty table gives no shard and no row.  Only doc_id and text are read.
 """
 
 from __future__ import annotations
@@ -81,6 +82,8 @@ class ShardWriter:
         self.flush()
         index = np.array(self.index, INDEX).tobytes()
         self.out.write(struct.pack("<II", SKIPPABLE_INDEX, len(index)) + index)
+        # the table lists every frame before it; this one holds no plain bytes
+        self.table.append((8 + len(index), 0, xxhash.xxh64_intdigest(b"") & 0xFFFFFFFF))
         table = b"".join(struct.pack("<III", *x) for x in self.table)
         foot = struct.pack("<IBI", len(self.table), CHECKSUM_FLAG, SEEKABLE_MAGIC)
         self.out.write(struct.pack("<II", SKIPPABLE_TABLE, len(table) + len(foot)) + table + foot)
@@ -98,7 +101,7 @@ class ShardReader:
         frames, flag, magic = struct.unpack("<IBI", self.file.read_at(9, size - 9))
         if magic != SEEKABLE_MAGIC or not flag & CHECKSUM_FLAG:
             raise ValueError(f"{path}: no seek table")
-        table = np.frombuffer(self.file.read_at(12 * frames, size - 9 - 12 * frames), "<u4").reshape(-1, 3)
+        table = np.frombuffer(self.file.read_at(12 * frames, size - 9 - 12 * frames), "<u4").reshape(-1, 3)[:-1]
         self.sums = table[:, 2]
         self.offset = np.concatenate([[0], np.cumsum(table[:, 0], dtype=np.int64)])
         self.token = np.concatenate([[0], np.cumsum(table[:, 1], dtype=np.int64) // 4])
