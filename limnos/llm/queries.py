@@ -132,6 +132,7 @@ QUERIES = {
 QUERIES = {name: _shipped(fn) for name, fn in QUERIES.items()}
 
 ORACLES: dict[str, str] = {
+    "op7_ngram_jaccard_join": ngram_join.COMPONENTS_SQL,
     "op11_filter_audit": filter_audit.AUDIT_SQL,
     "op13_exact_dedup": exact_dedup.GROUPS_SQL,
 }
