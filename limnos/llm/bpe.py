@@ -41,6 +41,7 @@ LEAF = 32_768           # code points a piece has at most
 WINDOW = 64             # first window on either side of a join
 CACHE = 1_000_000       # distinct chunks a worker remembers
 BATCH_CHARS = 2 << 20
+COPIES = 65_536         # equal rows that are listed together
 
 # Chunk rules: text is cut where the tokenizer always cuts.
 #   words: at every blank or line break (the tokenizer drops white space)
@@ -363,40 +364,45 @@ def join_tree(enc: Encoder, texts: list[str], tokens: list[np.ndarray]) -> np.nd
 
 
 def encode_long(docs: DataFrame, path: str, rule: str, leaf: int) -> DataFrame:
-    """Tree concatenation of the given (long) texts."""
+    """Tree concatenation of the given (long) texts; rows equal in doc_id and text
+    are one text with a number of copies, reduced where they are read."""
     def split(batches):
         for batch in batches:
-            for i, key, text in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "row", "text"))):
+            for i, key, copies, text in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "row", "copies", "text"))):
                 pieces = halves(text, leaf)
                 m = len(pieces)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([i] * m, pa.int64()), pa.array([key] * m, pa.string()),
+                    [pa.array([i] * m, pa.int64()), pa.array([key] * m, pa.string()), pa.array([copies] * m, pa.int64()),
                      pa.array(range(m), pa.int32()), pa.array(pieces, pa.string())],
-                    names=["doc_id", "row", "leaf", "text"])
+                    names=["doc_id", "row", "copies", "leaf", "text"])
 
     def leaves(batches):
         enc = encoder(path, rule)
-        for (ids, keys, numbers), texts in text_batches(batches, ["doc_id", "row", "leaf"]):
+        for (ids, keys, copies, numbers), texts in text_batches(batches, ["doc_id", "row", "copies", "leaf"]):
             tokens = enc.encode(texts)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(ids, pa.int64()), pa.array(keys, pa.string()), pa.array(numbers, pa.int32()),
+                [pa.array(ids, pa.int64()), pa.array(keys, pa.string()), pa.array(copies, pa.int64()), pa.array(numbers, pa.int32()),
                  pa.array(texts, pa.string()), pa.array([t.tobytes() for t in tokens], pa.binary())],
-                names=["doc_id", "row", "leaf", "text", "tokens"])
+                names=["doc_id", "row", "copies", "leaf", "text", "tokens"])
 
     def join(group: pa.Table) -> pa.Table:
         enc = encoder(path, rule)
-        numbers = group.column("leaf").to_pylist()
-        parts = {n: (t, np.frombuffer(k, np.uint32)) for n, t, k in
-                 zip(numbers, *(group.column(c).to_pylist() for c in ("text", "tokens")))}
-        order, copies = sorted(parts), numbers.count(0)       # rows equal in doc_id and text share a group
-        whole = join_tree(enc, [parts[n][0] for n in order], [parts[n][1] for n in order])
-        i, text = group.column("doc_id")[0].as_py(), decode(enc, [whole])
-        return pa.Table.from_batches([_result([i] * copies, [whole] * copies, text * copies)])
-
-    schema = "doc_id bigint, row string, leaf int, text string"
+        order = np.argsort(group.column("leaf").to_numpy())
+        texts, tokens = (group.column(c).to_pylist() for c in ("text", "tokens"))
+        whole = join_tree(enc, [texts[k] for k in order], [np.frombuffer(tokens[k], np.uint32) for k in order])
+        i, copies = (group.column(c)[0].as_py() for c in ("doc_id", "copies"))
+        table = pa.Table.from_batches([_result([i], [whole], decode(enc, [whole]))])
+        return table.append_column("copies", pa.array([copies], pa.int64()))
+
+    schema = "doc_id bigint, row string, copies bigint, leaf int, text string"
     named = docs.select("doc_id", F.concat_ws(":", "doc_id", F.sha2(F.col("text").cast("binary"), 256)).alias("row"), "text")
-    pieces = named.mapInArrow(split, schema).repartition("row", "leaf")
-    return pieces.mapInArrow(leaves, schema + ", tokens binary").groupBy("row").applyInArrow(join, RESULT)
+    distinct = named.groupBy("row").agg(F.first("doc_id").alias("doc_id"), F.first("text").alias("text"), F.count("*").alias("copies"))
+    pieces = distinct.select("doc_id", "row", "copies", "text").mapInArrow(split, schema).repartition("row", "leaf")
+    joined = pieces.mapInArrow(leaves, schema + ", tokens binary").groupBy("row").applyInArrow(join, RESULT + ", copies bigint")
+    # one result row a copy, in blocks, so that no long list is made of many copies
+    blocks = joined.selectExpr("*", f"explode(sequence(0, (copies - 1) div {COPIES})) AS block")
+    return blocks.selectExpr(*[c.split(" ")[0] for c in RESULT.split(", ")],
+                             f"explode(sequence(1, least({COPIES}, copies - block * {COPIES}))) AS copy").drop("copy")
 
 
 def encode_decode(docs: DataFrame, path: str, rule: str = "words", leaf: int = LEAF) -> DataFrame:

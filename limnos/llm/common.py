@@ -4,13 +4,12 @@ from __future__ import annotations
 
 import os
 import tempfile
-import uuid
 import zipfile
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from limnos.session import checkpoint_dir
+from limnos.session import intermediate_path
 
 # White space of the word rule `[^\x20\x09-\x0D]+`, as a Java character class.
 WS = "[ \\t\\n\\x0B\\f\\r]"
@@ -47,8 +46,9 @@ def labels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A fresh path in the shared folder (spark.checkpoint.dir)."""
-    return f"{checkpoint_dir(spark).rstrip('/')}/llm-{name}-{uuid.uuid4().hex}"
+    """A fresh path in the shared folder (spark.checkpoint.dir), on record for
+    ``limnos.session.release``."""
+    return intermediate_path(spark, f"llm-{name}")
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:

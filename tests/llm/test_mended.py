@@ -295,3 +295,14 @@ def test_pipeline_equals_brute_force_stage_by_stage(shipped, tmp):
     bins = naive_best_fit([(n, s, i) for n, i, s in items if n], packing.CAPACITY)
     whole = sum(len(WORD.findall(t)) // packing.CAPACITY for _, t, *_ in hidden)
     assert len({r["bin_id"] for r in packed}) == len({b for b, _ in bins}) + whole
+
+
+def test_copies_of_a_long_text_are_encoded_once(shipped, monkeypatch):
+    from limnos.llm import bpe
+    from limnos.llm.queries import tokenizer_path
+    path, text = tokenizer_path("word_bpe_49k.json"), "some words and longwordwithoutbreaks" * 40
+    rows = [(1, text, "en", "s", 0)] * 7 + [(2, text, "en", "s", 0), (None, text, "en", "s", 0), (3, "short", "en", "s", 0)]
+    monkeypatch.setattr(bpe, "COPIES", 3)
+    got = row_dicts(bpe.encode_decode(frame(shipped, rows), path, leaf=100))
+    assert Counter(r["doc_id"] for r in got) == {1: 7, 2: 1, None: 1, 3: 1}
+    assert {r["n_tokens"] for r in got if r["doc_id"] != 3} == {len(bpe.Encoder(path, "words").plain(text))}
