@@ -65,11 +65,16 @@ def vectors(array: str) -> str:
 def lanes(column: str) -> str:
     """SQL: sum of the vectors in a column, modulo 2^32 per lane.
 
-    The column stands twice in it, so the planner keeps it as a column of its own
-    instead of copying its expression into the loop over lanes.
+    Per hash the paragraphs' lengths and that hash are laid side by side once; each
+    of its eight lanes is then a sum of length times byte, less 128 times all lengths.
+    The column stands several times in it, so the planner keeps it as a column of
+    its own instead of copying its expression into the loop over lanes.
     """
-    one = f"aggregate({column}, 0L, (s, x) -> s + x.n * ((shiftright(get(x.h, w), b * 8) & 255) - 128))"
-    every = f"flatten(transform(sequence(0, {WORDS - 1}), w -> transform(sequence(0, 7), b -> pmod({one}, {MODULUS}L))))"
+    sides = (f"transform(sequence(0, {WORDS - 1}), w -> named_struct("
+             f"'p', transform({column}, x -> named_struct('n', x.n, 'k', get(x.h, w))), "
+             f"'m', 128L * aggregate({column}, 0L, (s, x) -> s + x.n)))")
+    one = "aggregate(q.p, 0L, (s, y) -> s + y.n * (shiftright(y.k, b) & 255L)) - q.m"
+    every = f"flatten(transform({sides}, q -> transform(array(0, 8, 16, 24, 32, 40, 48, 56), b -> pmod({one}, {MODULUS}L))))"
     return f"CASE WHEN size({column}) = 0 THEN array_repeat(0L, {LANES}) ELSE {every} END"
 
 
