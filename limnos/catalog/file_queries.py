@@ -112,7 +112,9 @@ def station_tally_arranged(spark: SparkSession, sf: str) -> DataFrame:
 
 def tp_histogram_auto(spark: SparkSession, sf: str) -> DataFrame:
     """Phosphorus in Sturges' number of classes with pretty breaks."""
-    return portable(auto_histogram(N.tp_final(_tp_data(spark, sf)), "tp"), round_cols=("bin_lo", "bin_hi"))
+    # read for the range and for the counts: one column, written once
+    tp = materialize(N.tp_final(_tp_data(spark, sf)).select("tp"))
+    return portable(auto_histogram(tp, "tp"), round_cols=("bin_lo", "bin_hi"))
 
 
 def baseline_at_duplicates(spark: SparkSession, sf: str) -> DataFrame:

@@ -77,16 +77,16 @@ def tp_data(*sources: DataFrame) -> DataFrame:
     """Stack the sources, first source wins per (station, datetime, tp);
     calendar columns; observations per station-year; years before 2025."""
     ranked = [s.withColumn("__src", F.lit(i)) for i, s in enumerate(sources)]
-    df = bind_rows(*ranked).withColumns({
-        "volunteer_name": title_case("volunteer_name"),
-        "date": F.to_date("datetime"),
-    })
-    df = df.withColumns({"year": F.year("date"), "month": F.month("date"),
-                         "month_name": month_name("date")})
-    # read twice below (rows and their counts): worked once
+    df = bind_rows(*ranked).withColumn("volunteer_name", title_case("volunteer_name"))
+    # read twice below (rows and their counts): worked once.  The calendar columns
+    # follow from the key, so they do not travel with the rows
     df = materialize(keep_first(df, ["station_id", "datetime", "tp"], order=["__src"]).drop("__src"))
-    df = count_in_group(df, "tp", ["year", "station_id"], "num_obs")
-    return df.where(F.col("year") < MAX_YEAR_EXCLUSIVE)
+    df = df.withColumn("date", F.to_date("datetime")).withColumn("year", F.year("date"))
+    # the filter is on the group's key, so it may come before the count
+    columns = [*df.columns, "month", "month_name", "num_obs"]
+    df = count_in_group(df.drop("date").where(F.col("year") < MAX_YEAR_EXCLUSIVE), "tp", ["year", "station_id"], "num_obs")
+    df = df.withColumn("date", F.to_date("datetime"))
+    return df.withColumns({"month": F.month("date"), "month_name": month_name("date")}).select(*columns)
 
 
 def tp_final(data: DataFrame) -> DataFrame:
