@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from limnos.llm.similarity import passes
 from limnos.llm.vectors import _WS, U, _blocks, mix, span_blocks, text_buffer
 
-GRAMS = 1 << 21             # n-grams of one batch of documents, about
+GRAMS = 1 << 20             # n-grams of one batch of documents, about: an executor holds one a core
 FRAGMENT = 1 << 18          # buckets of a fragment at least
 FRAGMENTS = 1 << 10         # fragments, until they would be larger than
 LARGEST = 1 << 22           # this many buckets
@@ -178,12 +178,19 @@ def _gathered(batches, *columns: str):
             n += len(h)
         at += batch.num_rows
         if n >= GRAMS:
-            yield [pa.chunked_array(x) for x in held], np.concatenate(hashes), np.concatenate(rows)
-            held, hashes, rows, at, n = [[] for _ in columns], [], [], 0, 0
+            yield _taken(held, hashes, rows)
+            held, at, n = [[] for _ in columns], 0, 0
     if at:
-        none = np.zeros(0, np.int64)
-        yield ([pa.chunked_array(x) for x in held], np.concatenate([none.view(np.uint64), *hashes]),
-               np.concatenate([none, *rows]))
+        yield _taken(held, hashes, rows)
+
+
+def _taken(held: list, hashes: list, rows: list):
+    """One batch, joined; the lists are emptied, so that its parts do not stay in memory beside it."""
+    none = np.zeros(0, np.int64)
+    h, r = np.concatenate([none.view(np.uint64), *hashes]), np.concatenate([none, *rows])
+    hashes.clear()
+    rows.clear()
+    return [pa.chunked_array(x) for x in held], h, r
 
 
 def _batch_ids():
@@ -329,6 +336,7 @@ def occurrences(buckets: int, parts: int, hot):
         for batch, ((ids, texts), h, row) in zip(_batch_ids(), _gathered(batches, "doc_id", "th")):
             docs = len(ids)
             found = bucket_of(h, buckets)
+            del h
             near = np.flatnonzero(maybe[found & mask])
             at = np.minimum(np.searchsorted(hot_buckets, found[near]), max(0, len(hot_buckets) - 1))
             is_hot = hot_buckets[at] == found[near] if len(hot_buckets) else np.zeros(len(near), bool)
@@ -338,8 +346,16 @@ def occurrences(buckets: int, parts: int, hot):
             rare = np.ones(len(found), bool)
             rare[near[is_hot]] = False
             found, row = found[rare], row[rare]
-            # fragment, then document, then bucket in one number
-            keys = np.sort((found // size) * (docs * size) + row * size + found % size)
+            del near, at, is_hot, rare
+            # fragment, then document, then bucket in one number:
+            # (found // size) * (docs * size) + row * size + found % size, in place
+            keys = found // size
+            keys *= (docs - 1) * size
+            keys += found
+            row *= size
+            keys += row
+            del found, row
+            keys.sort()
             salt = _salt(batch, parts)
             known = ids.is_valid().to_numpy().astype(np.uint8)
             yield _meet_batch([(f, salt, batch, gaps(keys[a:z] - f * (docs * size)), None, None, None)
