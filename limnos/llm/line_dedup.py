@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 from limnos.llm.common import marked, stored
 from limnos.llm.similarity import (FRAGMENT_KEYS, PACKED, bitmaps, id_filter, link, pack, packed_batch, passes,
                                    shared_ids)
-from limnos.llm.vectors import _Q, BLOCK, U, char_shingles, mix
+from limnos.llm.vectors import _Q, U, char_shingles, mix
 
 CHARS = 6
 BANDS = 16
@@ -57,27 +57,34 @@ def line_id(line: str) -> int:
     return h - (1 << 64) if h >> 63 else h
 
 
+def windows(c: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Line numbers of the characters ``c`` (from 0, a break belongs to the line after it), and
+    hashes and places of the windows of CHARS characters of one line, as in ``char_shingles``."""
+    breaks = c == 10
+    number = np.cumsum(breaks)
+    m = max(0, len(c) - CHARS + 1)
+    whole = np.flatnonzero((number[:m] == number[CHARS - 1:]) & ~breaks[:m])
+    wide = c.astype(np.uint64)
+    h = wide[:m] * _Q[1]
+    for k in range(1, CHARS):
+        h += wide[k:m + k] * _Q[k + 1]
+    return number, mix(h[whole]), whole
+
+
 def signatures(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """One-permutation MinHash over character shingles, one row per line, and
     the number of bins that were filled by the line's own shingles."""
     sig = np.full(len(lines) * BINS, EMPTY, np.uint64)
     code = np.frombuffer("\n".join(lines).encode("utf-32-le", "surrogatepass"), np.uint32)
     line = 0
-    for at in range(0, len(code), BLOCK):
-        c = code[at:at + BLOCK + CHARS - 1]
-        m = len(c) - CHARS + 1
-        breaks = c == 10
-        number = np.cumsum(breaks) + line
-        line = int(number[min(BLOCK, len(c)) - 1])
-        if m <= 0:
-            continue
-        whole = (number[:m] == number[CHARS - 1:]) & ~breaks[:m]
-        wide = c.astype(np.uint64)
-        h = wide[:m] * _Q[1]
-        for k in range(1, CHARS):
-            h += wide[k:m + k] * _Q[k + 1]
-        h = mix(h[whole])
-        np.minimum.at(sig, number[:m][whole] * BINS + ((h >> U(40)) % U(BINS)).astype(np.int64), h)
+    for at in range(0, len(code), CHUNK):
+        c = code[at:at + CHUNK + CHARS - 1]
+        number, h, whole = windows(c)
+        number += line
+        line = int(number[min(CHUNK, len(c)) - 1])
+        # 24 bits: their remainder is the same in 32 bits, where it costs less
+        bins = (h >> U(40)).astype(np.uint32) % np.uint32(BINS)
+        np.minimum.at(sig, number[whole] * BINS + bins, h)
     sig = sig.reshape(len(lines), BINS)
     for i in np.flatnonzero((sig == EMPTY).all(axis=1)).tolist():
         sig[i, 0] = char_shingles(lines[i], CHARS)[0]
@@ -104,22 +111,46 @@ _XOR = _random.integers(0, 1 << 63, BINS, dtype=np.uint64) * U(2)
 _TIMES = _random.integers(1, 1 << 63, BINS, dtype=np.uint64) | U(1)
 
 
+def line_shingles(lines: list[str]):
+    """(from, to, hashes, sizes): the shingles of ``char_shingles`` of all lines, some lines at
+    a time: distinct in each line, one line after the other, and their number per line."""
+    # whole lines of about CHUNK characters, so that the work stays in the cache
+    ends = np.cumsum([len(x) + 1 for x in lines])
+    at = 0
+    while at < len(lines):
+        to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + CHUNK, "right")))
+        c = np.frombuffer("\n".join(lines[at:to]).encode("utf-32-le", "surrogatepass"), np.uint32)
+        number, h, whole = windows(c)
+        line = number[whole]
+        short = [i for i in range(at, to) if len(lines[i]) < CHARS]
+        if short:
+            h = np.concatenate([h, *[char_shingles(lines[i], CHARS) for i in short]])
+            line = np.concatenate([line, np.array(short, np.int64) - at])
+        # equal shingles of a line side by side: both in one number
+        both = h + line.astype(np.uint64) * _Q[53]
+        order = np.argsort(both)
+        both = both[order]
+        first = np.ones(len(h), bool)
+        first[1:] = both[1:] != both[:-1]
+        chosen = np.sort(order[first])
+        if short:
+            chosen = chosen[np.argsort(line[chosen], kind="stable")]
+        yield at, to, h[chosen], np.bincount(line[chosen], minlength=to - at)
+        at = to
+
+
 def few_shingles(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """Number of distinct shingles of every line, and the full MinHash, one row per line."""
-    grams = [char_shingles(x, CHARS) for x in lines]
-    sizes = np.array(list(map(len, grams)), np.int64)
+    sizes = np.zeros(len(lines), np.int64)
     sig = np.full((len(lines), BINS), EMPTY, np.uint64)
-    small = np.flatnonzero(sizes <= FEW)
-    at = 0
-    while at < len(small):
-        # whole lines of about CHUNK shingles, so that the work stays in the cache
-        ends = np.cumsum(sizes[small[at:at + CHUNK // 8]])
-        rows = small[at:at + max(1, int(np.searchsorted(ends, CHUNK)))]
-        h = np.concatenate([grams[i] for i in rows.tolist()])
+    for at, to, h, n in line_shingles(lines):
+        sizes[at:to] = n
+        h, rows = h[np.repeat(n <= FEW, n)], at + np.flatnonzero(n <= FEW)
+        if not len(rows):
+            continue
         starts = np.concatenate([[0], np.cumsum(sizes[rows])[:-1]])
         for k in range(BINS):
             sig[rows, k] = np.minimum.reduceat((h ^ _XOR[k]) * _TIMES[k], starts)
-        at += len(rows)
     return sizes, sig
 
 
@@ -211,14 +242,17 @@ def line_components(docs: DataFrame, counted: DataFrame) -> DataFrame:
     def build(batches):
         for found in _lines(batches, np.frombuffer(bits.value, np.int64)):
             lines = list(found.values())
-            sets = [char_shingles(x, CHARS) for x in lines]
+            sizes, bits_of = [], []
+            for _, _, h, n in line_shingles(lines):
+                sizes += n.tolist()
+                bits_of += bitmaps(h, n)
             keys, counts = line_keys(lines)
             bands = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(counts)), pa.int32()),
                                              pa.array(keys.view(np.int64), pa.int64()))
             yield pa.RecordBatch.from_arrays(
-                [pa.array(list(found), pa.int64()), pa.array(list(map(len, sets)), pa.int64()), pa.array(lines, pa.string()),
+                [pa.array(list(found), pa.int64()), pa.array(sizes, pa.int64()), pa.array(lines, pa.string()),
                  bands,
-                 pa.array(bitmaps(sets), pa.list_(pa.int64()))], names=["id", "n", "line", "bands", "bits"])
+                 pa.array(bits_of, pa.list_(pa.int64()))], names=["id", "n", "line", "bands", "bits"])
     built = docs.select("text").mapInArrow(
         build, "id bigint, n bigint, line string, bands array<bigint>, bits array<bigint>")
     items = stored(built.join(wanted, "id").groupBy("id").agg(

@@ -203,15 +203,14 @@ def _reaches(common, na, nb, percent: int):
 WORDS_OF_BITS = 32          # 64-bit words of a set's bitmap
 
 
-def bitmaps(sets: list[np.ndarray]) -> list[list[int]]:
-    """Per set a bitmap of 64 * WORDS_OF_BITS buckets of its n-grams."""
-    out = []
-    for g in sets:
-        at = (g >> np.uint64(20)) % np.uint64(64 * WORDS_OF_BITS)
-        words = np.zeros(WORDS_OF_BITS, np.uint64)
-        np.bitwise_or.at(words, (at >> np.uint64(6)).astype(np.int64), np.uint64(1) << (at & np.uint64(63)))
-        out.append(words.view(np.int64).tolist())
-    return out
+def bitmaps(grams: np.ndarray, sizes: np.ndarray) -> list[list[int]]:
+    """Per set a bitmap of 64 * WORDS_OF_BITS buckets of its n-grams; the sets stand one
+    after the other in ``grams``."""
+    at = (grams >> np.uint64(20)) % np.uint64(64 * WORDS_OF_BITS)
+    words = np.zeros((len(sizes), WORDS_OF_BITS), np.uint64)
+    place = np.repeat(np.arange(len(sizes)) * WORDS_OF_BITS, sizes) + (at >> np.uint64(6)).astype(np.int64)
+    np.bitwise_or.at(words.reshape(-1), place, np.uint64(1) << (at & np.uint64(63)))
+    return words.view(np.int64).tolist()
 
 
 def _bound(x: str, y: str, percent: int):
