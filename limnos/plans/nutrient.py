@@ -73,14 +73,17 @@ def tp_agency(raw: DataFrame, stations: DataFrame) -> DataFrame:
     return natural_left_join(df, stations)
 
 
-def tp_data(*sources: DataFrame) -> DataFrame:
+def tp_data(*sources: DataFrame, columns: list | None = None) -> DataFrame:
     """Stack the sources, first source wins per (station, datetime, tp);
-    calendar columns; observations per station-year; years before 2025."""
+    calendar columns; observations per station-year; years before 2025.
+    ``columns``: those of the sources that are wanted, when not all (``keep_first``)."""
     ranked = [s.withColumn("__src", F.lit(i)) for i, s in enumerate(sources)]
     df = bind_rows(*ranked).withColumn("volunteer_name", title_case("volunteer_name"))
     # read twice below (rows and their counts): worked once.  The calendar columns
     # follow from the key, so they do not travel with the rows
-    df = materialize(keep_first(df, ["station_id", "datetime", "tp"], order=["__src"]).drop("__src"))
+    keys = ["station_id", "datetime", "tp"]
+    df = keep_first(df, keys, order=["__src"], columns=columns).drop("__src")
+    df = materialize(df if columns is None else df.select(*[c for c in df.columns if c in keys or c in columns]))
     df = df.withColumn("date", F.to_date("datetime")).withColumn("year", F.year("date"))
     # the filter is on the group's key, so it may come before the count
     columns = [*df.columns, "month", "month_name", "num_obs"]
