@@ -57,3 +57,13 @@ def test_shuffle_setting_is_put_back(spark):
             assert spark.conf.get(session.SHUFFLE_CLEANUP) == "true"
         assert spark.conf.get(session.SHUFFLE_CLEANUP) == was
     spark.conf.unset(session.SHUFFLE_CLEANUP)
+
+
+def test_duplicate_coordinates_writes_its_lists_once(spark):
+    before = _shuffle_files(spark)
+    out = []
+    written = _written(spark, lambda: out.append(CQ.duplicate_coordinates(spark, SF)))
+    assert _shuffle_files(spark) <= before
+    # the result reads three written lists, not the tables they come from
+    lists = [f for t in written[-3:] for f in t.inputFiles()]
+    assert set(out[0].inputFiles()) == set(lists)
