@@ -67,3 +67,10 @@ def test_duplicate_coordinates_writes_its_lists_once(spark):
     # the result reads three written lists, not the tables they come from
     lists = [f for t in written[-3:] for f in t.inputFiles()]
     assert set(out[0].inputFiles()) == set(lists)
+
+
+def test_station_watersheds_frees_the_shuffles_of_its_tables(spark):
+    before = _shuffle_files(spark)
+    out = CQ.station_watersheds(spark, SF)
+    assert _shuffle_files(spark) <= before
+    assert out.count() > 0
