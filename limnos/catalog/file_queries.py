@@ -47,9 +47,7 @@ def logger_year_files(spark: SparkSession, sf: str) -> str:
     banner = head.where(F.col("logger_sn") % 3 == 0).select(*keys, F.concat(F.lit("Plot Title: "), sn).alias("value"))
     header = head.select(*keys, F.format_string('"#","Date Time, GMT-05:00","Temp, %s (LGR S/N: %s)"', "unit", sn).alias("value"))
     data = raw.select(*keys, F.concat_ws(",", F.lit("1"), "raw_datetime", F.coalesce("raw_temp", F.lit(""))).alias("value"))
-    path = SK.scratch_path(spark, "logger-years")
-    banner.unionByName(header).unionByName(data).repartition(*keys).write.partitionBy(*keys).text(path)
-    return path
+    return SK.write_lines(banner.unionByName(header).unionByName(data), SK.scratch_path(spark, "logger-years"), keys)
 
 
 def _year_readings(spark: SparkSession, sf: str) -> DataFrame:

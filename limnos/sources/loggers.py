@@ -15,7 +15,7 @@ from pyspark.sql.utils import AnalysisException
 
 from limnos.functions import as_numeric, na_tokens
 from limnos.session import materialize
-from limnos.sources.files import deep_files
+from limnos.sources.files import text_lines
 
 # The unit is the first stand-alone F or C in the header's
 # third column (the degree sign may arrive mis-encoded, so it is not used).
@@ -56,13 +56,13 @@ def read_logger_folder(spark: SparkSession, path: str, pattern: str = "*.csv",
     comes from the file name (``<serial>.csv``) unless ``serial_pattern``
     says otherwise (e.g. a ``logger_sn=<serial>/`` folder)."""
     try:
-        lines = deep_files(spark.read, path, pattern, lambda r, p: r.text(p))
+        lines = text_lines(spark, path, pattern)
     except AnalysisException as e:  # no such folder
         raise FileNotFoundError(f"{path}: holds no logger file that matches {pattern}") from e
     if lines is None:
         raise FileNotFoundError(f"{path}: holds no logger file that matches {pattern}")
     # read three times below and by ``assert_units``: many small files are opened once
-    lines = materialize(lines.select("value", F.col("_metadata.file_path").alias("file")), "lines")
+    lines = materialize(lines, "lines")
     return classify_lines(lines, serial_pattern=serial_pattern)
 
 
