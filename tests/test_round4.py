@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import os
 import random
 
 from limnos import session
 from limnos.catalog import queries as CQ
 from limnos.operators.groups import keep_first
-from limnos.session import shuffles_freed
+from limnos.session import passing_tables, shuffles_freed
 
 SF = "/root/testdata/sf0.001"
 
@@ -39,7 +40,8 @@ def _written(spark, job) -> list:
     paths = session._WRITTEN.setdefault(spark.sparkContext.applicationId, [])
     n = len(paths)
     job()
-    return [spark.read.parquet(p) for p in paths[n:]]
+    there = [p for p in paths[n:] if os.path.isdir(p.removeprefix("file:"))]
+    return [spark.read.parquet(p) for p in there]
 
 
 def test_station_jobs_write_station_columns_and_free_their_shuffles(spark):
@@ -74,3 +76,18 @@ def test_station_watersheds_frees_the_shuffles_of_its_tables(spark):
     out = CQ.station_watersheds(spark, SF)
     assert _shuffle_files(spark) <= before
     assert out.count() > 0
+
+
+def test_passing_tables_are_gone_after_their_block(spark):
+    paths = session._WRITTEN.setdefault(spark.sparkContext.applicationId, [])
+    with passing_tables(spark) as keep:
+        df = keep(spark.range(5))
+        path = paths[-1].removeprefix("file:")
+        assert df.count() == 5 and os.path.isdir(path)
+    assert not os.path.exists(path)
+    spark.conf.set("spark.limnos.materialize", "false")
+    try:
+        with passing_tables(spark) as keep:
+            assert keep(df) is df
+    finally:
+        spark.conf.unset("spark.limnos.materialize")
